@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, components, mix, slices, words_of, written
@@ -18,6 +19,10 @@ _HASHES = WordHashes()
 SLACK = 1.3
 #: Cost of checking a candidate pair, in signature rows.
 PAIR_COST = 4.0
+#: Members that each turn checks the others of a signature's group against, and turns until all pairs of different components are checked.
+HUBS, HUB_TURNS = 4, 2
+#: 256 parities of a set's hashes: two sets' parities differ in at most as many places as the sets differ in elements.
+SKETCH = ("p0", "p1", "p2", "p3")
 
 
 @dataclass(frozen=True)
@@ -136,6 +141,8 @@ def _scan(width: int, plan: list[Band], num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             h, d, n = flat_sets(b.column(1).to_pylist(), width)
+            odd = np.bincount(d * 256 + (mix(h ^ np.uint64(0x9FB21C651E98DF25)) >> np.uint64(56)).astype(np.int64), minlength=256 * len(n)) & 1
+            sketch = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(n), 4)
             marks = np.zeros((2, len(n)), np.uint64)
             np.add.at(marks[0], d, mix(h ^ np.uint64(0xD6E8FEB86659FD93)))
             np.add.at(marks[1], d, mix(h + np.uint64(0xA0761D6478BD642F)))
@@ -149,7 +156,7 @@ def _scan(width: int, plan: list[Band], num: int, den: int):
             os = os[np.argsort(od, kind="stable")].view(np.int64)
             ends = np.concatenate(([0], np.cumsum(np.bincount(od, minlength=len(n))))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(os))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)), lists], ["doc_id", "n_shingles", "mark1", "mark2", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(4)), lists], ["doc_id", "n_shingles", "mark1", "mark2", *SKETCH, "sigs"])
 
     return run
 
@@ -164,7 +171,7 @@ def _sets(width: int):
     return run
 
 
-def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, exhaustive_pairs_per_doc: float = 20.0) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, pairs_per_doc: float = 4.0) -> DataFrame:
     """Groups documents whose sets of `width`-word shingles have Jaccard similarity of num/den or more, transitively.
 
     docs: doc_id, text; other columns are ignored. Returns a row for each row of docs: doc_id, n_shingles, component_id (the
@@ -176,7 +183,8 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     2. Equal sets collapse to their smallest doc_id, so a group of exact copies costs one set.
     3. Sharing a signature makes candidates. First all members of a signature's group are checked against one of them, links
        make components, and only groups that still hold several components go on: further hubs, at last all pairs of
-       different components. Every candidate is checked exactly on the whole sets, so no link between components is lost,
+       different components. Each turn takes other hubs (HUBS of them, by hash), so that a group of near copies falls together
+       even where many of its pairs miss the threshold. Candidates that sizes or parities (SKETCH) prove unlike go; every other one is checked exactly on the whole sets, so no link between components is lost,
        and a large group of near copies needs about one check for each member.
 
     Nulls and texts without words have empty sets (n_shingles 0) and are linked with nothing. Rows that share a doc_id are one
@@ -186,16 +194,24 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     plan = bands(num, den, float(max(texts.count(), 1)), 1 << 40)
-    scanned = written(texts.mapInArrow(_scan(width, plan, num, den), "doc_id long, n_shingles long, mark1 long, mark2 long, sigs array<long>"), "shingles")
+    scanned = written(texts.mapInArrow(_scan(width, plan, num, den), f"doc_id long, n_shingles long, mark1 long, mark2 long, {' long, '.join(SKETCH)} long, sigs array<long>"), "shingles")
     marks = scanned.where("n_shingles > 0").groupBy("mark1", "mark2").agg(F.min("doc_id").alias("rid"))
     marks = written(marks, "sets").where("rid is not null")
-    reps = scanned.join(marks, ["mark1", "mark2"]).where("doc_id = rid").select("rid", "n_shingles", "sigs").dropDuplicates(["rid"])
+    reps = scanned.join(marks, ["mark1", "mark2"]).where("doc_id = rid").dropDuplicates(["rid"])
     sigs = reps.select("rid", F.explode("sigs").alias("sig")).repartition("sig")
-    shared = sigs.groupBy("sig").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high")
-    members = written(sigs.join(shared.select("sig"), "sig"), "members")
+    shared = sigs.groupBy("sig").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high").select("sig")
+    members = written(sigs.join(shared, "sig"), "members")
     inside = members.select("rid").distinct()
     sets = texts.join(inside.withColumnRenamed("rid", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "rid long, set array<long>")
     sets = written(sets, "candidate-sets")
+    traits = ["n_shingles", *SKETCH]
+    members = members.join(written(reps.join(inside, "rid", "left_semi").select("rid", F.struct(*traits).alias("of")), "traits"), "rid")
+
+    def may_link(x: str, y: str) -> Column:
+        """False only for pairs that sizes or parities prove to be unlike."""
+        apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in SKETCH))
+        n, k = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
+        return ((den + num) * apart <= (den - num) * (n + k)) & (den * F.least(n, k) >= num * F.greatest(n, k))
 
     def check(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) with their verdict."""
@@ -206,27 +222,23 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     tested: DataFrame | None = None
     groups = None
     known = inside.select("rid", F.col("rid").alias("component"))
-    for turn in range(64):
-        now = members.join(known, "rid", "left").select("sig", "rid", F.coalesce("component", "rid").alias("component"))
-        if turn:
-            left = now.groupBy("sig", "component").agg(F.count("*").alias("k"), F.min("rid").alias("low"))
-            left = left.groupBy("sig").agg(F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"), F.min(F.struct("k", "low")).alias("least")).where("parts > 1")
-            left = written(left, "open")
-            cost = left.agg(F.sum((F.col("k") * F.col("k") - F.col("k2")) / 2).alias("pairs"), F.count("*").alias("n")).first()
-            if not cost["n"]:
-                break
-            last = turn >= 12 or cost["pairs"] <= exhaustive_pairs_per_doc * max(inside.count(), 1000)
-            if last:
-                one = now.join(left.select("sig"), "sig")
-                pairs = one.alias("x").join(one.alias("y"), F.expr("x.sig = y.sig and x.component < y.component")).select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"))
-            else:  # another hub: a member of the smallest part
-                pairs = now.join(left.select("sig", F.col("least.low").alias("hub")), "sig").where("rid <> hub").select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b"))
-            pairs = pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    n_inside = inside.count()
+    for turn in range(HUB_TURNS + 1):
+        now = members.join(known, "rid", "left").select("sig", "rid", "of", F.coalesce("component", "rid").alias("component"))
+        parts = now.groupBy("sig", "component").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("rid", F.pmod("sig", F.lit(HUBS)), F.lit(turn)).alias("h"), "rid", "of")).alias("hub"))
+        still = parts.groupBy("sig").agg(F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"), F.min(F.struct("hub", "component")).alias("hub")).where("parts > 1")
+        still = written(still.select("sig", ((F.col("k") * F.col("k") - F.col("k2")) / 2).alias("pairs"), F.col("hub.hub.rid").alias("hub"), F.col("hub.hub.of").alias("hub_of"), F.col("hub.component").alias("part")), "open")
+        cost = still.agg(F.sum("pairs").alias("pairs"), F.count("*").alias("n")).first()
+        if not cost["n"]:
+            break
+        last = turn == HUB_TURNS or turn and cost["pairs"] <= pairs_per_doc * n_inside
+        if last:
+            one = now.join(still.select("sig"), "sig")
+            pairs = one.alias("x").join(one.alias("y"), F.expr("x.sig = y.sig and x.component < y.component") & may_link("x.of", "y.of")).select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"))
         else:
-            last = False
-            pairs = members.join(members.groupBy("sig").agg(F.min("rid").alias("hub")), "sig")
-            pairs = pairs.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
-        new = written(check(pairs), "checked")
+            pairs = now.join(still.drop("pairs"), "sig").where((F.col("component") != F.col("part")) & may_link("of", "hub_of")).select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b"))
+        pairs = pairs.distinct()
+        new = written(check(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")), "checked")
         tested = new if tested is None else tested.unionByName(new)
         groups = components(tested.where("linked"))
         known = groups.withColumnRenamed("id", "rid")
