@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, text_bytes
 
@@ -156,5 +157,5 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.7).astype(np.int32))], [*b.schema.names, "score", "predicted"])
 
     plain = docs.drop("score", "predicted")
-    schema = plain.schema.add("score", "double").add("predicted", "int")
+    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return plain.mapInArrow(run, schema)
