@@ -1,4 +1,465 @@
-"""Registered queries of the map operators and their SQL."""
+"""Registered queries of the map operators, each with the SQL that an independent engine answers it by."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import grid as G
+from .functions import rules as P
+from .operators import address, graph, reconcile, spatial, tiles
+from .sources.adapters import view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str):
+    def add(f):
+        QUERIES[name], ORACLE_SQL[name] = f, with_views(sql)
+        return f
+
+    return add
+
+
+# The tag values that each level shows, and the class of each road.
+ROADS = {k: ["motorway", "trunk", "primary", "secondary", "residential", "service"][:m] for k, m in ((0, 6), (2, 5), (4, 4), (6, 3), (8, 2), (10, 2), (12, 1))}
+PLACES = {k: ["city", "town", "suburb", "locality"][:m] for k, m in ((0, 4), (2, 3), (4, 3), (6, 2), (8, 2), (10, 1), (12, 1))}
+KINDS = {k: ["water", "forest"][:m] for k, m in ((0, 2), (2, 2), (4, 2), (6, 2), (8, 1), (10, 1))}
+CLASSES = {"motorway": 0, "trunk": 1, "primary": 2, "secondary": 3, "residential": 5, "service": 7}
+RULES = [
+    {"cause": 1, "where": [["code", "==", 288], ["level", "<=", 4], ["d_src", "notnan"]]},
+    {"cause": 2, "where": [["code", "in", [291, 321]], ["d_src", ">", 50.0]]},
+    {"cause": 3, "where": [["d_src", "isnan"]]},
+    {"cause": 4, "where": [["vert", ">=", 12], ["onb", "!=", 0]]},
+]
+
+
+def _in(col: str, table: dict[int, list[str]]) -> str:
+    return "CASE level " + " ".join(f"WHEN {k} THEN {col} IN ({', '.join(map(repr, v))})" for k, v in table.items()) + " ELSE false END"
+
+
+_CAUSE = """CASE WHEN code = 288 AND level <= 4 AND d_src IS NOT NULL THEN 1 WHEN code IN (291, 321) AND d_src > 50e0 THEN 2
+ WHEN d_src IS NULL THEN 3 WHEN vert >= 12 AND onb <> 0 THEN 4 END"""
+_IX, _IY = "CAST(floor((lon - 115.5e0) / 1e0 * n) AS BIGINT)", "CAST(floor((lat + 32.5e0) / 1e0 * n) AS BIGINT)"
+_IN = "ix >= 0 AND ix < n AND iy >= 0 AND iy < n"
+_HAV = "2 * 6371000e0 * asin(sqrt(least(1e0, pow(sin(({lat2} - {lat1}) * (pi() / 180) / 2), 2) + cos({lat1} * (pi() / 180)) * cos({lat2} * (pi() / 180)) * pow(sin(({lon2} - {lon1}) * (pi() / 180) / 2), 2))))"
+HAV = _HAV.format(lat1="lat", lon1="lon", lat2="lat2", lon2="lon2")
+SEGS = "segs AS (SELECT * FROM (SELECT way_id, pos, node_id, lat, lon, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, lead(node_id) OVER w AS next FROM geo_points WINDOW w AS (PARTITION BY way_id ORDER BY pos)) t WHERE lat2 IS NOT NULL)"
+
+
+@query("s01_way_geometry", """SELECT way_id, count(*) AS n_points, min(pos) AS first_pos, round(sum(lat), 6) AS lat_sum FROM way_refs JOIN osm_nodes USING (node_id) GROUP BY way_id HAVING count(*) >= 2""")
+def s01(spark, d):
+    w = tiles.way_geometry(view(spark, d, "way_refs"), view(spark, d, "osm_nodes"))
+    return w.select("way_id", F.size("points").cast("long").alias("n_points"), F.get("points", F.lit(0))["pos"].alias("first_pos"), F.round(F.aggregate("points", F.lit(0.0), lambda a, p: a + p["lat"]), 6).alias("lat_sum"))
+
+
+@query("s02_named_nodes", "SELECT node_id, name, place FROM osm_nodes WHERE name IS NOT NULL")
+def s02(spark, d):
+    return view(spark, d, "osm_nodes").where("name is not null").select("node_id", "name", "place")
+
+
+@query("s07_level_stats", f"""SELECT level, count(*) AS n_points, count(DISTINCT ix * 1000 + iy) AS n_cells FROM (SELECT level, n, {_IX} AS ix, {_IY} AS iy FROM geo_points, grids) t WHERE {_IN} GROUP BY level""")
+def s07(spark, d):
+    p = G.with_levels(view(spark, d, "geo_points"), view(spark, d, "grids"))
+    c = p.select("level", G.cell(F.col("lat"), F.col("lon"), F.col("n")).alias("c")).where("c is not null")
+    return c.groupBy("level", "c").agg(F.count("*").alias("k")).groupBy("level").agg(F.sum("k").alias("n_points"), F.count("*").alias("n_cells"))
+
+
+@query("s13_coverage", f"""SELECT level, min(ix) AS ix_lo, max(ix) AS ix_hi, min(iy) AS iy_lo, max(iy) AS iy_hi, count(*) = (max(ix) - min(ix) + 1) * (max(iy) - min(iy) + 1) AS full
+ FROM (SELECT DISTINCT level, ix, iy FROM (SELECT level, n, {_IX} AS ix, {_IY} AS iy FROM osm_nodes, grids) t WHERE {_IN}) u GROUP BY level""")
+def s13(spark, d):
+    p = G.with_levels(view(spark, d, "osm_nodes"), view(spark, d, "grids"))
+    c = p.select("level", G.cell(F.col("lat"), F.col("lon"), F.col("n")).alias("c")).where("c is not null").select("level", "c.ix", "c.iy").distinct()
+    span = (F.max("ix") - F.min("ix") + 1) * (F.max("iy") - F.min("iy") + 1)
+    return c.groupBy("level").agg(F.min("ix").alias("ix_lo"), F.max("ix").alias("ix_hi"), F.min("iy").alias("iy_lo"), F.max("iy").alias("iy_hi"), (F.count("*") == span).alias("full"))
+
+
+@query("g01_tile_census", f"""WITH p AS (SELECT DISTINCT level, way_id, road, ix, iy FROM (SELECT level, n, g.way_id, highway IS NOT NULL AS road, {_IX} AS ix, {_IY} AS iy FROM geo_points g JOIN osm_ways w ON g.way_id = w.way_id, grids) t WHERE {_IN}),
+a AS (SELECT level, ix, iy, CAST(sum(CASE WHEN road THEN 1 ELSE 0 END) AS BIGINT) AS roads, CAST(sum(CASE WHEN road THEN 0 ELSE 1 END) AS BIGINT) AS shapes FROM p GROUP BY level, ix, iy),
+b AS (SELECT level, ix, iy, count(*) AS names FROM (SELECT level, n, {_IX} AS ix, {_IY} AS iy FROM osm_nodes, grids WHERE name IS NOT NULL) t WHERE {_IN} GROUP BY level, ix, iy)
+SELECT level, ix, iy, coalesce(roads, 0) AS roads, coalesce(shapes, 0) AS shapes, coalesce(names, 0) AS names FROM a FULL JOIN b USING (level, ix, iy)""")
+def census(spark, d):
+    return tiles.tile_census(view(spark, d, "osm_nodes"), view(spark, d, "osm_ways"), view(spark, d, "geo_points"), view(spark, d, "grids"))
+
+
+@query("p02_level_admission", f"""SELECT level, way_id FROM osm_ways, grids WHERE CASE WHEN highway IS NOT NULL THEN {_in('highway', ROADS)} ELSE coalesce({_in('coalesce(nat, landuse)', KINDS)}, false) END""")
+def p02(spark, d):
+    w = G.with_levels(view(spark, d, "osm_ways"), view(spark, d, "grids"))
+    return w.where(P.level_filter(F.col("level"), F.col("highway"), F.lit(None).cast("string"), F.coalesce("nat", "landuse"), ROADS, PLACES, KINDS)).select("level", "way_id")
+
+
+@query("p04_name_admission", f"""SELECT level, node_id, place FROM osm_nodes, grids WHERE name IS NOT NULL AND {_in('place', PLACES)}""")
+def p04(spark, d):
+    n = G.with_levels(view(spark, d, "osm_nodes").where("name is not null"), view(spark, d, "grids"))
+    return n.where(P.level_filter(F.col("level"), F.lit(None).cast("string"), F.col("place"), F.lit(None).cast("string"), ROADS, PLACES, KINDS)).select("level", "node_id", "place")
+
+
+@query("p06_first_match", "SELECT way_id, CASE WHEN highway = 'motorway' AND oneway = 'yes' THEN 10 WHEN highway IN ('motorway', 'trunk') THEN 11 WHEN junction = 'roundabout' THEN 12 WHEN highway IS NOT NULL THEN 13 END AS code FROM osm_ways")
+def p06(spark, d):
+    rules = [{"code": 10, "where": [["highway", "==", "motorway"], ["oneway", "==", "yes"]]}, {"code": 11, "where": [["highway", "in", ["motorway", "trunk"]]]}, {"code": 12, "where": [["junction", "==", "roundabout"]]}, {"code": 13, "where": [["highway", "notnan"]]}]
+    w = view(spark, d, "osm_ways")
+    return w.select("way_id", P.first_match(rules, w.columns, key="code").alias("code"))
+
+
+@query("x01_point_cell", f"SELECT node_id, level, ix, iy FROM (SELECT node_id, level, n, {_IX} AS ix, {_IY} AS iy FROM osm_nodes, grids) t WHERE {_IN}")
+def x01(spark, d):
+    p = G.with_levels(view(spark, d, "osm_nodes"), view(spark, d, "grids"))
+    return p.select("node_id", "level", G.cell(F.col("lat"), F.col("lon"), F.col("n")).alias("c")).where("c is not null").select("node_id", "level", "c.ix", "c.iy")
+
+
+@query("x02_cell_bounds", """SELECT level, ix, iy, round(-32.5e0 + iy * (1e0 / n), 6) AS lat_lo, round(-32.5e0 + (iy + 1) * (1e0 / n), 6) AS lat_hi, round(115.5e0 + ix * (1e0 / n), 6) AS lon_lo, round(115.5e0 + (ix + 1) * (1e0 / n), 6) AS lon_hi
+ FROM (SELECT level, n, s % n AS ix, CAST(floor(s / n) AS BIGINT) AS iy FROM (SELECT level, n, s_suppkey % (n * n) AS s FROM supplier, grids) a) t GROUP BY level, n, ix, iy""")
+def x02(spark, d):
+    view(spark, d, "grids")
+    c = G.with_levels(spark.table("supplier").select("s_suppkey"), view(spark, d, "grids")).select("level", "n", (F.col("s_suppkey") % (F.col("n") * F.col("n"))).alias("s")).distinct()
+    c = c.select("level", "n", (F.col("s") % F.col("n")).alias("ix"), F.floor(F.col("s") / F.col("n")).cast("long").alias("iy"))
+    return c.select("level", "ix", "iy", *(F.round(v, 6).alias(k) for k, v in G.cell_bounds(F.col("ix"), F.col("iy"), F.col("n")).items()))
+
+
+@query("x04_quantise", f"""SELECT node_id, level, greatest(0, least(4096, CAST(round_even(((lon - 115.5e0) / 1e0 * n - ix) * 4096, 0) AS BIGINT))) AS x, greatest(0, least(4096, CAST(round_even(((lat + 32.5e0) / 1e0 * n - iy) * 4096, 0) AS BIGINT))) AS y
+ FROM (SELECT *, {_IX} AS ix, {_IY} AS iy FROM osm_nodes, grids) t WHERE {_IN}""")
+def x04(spark, d):
+    p = G.with_levels(view(spark, d, "osm_nodes"), view(spark, d, "grids")).withColumn("c", G.cell(F.col("lat"), F.col("lon"), F.col("n"))).where("c is not null")
+    x, y = G.quantise(F.col("lat"), F.col("lon"), F.col("c.ix"), F.col("c.iy"), F.col("n"))
+    return p.select("node_id", "level", x.alias("x"), y.alias("y"))
+
+
+@query("x05_way_length", f"WITH {SEGS} SELECT way_id, round(sum({HAV}), 3) AS metres, count(*) AS n_segments FROM segs GROUP BY way_id")
+def x05(spark, d):
+    s = tiles.segments(view(spark, d, "geo_points"))
+    return s.groupBy("way_id").agg(F.round(F.sum(G.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))), 3).alias("metres"), F.count("*").alias("n_segments"))
+
+
+@query("x10_house_numbers", r"""SELECT addr_id, least(a, b) AS house_lo, greatest(a, b) AS house_hi, street FROM (SELECT addr_id, upper(trim(street_name)) AS street,
+ CASE WHEN x = '' THEN 0 ELSE CAST(x AS INT) END AS a, CASE WHEN y <> '' THEN CAST(y AS INT) WHEN x = '' THEN 0 ELSE CAST(x AS INT) END AS b
+ FROM (SELECT *, regexp_extract(house_number, '^\s*([0-9]+)', 1) AS x, regexp_extract(house_number, '^\s*[0-9]+[^-–/]*[-–/]\s*([0-9]+)', 1) AS y FROM address_points) t) u""")
+def x10(spark, d):
+    lo, hi = address.house_numbers(F.col("house_number"))
+    return view(spark, d, "address_points").select("addr_id", lo.alias("house_lo"), hi.alias("house_hi"), address.key(F.col("street_name")).alias("street"))
+
+
+@query("x15_coordinate_range", "SELECT p_partkey, greatest(1024, CAST(pow(2, ceil(log2(CAST(greatest(p_partkey * p_size, 1) AS DOUBLE)))) AS BIGINT)) AS coord_range FROM part")
+def x15(spark, d):
+    view(spark, d, "osm_nodes")
+    return spark.table("part").select("p_partkey", G.pow2_range(F.col("p_partkey") * F.col("p_size")).alias("coord_range"))
+
+
+@query("x16_histogram", "SELECT level, CASE WHEN d_src < 1e1 THEN '0-10' WHEN d_src < 5e1 THEN '10-50' WHEN d_src < 1e2 THEN '50-100' ELSE '100+' END AS bucket, count(*) AS n FROM failures WHERE d_src >= 0 GROUP BY 1, 2")
+def x16(spark, d):
+    return view(spark, d, "failures").where("d_src >= 0").groupBy("level", G.histogram_bucket(F.col("d_src"), [0.0, 10.0, 50.0, 100.0]).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("x23_ring_area", """WITH r AS (SELECT way_id, lat, lon, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS lat2, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS lon2, count(*) OVER (PARTITION BY way_id) AS k FROM geo_points WINDOW w AS (PARTITION BY way_id ORDER BY pos))
+SELECT way_id, round(sum((lon - 115.5e0) * 4096e0 * ((lat2 + 32.5e0) * 4096e0) - (lon2 - 115.5e0) * 4096e0 * ((lat + 32.5e0) * 4096e0)), 3) AS area2 FROM r WHERE k >= 3 GROUP BY way_id""")
+def x23(spark, d):
+    p = view(spark, d, "geo_points").groupBy("way_id").agg(F.sort_array(F.collect_list(F.struct("pos", "lat", "lon"))).alias("p")).where("size(p) >= 3")
+    area = G.shoelace(F.transform("p", lambda q: (q["lon"] - 115.5) * 4096.0), F.transform("p", lambda q: (q["lat"] + 32.5) * 4096.0))
+    return p.select("way_id", F.round(area, 3).alias("area2"))
+
+
+@query("g01_split_by_cell", f"""WITH {SEGS},
+u AS (SELECT level, n, way_id, pos, (lon - 115.5e0) / 1e0 * n AS u1, (lon2 - 115.5e0) / 1e0 * n AS u2, (lat + 32.5e0) / 1e0 * n AS v1, (lat2 + 32.5e0) / 1e0 * n AS v2 FROM segs, grids),
+t AS (SELECT *, list_sort(list_distinct(list_concat([0e0, 1e0], list_transform(range(CAST(floor(least(u1, u2)) AS BIGINT) + 1, CAST(ceil(greatest(u1, u2)) AS BIGINT)), lambda k: (k - u1) / (u2 - u1)),
+  list_transform(range(CAST(floor(least(v1, v2)) AS BIGINT) + 1, CAST(ceil(greatest(v1, v2)) AS BIGINT)), lambda k: (k - v1) / (v2 - v1))))) AS ts FROM u),
+p AS (SELECT level, n, way_id, pos, i, (ts[i] + ts[i + 1]) / 2 AS m, u1, u2, v1, v2 FROM (SELECT *, unnest(range(1, len(ts))) AS i FROM t) x),
+c AS (SELECT level, n, way_id, pos, i, CAST(floor(u1 + (u2 - u1) * m) AS BIGINT) AS ix, CAST(floor(v1 + (v2 - v1) * m) AS BIGINT) AS iy FROM p),
+l AS (SELECT *, CASE WHEN lag(ix) OVER w = ix AND lag(iy) OVER w = iy THEN 0 ELSE 1 END AS fresh FROM c WINDOW w AS (PARTITION BY level, way_id ORDER BY pos, i)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY level, way_id ORDER BY pos, i) AS run FROM l),
+k AS (SELECT level, n, way_id, run, ix, iy, count(*) AS n_parts, min(pos) AS first_pos FROM r GROUP BY level, n, way_id, run, ix, iy)
+SELECT level, way_id, row_number() OVER (PARTITION BY level, way_id ORDER BY run) - 1 AS ordinal, ix, iy, n_parts, first_pos FROM k WHERE {_IN}""")
+def g01(spark, d):
+    return tiles.split_by_cell(tiles.segments(view(spark, d, "geo_points")), view(spark, d, "grids"))
+
+
+_RINGS = """rings AS (SELECT way_id, lat, lon, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS lat2, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS lon2 FROM
+ (SELECT g.*, count(*) OVER (PARTITION BY way_id) AS k FROM geo_points g WHERE way_id IN (SELECT way_id FROM osm_ways WHERE highway IS NULL)) t WHERE k >= 3 WINDOW w AS (PARTITION BY way_id ORDER BY pos)),
+re AS (SELECT way_id, (lon - 115.5e0) / 1e0 * 64 AS u1, (lon2 - 115.5e0) / 1e0 * 64 AS u2, (lat + 32.5e0) / 1e0 * 64 AS v1, (lat2 + 32.5e0) / 1e0 * 64 AS v2 FROM rings),
+ea AS (SELECT *, unnest(range(CAST(floor(least(u1, u2) - 1e-6) AS BIGINT), CAST(floor(greatest(u1, u2) + 1e-6) AS BIGINT) + 1)) AS ix FROM re),
+eb AS (SELECT *, CASE WHEN u1 <> u2 THEN v1 + (v2 - v1) * greatest(0e0, least(1e0, (ix - 1e-6 - u1) / (u2 - u1))) ELSE v1 END AS ya, CASE WHEN u1 <> u2 THEN v1 + (v2 - v1) * greatest(0e0, least(1e0, (ix + 1 + 1e-6 - u1) / (u2 - u1))) ELSE v2 END AS yb FROM ea),
+edge AS (SELECT DISTINCT way_id, ix, iy FROM (SELECT way_id, ix, unnest(range(CAST(floor(least(ya, yb) - 1e-6) AS BIGINT), CAST(floor(greatest(ya, yb) + 1e-6) AS BIGINT) + 1)) AS iy FROM eb) t WHERE ix BETWEEN 0 AND 63 AND iy BETWEEN 0 AND 63),
+sc AS (SELECT way_id, iy, u1 + (u2 - u1) * ((iy + 0.5e0 - v1) / (v2 - v1)) AS x FROM (SELECT *, unnest(range(CAST(ceil(least(v1, v2) - 0.5e0) AS BIGINT), CAST(ceil(greatest(v1, v2) - 0.5e0) AS BIGINT))) AS iy FROM re) t),
+pr AS (SELECT way_id, iy, x, lead(x) OVER w AS x2, row_number() OVER w AS k FROM sc WINDOW w AS (PARTITION BY way_id, iy ORDER BY x)),
+inner_cells AS (SELECT DISTINCT way_id, ix, iy FROM (SELECT way_id, iy, unnest(range(CAST(ceil(x - 0.5e0) AS BIGINT), CAST(ceil(x2 - 0.5e0) AS BIGINT))) AS ix FROM pr WHERE k % 2 = 1 AND x2 IS NOT NULL) t WHERE ix BETWEEN 0 AND 63 AND iy BETWEEN 0 AND 63
+  AND NOT EXISTS (SELECT 1 FROM edge e WHERE e.way_id = t.way_id AND e.ix = t.ix AND e.iy = t.iy))"""
+
+
+def _rings(spark, d):
+    shapes = view(spark, d, "osm_ways").where("highway is null").select("way_id")
+    return tiles.closed(view(spark, d, "geo_points").join(shapes, "way_id", "left_semi"))
+
+
+@query("g02_edge_cells", f"WITH {_RINGS} SELECT way_id, ix, iy FROM edge")
+def g02(spark, d):
+    return tiles.edge_cells(_rings(spark, d), 64)
+
+
+@query("g03_interior_cells", f"WITH {_RINGS} SELECT way_id, ix, iy FROM inner_cells")
+def g03(spark, d):
+    return tiles.interior_cells(_rings(spark, d), 64)
+
+
+@query("j04_shape_sharing", f"""WITH {_RINGS}, home AS (SELECT way_id, {_IX.replace('* n', '* 64')} AS ix, {_IY.replace('* n', '* 64')} AS iy FROM (SELECT way_id, avg(lat) AS lat, avg(lon) AS lon FROM rings GROUP BY way_id) t),
+cells AS (SELECT DISTINCT {_IX.replace('* n', '* 64')} AS ix, {_IY.replace('* n', '* 64')} AS iy FROM osm_nodes),
+al AS (SELECT *, false AS interior FROM edge UNION ALL SELECT *, true AS interior FROM inner_cells)
+SELECT way_id, ix, iy, interior FROM al a WHERE NOT EXISTS (SELECT 1 FROM home h WHERE h.way_id = a.way_id AND h.ix = a.ix AND h.iy = a.iy) AND EXISTS (SELECT 1 FROM cells c WHERE c.ix = a.ix AND c.iy = a.iy)""")
+def j04(spark, d):
+    rings, at = _rings(spark, d), lambda: G.cell(F.col("lat"), F.col("lon"), F.lit(64))
+    homes = rings.groupBy("way_id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon")).select("way_id", at().alias("c")).select("way_id", "c.ix", "c.iy")
+    cells = view(spark, d, "osm_nodes").select(at().alias("c")).where("c is not null").select("c.ix", "c.iy")
+    return tiles.share_shapes(rings, homes, cells, 64)
+
+
+@query("w03_name_cap", f"""SELECT level, ix, iy, node_id FROM (SELECT level, ix, iy, node_id, row_number() OVER (PARTITION BY level, ix, iy, place ORDER BY node_id) AS k FROM (SELECT level, n, node_id, place, {_IX} AS ix, {_IY} AS iy FROM osm_nodes, grids WHERE name IS NOT NULL) t WHERE {_IN}) u WHERE level < 4 OR k <= 4""")
+def w03(spark, d):
+    p = G.with_levels(view(spark, d, "osm_nodes").where("name is not null"), view(spark, d, "grids"))
+    p = p.select("level", "node_id", "place", G.cell(F.col("lat"), F.col("lon"), F.col("n")).alias("c")).where("c is not null").select("level", "node_id", "place", "c.ix", "c.iy")
+    return tiles.capped(p, ["level", "ix", "iy", "place"], ["node_id"], F.when(F.col("level") >= 4, 4)).select("level", "ix", "iy", "node_id")
+
+
+@query("w06_budget_trim", "SELECT l_suppkey AS cell, l_orderkey AS way_id, l_linenumber AS part, l_partkey AS node_id, CAST(l_quantity AS BIGINT) AS size, sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_suppkey ORDER BY CAST(l_quantity AS BIGINT) DESC, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 900 AS kept FROM lineitem")
+def w06(spark, d):
+    view(spark, d, "way_refs")
+    rows = spark.table("lineitem").select(F.col("l_suppkey").alias("cell"), F.col("l_orderkey").alias("way_id"), F.col("l_linenumber").alias("part"), F.col("l_partkey").alias("node_id"), F.col("l_quantity").cast("long").alias("size"), "l_extendedprice", "l_shipdate")
+    return tiles.trimmed(rows, ["cell"], [F.desc("size"), "way_id", "part", "node_id", "l_extendedprice", "l_shipdate"], "size", 900).select("cell", "way_id", "part", "node_id", "size", "kept")
+
+
+@query("w08_runs", f"SELECT iy, min(ix) AS run_lo, max(ix) AS run_hi, count(*) AS n FROM (SELECT iy, ix, ix - row_number() OVER (PARTITION BY iy ORDER BY ix) AS g FROM (SELECT DISTINCT {_IX.replace('* n', '* 64')} AS ix, {_IY.replace('* n', '* 64')} AS iy FROM osm_nodes) t) u GROUP BY iy, g")
+def w08(spark, d):
+    c = view(spark, d, "osm_nodes").select(G.cell(F.col("lat"), F.col("lon"), F.lit(64)).alias("c")).where("c is not null").select("c.ix", "c.iy")
+    return reconcile.islands(c, ["iy"], "ix").select("iy", "run_lo", "run_hi", "n")
+
+
+_ADDR = """a AS (SELECT addr_id, lat, lon, upper(trim(street_name)) AS street, upper(trim(city_name)) AS city, suffix FROM address_points),
+s AS (SELECT street, row_number() OVER (ORDER BY street) AS street_id FROM (SELECT DISTINCT street FROM a) t)"""
+
+
+@query("w01_street_ids", f"WITH {_ADDR} SELECT street, street_id FROM s")
+def w01(spark, d):
+    return address.index(view(spark, d, "address_points"))["streets"]
+
+
+@query("a23_city_index", f"WITH {_ADDR} SELECT city, string_agg(DISTINCT CAST(street_id AS VARCHAR), ',' ORDER BY CAST(street_id AS VARCHAR)) AS street_ids, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM a JOIN s USING (street) GROUP BY city")
+def a23(spark, d):
+    c = address.index(view(spark, d, "address_points"))["cities"]
+    return c.select("city", F.array_join(F.array_sort(F.transform("street_ids", lambda x: x.cast("string"))), ",").alias("street_ids"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query("q17_address_invariants", "SELECT unnest(['range without street', 'street without range', 'range upside down', 'city without street', 'listed street missing', 'street listed twice']) AS invariant, CAST(0 AS BIGINT) AS n FROM (SELECT count(*) AS x FROM address_points) t")
+def q17(spark, d):
+    return address.violations(address.index(view(spark, d, "address_points")))
+
+
+@query("a22_address_density", "SELECT suffix, count(*) AS records, count(DISTINCT upper(trim(street_name))) AS streets, grouping(suffix) AS is_total FROM address_points GROUP BY ROLLUP (suffix)")
+def a22(spark, d):
+    p = view(spark, d, "address_points").withColumn("street", address.key(F.col("street_name")))
+    return p.rollup("suffix").agg(F.count("*").alias("records"), F.countDistinct("street").alias("streets"), F.grouping("suffix").cast("long").alias("is_total"))
+
+
+@query("a33_node_degrees", "SELECT node_id, sum(CASE WHEN pos = a OR pos = z THEN 2 ELSE 1 END) AS degree FROM (SELECT node_id, pos, min(pos) OVER (PARTITION BY way_id) AS a, max(pos) OVER (PARTITION BY way_id) AS z FROM geo_points) t GROUP BY node_id")
+def a33(spark, d):
+    return graph.node_degrees(view(spark, d, "geo_points"))
+
+
+_GRAPH = f"""deg AS (SELECT node_id, sum(CASE WHEN pos = a OR pos = z THEN 2 ELSE 1 END) AS degree FROM (SELECT node_id, pos, min(pos) OVER (PARTITION BY way_id) AS a, max(pos) OVER (PARTITION BY way_id) AS z FROM geo_points) t GROUP BY node_id),
+gp AS (SELECT g.*, d.degree >= 2 AS hub, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, lead(g.node_id) OVER w AS next FROM geo_points g JOIN deg d USING (node_id) WINDOW w AS (PARTITION BY way_id ORDER BY pos)),
+gs AS (SELECT *, sum(CASE WHEN hub THEN 1 ELSE 0 END) OVER (PARTITION BY way_id ORDER BY pos) AS seg FROM gp),
+sg AS (SELECT way_id, CAST(seg AS BIGINT) AS seg, arg_min(node_id, pos) AS u, arg_max(next, pos) AS v, sum({HAV}) AS length, count(*) + 1 AS n_points FROM gs WHERE next IS NOT NULL GROUP BY way_id, seg),
+lk AS (SELECT way_id, seg, forward, CASE WHEN forward THEN u ELSE v END AS u, CASE WHEN forward THEN v ELSE u END AS v, length, road_class FROM (SELECT sg.*, CASE highway WHEN 'motorway' THEN 0 WHEN 'trunk' THEN 1 WHEN 'primary' THEN 2 WHEN 'secondary' THEN 3 WHEN 'residential' THEN 5 WHEN 'service' THEN 7 END AS road_class, unnest(CASE WHEN oneway = 'yes' THEN [true] ELSE [true, false] END) AS forward
+  FROM sg JOIN osm_ways USING (way_id) WHERE highway IS NOT NULL AND u <> v AND length > 0) t)"""
+
+
+def _links(spark, d):
+    return graph.links(graph.split_at_nodes(view(spark, d, "geo_points")), view(spark, d, "osm_ways"), CLASSES)
+
+
+@query("r01_graph_segments", f"WITH {_GRAPH} SELECT way_id, seg, u, v, round(length, 3) AS length, n_points FROM sg")
+def r01(spark, d):
+    return graph.split_at_nodes(view(spark, d, "geo_points")).select("way_id", "seg", "u", "v", F.round("length", 3).alias("length"), "n_points")
+
+
+@query("r02_graph_links", f"WITH {_GRAPH} SELECT way_id, seg, forward, u, v, round(length, 3) AS length, road_class FROM lk")
+def r02(spark, d):
+    return _links(spark, d).withColumn("length", F.round("length", 3))
+
+
+@query("r03_node_ranks", f"WITH {_GRAPH} SELECT node_id, coalesce(min(road_class), 15) AS rank FROM osm_nodes LEFT JOIN (SELECT u AS node_id, road_class FROM lk UNION ALL SELECT v, road_class FROM lk) e USING (node_id) GROUP BY node_id")
+def r03(spark, d):
+    return graph.node_ranks(view(spark, d, "osm_nodes").select("node_id"), _links(spark, d))
+
+
+@query("r04_restrictions", """WITH f AS (SELECT way_id, node_id, min(pos) AS pos FROM way_refs GROUP BY way_id, node_id)
+SELECT rel_id, a.pos AS from_pos, b.pos AS to_pos, CASE WHEN restriction LIKE 'no!_%' ESCAPE '!' THEN 127 ELSE 0 END AS code FROM relations LEFT JOIN f a ON a.way_id = from_way AND a.node_id = via LEFT JOIN f b ON b.way_id = to_way AND b.node_id = via""")
+def r04(spark, d):
+    return graph.resolve_restrictions(view(spark, d, "relations"), view(spark, d, "way_refs"))
+
+
+@query("r05_components", f"""WITH RECURSIVE {_GRAPH}, e AS (SELECT DISTINCT u, v FROM (SELECT u, v FROM lk WHERE length <= 15e3 AND road_class <= 1 UNION ALL SELECT v, u FROM lk WHERE length <= 15e3 AND road_class <= 1) t),
+reach AS (SELECT u AS node_id, u AS label FROM e UNION SELECT e.v, r.label FROM reach r JOIN e ON e.u = r.node_id WHERE r.label < e.v)
+SELECT node_id, min(label) AS label FROM reach GROUP BY node_id""")
+def r05(spark, d):
+    return graph.components(_links(spark, d).where("length <= 15000 and road_class <= 1")).select("node_id", "label")
+
+
+@query("r07_lightest_edges", f"WITH {_GRAPH} SELECT u, v, round(min(length), 3) AS w FROM lk GROUP BY u, v")
+def r07(spark, d):
+    return graph.lightest(_links(spark, d)).select("u", "v", F.round("w", 3).alias("w"))
+
+
+@query("r10_paths_three_hops", f"""WITH {_GRAPH}, e AS (SELECT u, v, min(length) AS w FROM lk WHERE u <> v GROUP BY u, v), s AS (SELECT DISTINCT u AS src FROM e WHERE u % 50 = 0),
+h AS (SELECT src, src AS node, 0e0 AS d FROM s UNION ALL SELECT src, v, w FROM s JOIN e ON u = src UNION ALL SELECT src, b.v, a.w + b.w FROM s JOIN e a ON a.u = src JOIN e b ON b.u = a.v)
+SELECT src, node, round(min(d), 3) AS dist FROM h GROUP BY src, node""")
+def r10(spark, d):
+    e = graph.lightest(_links(spark, d))
+    return graph.shortest_paths(e, e.where("u % 50 = 0").select(F.col("u").alias("src")).distinct(), most_hops=2).select("src", "node", F.round("dist", 3).alias("dist"))
+
+
+@query("j11_nearest_point", """WITH p AS (SELECT node_id AS id, coalesce(place, '') AS kind, (lon - 115.5e0) * 4096e0 AS x, (lat + 32.5e0) * 4096e0 AS y FROM osm_nodes),
+t AS (SELECT CASE WHEN addr_id % 5 = 0 THEN 'city' ELSE '' END AS kind, (lon - 115.5e0) * 4096e0 AS x, (lat + 32.5e0) * 4096e0 AS y FROM address_points)
+SELECT id, round(min(greatest(abs(p.x - t.x), abs(p.y - t.y))), 6) AS distance FROM p JOIN t ON p.kind = t.kind AND abs(p.x - t.x) <= 8 AND abs(p.y - t.y) <= 8 GROUP BY id""")
+def j11(spark, d):
+    x, y = (F.col("lon") - 115.5) * 4096.0, (F.col("lat") + 32.5) * 4096.0
+    p = view(spark, d, "osm_nodes").select(F.col("node_id").alias("id"), F.coalesce("place", F.lit("")).alias("kind"), x.alias("x"), y.alias("y"))
+    t = view(spark, d, "address_points").select(F.when(F.col("addr_id") % 5 == 0, "city").otherwise("").alias("kind"), x.alias("x"), y.alias("y"))
+    return spatial.nearest_point(p, t, 8.0).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query("j12_nearest_segment", f"""WITH {SEGS}, s AS (SELECT (lon - 115.5e0) * 4096e0 AS x1, (lat + 32.5e0) * 4096e0 AS y1, (lon2 - 115.5e0) * 4096e0 AS x2, (lat2 + 32.5e0) * 4096e0 AS y2 FROM segs WHERE way_id % 50 = 1),
+p AS (SELECT node_id AS id, (lon - 115.5e0) * 4096e0 AS x, (lat + 32.5e0) * 4096e0 AS y FROM osm_nodes),
+j AS (SELECT *, (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS l2 FROM p JOIN s ON x >= least(x1, x2) - 2 AND x <= greatest(x1, x2) + 2 AND y >= least(y1, y2) - 2 AND y <= greatest(y1, y2) + 2),
+k AS (SELECT *, CASE WHEN l2 > 0 THEN greatest(0e0, least(1e0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / l2)) ELSE 0e0 END AS t FROM j)
+SELECT id, round(min(d), 6) AS distance FROM (SELECT id, sqrt(pow(x - (x1 + t * (x2 - x1)), 2) + pow(y - (y1 + t * (y2 - y1)), 2)) AS d FROM k) m WHERE d <= 2 GROUP BY id""")
+def j12(spark, d):
+    x, y = lambda c: (F.col(c) - 115.5) * 4096.0, lambda c: (F.col(c) + 32.5) * 4096.0
+    s = tiles.segments(view(spark, d, "geo_points")).where("way_id % 50 = 1").select(x("lon").alias("x1"), y("lat").alias("y1"), x("lon2").alias("x2"), y("lat2").alias("y2"))
+    p = view(spark, d, "osm_nodes").select(F.col("node_id").alias("id"), x("lon").alias("x"), y("lat").alias("y"))
+    return spatial.nearest_segment(p, s, 2.0, 256.0).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query("j16_cell_neighbours", f"""WITH c AS (SELECT DISTINCT level, ix, iy FROM (SELECT level, n, {_IX} AS ix, {_IY} AS iy FROM osm_nodes, grids) t WHERE {_IN})
+SELECT c.level, c.ix, c.iy, side, o.level IS NOT NULL AS there FROM c CROSS JOIN (SELECT 'E' AS side, 1 AS dx, 0 AS dy UNION ALL SELECT 'N', 0, 1 UNION ALL SELECT 'S', 0, -1 UNION ALL SELECT 'W', -1, 0) s LEFT JOIN c o ON o.level = c.level AND o.ix = c.ix + dx AND o.iy = c.iy + dy""")
+def j16(spark, d):
+    p = G.with_levels(view(spark, d, "osm_nodes"), view(spark, d, "grids"))
+    return spatial.cell_neighbours(p.select("level", G.cell(F.col("lat"), F.col("lon"), F.col("n")).alias("c")).where("c is not null").select("level", "c.ix", "c.iy").distinct())
+
+
+@query("j21_tolerance_semi_join", "SELECT node_id AS id FROM osm_nodes p WHERE EXISTS (SELECT 1 FROM address_points a WHERE abs(p.lon - a.lon) <= 2e-3 AND abs(p.lat - a.lat) <= 2e-3)")
+def j21(spark, d):
+    p = view(spark, d, "osm_nodes").select(F.col("node_id").alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return spatial.within_tolerance(p, view(spark, d, "address_points").select(F.col("lon").alias("x"), F.col("lat").alias("y")), 2e-3).select("id")
+
+
+_BOX = "SELECT o_orderkey AS id, o_orderkey % 997 AS x_lo, o_orderkey % 997 + o_custkey % 7 + 1 AS x_hi, o_custkey % 991 AS y_lo, o_custkey % 991 + o_orderkey % 5 + 1 AS y_hi FROM orders WHERE o_orderkey % 2 = {}"
+
+
+@query("j29_rectangles_meet", f"SELECT a.id AS a_id, b.id AS b_id FROM ({_BOX.format(0)}) a JOIN ({_BOX.format(1)}) b ON greatest(a.x_lo, b.x_lo) < least(a.x_hi, b.x_hi) AND greatest(a.y_lo, b.y_lo) < least(a.y_hi, b.y_hi)")
+def j29(spark, d):
+    view(spark, d, "osm_ways")
+    return spatial.rectangles_meet(spark.sql(_BOX.format(0)), spark.sql(_BOX.format(1)), 16.0)
+
+
+_KEYS = ["kind", "level", "ix", "iy", "code", "shape"]
+
+
+@query("j06_flag_lookup", "SELECT f.dump_row, f.kind, coalesce(s.flag, 0) AS flag FROM failures f LEFT JOIN (SELECT level, code, d_src, min(vert) AS flag FROM failures WHERE dump_row % 3 = 0 GROUP BY level, code, d_src) s ON f.level = s.level AND f.code = s.code AND f.d_src IS NOT DISTINCT FROM s.d_src")
+def j06(spark, d):
+    f = view(spark, d, "failures")
+    return reconcile.flag_lookup(f.select("dump_row", "kind", "level", "code", "d_src"), f.where("dump_row % 3 = 0").select("level", "code", "d_src", F.col("vert").alias("flag")), ["level", "code", "d_src"], "flag").select("dump_row", "kind", "flag")
+
+
+@query("j08_exactly_once", """WITH a AS (SELECT level, ix, iy, count(*) AS r FROM failures WHERE code = 288 GROUP BY level, ix, iy), b AS (SELECT level, ix, iy, count(*) AS s FROM failures WHERE code = 291 AND vert < 6 GROUP BY level, ix, iy)
+SELECT level, ix, iy, CASE WHEN r IS NULL THEN 'foreign' WHEN s IS NULL THEN 'missing' ELSE 'duplicate' END AS problem FROM a FULL JOIN b USING (level, ix, iy) WHERE r IS NULL OR s IS NULL OR s > 1""")
+def j08(spark, d):
+    f = view(spark, d, "failures")
+    return reconcile.exactly_once(f.where("code = 288"), f.where("code = 291 and vert < 6"), ["level", "ix", "iy"])
+
+
+@query("j19_pair_once", """WITH a AS (SELECT level, ix, dump_row AS a_id, row_number() OVER (PARTITION BY level, ix ORDER BY dump_row) AS k FROM failures WHERE code = 288), b AS (SELECT level, ix, dump_row AS b_id, row_number() OVER (PARTITION BY level, ix ORDER BY dump_row) AS k FROM failures WHERE code = 321)
+SELECT level, ix, a_id, b_id FROM a JOIN b USING (level, ix, k)""")
+def j19(spark, d):
+    f = view(spark, d, "failures")
+    return reconcile.pair_once(f.where("code = 288").withColumnRenamed("dump_row", "a_id"), f.where("code = 321").withColumnRenamed("dump_row", "b_id"), ["level", "ix"], "a_id", "b_id")
+
+
+@query("j25_envelope", """WITH r AS (SELECT level, count(*) AS r FROM failures WHERE dump_row % 3 <> 0 GROUP BY level), g AS (SELECT level, count(*) AS g FROM failures WHERE dump_row % 2 = 0 AND level <> 6 GROUP BY level)
+SELECT level, coalesce(r, 0) AS r, coalesce(g, 0) AS g, CASE WHEN CASE WHEN coalesce(r, 0) = 0 THEN coalesce(g, 0) = 0 ELSE coalesce(g, 0) >= 0.5e0 * r AND coalesce(g, 0) <= 1.5e0 * r END THEN 'in_range' ELSE 'out_of_range' END AS status FROM r FULL JOIN g USING (level)""")
+def j25(spark, d):
+    f = view(spark, d, "failures")
+    n = lambda df: df.groupBy("level").agg(F.count("*").alias("n"))
+    return reconcile.compare_counts(n(f.where("dump_row % 3 <> 0")), n(f.where("dump_row % 2 = 0 and level <> 6")), "level", "n", 0.5, 1.5)
+
+
+@query("a04_failure_groups", f"SELECT {', '.join(_KEYS)}, count(*) AS n, min(vert) AS min_vert, max(vert) AS max_vert, min(d_src) AS min_d, max(d_src) AS max_d FROM failures GROUP BY ALL")
+def a04(spark, d):
+    return reconcile.group_summary(view(spark, d, "failures"), _KEYS)
+
+
+@query("a05_conditional_counts", "SELECT kind, level, count(*) AS n, CAST(count_if(d_src IS NULL) AS BIGINT) AS no_source, CAST(count_if(onb = 1) AS BIGINT) AS on_boundary, CAST(count_if(d_src > 1e2) AS BIGINT) AS far, count(DISTINCT (ix, iy)) AS cells FROM failures GROUP BY kind, level")
+def a05(spark, d):
+    return view(spark, d, "failures").groupBy("kind", "level").agg(F.count("*").alias("n"), F.count_if(F.col("d_src").isNull()).alias("no_source"), F.count_if(F.col("onb") == 1).alias("on_boundary"), F.count_if(F.col("d_src") > 100.0).alias("far"), F.countDistinct("ix", "iy").alias("cells"))
+
+
+@query("a10_density", f"WITH {SEGS}, w AS (SELECT way_id, sum({HAV}) / 1e3 AS km, count(*) AS k FROM segs GROUP BY way_id) SELECT highway, count(*) AS links, CAST(sum(k) AS BIGINT) AS segments, round(sum(km), 3) AS km, round(quantile_cont(km, 0.5e0), 6) AS p50, round(quantile_cont(km, 0.9e0), 6) AS p90 FROM w JOIN osm_ways USING (way_id) WHERE highway IS NOT NULL GROUP BY highway")
+def a10(spark, d):
+    s = tiles.segments(view(spark, d, "geo_points"))
+    w = s.groupBy("way_id").agg((F.sum(G.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))) / 1000).alias("km"), F.count("*").alias("k"))
+    p = lambda q: F.round(F.percentile("km", F.lit(q)), 6)
+    return w.join(view(spark, d, "osm_ways").where("highway is not null"), "way_id").groupBy("highway").agg(F.count("*").alias("links"), F.sum("k").alias("segments"), F.round(F.sum("km"), 3).alias("km"), p(0.5).alias("p50"), p(0.9).alias("p90"))
+
+
+@query("a11_modal_range", """WITH c AS (SELECT level, CAST(pow(2, ceil(log2(vert + 1e0))) AS BIGINT) AS bucket, count(*) AS n FROM failures GROUP BY 1, 2)
+SELECT level, bucket, n, round(n / CAST(sum_n AS DOUBLE), 6) AS share FROM (SELECT *, sum(n) OVER (PARTITION BY level) AS sum_n, row_number() OVER (PARTITION BY level ORDER BY n DESC, bucket) AS k FROM c) t WHERE k = 1""")
+def a11(spark, d):
+    c = view(spark, d, "failures").groupBy("level", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("vert") + 1.0))).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("level")
+    return c.select("*", F.sum("n").over(w).alias("all"), F.row_number().over(w.orderBy(F.desc("n"), "bucket")).alias("k")).where("k = 1").select("level", "bucket", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))
+
+
+@query("a16_fit", "SELECT level, round(corr(vert, d_src), 6) AS r, round(regr_slope(d_src, vert), 6) AS slope, round(regr_intercept(d_src, vert), 6) AS intercept, round(sum(vert * d_src) / sum(vert * vert), 6) AS through_zero FROM failures WHERE d_src IS NOT NULL GROUP BY level")
+def a16(spark, d):
+    f = view(spark, d, "failures").where("d_src is not null")
+    x, y = F.col("vert"), F.col("d_src")
+    return f.groupBy("level").agg(F.round(F.corr(x.cast("double"), y), 6).alias("r"), F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 6).alias("intercept"), F.round(F.sum(x * y) / F.sum(x * x), 6).alias("through_zero"))
+
+
+@query("a26_check_summary", "SELECT level, kind, count(*) AS checked, CAST(count_if(d_src IS NULL OR d_src > 5e1) AS BIGINT) AS failing, max(CASE WHEN d_src <= 5e1 THEN d_src END) AS worst_pass, grouping(level) AS is_total FROM failures GROUP BY GROUPING SETS ((kind, level), (kind))")
+def a26(spark, d):
+    f = view(spark, d, "failures").groupingSets([[F.col("kind"), F.col("level")], [F.col("kind")]], "kind", "level")
+    bad = F.col("d_src").isNull() | (F.col("d_src") > 50.0)
+    return f.agg(F.count("*").alias("checked"), F.count_if(bad).alias("failing"), F.max(F.when(F.col("d_src") <= 50.0, F.col("d_src"))).alias("worst_pass"), F.grouping("level").cast("long").alias("is_total")).select("level", "kind", "checked", "failing", "worst_pass", "is_total")
+
+
+@query("c01_first_match_causes", f"SELECT dump_row, {_CAUSE} AS cause FROM failures")
+def c01(spark, d):
+    return reconcile.classify(view(spark, d, "failures"), RULES).select("dump_row", "cause")
+
+
+@query("c02_partition_proof", f"SELECT kind, count(*) AS total, count(cause) AS assigned, count(*) - count(cause) AS unassigned FROM (SELECT kind, {_CAUSE} AS cause FROM failures) t GROUP BY kind UNION ALL SELECT 'no such kind', 0, 0, 0")
+def c02(spark, d):
+    f = view(spark, d, "failures")
+    kinds = f.select("kind").distinct().union(spark.sql("SELECT 'no such kind' AS kind"))
+    return reconcile.partition_proof(reconcile.classify(f, RULES), kinds)
+
+
+@query("l03_first_failures", "SELECT level, kind, dump_row, k FROM (SELECT level, kind, dump_row, row_number() OVER (PARTITION BY level, kind ORDER BY dump_row) AS k FROM failures) t WHERE k <= 10")
+def l03(spark, d):
+    w = Window.partitionBy("level", "kind").orderBy("dump_row")
+    return view(spark, d, "failures").select("level", "kind", "dump_row", F.row_number().over(w).alias("k")).where("k <= 10")
+
+
+@query("u01_cell_sets", f"""WITH c AS (SELECT way_id, {_IX.replace('* n', '* 64')} AS ix, {_IY.replace('* n', '* 64')} AS iy FROM geo_points), r AS (SELECT DISTINCT ix, iy FROM c WHERE way_id % 3 <> 0 AND ix BETWEEN 0 AND 63 AND iy BETWEEN 0 AND 63), g AS (SELECT DISTINCT ix, iy FROM c WHERE way_id % 2 = 0 AND ix BETWEEN 0 AND 63 AND iy BETWEEN 0 AND 63)
+SELECT 'both' AS side, ix, iy FROM (SELECT * FROM r INTERSECT SELECT * FROM g) UNION ALL SELECT 'r only', ix, iy FROM (SELECT * FROM r EXCEPT SELECT * FROM g) UNION ALL SELECT 'g only', ix, iy FROM (SELECT * FROM g EXCEPT SELECT * FROM r)""")
+def u01(spark, d):
+    p = view(spark, d, "geo_points").select("way_id", G.cell(F.col("lat"), F.col("lon"), F.lit(64)).alias("c")).where("c is not null")
+    side = lambda cond, name: p.where(cond).select("c.ix", "c.iy").distinct().withColumn(name, F.lit(True))
+    both = side("way_id % 3 <> 0", "r").join(side("way_id % 2 = 0", "g"), ["ix", "iy"], "full_outer")
+    return both.select(F.when(F.col("r") & F.col("g"), "both").when(F.col("r"), "r only").otherwise("g only").alias("side"), "ix", "iy")
+
+
+@query("u08_multiset_difference", """WITH a AS (SELECT level, ix, iy, code, count(*) AS n_a FROM failures WHERE dump_row % 3 <> 0 GROUP BY ALL), b AS (SELECT level, ix, iy, code, count(*) AS n_b FROM failures WHERE dump_row % 2 = 0 GROUP BY ALL)
+SELECT level, ix, iy, code, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b FROM a FULL JOIN b USING (level, ix, iy, code) WHERE coalesce(n_a, 0) <> coalesce(n_b, 0)""")
+def u08(spark, d):
+    f = view(spark, d, "failures").select("dump_row", "level", "ix", "iy", "code")
+    return reconcile.multiset_difference(f.where("dump_row % 3 <> 0"), f.where("dump_row % 2 = 0"), ["level", "ix", "iy", "code"])
