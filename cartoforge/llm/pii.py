@@ -88,7 +88,7 @@ def scan(docs: DataFrame, reach: int = 80, disclosure: float = 0.8, support: int
     told = one.select("row", "entity", F.explode("near").alias("w")).select("row", "entity", F.col("w.term").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")).join(telling, ["entity", "term"])
     told = told.groupBy("row").agg(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("told"))
     free = F.filter(F.coalesce("told", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return out.join(told, "row", "left").select("doc_id", F.concat("base", free).alias("spans"))
+    return out.join(told, "row", "left").select("doc_id", F.concat("base", F.sort_array(free)).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
