@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,7 +28,7 @@ END, DIMS, BITS, BUCKETS = 1, 4, 10, 4096
 class _Pieces(dict):
     """Piece of text to its ids as little-endian unsigned 16-bit numbers; empties itself before it grows large."""
 
-    MOST = 400_000
+    MOST = 1_000_000
 
     def __init__(self, vocabulary: str):
         import base64
@@ -40,17 +42,18 @@ class _Pieces(dict):
             raise ValueError("ids are kept in 16 bits")
         self.coder = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.piece = self.coder._core_bpe.encode_single_piece
+        self.pack = (lambda ids: array("H", ids).tobytes()) if sys.byteorder == "little" else (lambda ids: np.array(ids, "<u2").tobytes())
         self.easy, self.hard = re.compile(EASY).findall, re.compile(HARD).search
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.MOST:
             self.clear()
-        self[piece] = ids = np.array(self.piece(piece.encode()), "<u2").tobytes()
+        self[piece] = ids = self.pack(self.piece(piece.encode()))
         return ids
 
     def ids(self, text: str) -> bytes:
         if self.hard(text):
-            return np.array(self.coder.encode_ordinary(text), "<u2").tobytes()
+            return self.pack(self.coder.encode_ordinary(text))
         return b"".join(map(self.__getitem__, self.easy(text)))
 
 
