@@ -37,35 +37,35 @@ class Band:
     deletions: bool
 
 
-def _poisson_upto(lam: float, k: int) -> float:
-    return sum(math.exp(-lam) * lam**i / math.factorial(i) for i in range(k + 1))
+def _poisson(lam: float, k: int) -> float:
+    return math.exp(k * math.log(lam) - lam - math.lgamma(k + 1)) if lam > 0 else float(k == 0)
 
 
 def allocate(low: int, high: int, most_apart: int, docs: float) -> Band:
     """The cheaper allocation for a band where linked sets differ in at most most_apart elements.
 
-    Exact segments (budget 1 each): one of most_apart + 1 segments is the same in both. Neighbourhood segments (budget 2 each):
-    half as many, twice as long, one of them differs in one element at most. Cost: signature rows of a set, and PAIR_COST for
-    each unrelated set expected to share a nearly empty segment, taking a tenth of all sets as the band's.
+    Exact segments (budget 1 each): one of most_apart + 1 segments is the same in both; there are SLACK times as many, and the
+    smallest ones get budget 0. Neighbourhood segments (budget 2 each): half as many, twice as long, one of them differs in one
+    element at most. Cost: signature rows of a set, and PAIR_COST for each unrelated set that shares an empty segment with it
+    by chance, taking a tenth of all sets as the band's.
     """
     need = most_apart + 1
-    m1, m2 = need if need < 3 else math.ceil(SLACK * need), (need + 1) // 2
     if not most_apart:  # only equal sets could link, and those are one set
         return Band(low, high, 1, 0, False)
+    m1, m2 = math.ceil(SLACK * need), (need + 1) // 2
     size = (low + high) / 2
-    rare = lambda m, k: m * _poisson_upto(min(size / m, 600), k) ** 2
-    exact = need + PAIR_COST * docs / 10 * rare(m1, 0 if m1 == need else 1) * 0.1
-    near = size + m2 + PAIR_COST * docs / 10 * rare(m2, 2) * 0.1
-    if exact <= near:
-        return Band(low, high, m1, need, False)
-    return Band(low, high, m2, m2, True)
+    empty = m1 * math.exp(-size / m1)
+    kept_empty = sum((k - (m1 - need)) * _poisson(empty, k) for k in range(m1 - need + 1, min(m1, 200) + 1))
+    exact = need + PAIR_COST * docs / 10 * kept_empty**2 / m1
+    near = size + m2 + PAIR_COST * docs / 10 * m2 * (math.exp(-size / m2) * (1 + size / m2)) ** 2
+    return Band(low, high, m1, need, False) if exact <= near else Band(low, high, m2, m2, True)
 
 
 def bands(num: int, den: int, docs: float, largest: int) -> list[Band]:
-    """Bands of sizes in the ratio num/den, so that a set's partners lie in its own band or the next ones."""
+    """Bands of sizes in the ratio (num/den)**2, so that a set's partners lie in its own band or the next ones."""
     out, low = [], 1
     while low <= largest:
-        high = max(low, low * den // num)
+        high = max(low, low * den // num * den // num)
         # |A xor B| <= (den-num)/(den+num) * (|A|+|B|), where |B| <= high and |A| <= high*den/num
         apart = (den - num) * (high + high * den // num) // (den + num)
         out.append(allocate(low, high, apart, docs))
@@ -197,15 +197,16 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     scanned = written(texts.mapInArrow(_scan(width, plan, num, den), f"doc_id long, n_shingles long, mark1 long, mark2 long, {' long, '.join(SKETCH)} long, sigs array<long>"), "shingles")
     marks = scanned.where("n_shingles > 0").groupBy("mark1", "mark2").agg(F.min("doc_id").alias("rid"))
     marks = written(marks, "sets").where("rid is not null")
-    reps = scanned.join(marks, ["mark1", "mark2"]).where("doc_id = rid").dropDuplicates(["rid"])
+    # a repeated row gives its signatures twice, which distinct() below undoes for the few that are shared
+    reps = scanned.join(marks, ["mark1", "mark2"]).where("doc_id = rid")
     sigs = reps.select("rid", F.explode("sigs").alias("sig")).repartition("sig")
     shared = sigs.groupBy("sig").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high").select("sig")
-    members = written(sigs.join(shared, "sig"), "members")
+    members = written(sigs.join(shared, "sig").distinct(), "members")
     inside = members.select("rid").distinct()
     sets = texts.join(inside.withColumnRenamed("rid", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "rid long, set array<long>")
     sets = written(sets, "candidate-sets")
     traits = ["n_shingles", *SKETCH]
-    members = members.join(written(reps.join(inside, "rid", "left_semi").select("rid", F.struct(*traits).alias("of")), "traits"), "rid")
+    members = members.join(written(reps.join(inside, "rid", "left_semi").select("rid", F.struct(*traits).alias("of")).dropDuplicates(["rid"]), "traits"), "rid")
 
     def may_link(x: str, y: str) -> Column:
         """False only for pairs that sizes or parities prove to be unlike."""
