@@ -73,3 +73,50 @@ def pair_once(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: str, b_id:
     x = a.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(a_id))).select(*keys, "_k", a_id)
     y = b.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(b_id))).select(*keys, "_k", b_id)
     return x.join(y, [*keys, "_k"]).select(*keys, a_id, b_id)
+
+
+def modal(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The commonest value of each key, the least of equals: keys, value, n, total. Counts come before the window."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys)
+    ranked = counts.select("*", F.sum("n").over(w).alias("total"), F.row_number().over(w.orderBy(F.desc("n"), value)).alias("_k"))
+    return ranked.where("_k = 1").drop("_k")
+
+
+def modal_rule(fit: DataFrame, held: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """held with `predicted`, the commonest value that fit has for the key; null for keys that fit doesn't have."""
+    return held.join(modal(fit, keys, value).select(*keys, F.col(value).alias("predicted")), list(keys), "left")
+
+
+def one_sided(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of either table beyond those that the other has, repeats included: side, columns."""
+    x, y = a.select(*columns), b.select(*columns)
+    return x.exceptAll(y).select(F.lit("a").alias("side"), *columns).unionByName(y.exceptAll(x).select(F.lit("b").alias("side"), *columns))
+
+
+def reconcile_evidence(direct: DataFrame, counter: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Verdicts of two sources of evidence (keys, cause each): agreed, conflict, conflict-open (no counterfactual), counterfactual-only."""
+    both = direct.select(*keys, F.col("cause").alias("direct")).join(counter.select(*keys, F.col("cause").alias("counter")), list(keys), "full_outer")
+    verdict = F.when(F.col("counter").isNull(), "conflict-open").when(F.col("direct").isNull(), "counterfactual-only").when(F.col("direct") == F.col("counter"), "agreed").otherwise("conflict")
+    return both.select(*keys, "direct", "counter", verdict.alias("verdict"))
+
+
+def interval_proof(parts: DataFrame, keys: Sequence[str], start: str, size: str) -> DataFrame:
+    """Whether intervals follow one another: keys, n, gaps, overlaps, bytes (sum of sizes), span (from the first to the last end)."""
+    w = Window.partitionBy(*keys).orderBy(start, size)
+    nxt = parts.select(*keys, F.col(start).alias("_a"), F.col(size).alias("_n"), F.lead(start).over(w).alias("_next"))
+    end = F.col("_a") + F.col("_n")
+    return nxt.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("_next") > end).alias("gaps"), F.count_if(F.col("_next") < end).alias("overlaps"), F.sum("_n").alias("bytes"), (F.max(end) - F.min("_a")).alias("span"))
+
+
+def tie_classes(hits: DataFrame, keys: Sequence[str], blob: str, verdict: str, name: str) -> DataFrame:
+    """T0 (one blob), T1 (several blobs, one verdict) or T2 (several verdicts) for each hit set, and its lowest name."""
+    g = hits.groupBy(*keys).agg(F.countDistinct(blob).alias("blobs"), F.countDistinct(verdict).alias("verdicts"), F.min(name).alias("lowest"))
+    return g.select(*keys, F.when(F.col("blobs") <= 1, "T0").when(F.col("verdicts") <= 1, "T1").otherwise("T2").alias("tie"), "lowest")
+
+
+def hash_sample(rows: DataFrame, stratum: Sequence[str], key: Column, k: int) -> DataFrame:
+    """The k rows of each stratum with the lowest SHA-256 of key, with `digest` and `holdout` (its last hex digit is odd)."""
+    w = Window.partitionBy(*stratum).orderBy("digest")
+    kept = rows.withColumn("digest", F.sha2(key, 256)).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k")
+    return kept.withColumn("holdout", F.right("digest", F.lit(1)).isin(*"13579bdf"))

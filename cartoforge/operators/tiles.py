@@ -116,3 +116,12 @@ def tile_census(nodes: DataFrame, ways: DataFrame, points: DataFrame, grids: Dat
     held = p.groupBy("level", "ix", "iy").agg(F.count_if("road").alias("roads"), F.count_if(~F.col("road")).alias("shapes"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return held.join(named, ["level", "ix", "iy"], "full_outer").select("level", "ix", "iy", zero("roads"), zero("shapes"), zero("names"))
+
+
+def balanced_ranges(weights: DataFrame, keys: list[str], order: list[str], weight: str, n: int) -> DataFrame:
+    """Cells of each key dealt to at most n contiguous ranges of like weight, by prefix sums: rows with `part` from 1.
+
+    weights has a row for each cell, so a window holds no more rows than a level has cells.
+    """
+    run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return weights.withColumn("part", F.ceil(F.sum(weight).over(run) * n / F.sum(weight).over(Window.partitionBy(*keys))).cast("long"))

@@ -463,3 +463,183 @@ SELECT level, ix, iy, code, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b FRO
 def u08(spark, d):
     f = view(spark, d, "failures").select("dump_row", "level", "ix", "iy", "code")
     return reconcile.multiset_difference(f.where("dump_row % 3 <> 0"), f.where("dump_row % 2 = 0"), ["level", "ix", "iy", "code"])
+
+
+@query("a06_source_counts", "SELECT code, count(*) AS n, count(DISTINCT (level, ix, iy, shape)) AS n_groups FROM failures GROUP BY code")
+def a06(spark, d):
+    return view(spark, d, "failures").groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("level", "ix", "iy", "shape").alias("n_groups"))
+
+
+@query("a07_cause_counts", f"SELECT cause, level, count(*) AS n, count(DISTINCT (kind, ix, iy, code, shape)) AS n_groups FROM (SELECT *, {_CAUSE} AS cause FROM failures) t GROUP BY cause, level")
+def a07(spark, d):
+    return reconcile.classify(view(spark, d, "failures"), RULES).groupBy("cause", "level").agg(F.count("*").alias("n"), F.countDistinct("kind", "ix", "iy", "code", "shape").alias("n_groups"))
+
+
+@query("a09_moved_counts", "SELECT level, code, CAST(count_if(onb = 1) AS BIGINT) AS moved, CAST(count_if(onb = 0) AS BIGINT) AS remaining FROM failures GROUP BY level, code")
+def a09(spark, d):
+    return view(spark, d, "failures").groupBy("level", "code").agg(F.count_if(F.col("onb") == 1).alias("moved"), F.count_if(F.col("onb") == 0).alias("remaining"))
+
+
+@query("a12_rule_accuracy", "SELECT level, count(*) AS n, round(avg(CASE WHEN (vert >= 12) = (onb = 1) THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM failures GROUP BY level")
+def a12(spark, d):
+    right = ((F.col("vert") >= 12) == (F.col("onb") == 1)).cast("double")
+    return view(spark, d, "failures").groupBy("level").agg(F.count("*").alias("n"), F.round(F.avg(right), 6).alias("accuracy"))
+
+
+@query("a13_modal_rule", """WITH c AS (SELECT ix, code, vert, count(*) AS n FROM failures WHERE dump_row % 3 <> 0 GROUP BY ALL), m AS (SELECT ix, code, vert AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY ix, code ORDER BY n DESC, vert) AS k FROM c) t WHERE k = 1)
+SELECT code, count(*) AS n, CAST(count_if(predicted IS NULL) AS BIGINT) AS unseen, CAST(count_if(coalesce(predicted = vert, false)) AS BIGINT) AS n_right FROM (SELECT * FROM failures WHERE dump_row % 3 = 0) h LEFT JOIN m USING (ix, code) GROUP BY code""")
+def a13(spark, d):
+    f = view(spark, d, "failures")
+    held = reconcile.modal_rule(f.where("dump_row % 3 <> 0"), f.where("dump_row % 3 = 0"), ["ix", "code"], "vert")
+    return held.groupBy("code").agg(F.count("*").alias("n"), F.count_if(F.col("predicted").isNull()).alias("unseen"), F.count_if(F.col("predicted") == F.col("vert")).alias("n_right"))
+
+
+@query("a19_divisibility", "SELECT unit, count(*) AS n, round(avg(CASE WHEN vert % unit = 0 THEN 1e0 ELSE 0e0 END), 6) AS share FROM failures, (SELECT unnest([2, 3, 4, 6, 8, 12]) AS unit) u GROUP BY unit")
+def a19(spark, d):
+    units = F.explode(F.array(*(F.lit(u) for u in (2, 3, 4, 6, 8, 12))))
+    return view(spark, d, "failures").groupBy("vert").agg(F.count("*").alias("k")).select("vert", "k", units.alias("unit")).groupBy("unit").agg(F.sum("k").alias("n"), F.round(F.sum(F.when(F.col("vert") % F.col("unit") == 0, F.col("k")).otherwise(0)) / F.sum("k"), 6).alias("share"))
+
+
+@query("a20_candidate_fields", " UNION ALL ".join(f"SELECT '{c}' AS field, round(avg(CASE WHEN vert = {c} THEN 1e0 ELSE 0e0 END), 6) AS equal, round(corr(vert, {c}), 6) AS r FROM failures" for c in ("shape", "ix", "iy", "level")))
+def a20(spark, d):
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in ("shape", "ix", "iy", "level"))))
+    long = view(spark, d, "failures").select(F.col("vert").cast("double").alias("vert"), pairs.alias("p")).select("vert", "p.field", "p.v")
+    return long.groupBy("field").agg(F.round(F.avg((F.col("vert") == F.col("v")).cast("double")), 6).alias("equal"), F.round(F.corr("vert", "v"), 6).alias("r"))
+
+
+@query("a21_distribution", "SELECT level, count(d_src) AS n, min(d_src) AS low, max(d_src) AS high, round(avg(d_src), 6) AS mean, round(quantile_cont(d_src, 0.5e0), 6) AS median, grouping(level) AS is_total FROM failures GROUP BY ROLLUP (level)")
+def a21(spark, d):
+    return view(spark, d, "failures").rollup("level").agg(F.count("d_src").alias("n"), F.min("d_src").alias("low"), F.max("d_src").alias("high"), F.round(F.avg("d_src"), 6).alias("mean"), F.round(F.percentile("d_src", F.lit(0.5)), 6).alias("median"), F.grouping("level").cast("long").alias("is_total"))
+
+
+@query("a24_extent", "SELECT count(*) AS n, min(lat) AS lat_lo, max(lat) AS lat_hi, min(lon) AS lon_lo, max(lon) AS lon_hi, CAST(count_if(lat NOT BETWEEN -32.4e0 AND -31.6e0 OR lon NOT BETWEEN 115.6e0 AND 116.4e0) AS BIGINT) AS outside FROM address_points")
+def a24(spark, d):
+    inside = F.col("lat").between(-32.4, -31.6) & F.col("lon").between(115.6, 116.4)
+    return view(spark, d, "address_points").agg(F.count("*").alias("n"), F.min("lat").alias("lat_lo"), F.max("lat").alias("lat_hi"), F.min("lon").alias("lon_lo"), F.max("lon").alias("lon_hi"), F.count_if(~inside).alias("outside"))
+
+
+_R, _G = "dump_row % 3 <> 0", "dump_row % 2 = 0 AND vert < 18"
+
+
+@query("a25_vocabulary_coverage", f"""WITH r AS (SELECT level, vert, count(*) AS n FROM failures WHERE {_R} GROUP BY level, vert), g AS (SELECT DISTINCT level, vert, true AS used FROM failures WHERE {_G})
+SELECT level, CAST(sum(n) AS BIGINT) AS observed, round(sum(CASE WHEN used THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) AS coverage, sum(n) < 100 AS advisory FROM r LEFT JOIN g USING (level, vert) GROUP BY level""")
+def a25(spark, d):
+    f = view(spark, d, "failures")
+    r, g = f.where(_R).groupBy("level", "vert").agg(F.count("*").alias("n")), f.where(_G).select("level", "vert", F.lit(True).alias("used")).distinct()
+    return r.join(g, ["level", "vert"], "left").groupBy("level").agg(F.sum("n").alias("observed"), F.round(F.sum(F.when(F.col("used"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("coverage"), (F.sum("n") < 100).alias("advisory"))
+
+
+@query("a27_duplicate_records", "SELECT level, ix, iy, code, vert, count(*) AS copies, min(dump_row) AS first_row FROM failures GROUP BY level, ix, iy, code, vert HAVING count(*) >= 2")
+def a27(spark, d):
+    return view(spark, d, "failures").groupBy("level", "ix", "iy", "code", "vert").agg(F.count("*").alias("copies"), F.min("dump_row").alias("first_row")).where("copies >= 2")
+
+
+@query("a28_tie_classes", "SELECT level, ix, iy, CASE WHEN count(DISTINCT shape) <= 1 THEN 'T0' WHEN count(DISTINCT code) <= 1 THEN 'T1' ELSE 'T2' END AS tie, min(dump_row) AS lowest FROM failures GROUP BY level, ix, iy")
+def a28(spark, d):
+    return reconcile.tie_classes(view(spark, d, "failures"), ["level", "ix", "iy"], "shape", "code", "dump_row")
+
+
+@query("a29_group_status", "SELECT level, ix, iy, shape, count(*) AS n, bool_or(onb = 1) AS any_on_boundary FROM failures GROUP BY level, ix, iy, shape")
+def a29(spark, d):
+    return view(spark, d, "failures").groupBy("level", "ix", "iy", "shape").agg(F.count("*").alias("n"), F.bool_or(F.col("onb") == 1).alias("any_on_boundary"))
+
+
+@query("a36_off_modal", """WITH c AS (SELECT level, vert, count(*) AS n FROM failures GROUP BY level, vert)
+SELECT level, vert, n FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY n DESC, vert) AS k FROM c) t WHERE k > 1""")
+def a36(spark, d):
+    f = view(spark, d, "failures")
+    usual = reconcile.modal(f, ["level"], "vert").select("level", "vert")
+    return f.groupBy("level", "vert").agg(F.count("*").alias("n")).join(usual, ["level", "vert"], "left_anti").select("level", "vert", "n")
+
+
+@query("j09_verify_columns", f"""WITH a AS (SELECT level, ix, code FROM failures WHERE {_R}), b AS (SELECT level, ix, code FROM failures WHERE {_G})
+SELECT 'a' AS side, level, ix, code FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) x UNION ALL SELECT 'b', level, ix, code FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) y""")
+def j09(spark, d):
+    f = view(spark, d, "failures")
+    return reconcile.one_sided(f.where(_R), f.where(_G), ["level", "ix", "code"])
+
+
+@query("j10_two_evidence", f"""WITH a AS (SELECT dump_row, {_CAUSE} AS direct FROM failures WHERE {_R}), b AS (SELECT dump_row, CASE WHEN onb = 1 THEN 4 ELSE 2 END AS counter FROM failures WHERE {_G})
+SELECT dump_row, direct, counter, CASE WHEN counter IS NULL THEN 'conflict-open' WHEN direct IS NULL THEN 'counterfactual-only' WHEN direct = counter THEN 'agreed' ELSE 'conflict' END AS verdict FROM a FULL JOIN b USING (dump_row)""")
+def j10(spark, d):
+    f = view(spark, d, "failures")
+    counter = f.where(_G).select("dump_row", F.when(F.col("onb") == 1, 4).otherwise(2).alias("cause"))
+    return reconcile.reconcile_evidence(reconcile.classify(f.where(_R), RULES), counter, ["dump_row"])
+
+
+@query("j24_box_credit", f"""WITH {SEGS}, b AS (SELECT r_regionkey AS box, 115.5e0 + r_regionkey * 0.15e0 AS lo, 115.8e0 + r_regionkey * 0.15e0 AS hi FROM region)
+SELECT box, count(*) AS n, round(sum({HAV}), 2) AS metres FROM segs JOIN b ON (lon + lon2) / 2e0 >= lo AND (lon + lon2) / 2e0 <= hi GROUP BY box""")
+def j24(spark, d):
+    s = tiles.segments(view(spark, d, "geo_points"))
+    boxes = spark.sql("SELECT r_regionkey AS box, 115.5e0 + r_regionkey * 0.15e0 AS lo, 115.8e0 + r_regionkey * 0.15e0 AS hi FROM region")
+    at = (F.col("lon") + F.col("lon2")) / 2.0
+    near = s.join(F.broadcast(boxes), (at >= F.col("lo")) & (at <= F.col("hi")))
+    return near.groupBy("box").agg(F.count("*").alias("n"), F.round(F.sum(G.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))), 2).alias("metres"))
+
+
+@query("j31_cell_causes", f"""WITH c AS (SELECT level, ix, iy, min({_CAUSE}) AS cause FROM failures WHERE {_R} GROUP BY level, ix, iy)
+SELECT coalesce(CAST(cause AS VARCHAR), 'NOT-CHANGED') AS cell_cause, count(*) AS n FROM failures LEFT JOIN c USING (level, ix, iy) GROUP BY 1""")
+def j31(spark, d):
+    f = view(spark, d, "failures")
+    cells = reconcile.classify(f.where(_R), RULES).groupBy("level", "ix", "iy").agg(F.min("cause").alias("cause"))
+    return f.join(cells, ["level", "ix", "iy"], "left").groupBy(F.coalesce(F.col("cause").cast("string"), F.lit("NOT-CHANGED")).alias("cell_cause")).agg(F.count("*").alias("n"))
+
+
+@query("u02_vocabulary_subset", f"SELECT level, vert FROM failures WHERE {_G} EXCEPT SELECT level, vert FROM failures WHERE {_R} AND vert <> 4")
+def u02(spark, d):
+    f = view(spark, d, "failures")
+    return f.where(_G).select("level", "vert").subtract(f.where(_R).where("vert <> 4").select("level", "vert"))
+
+
+@query("u05_interval_proof", """WITH p AS (SELECT kind, dump_row * 4 AS a, CAST(4 + vert AS BIGINT) AS size FROM failures), w AS (SELECT *, lead(a) OVER (PARTITION BY kind ORDER BY a, size) AS nxt FROM p)
+SELECT kind, count(*) AS n, CAST(count_if(nxt > a + size) AS BIGINT) AS gaps, CAST(count_if(nxt < a + size) AS BIGINT) AS overlaps, CAST(sum(size) AS BIGINT) AS bytes, max(a + size) - min(a) AS span FROM w GROUP BY kind""")
+def u05(spark, d):
+    parts = view(spark, d, "failures").select("kind", (F.col("dump_row") * 4).alias("a"), (F.col("vert") + 4).cast("long").alias("size"))
+    return reconcile.interval_proof(parts, ["kind"], "a", "size")
+
+
+@query("w02_link_ids", f"SELECT level, way_id, ordinal, row_number() OVER (ORDER BY level, way_id, ordinal) AS link_id FROM ({ORACLE_SQL['g01_split_by_cell']}) chains")
+def w02(spark, d):
+    chains = g01(spark, d).select(F.struct("level", "way_id", "ordinal").alias("link"))
+    return address.dense_ids(chains, "link", "link_id").select("link.level", "link.way_id", "link.ordinal", "link_id")
+
+
+@query("w11_balanced_ranges", f"""WITH c AS (SELECT level, ix, iy, count(*) AS k FROM (SELECT level, n, {_IX} AS ix, {_IY} AS iy FROM geo_points, grids) t WHERE {_IN} GROUP BY level, ix, iy)
+SELECT level, ix, iy, k, CAST(ceil(CAST(sum(k) OVER (PARTITION BY level ORDER BY iy, ix ROWS UNBOUNDED PRECEDING) AS DOUBLE) * 8 / CAST(sum(k) OVER (PARTITION BY level) AS DOUBLE)) AS BIGINT) AS part FROM c""")
+def w11(spark, d):
+    p = G.with_levels(view(spark, d, "geo_points"), view(spark, d, "grids"))
+    cells = p.select("level", G.cell(F.col("lat"), F.col("lon"), F.col("n")).alias("c")).where("c is not null").groupBy("level", F.col("c.ix").alias("ix"), F.col("c.iy").alias("iy")).agg(F.count("*").alias("k"))
+    return tiles.balanced_ranges(cells, ["level"], ["iy", "ix"], "k", 8)
+
+
+@query("w13_hash_sample", """SELECT level, dump_row, digest, right(digest, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS holdout FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY digest) AS k
+ FROM (SELECT level, dump_row, sha256(concat('row ', CAST(dump_row AS VARCHAR))) AS digest FROM failures) t) u WHERE k <= 20""")
+def w13(spark, d):
+    f = view(spark, d, "failures").select("level", "dump_row")
+    return reconcile.hash_sample(f, ["level"], F.concat(F.lit("row "), F.col("dump_row").cast("string")), 20)
+
+
+@query("x12_name_normal", r"SELECT node_id, lower(trim(regexp_replace(regexp_replace(name, '^N=', ''), '\s+', ' ', 'g'))) AS normal FROM osm_nodes WHERE name IS NOT NULL")
+def x12(spark, d):
+    plain = F.regexp_replace(F.regexp_replace("name", r"^N=", ""), r"\s+", " ")
+    return view(spark, d, "osm_nodes").where("name is not null").select("node_id", F.lower(F.trim(plain)).alias("normal"))
+
+
+@query("r15_graph_statistics", f"WITH {_GRAPH} SELECT count(*) AS n_links, count(DISTINCT (way_id, seg)) AS n_segments, round(sum(length), 2) AS metres, min(road_class) AS best_class FROM lk")
+def r15(spark, d):
+    return _links(spark, d).agg(F.count("*").alias("n_links"), F.countDistinct("way_id", "seg").alias("n_segments"), F.round(F.sum("length"), 2).alias("metres"), F.min("road_class").alias("best_class"))
+
+
+@query("q20_run_contract", f"""WITH a AS (SELECT level, kind, count(*) AS was FROM failures WHERE {_R} GROUP BY level, kind), b AS (SELECT level, kind, count(*) AS now FROM failures WHERE {_G} GROUP BY level, kind)
+SELECT level, kind, coalesce(was, 0) AS was, coalesce(now, 0) AS now, CASE WHEN coalesce(now, 0) - coalesce(was, 0) = CASE WHEN level = 0 THEN -1 ELSE 0 END THEN 'as declared' ELSE 'differs' END AS status FROM a FULL JOIN b USING (level, kind)""")
+def q20(spark, d):
+    f = view(spark, d, "failures")
+    count = lambda where, name: f.where(where).groupBy("level", "kind").agg(F.count("*").alias(name))
+    both = count(_R, "was").join(count(_G, "now"), ["level", "kind"], "full_outer").select("level", "kind", F.coalesce("was", F.lit(0)).alias("was"), F.coalesce("now", F.lit(0)).alias("now"))
+    declared = F.when(F.col("level") == 0, -1).otherwise(0)
+    return both.withColumn("status", F.when(F.col("now") - F.col("was") == declared, "as declared").otherwise("differs"))
+
+
+@query("c03_groups_of_a_rule", f"SELECT {', '.join(_KEYS)}, count(*) AS n FROM (SELECT *, {_CAUSE} AS cause FROM failures) t WHERE cause = 2 GROUP BY {', '.join(_KEYS)}")
+def c03(spark, d):
+    return reconcile.classify(view(spark, d, "failures"), RULES).where("cause = 2").groupBy(*_KEYS).agg(F.count("*").alias("n"))
