@@ -87,3 +87,17 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, most_hops: int | None =
         if not front.limit(1).count():
             break
     return best
+
+
+def collapse(link: DataFrame, clusters: DataFrame) -> DataFrame:
+    """link with cu and cv, its ends after each node of a cluster (node_id, label) is replaced by the cluster."""
+    a = clusters.select(F.col("node_id").alias("u"), F.col("label").alias("lu"))
+    b = clusters.select(F.col("node_id").alias("v"), F.col("label").alias("lv"))
+    return link.join(a, "u", "left").join(b, "v", "left").withColumn("cu", F.coalesce("lu", "u")).withColumn("cv", F.coalesce("lv", "v")).drop("lu", "lv")
+
+
+def representatives(clusters: DataFrame, link: DataFrame, most: int) -> DataFrame:
+    """The nodes of each cluster with the most links out, as many as `most`, the smaller id first: label, node_id, k."""
+    degree = link.groupBy(F.col("u").alias("node_id")).agg(F.count("*").alias("degree"))
+    w = Window.partitionBy("label").orderBy(F.coalesce("degree", F.lit(0)).desc(), "node_id")
+    return clusters.join(degree, "node_id", "left").select("label", "node_id", F.row_number().over(w).alias("k")).where(F.col("k") <= most)

@@ -120,3 +120,80 @@ def hash_sample(rows: DataFrame, stratum: Sequence[str], key: Column, k: int) ->
     w = Window.partitionBy(*stratum).orderBy("digest")
     kept = rows.withColumn("digest", F.sha2(key, 256)).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k")
     return kept.withColumn("holdout", F.right("digest", F.lit(1)).isin(*"13579bdf"))
+
+
+def order_divergence(rows: DataFrame, keys: Sequence[str], a: list, b: list) -> DataFrame:
+    """How far two orders of the rows of a key agree: keys, n, moved (rows at another place), first_moved."""
+    w = Window.partitionBy(*keys)
+    both = rows.withColumn("a", F.row_number().over(w.orderBy(*a))).withColumn("b", F.row_number().over(w.orderBy(*b)))
+    moved = F.col("a") != F.col("b")
+    return both.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(moved).alias("moved"), F.min(F.when(moved, F.col("a"))).alias("first_moved"))
+
+
+def nearest_rank(rows: DataFrame, keys: Sequence[str], value: str, share: float) -> DataFrame:
+    """The value at place round(share * (n - 1)) of each key's sorted values, with n, least, most and mean.
+
+    Values are counted before the window, so that it holds distinct values and not rows.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("k"))
+    w = Window.partitionBy(*keys)
+    c = counts.withColumn("upto", F.sum("k").over(w.orderBy(value))).withColumn("n", F.sum("k").over(w))
+    here = F.col("upto") > F.rint((F.col("n") - 1) * share)
+    agg = [F.sum("k").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), (F.sum(F.col(value) * F.col("k")) / F.sum("k")).alias("mean"), F.min(F.when(here, F.col(value))).alias("at_share")]
+    return c.groupBy(*keys).agg(*agg)
+
+
+def key_order(a: DataFrame, b: DataFrame, scope: Sequence[str], key: str, at: str) -> DataFrame:
+    """Keys of two tables within a scope: scope, key, side (a only, b only, both), same_place among the shared ones."""
+    both = a.select(*scope, key, F.col(at).alias("a_at")).join(b.select(*scope, key, F.col(at).alias("b_at")), [*scope, key], "full_outer")
+    side = F.when(F.col("b_at").isNull(), "a only").when(F.col("a_at").isNull(), "b only").otherwise("both")
+    w = Window.partitionBy(*scope, "side")
+    placed = both.withColumn("side", side).withColumn("pa", F.row_number().over(w.orderBy("a_at", key))).withColumn("pb", F.row_number().over(w.orderBy("b_at", key)))
+    return placed.select(*scope, key, "side", F.when(F.col("side") == "both", F.col("pa") == F.col("pb")).alias("same_place"))
+
+
+def differing_ranges(a: DataFrame, b: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
+    """Longest runs of consecutive places at which two sequences differ, or only one is there: keys, run_lo, run_hi, n."""
+    both = a.select(*keys, at, F.col(value).alias("va"), F.lit(True).alias("in_a")).join(b.select(*keys, at, F.col(value).alias("vb"), F.lit(True).alias("in_b")), [*keys, at], "full_outer")
+    return islands(both.where(F.col("in_a").isNull() | F.col("in_b").isNull() | ~F.col("va").eqNullSafe(F.col("vb"))).select(*keys, at), keys, at)
+
+
+def field_differences(a: DataFrame, b: DataFrame, keys: Sequence[str], fields: Sequence[str], allowed: Sequence[str]) -> DataFrame:
+    """Field-wise differences of two keyed tables: keys, field, a_value, b_value, verdict (allowed or violation).
+
+    A key that only one side has is a violation in every field.
+    """
+    long = lambda t, name: t.select(*keys, F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias(name)) for f in fields))))
+    both = long(a, "a_value").withColumn("in_a", F.lit(True)).join(long(b, "b_value").withColumn("in_b", F.lit(True)), [*keys, "field"], "full_outer")
+    differ = both.where(~F.col("a_value").eqNullSafe(F.col("b_value")) | F.col("in_a").isNull() | F.col("in_b").isNull())
+    fine = F.col("in_a").isNotNull() & F.col("in_b").isNotNull() & F.col("field").isin(list(allowed))
+    return differ.select(*keys, "field", "a_value", "b_value", F.when(fine, "allowed").otherwise("violation").alias("verdict"))
+
+
+def transitions(rows: DataFrame, was: str, now: str, ablated: dict[str, str]) -> DataFrame:
+    """Changes of class with what explains them: the one removal that brings the old class back, `none`, or `joint`: was, now, cause, n.
+
+    ablated: name of a removal -> the column of the class without it.
+    """
+    back = F.array_compact(F.array(*(F.when(F.col(c) == F.col(was), F.lit(name)) for name, c in ablated.items())))
+    cause = F.when(F.size(back) == 0, "none").when(F.size(back) == 1, F.get(back, F.lit(0))).otherwise("joint")
+    return rows.where(F.col(was) != F.col(now)).groupBy(F.col(was).alias("was"), F.col(now).alias("now"), cause.alias("cause")).agg(F.count("*").alias("n"))
+
+
+def monotonic(rows: DataFrame, keys: Sequence[str], order: Sequence[str], candidates: Sequence[str]) -> DataFrame:
+    """Breaks of each candidate column's growth along the given order of each key: keys, candidate, n_breaks, is_monotonic."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    broken = rows.select(*keys, *((F.col(c) < F.lag(c).over(w)).alias(f"broken_{c}") for c in candidates))
+    counts = broken.groupBy(*keys).agg(*(F.count_if(F.col(f"broken_{c}")).alias(c) for c in candidates))
+    long = counts.select(*keys, F.inline(F.array(*(F.struct(F.lit(c).alias("candidate"), F.col(c).alias("n_breaks")) for c in candidates))))
+    return long.withColumn("is_monotonic", F.col("n_breaks") == 0)
+
+
+def first_of(rows: DataFrame, keys: Sequence[str], verdicts: Sequence[tuple[str, DataFrame]], rest: str) -> DataFrame:
+    """rows with `verdict` and its `source`, of the first table (keys, verdict) that has the key; rest if none does."""
+    out, found = rows, []
+    for i, (name, table) in enumerate(verdicts):
+        out = out.join(table.select(*keys, F.col("verdict").alias(f"v{i}")), list(keys), "left")
+        found.append((name, F.col(f"v{i}")))
+    source = F.coalesce(*(F.when(v.isNotNull(), name) for name, v in found), F.lit("none"))
+    return out.select(*rows.columns, F.coalesce(*(v for _, v in found), F.lit(rest)).alias("verdict"), source.alias("source"))

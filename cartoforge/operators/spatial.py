@@ -28,10 +28,14 @@ def nearest_point(points: DataFrame, targets: DataFrame, within: float) -> DataF
 def nearest_segment(points: DataFrame, segs: DataFrame, within: float, bucket: float) -> DataFrame:
     """id and Euclidean distance of the nearest segment, where one is at most `within` away.
 
-    points: id, x, y. segs: x1, y1, x2, y2; each goes to the buckets its grown box meets.
+    points: id, x, y. segs: x1, y1, x2, y2; each goes to the buckets that it passes: for every column of x, the rows of its part
+    there. A long segment so makes rows by its length, not by the area of its box.
     """
     s = buckets(segs, F.least("x1", "x2") - within, F.greatest("x1", "x2") + within, bucket, "bx")
-    s = buckets(s, F.least("y1", "y2") - within, F.greatest("y1", "y2") + within, bucket, "by")
+    y_at = lambda x: F.col("y1") + (F.col("y2") - F.col("y1")) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("x1")) / (F.col("x2") - F.col("x1"))))
+    tilted = F.col("x1") != F.col("x2")
+    s = s.withColumn("ya", F.when(tilted, y_at(F.col("bx") * bucket - within)).otherwise(F.col("y1"))).withColumn("yb", F.when(tilted, y_at((F.col("bx") + 1) * bucket + within)).otherwise(F.col("y2")))
+    s = buckets(s, F.least("ya", "yb") - within, F.greatest("ya", "yb") + within, bucket, "by")
     p = points.withColumn("bx", F.floor(F.col("x") / bucket).cast("long")).withColumn("by", F.floor(F.col("y") / bucket).cast("long"))
     d = segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     return p.join(s, ["bx", "by"]).withColumn("d", d).where(F.col("d") <= within).groupBy("id").agg(F.min("d").alias("distance"))

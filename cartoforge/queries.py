@@ -308,12 +308,12 @@ def r07(spark, d):
     return graph.lightest(_links(spark, d)).select("u", "v", F.round("w", 3).alias("w"))
 
 
-@query("r10_paths_three_hops", f"""WITH {_GRAPH}, e AS (SELECT u, v, min(length) AS w FROM lk WHERE u <> v GROUP BY u, v), s AS (SELECT DISTINCT u AS src FROM e WHERE u % 50 = 0),
+@query("r10_paths_three_hops", f"""WITH {_GRAPH}, e AS (SELECT u, v, min(length) AS w FROM lk WHERE u <> v GROUP BY u, v), s AS (SELECT DISTINCT u AS src FROM e),
 h AS (SELECT src, src AS node, 0e0 AS d FROM s UNION ALL SELECT src, v, w FROM s JOIN e ON u = src UNION ALL SELECT src, b.v, a.w + b.w FROM s JOIN e a ON a.u = src JOIN e b ON b.u = a.v)
 SELECT src, node, round(min(d), 3) AS dist FROM h GROUP BY src, node""")
 def r10(spark, d):
     e = graph.lightest(_links(spark, d))
-    return graph.shortest_paths(e, e.where("u % 50 = 0").select(F.col("u").alias("src")).distinct(), most_hops=2).select("src", "node", F.round("dist", 3).alias("dist"))
+    return graph.shortest_paths(e, e.select(F.col("u").alias("src")).distinct(), most_hops=2).select("src", "node", F.round("dist", 3).alias("dist"))
 
 
 @query("j11_nearest_point", """WITH p AS (SELECT node_id AS id, coalesce(place, '') AS kind, (lon - 115.5e0) * 4096e0 AS x, (lat + 32.5e0) * 4096e0 AS y FROM osm_nodes),
@@ -326,16 +326,16 @@ def j11(spark, d):
     return spatial.nearest_point(p, t, 8.0).select("id", F.round("distance", 6).alias("distance"))
 
 
-@query("j12_nearest_segment", f"""WITH {SEGS}, s AS (SELECT (lon - 115.5e0) * 4096e0 AS x1, (lat + 32.5e0) * 4096e0 AS y1, (lon2 - 115.5e0) * 4096e0 AS x2, (lat2 + 32.5e0) * 4096e0 AS y2 FROM segs WHERE way_id % 50 = 1),
+@query("j12_nearest_segment", f"""WITH {SEGS}, s AS (SELECT (lon - 115.5e0) * 4096e0 AS x1, (lat + 32.5e0) * 4096e0 AS y1, (lon2 - 115.5e0) * 4096e0 AS x2, (lat2 + 32.5e0) * 4096e0 AS y2 FROM segs),
 p AS (SELECT node_id AS id, (lon - 115.5e0) * 4096e0 AS x, (lat + 32.5e0) * 4096e0 AS y FROM osm_nodes),
 j AS (SELECT *, (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS l2 FROM p JOIN s ON x >= least(x1, x2) - 2 AND x <= greatest(x1, x2) + 2 AND y >= least(y1, y2) - 2 AND y <= greatest(y1, y2) + 2),
 k AS (SELECT *, CASE WHEN l2 > 0 THEN greatest(0e0, least(1e0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / l2)) ELSE 0e0 END AS t FROM j)
 SELECT id, round(min(d), 6) AS distance FROM (SELECT id, sqrt(pow(x - (x1 + t * (x2 - x1)), 2) + pow(y - (y1 + t * (y2 - y1)), 2)) AS d FROM k) m WHERE d <= 2 GROUP BY id""")
 def j12(spark, d):
     x, y = lambda c: (F.col(c) - 115.5) * 4096.0, lambda c: (F.col(c) + 32.5) * 4096.0
-    s = tiles.segments(view(spark, d, "geo_points")).where("way_id % 50 = 1").select(x("lon").alias("x1"), y("lat").alias("y1"), x("lon2").alias("x2"), y("lat2").alias("y2"))
+    s = tiles.segments(view(spark, d, "geo_points")).select(x("lon").alias("x1"), y("lat").alias("y1"), x("lon2").alias("x2"), y("lat2").alias("y2"))
     p = view(spark, d, "osm_nodes").select(F.col("node_id").alias("id"), x("lon").alias("x"), y("lat").alias("y"))
-    return spatial.nearest_segment(p, s, 2.0, 256.0).select("id", F.round("distance", 6).alias("distance"))
+    return spatial.nearest_segment(p, s, 2.0, 64.0).select("id", F.round("distance", 6).alias("distance"))
 
 
 @query("j16_cell_neighbours", f"""WITH c AS (SELECT DISTINCT level, ix, iy FROM (SELECT level, n, {_IX} AS ix, {_IY} AS iy FROM osm_nodes, grids) t WHERE {_IN})
