@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import lgamma, log
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, slices, text_bytes, written
 
-#: Bytes of context, and the share of all training bytes below which a context is left out of the tree.
-DEPTH, RARE = 5, 1 / (1 << 19)
+#: Bytes of context, the last bytes of it by which the tree is parted, and the bytes of text whose distinct grams and tokens
+#: meet their scores as one group.
+DEPTH, TOP, CHUNK = 5, 2, 16 << 20
 _HASHES = WordHashes()
 _ONE = np.uint64(1)
 
@@ -43,10 +45,11 @@ def node_keys(g: np.ndarray, depth: int, bit: int) -> np.ndarray:
     return (((context << np.uint64(8)) | decided) << np.uint64(3)) | np.uint64(depth)
 
 
-def parent_key(key: int) -> str:
-    """SQL of the key of the node with one byte less context; key is a column name of a node at depth > 0."""
-    # key = context * 2^11 + decided * 2^3 + depth; the first byte of the context goes
-    return f"((shiftrightunsigned({key}, 11) & (shiftleft(1L, cast(8 * (({key} & 7L) - 1) as int)) - 1L)) * 2048L) + ({key} & 2040L) + ({key} & 7L) - 1L"
+def parent_keys(node: np.ndarray) -> np.ndarray:
+    """Keys of the nodes with one byte less context (its first); all nodes lie at one depth > 0."""
+    depth = int(node[0] & np.uint64(7)) if len(node) else 1
+    context = (node >> np.uint64(11)) & np.uint64((1 << 8 * (depth - 1)) - 1)
+    return (context << np.uint64(11)) | (node & np.uint64(2040)) | np.uint64(depth - 1)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,64 +78,155 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], ["gram", "n"])
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Zeros and ones at every node that the grams touch, summed within a batch."""
-    for b in batches:
-        g, n = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-        for depth in range(DEPTH + 1):
-            for bit in range(8):
-                k, at = np.unique(node_keys(g, depth, bit), return_inverse=True)
-                one = ((g >> np.uint64(bit)) & _ONE).astype(bool)
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.bincount(at, n * ~one, len(k)).astype(np.int64)), pa.array(np.bincount(at, n * one, len(k)).astype(np.int64))], ["node", "n0", "n1"])
+#: lgamma(k + 0.5) and lgamma(k + 1) of small counts.
+_HALF, _WHOLE = (np.array([lgamma(k + x) for k in range(4096)]) for x in (0.5, 1.0))
+
+
+def _log_gamma(n: np.ndarray, table: np.ndarray, more: float) -> np.ndarray:
+    out = table[np.minimum(n, len(table) - 1)]
+    large = np.flatnonzero(n >= len(table))
+    out[large] = [lgamma(k + more) for k in n[large].tolist()]
+    return out
+
+
+class Level(NamedTuple):
+    """Nodes of one depth and bit, sorted, with their estimate of a 1, their weighted log probability and weight of their own."""
+
+    node: np.ndarray
+    n0: np.ndarray
+    n1: np.ndarray
+    weighted: np.ndarray
+    own: np.ndarray
+
+    @property
+    def p(self) -> np.ndarray:
+        return (self.n1 + 0.5) / (self.n0 + self.n1 + 1.0)
+
+
+def _level(node: np.ndarray, at: np.ndarray, n0: np.ndarray, n1: np.ndarray, kids: np.ndarray | None) -> Level:
+    """Sums of counts and of children's weighted log probabilities by node, mixed half and half with the node's own."""
+    a, b = (np.bincount(at, n, len(node)).astype(np.int64) for n in (n0, n1))
+    kt = _log_gamma(a, _HALF, 0.5) + _log_gamma(b, _HALF, 0.5) - 2 * lgamma(0.5) - _log_gamma(a + b, _WHOLE, 1.0)
+    if kids is None:
+        return Level(node, a, b, kt, np.ones(len(node)))
+    weighted = log(0.5) + np.logaddexp(kt, np.bincount(at, kids, len(node)))
+    return Level(node, a, b, weighted, np.exp(log(0.5) + kt - weighted))
+
+
+def _above(below: Level) -> Level:
+    node, at = np.unique(parent_keys(below.node), return_inverse=True)
+    return _level(node, at, below.n0, below.n1, below.weighted)
+
+
+def _subtree(g: np.ndarray, n: np.ndarray, bit: int) -> list[Level]:
+    """Levels TOP to DEPTH of the nodes of a bit over all grams with some last TOP bytes of context."""
+    node, at = np.unique(node_keys(g, DEPTH, bit), return_inverse=True)
+    one = ((g >> np.uint64(bit)) & _ONE).astype(bool)
+    levels = [_level(node, at, n * ~one, n * one, None)]
+    while len(levels) <= DEPTH - TOP:
+        levels.insert(0, _above(levels[0]))
+    return levels
+
+
+def _arrays(grams_: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return grams_.column("gram").to_numpy().view(np.uint64), grams_.column("n").to_numpy()
+
+
+def _level_table(levels: list[Level]) -> pa.Table:
+    whole = [np.concatenate(x) for x in zip(*levels)]
+    return pa.table([pa.array(whole[0].view(np.int64)), *map(pa.array, whole[1:])], names=Level._fields)
+
+
+_LEVELS = "node long, n0 long, n1 long, weighted double, own double"
+
+
+def _tops(grams_: pa.Table) -> pa.Table:
+    g, n = _arrays(grams_)
+    return _level_table([_subtree(g, n, bit)[0] for bit in range(8)])
+
+
+def _all_levels(grams_: pa.Table) -> pa.Table:
+    g, n = _arrays(grams_)
+    return _level_table([level for bit in range(8) for level in _subtree(g, n, bit)])
+
+
+def by_top(counted: DataFrame, most: int = 50_000):
+    """counted (gram, ...) grouped by the hash of the last TOP bytes of context, below which subtrees are independent; so many
+    groups that each has about `most` grams."""
+    top = F.xxhash64(F.expr(f"shiftright(gram, 8) & {(1 << 8 * TOP) - 1}L"))
+    return counted.withColumn("top", F.pmod(top, F.lit(counted.count() // most + 1))).groupBy("top")
+
+
+def roots(counted: DataFrame) -> list[Level]:
+    """The levels above TOP of the tree over counts of grams, all bits together. A level d has at most 256^d contexts of 255
+    nodes, by the alphabet: they are whole, and few, at any size of corpus."""
+    tops = by_top(counted).applyInArrow(_tops, _LEVELS)
+    parent = f"((shiftright(node, 11) & {(1 << 8 * (TOP - 1)) - 1}L) * 2048L) + (node & 2040L) + {TOP - 1}L"
+    got = tops.groupBy(F.expr(parent).alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("kids")).orderBy("node").toArrow()
+    node, n0, n1, kids = (got.column(c).to_numpy() for c in ("node", "n0", "n1", "kids"))
+    levels = [_level(node.view(np.uint64), np.arange(len(node)), n0, n1, kids)]
+    while len(levels) < TOP:
+        levels.insert(0, _above(levels[0]))
+    return levels
 
 
 def train(texts: DataFrame) -> DataFrame:
-    """The weighted tree of a column `text`: node, n0, n1, own (the weight of the node's own estimate), pruned by RARE.
+    """The weighted tree of a column `text`: node, p (estimate of a 1), own (weight of the node's own estimate).
 
-    Counts cover all texts. A node's Krichevsky-Trofimov block probability is mixed half and half with the product of its
-    children's weighted probabilities, from the deepest level up: own = P_kt / (P_kt + product). Contexts seen in fewer than
-    RARE of all bytes are left out, at every size of corpus alike, so a level has at most 1 / RARE contexts for each of the 8
-    bits: what is broadcast later is bounded whatever the corpus. Their parents, being kept, become leaves there.
+    Counts cover all texts, and every context that was seen is kept, so the tree grows with the corpus. A node's
+    Krichevsky-Trofimov block probability is mixed half and half with the product of its children's weighted probabilities,
+    from the deepest level up: own = P_kt / (P_kt + product).
     """
     counted = written(texts.select("text").mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
-    nodes = counted.mapInArrow(_nodes, "node long, n0 long, n1 long").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    nodes = written(nodes.where(F.col("n0") + F.col("n1") >= F.lit(total * RARE)), "nodes")
-
-    @F.pandas_udf("double")
-    def kt(n0, n1):
-        g = np.frompyfunc(lgamma, 1, 1)
-        a, b = n0.to_numpy().astype(float), n1.to_numpy().astype(float)
-        return n0.astype(float) * 0 + (g(a + 0.5).astype(float) + g(b + 0.5).astype(float) - 2 * lgamma(0.5) - g(a + b + 1).astype(float))
-
-    known = nodes.withColumn("kt", kt("n0", "n1"))
-    below, done = None, None
-    for depth in range(DEPTH, -1, -1):
-        level = known.where(F.col("node").bitwiseAND(7) == depth)
-        if below is None:
-            level = level.withColumn("kids", F.lit(None).cast("double"))
-        else:
-            kids = below.groupBy(F.expr(parent_key("node")).alias("node")).agg(F.sum("weighted").alias("kids"), F.sum(F.col("n0") + F.col("n1")).alias("seen"))
-            # what no kept child has seen is coded by the node itself
-            level = level.join(kids, "node", "left").withColumn("kids", F.when(F.col("seen").isNotNull(), F.col("kids") + F.col("kt") * (1 - F.col("seen") / (F.col("n0") + F.col("n1"))))).drop("seen")
-        top = F.greatest("kt", "kids")
-        level = level.withColumn("weighted", F.when(F.col("kids").isNull(), F.col("kt")).otherwise(F.log(F.lit(0.5)) + top + F.log(F.exp(F.col("kt") - top) + F.exp(F.col("kids") - top))))
-        level = level.withColumn("own", F.when(F.col("kids").isNull(), 1.0).otherwise(F.exp(F.log(F.lit(0.5)) + F.col("kt") - F.col("weighted"))))
-        below = level = written(level.select("node", "n0", "n1", "weighted", "own"), "level")
-        one = level.select("node", ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)).cast("float").alias("p"), F.col("own").cast("float").alias("own"))
-        done = one if done is None else done.unionByName(one)
-    return done
+    nodes = by_top(counted).applyInArrow(_all_levels, _LEVELS)
+    nodes = nodes.unionByName(texts.sparkSession.createDataFrame(_level_table(roots(counted))))
+    return nodes.select("node", ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)).cast("float").alias("p"), F.col("own").cast("float").alias("own"))
 
 
-class Tree:
-    """Sorted nodes with their estimate of a 1 and their weight; scores grams."""
+def gram_scores(counted: DataFrame) -> DataFrame:
+    """log2 probability of each distinct gram's last byte after the bytes before, learnt from counts (gram, n): gram, log2.
+
+    Grams with n = 0 are scored only. Grams that share their last TOP bytes of context are worked out together, first up their
+    subtree and then, from what the levels above say, down again; each of the 8 decisions is made at the deepest node that was
+    seen, mixed with all the shorter contexts. A decision unseen even without context is a half.
+    """
+    above = [tuple(level) for level in roots(counted.where("n > 0"))]
+
+    def run(grams_: pa.Table) -> pa.Table:
+        asked, n = _arrays(grams_)
+        g, n = asked[n > 0], n[n > 0]
+        out = np.zeros(len(asked))
+        for bit in range(8):
+            levels = [*(Level(*x) for x in above), *_subtree(g, n, bit)]
+            f, said, rest = [], np.zeros(0), np.zeros(0)
+            for depth, level in enumerate(levels):
+                if depth:
+                    up = np.searchsorted(levels[depth - 1].node, parent_keys(level.node))
+                    before, left = said[up], rest[up]
+                else:
+                    before, left = np.zeros(len(level.node)), np.ones(len(level.node))
+                f.append(before + left * level.p)
+                said, rest = before + left * level.own * level.p, left * (1 - level.own)
+            p, open_ = np.full(len(asked), 0.5), np.arange(len(asked))
+            for depth in range(DEPTH, -1, -1):
+                node = levels[depth].node
+                if len(node):
+                    k = node_keys(asked[open_], depth, bit)
+                    i = np.minimum(np.searchsorted(node, k), len(node) - 1)
+                    there = node[i] == k
+                    p[open_[there]] = f[depth][i[there]]
+                    open_ = open_[~there]
+            out += np.log2(np.where((asked >> np.uint64(bit)) & _ONE, p, 1 - p))
+        return pa.table({"gram": grams_.column("gram"), "log2": pa.array(out)})
 
-    BITS = 21
+    return by_top(counted).applyInArrow(run, "gram long, log2 double")
+
+
+class Tree:
+    """A whole small tree in memory: sorted nodes with their estimate of a 1 and their weight; scores grams as gram_scores does."""
 
     def __init__(self, node: np.ndarray, p: np.ndarray, own: np.ndarray):
         self.node, self.p, self.own = node, p, own
-        self.keys, self.logs = np.zeros(0, np.uint64), np.zeros(0, np.float32)
-        self.quick, self.quick_logs = np.full(1 << self.BITS, 2**64 - 1, np.uint64), np.zeros(1 << self.BITS, np.float32)
 
     def logs_of(self, g: np.ndarray) -> np.ndarray:
         """log2 probability of each gram's last byte after the bytes before: 8 decisions, each mixed over all kept depths."""
@@ -157,109 +251,97 @@ class Tree:
             out += np.log2(np.where(one, p, 1 - p))
         return out
 
-    def score(self, g: np.ndarray) -> np.ndarray:
-        """logs_of(g), remembering what was asked before: in a table by hash, and what that has lost in sorted order."""
+
+def _tokens(text: str | None) -> np.ndarray:
+    return _HASHES.of(text_bytes(text).lower().split())
+
+
+def _piece(table: pa.Table) -> pa.Table:
+    """What a chunk holds: its distinct grams (kind 0) and tokens (kind 1), with their counts in texts that aren't held out."""
+    chunk, parts = table.column("chunk")[0].as_py(), []
+
+    def merge(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([k for k, _ in pairs]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([n for _, n in pairs]), len(keys)).astype(np.int64)
+
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
+    for b in slices(iter(table.to_batches())):
+        texts, open_ = b.column(b.schema.get_field_index("text")).to_pylist(), ~b.column(b.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool)
+        g, owner = grams(texts)
+        tokens = [_tokens(t) for t in texts]
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        for kind, keys, n in ((0, g, open_[owner]), (1, np.concatenate([*tokens, np.zeros(len(texts), np.uint64)]), np.concatenate([np.repeat(open_, sizes), open_]))):  # the end is token 0
+            held[kind].append(merge([(keys, n.astype(np.int64))]))
+            if sum(len(k) for k, _ in held[kind]) > 4_000_000:
+                held[kind] = [merge(held[kind])]
+    for kind, pairs in held.items():
+        keys, n = merge(pairs)
+        parts.append(pa.table({"chunk": pa.array(np.full(len(keys), chunk, np.int64)), "kind": pa.array(np.full(len(keys), kind, np.int32)), "key": pa.array(keys.view(np.int64)), "n": pa.array(n)}))
+    return pa.concat_tables(parts)
+
+
+class Known:
+    """Values of 64-bit keys: a table by hash, and what that has lost in sorted order."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.quick = np.zeros(1 << (64 - int(self.shift)), np.int64)
+        self.quick[self._slot(self.keys)] = np.arange(len(keys))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            at = (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
-        out = self.quick_logs[at]
-        lost = np.flatnonzero(self.quick[at] != g)
-        if len(lost):
-            u, first, back = np.unique(g[lost], return_index=True, return_inverse=True)
-            i = np.minimum(np.searchsorted(self.keys, u), max(0, len(self.keys) - 1))
-            known = (self.keys[i] == u) if len(self.keys) else np.zeros(len(u), bool)
-            logs = np.empty(len(u), np.float32)
-            if len(self.keys):
-                logs[known] = self.logs[i[known]]
-            if not known.all():
-                logs[~known] = self.logs_of(u[~known]).astype(np.float32)
-                if len(self.keys) > 2_000_000:
-                    self.keys, self.logs = self.keys[:0], self.logs[:0]
-                keys = np.concatenate([self.keys, u[~known]])
-                order = np.argsort(keys)
-                self.keys, self.logs = keys[order], np.concatenate([self.logs, logs[~known]])[order]
-            out[lost] = logs[back]
-            self.quick[at[lost[first]]], self.quick_logs[at[lost[first]]] = u, logs
-        return out.astype(float)
-
-
-_TREES: dict[str, Tree] = {}
-
-
-def _score(name: str, held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _TREES:
-            _TREES.clear()
-            node, p, own = held.value
-            _TREES[name] = Tree(np.frombuffer(node, np.uint64), np.frombuffer(p, np.float32), np.frombuffer(own, np.float32))
-        tree = _TREES[name]
-        for b in slices(batches):
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            g, owner = grams(texts)
-            total = np.bincount(owner, tree.score(g), len(texts)) if len(g) else np.zeros(len(texts))
-            size = np.bincount(owner, minlength=len(texts)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("doc_id", "mark", "held_out")), pa.array(total), pa.array(size)], ["doc_id", "mark", "held_out", "log2", "n_bytes"])
-
-    return run
-
-
-def score(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """doc_id, mark, held_out, log2 (of the text's probability) and n_bytes of every row of docs (these and text).
-
-    The tree's size is bounded by RARE (see train). It goes to the tasks as three sorted arrays of one broadcast.
-    """
-    spark = docs.sparkSession
-    got = nodes.toArrow()
-    node = got.column("node").to_numpy().view(np.uint64)
-    order = np.argsort(node)
-    arrays = [node[order].tobytes(), got.column("p").to_numpy()[order].tobytes(), got.column("own").to_numpy()[order].tobytes()]
-    import uuid
-
-    return docs.select("doc_id", "mark", "held_out", "text").mapInArrow(_score(uuid.uuid4().hex, spark.sparkContext.broadcast(arrays)), "doc_id long, mark long, held_out boolean, log2 double, n_bytes long")
-
-
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct tokens of each text and how often they stand there; the end is token 0."""
-    for b in slices(batches, 256):
-        rows, hashes, counts = [], [], []
-        for t in b.column(3).to_pylist():
-            h, n = np.unique(_HASHES.of(text_bytes(t).lower().split()), return_counts=True)
-            rows.append(len(h) + 1)
-            hashes += [h.view(np.int64), np.zeros(1, np.int64)]
-            counts += [n.astype(np.int32), np.ones(1, np.int32)]
-        at = np.repeat(np.arange(b.num_rows), rows)
-        yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(at)) for k in range(3)), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(counts))], ["doc_id", "mark", "held_out", "token", "n"])
-
-
-def base_scores(docs: DataFrame) -> DataFrame:
-    """Unigram scores of docs (doc_id, mark, held_out, text), learnt from rows that aren't held out: doc_id, mark, n_tokens,
-    n_known, train_tokens, base_score; one row for each doc_id and mark, whose repeated rows are told by their end tokens.
-
-    Tokens count as equal if their 64-bit hashes are. Each text's distinct tokens are counted in its task; training counts are
-    pre-aggregated; texts meet counts in a join on the token, which Spark can split where a token stands in most texts.
-    """
-    seen = docs.select("doc_id", "mark", "held_out", "text").mapInArrow(_tokens, "doc_id long, mark long, held_out boolean, token long, n int")
-    counts = written(seen.where("not held_out").groupBy("token").agg(F.sum("n").alias("c")), "token-counts")
-    whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
-    met = seen.select("doc_id", "mark", "token", "n").join(counts.hint("shuffle_hash"), "token", "left")
-    c = F.coalesce("c", F.lit(0))
-    same = F.sum(F.when(F.col("token") == 0, F.col("n")).otherwise(0))
-    by_text = met.groupBy("doc_id", "mark").agg(same.alias("same"), F.sum("n").alias("n"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10(c + 0.5)).alias("top"))
-    below = F.log10(F.lit(float(whole["N"] + 0.5 * (whole["V"] + 1))))
-    score = F.col("top") / F.col("same") - F.expr("n div same") * below
-    return by_text.select("doc_id", "mark", F.expr("n div same").alias("n_tokens"), F.expr("known div same").alias("n_known"), F.lit(int(whole["N"])).cast("long").alias("train_tokens"), score.alias("base_score"))
-
-
-def lm_scores(docs: DataFrame) -> DataFrame:
+            return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        i = self.quick[self._slot(keys)]
+        lost = np.flatnonzero(self.keys[i] != keys)
+        i[lost] = np.searchsorted(self.keys, keys[lost])
+        return self.values[i]
+
+
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, top double, log2 double, n_bytes long"
+
+
+def _score(texts: pa.Table, values: pa.Table) -> pa.Table:
+    """Sums over each text of a chunk; values holds every gram (kind 0, log2) and token (kind 1, training count) of it."""
+    kind, key, value = (values.column(c).to_numpy() for c in ("kind", "key", "value"))
+    logs, counts = (Known(key[kind == k].view(np.uint64), value[kind == k]) for k in (0, 1))
+    out = []
+    for b in slices(iter(texts.select(["doc_id", "held_out", "text"]).to_batches())):
+        t = b.column(2).to_pylist()
+        g, owner = grams(t)
+        tokens = [_tokens(x) for x in t]
+        whose = np.concatenate([np.repeat(np.arange(len(t)), [len(x) for x in tokens]), np.arange(len(t))])
+        c = counts.of(np.concatenate([*tokens, np.zeros(len(t), np.uint64)]))
+        sums = [np.bincount(whose, minlength=len(t)), np.bincount(whose, c > 0, len(t)).astype(np.int64), np.bincount(whose, np.log10(c + 0.5), len(t))]
+        sums += [np.bincount(owner, logs.of(g), len(t)) if len(g) else np.zeros(len(t)), np.bincount(owner, minlength=len(t)).astype(np.int64)]
+        out.append(pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "top", "log2", "n_bytes"]))
+    return pa.Table.from_batches(out)
+
+
+def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     """Every row of docs (doc_id, held_out, text) with its base and its context-tree score, both learnt from rows that aren't
     held out: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), n_bytes, bits_per_byte.
 
     A null text is empty: one token (the end), no bytes, score 0 and bits_per_byte null. Repeated rows are scored each; a
-    null held_out counts as false. Texts are told apart by doc_id and the hash of the text.
+    null held_out counts as false. Tokens count as equal if their 64-bit hashes are. Texts are dealt by the hash of doc_id and
+    text to chunks of about chunk_bytes. A chunk's distinct grams and tokens, pre-aggregated, meet the scores of grams and the
+    counts of tokens in a join, and come back to the chunk's texts: no table that grows with the corpus is held in one place.
+    Only sums over the corpus reach the driver.
     """
     text = F.col("text").cast("string")
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("held_out", F.lit(False)).alias("held_out"), text.alias("text"), F.xxhash64(text).alias("mark"))
-    tree = train(kept.where("not held_out").select("text"))
-    own = score(kept, tree)
-    base = base_scores(kept).withColumnsRenamed({"doc_id": "base_id", "mark": "base_mark"})
-    out = own.join(base, F.col("doc_id").eqNullSafe(F.col("base_id")) & (F.col("mark") == F.col("base_mark")))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", (F.col("log2") * F.lit(log(2, 10))).alias("score"), "n_bytes", F.when(F.col("n_bytes") > 0, -F.col("log2") / F.col("n_bytes")).alias("bits_per_byte"))
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("held_out", F.lit(False)).alias("held_out"), text.alias("text"))
+    size = kept.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    kept = kept.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // chunk_bytes + 1)))
+    pieces = written(kept.select("chunk", "held_out", "text").groupBy("chunk").applyInArrow(_piece, "chunk long, kind int, key long, n long"), "pieces")
+    counted = written(pieces.where("kind = 0").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n")), "grams")
+    logs = gram_scores(counted)
+    tokens = written(pieces.where("kind = 1").groupBy("key").agg(F.sum("n").alias("c")), "token-counts")
+    whole = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count_if(F.col("c") > 0).alias("V")).first()
+    values = logs.select(F.lit(0).alias("kind"), F.col("gram").alias("key"), F.col("log2").alias("value")).unionByName(tokens.select(F.lit(1).alias("kind"), "key", F.col("c").cast("double").alias("value")))
+    met = pieces.select("chunk", "kind", "key").join(written(values, "values"), ["kind", "key"]).select("chunk", "kind", "key", "value")
+    out = kept.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_score, _SCORED)
+    base = F.col("top") - F.col("n_tokens") * F.log10(F.lit(float(whole["N"] + 0.5 * (whole["V"] + 1))))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(whole["N"])).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("log2") * F.lit(log(2, 10))).alias("score"), "n_bytes", F.when(F.col("n_bytes") > 0, -F.col("log2") / F.col("n_bytes")).alias("bits_per_byte"))

@@ -193,6 +193,23 @@ def test_context_tree_against_plain_weighting(spark):
     assert float(tree.own[tree.node == node].iloc[0]) == pytest.approx(share(b"r", (ord("a") | 256) >> 4, 3), abs=1e-5)
 
 
+def test_rare_contexts_are_kept_in_large_texts(spark):
+    """A context seen once in 1.2 MB (formerly under the share of all bytes that was kept) has its node, and joined scores
+    are those of a tree in memory."""
+    letters = np.random.default_rng(3).choice(list(b"abc "), 1_200_000).astype(np.uint8).tobytes().decode()
+    rows = [(i, i == 7, letters[i * 120_000 : (i + 1) * 120_000] + ("zyxwvq" if i == 0 else "")) for i in range(10)]
+    docs = spark.createDataFrame([*rows, (11, True, "zyxwvq zyxw?")], "doc_id long, held_out boolean, text string")
+    tree = ctw.train(docs.where("not held_out").select("text")).toPandas()
+    key = int(ctw.node_keys(np.array([int.from_bytes(b"zyxwvq", "big")], np.uint64), ctw.DEPTH, 0)[0])
+    assert key in set(tree.node)
+    order = np.argsort(tree.node.to_numpy())
+    t = ctw.Tree(tree.node.to_numpy().view(np.uint64)[order], tree.p.to_numpy(np.float32)[order], tree.own.to_numpy(np.float32)[order])
+    got = table(ctw.lm_scores(docs, chunk_bytes=200_000))
+    assert len(got) == 11
+    for i, _, text in [*rows[:1], rows[7], (11, True, "zyxwvq zyxw?")]:
+        assert got[i].score == pytest.approx(t.logs_of(ctw.grams([text])[0]).sum() * np.log10(2), rel=1e-4)
+
+
 def test_chat_round_trip(spark, sf_dir):
     c = duckdb.sql(f"SELECT conv_id, turn, role, text FROM '{sf_dir}/conversations.parquet' ORDER BY 1, 2").fetchall()
     said = "</s>[INST] ok [/INST]"
