@@ -1,7 +1,9 @@
-"""Secret scans: candidates by pattern, told apart by how many repositories and owners hold them across the corpus."""
+"""Secret scans: candidates by pattern, told apart by how many texts and owners hold them across the corpus."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,28 +28,32 @@ def candidates(text: Column) -> Column:
     )
 
 
-def scan(docs: DataFrame, most_owners: int = 1, most_repositories: int = 100) -> DataFrame:
-    """Every row of docs with its spans: doc_id, row, spans (kind, start, end, repositories, owners, live).
+def scan(docs: DataFrame, few_owners: int = 2) -> DataFrame:
+    """Every row of docs with its spans: doc_id, row, spans (kind, start, end, texts, owners, live).
 
     docs: doc_id (a repository's file), text, and source (its owner) if there; other columns are ignored. The hash of each
-    candidate's value is counted over the whole corpus: distinct repositories and distinct owners that hold it. One held by at
-    most most_owners owners and most_repositories repositories is live-looking, unless
-    it is a number without letters; others are widely copied examples. Spans of
+    candidate's value is counted over the whole corpus: distinct texts (copies of one text count once) and distinct owners that
+    hold it. It is a widely copied example if more than few_owners owners hold it, at least one owner for every two texts, and
+    no fewer than the square root of the owners in the corpus; or if it is a number without letters. Others are live-looking,
+    in however many documents of an owner, or in a mirror or two, they stand. Spans of
     kind opaque are returned only where they are live-looking and lie in no other span; those of the base kinds always.
-    Counts are pre-aggregated, a value is counted once for each repository, and a value held by a third of all rows only
+    Counts are pre-aggregated, a value is counted once for each text and owner, and a value held by a third of all rows only
     meets in partial sums; the join back is one that Spark can split. Null texts have no spans; null owners count as one.
     """
     owner = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     base = docs.select("doc_id", owner.alias("owner"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    found = base.select("doc_id", "row", F.coalesce("owner", F.lit("")).alias("owner"), F.transform(candidates(F.col("text")), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash"), ((s["kind"] == "hex") & ~s["value"].rlike("[a-f]")).alias("number"))).alias("found"))
+    found = base.select("doc_id", "row", F.coalesce("owner", F.lit("")).alias("owner"), F.xxhash64("text").alias("mark"), F.transform(candidates(F.col("text")), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash"), ((s["kind"] == "hex") & ~s["value"].rlike("[a-f]")).alias("number"))).alias("found"))
     found = written(found, "secret-candidates")
-    one = found.select("doc_id", "row", "owner", F.explode("found").alias("s")).select("doc_id", "row", "owner", "s.*")
-    holders = one.groupBy("hash", "owner", "doc_id").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("k")).groupBy("hash").agg(F.sum("k").alias("repositories"), F.count("*").alias("owners"))
-    told = one.join(holders, "hash").withColumn("live", (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories) & ~F.col("number"))
-    by_row = told.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", "repositories", "owners", "live")).alias("all"))
+    one = found.select("row", "owner", "mark", F.explode("found").alias("s")).select("row", "owner", "mark", "s.*")
+    n_owners = found.select("owner").distinct().count()
+    held = one.select("hash", "owner", "mark").distinct()
+    holders = held.groupBy("hash").agg(F.countDistinct("mark").alias("texts"), F.countDistinct("owner").alias("owners"))
+    copied = (F.col("owners") > few_owners) & (F.col("owners") * 2 >= F.col("texts")) & (F.col("owners") >= math.sqrt(n_owners))
+    told = one.join(holders, "hash").withColumn("live", ~copied & ~F.col("number"))
+    by_row = told.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", "texts", "owners", "live")).alias("all"))
     inside = lambda s, x: (x["kind"] != "opaque") & (x["start"] < s["end"]) & (s["start"] < x["end"])
     kept = F.filter("all", lambda s: (s["kind"] != "opaque") | (s["live"] & ~F.exists("all", lambda x: inside(s, x))))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,repositories:bigint,owners:bigint,live:boolean>>")
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,texts:bigint,owners:bigint,live:boolean>>")
     return found.select("doc_id", "row").join(by_row.select("row", kept.alias("spans")), "row", "left").select("doc_id", "row", F.coalesce("spans", none).alias("spans"))
 
 
@@ -60,14 +66,14 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, most_owners: int = 1, most_repositories: int = 100) -> DataFrame:
+def redact(docs: DataFrame, few_owners: int = 2) -> DataFrame:
     """docs with every live-looking secret replaced by [SECRET:kind]; all rows and columns stay, n_chars follows the text.
 
     Rows are told apart by doc_id and the hash of the text, so repeated rows are redacted alike.
     """
     marked = docs.withColumn("_mark", F.xxhash64(F.col("text").cast("string")))
     keyed = docs.select(F.struct("doc_id", F.xxhash64(F.col("text").cast("string")).alias("mark")).alias("doc_id"), "text", *(["source"] if "source" in docs.columns else []))
-    live = scan(keyed, most_owners, most_repositories).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.mark").alias("_hit"), F.filter("spans", lambda s: s["live"]).alias("_live")).where("size(_live) > 0")
+    live = scan(keyed, few_owners).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.mark").alias("_hit"), F.filter("spans", lambda s: s["live"]).alias("_live")).where("size(_live) > 0")
     live = live.groupBy("_id", "_hit").agg(F.min("_live").alias("_live"))
     out = marked.join(live, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_hit")), "left")
     text = F.when(F.col("_live").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("_live"), lambda s: F.concat(F.lit("[SECRET:"), s["kind"], F.lit("]"))))

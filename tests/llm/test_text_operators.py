@@ -54,6 +54,16 @@ def test_owner_specific_secrets_are_redacted_and_copied_ones_stay(spark):
     assert got[3].n_chars == len("mine [SECRET:assign] end") and got[5].n_chars == 0
 
 
+def test_secrets_of_one_owner_and_mirrors_are_live(spark):
+    """150 documents of one owner (copies or not), and one with a mirror, formerly counted as widely copied."""
+    many, mirrored, example = "mine1secret2value3many", "mine1secret2value3mirror", "example1secret2value3all"
+    rows = [(i, f"n{i % 120} secret: {many} end", "hot") for i in range(150)] + [(200 + i, f"secret: {mirrored} end", f"o{i}") for i in range(2)]
+    rows += [(300 + i, f"n{i} secret: {example} end", f"o{i}") for i in range(12)]
+    got = table(secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    for i, text, _ in rows:
+        assert got[i].text == (text if example in text else text.split(" secret: ")[0] + " [SECRET:assign] end" if many in text else "[SECRET:assign] end")
+
+
 @pytest.mark.parametrize("which", ["odd", "table"])
 def test_pii(spark, sf_dir, odd, docs, which):
     got = table(pii.digest(pii.scan(odd)) if which == "odd" else queries.QUERIES["op9_pii"](spark, sf_dir))
