@@ -15,7 +15,7 @@ from .common import WordHashes, slices, text_bytes, written
 
 #: Bytes of context, the last bytes of it by which the tree is parted, and the bytes of text whose distinct grams and tokens
 #: meet their scores as one group.
-DEPTH, TOP, CHUNK = 5, 2, 16 << 20
+DEPTH, TOP, CHUNK = 5, 2, 32 << 20
 _HASHES = WordHashes()
 _ONE = np.uint64(1)
 
@@ -340,7 +340,7 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     logs = gram_scores(counted)
     tokens = written(pieces.where("kind = 1").groupBy("key").agg(F.sum("n").alias("c")), "token-counts")
     whole = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count_if(F.col("c") > 0).alias("V")).first()
-    values = logs.select(F.lit(0).alias("kind"), F.col("gram").alias("key"), F.col("log2").alias("value")).unionByName(tokens.select(F.lit(1).alias("kind"), "key", F.col("c").cast("double").alias("value")))
+    values = logs.select(F.lit(0).alias("kind"), F.col("gram").alias("key"), F.col("log2").cast("float").cast("double").alias("value")).unionByName(tokens.select(F.lit(1).alias("kind"), "key", F.col("c").cast("double").alias("value")))
     met = pieces.select("chunk", "kind", "key").join(written(values, "values"), ["kind", "key"]).select("chunk", "kind", "key", "value")
     out = kept.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_score, _SCORED)
     base = F.col("top") - F.col("n_tokens") * F.log10(F.lit(float(whole["N"] + 0.5 * (whole["V"] + 1))))
