@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,22 +17,43 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Removes a job's shuffle files as soon as it has ended; what it gave lies in a written table then.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one is set only where none is."""
+    """The folder that all executors share (spark.checkpoint.dir). Where it is unset, a temporary one serves a local session; on
+    a cluster that is an error, as executors would not see each other's files."""
     if (at := spark.conf.get("spark.checkpoint.dir", None)) is None:
+        if not (master := spark.conf.get("spark.master", "local")).startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage of df: writes it to the shared folder and reads it again."""
+    """Cuts the lineage of df: writes it to the shared folder and reads it again. The shuffle files of the write go at its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes written tables whose last reader has ended."""
+    for t in tables:
+        for at in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            if re.search("-[0-9a-f]{32}$", at):
+                path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+                path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -94,21 +116,25 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", most_rounds: int = 100) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component), component being the smallest id that can be reached.
 
     Every round takes the smallest label among neighbours and then follows labels once more (pointer jumping); each round is
-    written to the shared folder. Hot nodes are met by partial aggregation and skew joins. Only a count reaches the driver.
+    written to the shared folder, and the round before deleted. Hot nodes are met by partial aggregation and skew joins. Only a
+    count reaches the driver. Rounds grow with the logarithm of the longest path; beyond most_rounds an error is raised.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = written(both.where("a <> b").distinct(), f"{name}-edges")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")), name)
-    while True:
+    for _ in range(most_rounds):
         near = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
         low = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "c").alias("low"))
         over = labels.select(F.col("id").alias("low"), F.col("component").alias("up"))
         nxt = written(low.join(over, "low", "left").select("id", "was", F.least("low", "up").alias("component")), name)
         moved = nxt.where("component <> was").limit(1).count()
+        drop(labels)
         labels = nxt.select("id", "component")
         if not moved:
+            drop(both)
             return labels
+    raise RuntimeError(f"labels still move after {most_rounds} rounds")

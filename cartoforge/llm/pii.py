@@ -80,7 +80,7 @@ def scan(docs: DataFrame, reach: int = 80, disclosure: float = 0.8, support: int
         return out.select("doc_id", F.col("base").alias("spans"))
     total = found.count()
     terms = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
-    df_t = texts.select(F.explode(F.array_distinct(F.transform(native_words(F.col("text")), F.lower))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("df_t"))
+    df_t = texts.select(F.explode(F.array_distinct(F.transform(native_words(F.col("text")), F.lower))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")).join(terms, "term")
     df_e = one.groupBy("entity", "row").agg(F.lit(1).alias("x")).groupBy("entity").agg(F.count("*").alias("df_e"))
     both = one.select("row", "entity", F.explode("near").alias("w")).select("row", "entity", F.col("w.term").alias("term")).join(joint, ["entity", "term"]).groupBy("entity", "term", "row").agg(F.lit(1).alias("x")).groupBy("entity", "term").agg(F.count("*").alias("df_te"))
     pmi = F.log2(F.col("df_te") * F.lit(float(total)) / (F.col("df_t") * F.col("df_e")))

@@ -9,18 +9,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, mix, slices, words_of, written
+from .common import WordHashes, components, drop, mix, slices, words_of, written
 
 _HASHES = WordHashes()
 #: Segments beyond what the pigeonhole needs, so that the smallest ones can go without a signature.
 SLACK = 1.3
 #: Cost of checking a candidate pair, in signature rows.
 PAIR_COST = 4.0
-#: Members that each turn checks the others of a signature's group against, and turns until all pairs of different components are checked.
+#: Members that each turn checks the others of a signature's group against, and turns until what is left is checked by pairs.
 HUBS, HUB_TURNS = 4, 2
+#: Sets whose signatures a task remembers having given.
+SEEN = 1_000_000
 #: 256 parities of a set's hashes: two sets' parities differ in at most as many places as the sets differ in elements.
 SKETCH = ("p0", "p1", "p2", "p3")
 
@@ -134,29 +136,51 @@ def _signatures(h: np.ndarray, d: np.ndarray, n: np.ndarray, band: np.ndarray, p
     return np.concatenate(out_d), np.concatenate(out_s)
 
 
-def _scan(width: int, plan: list[Band], num: int, den: int):
-    lows = np.array([b.low for b in plan], np.int64)
-    highs = np.array([b.high for b in plan], np.int64)
+def _marks(h: np.ndarray, d: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums over each set, by which equal sets are known."""
+    marks = np.zeros((2, len(n)), np.uint64)
+    np.add.at(marks[0], d, mix(h ^ np.uint64(0xD6E8FEB86659FD93)))
+    np.add.at(marks[1], d, mix(h + np.uint64(0xA0761D6478BD642F)))
+    return marks.view(np.int64)
 
+
+def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             h, d, n = flat_sets(b.column(1).to_pylist(), width)
             odd = np.bincount(d * 256 + (mix(h ^ np.uint64(0x9FB21C651E98DF25)) >> np.uint64(56)).astype(np.int64), minlength=256 * len(n)) & 1
             sketch = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(n), 4)
-            marks = np.zeros((2, len(n)), np.uint64)
-            np.add.at(marks[0], d, mix(h ^ np.uint64(0xD6E8FEB86659FD93)))
-            np.add.at(marks[1], d, mix(h + np.uint64(0xA0761D6478BD642F)))
-            own = np.where(n > 0, np.searchsorted(lows, n, "right") - 1, -1)
+            marks = _marks(h, d, n)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *map(pa.array, marks), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(4))], ["doc_id", "n_shingles", "mark1", "mark2", *SKETCH])
+
+    return run
+
+
+def _signature_rows(width: int, plan: list[Band], num: int, den: int):
+    """(sig, mark1, mark2) of every set; a set that the task has had is left out while it is remembered."""
+    lows = np.array([b.low for b in plan], np.int64)
+    highs = np.array([b.high for b in plan], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for b in slices(batches):
+            h, d, n = flat_sets(b.column(0).to_pylist(), width)
+            marks = _marks(h, d, n)
+            fresh = np.zeros(len(n), bool)
+            if len(seen) > SEEN:
+                seen.clear()
+            for i, m in enumerate(zip(*marks.tolist())):
+                if n[i] and m not in seen:
+                    seen.add(m)
+                    fresh[i] = True
+            own = np.where(fresh, np.searchsorted(lows, n, "right") - 1, -1)
             got = [_signatures(h, d, n, own, plan)]
             other = own - 1  # smaller partners have at least num/den of this size
             while ((some := (other >= 0) & (highs[other] * den >= num * n))).any():
                 got.append(_signatures(h, d, n, np.where(some, other, -1), plan))
                 other = np.where(some, other - 1, -1)
-            od, os = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-            os = os[np.argsort(od, kind="stable")].view(np.int64)
-            ends = np.concatenate(([0], np.cumsum(np.bincount(od, minlength=len(n))))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(os))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(4)), lists], ["doc_id", "n_shingles", "mark1", "mark2", *SKETCH, "sigs"])
+            for od, os in got:
+                yield pa.RecordBatch.from_arrays([pa.array(os.view(np.int64)), *(pa.array(m[od]) for m in marks)], ["sig", "mark1", "mark2"])
 
     return run
 
@@ -171,6 +195,22 @@ def _sets(width: int):
     return run
 
 
+def _rare_pairs(open_sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of open_sets (rid, component, of, set) of different components that share one of their rarest elements.
+
+    With elements ordered by the number of sets that hold them, two linked sets share one among the first
+    n - ceil(num/den * n) + 1 of each: what many unlike sets share, as of a template, comes last and makes no pairs.
+    """
+    element = open_sets.select("rid", "component", "of", F.size("set").alias("n"), F.explode("set").alias("element"))
+    shared = element.groupBy("element").agg(F.count("*").alias("df")).where("df > 1")
+    held = element.join(shared, "element")
+    every = Window.partitionBy("rid", "of")
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    # elements of one set only come first in the order, and match nothing
+    first = held.withColumn("place", F.row_number().over(every.orderBy("df", "element"))).withColumn("alone", F.col("n") - F.count("*").over(every)).where(F.col("place") + F.col("alone") <= prefix)
+    return first.select("element", "rid", "component", "of")
+
+
 def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, pairs_per_doc: float = 4.0) -> DataFrame:
     """Groups documents whose sets of `width`-word shingles have Jaccard similarity of num/den or more, transitively.
 
@@ -180,33 +220,34 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     1. Each text's set is hashed to 64-bit shingles. Sets are put in size bands; a band's universe is cut into segments, and a
        set emits signatures of segments (cost-based: exact ones or one-deletion neighbourhoods) of its own band and of lower
        bands where partners may be. By the pigeonhole principle two linked sets share a signature.
-    2. Equal sets collapse to their smallest doc_id, so a group of exact copies costs one set.
+    2. Equal sets collapse to their smallest doc_id, so a group of exact copies costs one set; a task emits the signatures of
+       a repeated set once.
     3. Sharing a signature makes candidates. First all members of a signature's group are checked against one of them, links
-       make components, and only groups that still hold several components go on: further hubs, at last all pairs of
-       different components. Each turn takes other hubs (HUBS of them, by hash), so that a group of near copies falls together
-       even where many of its pairs miss the threshold. Candidates that sizes or parities (SKETCH) prove unlike go; every other one is checked exactly on the whole sets, so no link between components is lost,
-       and a large group of near copies needs about one check for each member.
+       make components, and only groups that still hold several components go on: further hubs (HUBS of them a turn, by hash,
+       so that a group of near copies falls together even where many of its pairs miss the threshold), and at last pairs of
+       different components. Are those more than pairs_per_doc for each set, as where a template gives many unlike sets a
+       segment, the members left open are paired by their rarest elements instead (prefix filter). Candidates that sizes or
+       parities (SKETCH) prove unlike go; every other one is checked exactly on the whole sets, so no link between components is
+       lost, and a large group of near copies needs about one check for each member.
 
     Nulls and texts without words have empty sets (n_shingles 0) and are linked with nothing. Rows that share a doc_id are one
     node. A row whose doc_id is null never gives a group its name. An empty table gives an empty result.
-    Shingles count as equal if their 64-bit hashes are.
+    Shingles count as equal if their 64-bit hashes are, sets if two such sums of theirs are.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     plan = bands(num, den, float(max(texts.count(), 1)), 1 << 40)
-    scanned = written(texts.mapInArrow(_scan(width, plan, num, den), f"doc_id long, n_shingles long, mark1 long, mark2 long, {' long, '.join(SKETCH)} long, sigs array<long>"), "shingles")
-    marks = scanned.where("n_shingles > 0").groupBy("mark1", "mark2").agg(F.min("doc_id").alias("rid"))
-    marks = written(marks, "sets").where("rid is not null")
-    # a repeated row gives its signatures twice, which distinct() below undoes for the few that are shared
-    reps = scanned.join(marks, ["mark1", "mark2"]).where("doc_id = rid")
-    sigs = reps.select("rid", F.explode("sigs").alias("sig")).repartition("sig")
-    shared = sigs.groupBy("sig").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high").select("sig")
-    members = written(sigs.join(shared, "sig").distinct(), "members")
+    scanned = written(texts.mapInArrow(_scan(width), f"doc_id long, n_shingles long, mark1 long, mark2 long, {' long, '.join(SKETCH)} long"), "shingles")
+    of = F.struct("n_shingles", *SKETCH)
+    marks = scanned.where("n_shingles > 0").groupBy("mark1", "mark2").agg(F.min("doc_id").alias("rid"), *(F.min(c).alias(c) for c in ("n_shingles", *SKETCH)))
+    marks = written(marks.where("rid is not null").select("mark1", "mark2", "rid", of.alias("of")), "sets")
+    sigs = texts.select("text").mapInArrow(_signature_rows(width, plan, num, den), "sig long, mark1 long, mark2 long").repartition("sig")
+    shared = sigs.groupBy("sig").agg(*(f(m).alias(f"{f.__name__}_{m}") for m in ("mark1", "mark2") for f in (F.min, F.max))).where("min_mark1 < max_mark1 or min_mark2 < max_mark2").select("sig")
+    pairs_of = written(sigs.join(shared, "sig").distinct(), "shared-signatures")
+    members = written(pairs_of.join(marks, ["mark1", "mark2"]).select("sig", "rid", "of").distinct(), "members")
     inside = members.select("rid").distinct()
     sets = texts.join(inside.withColumnRenamed("rid", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "rid long, set array<long>")
     sets = written(sets, "candidate-sets")
-    traits = ["n_shingles", *SKETCH]
-    members = members.join(written(reps.join(inside, "rid", "left_semi").select("rid", F.struct(*traits).alias("of")).dropDuplicates(["rid"]), "traits"), "rid")
+    drop(pairs_of)
 
     def may_link(x: str, y: str) -> Column:
         """False only for pairs that sizes or parities prove to be unlike."""
@@ -224,28 +265,35 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     groups = None
     known = inside.select("rid", F.col("rid").alias("component"))
     n_inside = inside.count()
+    spent = [members, sets]
     for turn in range(HUB_TURNS + 1):
         now = members.join(known, "rid", "left").select("sig", "rid", "of", F.coalesce("component", "rid").alias("component"))
         parts = now.groupBy("sig", "component").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("rid", F.pmod("sig", F.lit(HUBS)), F.lit(turn)).alias("h"), "rid", "of")).alias("hub"))
         still = parts.groupBy("sig").agg(F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"), F.min(F.struct("hub", "component")).alias("hub")).where("parts > 1")
         still = written(still.select("sig", ((F.col("k") * F.col("k") - F.col("k2")) / 2).alias("pairs"), F.col("hub.hub.rid").alias("hub"), F.col("hub.hub.of").alias("hub_of"), F.col("hub.component").alias("part")), "open")
+        spent.append(still)
         cost = still.agg(F.sum("pairs").alias("pairs"), F.count("*").alias("n")).first()
         if not cost["n"]:
             break
-        last = turn == HUB_TURNS or turn and cost["pairs"] <= pairs_per_doc * n_inside
+        few = cost["pairs"] <= pairs_per_doc * n_inside
+        last = turn == HUB_TURNS or (turn > 0 and few)
         if last:
             one = now.join(still.select("sig"), "sig")
+            if not few:  # the same pairs in question, met by their rarest elements
+                one = _rare_pairs(one.select("rid", "component", "of").distinct().join(sets, "rid"), num, den).withColumnRenamed("element", "sig")
             pairs = one.alias("x").join(one.alias("y"), F.expr("x.sig = y.sig and x.component < y.component") & may_link("x.of", "y.of")).select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"))
         else:
             pairs = now.join(still.drop("pairs"), "sig").where((F.col("component") != F.col("part")) & may_link("of", "hub_of")).select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b"))
         pairs = pairs.distinct()
         new = written(check(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")), "checked")
+        spent.append(new)
         tested = new if tested is None else tested.unionByName(new)
         groups = components(tested.where("linked"))
         known = groups.withColumnRenamed("id", "rid")
         if last:
             break
-    named = marks if groups is None else marks.join(groups.withColumnRenamed("id", "rid"), "rid", "left").select("mark1", "mark2", "rid", "component")
-    named = named.select("mark1", "mark2", F.coalesce(F.col("component"), F.col("rid")).alias("component_id")) if groups is not None else named.select("mark1", "mark2", F.col("rid").alias("component_id"))
+    drop(*spent)
+    named = marks.select("mark1", "mark2", "rid", F.lit(None).cast("long").alias("component")) if groups is None else marks.join(groups.withColumnRenamed("id", "rid"), "rid", "left")
+    named = named.select("mark1", "mark2", F.coalesce("component", "rid").alias("component_id"))
     out = scanned.select("doc_id", "n_shingles", "mark1", "mark2").join(named, ["mark1", "mark2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
