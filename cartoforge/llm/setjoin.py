@@ -9,7 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, components, drop, mix, slices, words_of, written
@@ -23,8 +23,9 @@ PAIR_COST = 4.0
 HUBS, HUB_TURNS = 4, 2
 #: Sets whose signatures a task remembers having given.
 SEEN = 1_000_000
-#: 256 parities of a set's hashes: two sets' parities differ in at most as many places as the sets differ in elements.
-SKETCH = ("p0", "p1", "p2", "p3")
+#: 256 parities of a set's hashes: two sets' parities differ in at most as many places as the sets differ in elements. Pairs that
+#: pass are compared by WIDE parities before whole sets are fetched.
+SKETCH, WIDE = ("p0", "p1", "p2", "p3"), 4096
 
 
 @dataclass(frozen=True)
@@ -144,12 +145,18 @@ def _marks(h: np.ndarray, d: np.ndarray, n: np.ndarray) -> np.ndarray:
     return marks.view(np.int64)
 
 
+def _parities(h: np.ndarray, d: np.ndarray, n: int, bits: int, salt: int) -> np.ndarray:
+    """`bits` parities of each of n sets, as rows of 64-bit numbers."""
+    place = (mix(h ^ np.uint64(salt)) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    odd = np.bincount(d * bits + place, minlength=bits * n) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(n, bits // 64)
+
+
 def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             h, d, n = flat_sets(b.column(1).to_pylist(), width)
-            odd = np.bincount(d * 256 + (mix(h ^ np.uint64(0x9FB21C651E98DF25)) >> np.uint64(56)).astype(np.int64), minlength=256 * len(n)) & 1
-            sketch = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(n), 4)
+            sketch = _parities(h, d, len(n), 256, 0x9FB21C651E98DF25)
             marks = _marks(h, d, n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *map(pa.array, marks), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(4))], ["doc_id", "n_shingles", "mark1", "mark2", *SKETCH])
 
@@ -187,31 +194,31 @@ def _signature_rows(width: int, plan: list[Band], num: int, den: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            h, _, n = flat_sets(b.column(1).to_pylist(), width)
+        for b in slices(batches, 128):
+            h, d, n = flat_sets(b.column(1).to_pylist(), width)
             ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["rid", "set"])
+            wide = _parities(h, d, len(n), WIDE, 0x5851F42D4C957F2D).reshape(-1)
+            wides = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (WIDE // 64)), pa.array(wide))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), wides, pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["rid", "n", "wide", "set"])
 
     return run
 
 
-def _rare_pairs(open_sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of open_sets (rid, component, of, set) of different components that share one of their rarest elements.
+def _rarest(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of each set (rid, set) its rarest elements, as far as one of them must be shared with every linked set: element, rid.
 
     With elements ordered by the number of sets that hold them, two linked sets share one among the first
     n - ceil(num/den * n) + 1 of each: what many unlike sets share, as of a template, comes last and makes no pairs.
     """
-    element = open_sets.select("rid", "component", "of", F.size("set").alias("n"), F.explode("set").alias("element"))
-    shared = element.groupBy("element").agg(F.count("*").alias("df")).where("df > 1")
-    held = element.join(shared, "element")
-    every = Window.partitionBy("rid", "of")
-    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    # elements of one set only come first in the order, and match nothing
-    first = held.withColumn("place", F.row_number().over(every.orderBy("df", "element"))).withColumn("alone", F.col("n") - F.count("*").over(every)).where(F.col("place") + F.col("alone") <= prefix)
-    return first.select("element", "rid", "component", "of")
+    element = sets.select("rid", F.explode("set").alias("element"))
+    held = element.join(element.groupBy("element").agg(F.count("*").alias("df")).where("df > 1"), "element")
+    # elements of one set only come first in the order, and match nothing: only their number counts
+    by_set = held.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("common")).join(sets.select("rid", F.size("set").alias("n")), "rid")
+    left = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.size("common"))
+    return by_set.where(left > 0).select("rid", F.explode(F.slice("common", F.lit(1), left.cast("int"))).alias("e")).select("e.element", "rid")
 
 
-def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, pairs_per_doc: float = 4.0) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, pairs_per_element: float = 4.0) -> DataFrame:
     """Groups documents whose sets of `width`-word shingles have Jaccard similarity of num/den or more, transitively.
 
     docs: doc_id, text; other columns are ignored. Returns a row for each row of docs: doc_id, n_shingles, component_id (the
@@ -225,8 +232,9 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     3. Sharing a signature makes candidates. First all members of a signature's group are checked against one of them, links
        make components, and only groups that still hold several components go on: further hubs (HUBS of them a turn, by hash,
        so that a group of near copies falls together even where many of its pairs miss the threshold), and at last pairs of
-       different components. Are those more than pairs_per_doc for each set, as where a template gives many unlike sets a
-       segment, the members left open are paired by their rarest elements instead (prefix filter). Candidates that sizes or
+       different components. Are those more than pairs_per_element for each shingle of all candidate sets, as where a template
+       gives many unlike sets a segment, the members left open meet by their rarest shingles instead (prefix filter), so work
+       stays in proportion to the sets. Candidates that sizes or
        parities (SKETCH) prove unlike go; every other one is checked exactly on the whole sets, so no link between components is
        lost, and a large group of near copies needs about one check for each member.
 
@@ -236,6 +244,7 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     plan = bands(num, den, float(max(texts.count(), 1)), 1 << 40)
+    spent: list[DataFrame] = []
     scanned = written(texts.mapInArrow(_scan(width), f"doc_id long, n_shingles long, mark1 long, mark2 long, {' long, '.join(SKETCH)} long"), "shingles")
     of = F.struct("n_shingles", *SKETCH)
     marks = scanned.where("n_shingles > 0").groupBy("mark1", "mark2").agg(F.min("doc_id").alias("rid"), *(F.min(c).alias(c) for c in ("n_shingles", *SKETCH)))
@@ -245,7 +254,7 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     pairs_of = written(sigs.join(shared, "sig").distinct(), "shared-signatures")
     members = written(pairs_of.join(marks, ["mark1", "mark2"]).select("sig", "rid", "of").distinct(), "members")
     inside = members.select("rid").distinct()
-    sets = texts.join(inside.withColumnRenamed("rid", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "rid long, set array<long>")
+    sets = texts.join(inside.withColumnRenamed("rid", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "rid long, n long, wide array<long>, set array<long>")
     sets = written(sets, "candidate-sets")
     drop(pairs_of)
 
@@ -256,16 +265,20 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
         return ((den + num) * apart <= (den - num) * (n + k)) & (den * F.least(n, k) >= num * F.greatest(n, k))
 
     def check(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) with their verdict."""
-        sized = pairs.join(sets.select(F.col("rid").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("rid").alias("a"), F.col("set").alias("sa")), "a")
+        """Those of pairs (a, b) that WIDE parities leave in question, with their verdict."""
+        seen = pairs.join(sets.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b").join(sets.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a")
+        apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+        seen = written(seen.where((den + num) * apart <= (den - num) * (F.col("na") + F.col("nb"))).select("a", "b").distinct(), "in-question")
+        spent.append(seen)
+        sized = seen.join(sets.select(F.col("rid").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("rid").alias("a"), F.col("set").alias("sa")), "a")
         both = F.size(F.array_intersect("sa", "sb"))
         return sized.select("a", "b", (den * both >= num * (F.size("sa") + F.size("sb") - both)).alias("linked"))
 
     tested: DataFrame | None = None
     groups = None
     known = inside.select("rid", F.col("rid").alias("component"))
-    n_inside = inside.count()
-    spent = [members, sets]
+    within = sets.agg(F.count("*").alias("sets"), F.coalesce(F.sum(F.size("set")), F.lit(0)).alias("shingles")).first()
+    spent += [members, sets]
     for turn in range(HUB_TURNS + 1):
         now = members.join(known, "rid", "left").select("sig", "rid", "of", F.coalesce("component", "rid").alias("component"))
         parts = now.groupBy("sig", "component").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("rid", F.pmod("sig", F.lit(HUBS)), F.lit(turn)).alias("h"), "rid", "of")).alias("hub"))
@@ -275,12 +288,14 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
         cost = still.agg(F.sum("pairs").alias("pairs"), F.count("*").alias("n")).first()
         if not cost["n"]:
             break
-        few = cost["pairs"] <= pairs_per_doc * n_inside
-        last = turn == HUB_TURNS or (turn > 0 and few)
+        few = cost["pairs"] <= pairs_per_element * within["shingles"]
+        last = turn == HUB_TURNS or (turn > 0 and cost["pairs"] <= 4 * within["sets"])
         if last:
             one = now.join(still.select("sig"), "sig")
             if not few:  # the same pairs in question, met by their rarest elements
-                one = _rare_pairs(one.select("rid", "component", "of").distinct().join(sets, "rid"), num, den).withColumnRenamed("element", "sig")
+                left = written(one.select("rid", "component", "of").distinct(), "left-open")
+                spent.append(left)
+                one = _rarest(sets.join(left.select("rid").distinct(), "rid", "left_semi"), num, den).withColumnRenamed("element", "sig").join(left, "rid")
             pairs = one.alias("x").join(one.alias("y"), F.expr("x.sig = y.sig and x.component < y.component") & may_link("x.of", "y.of")).select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"))
         else:
             pairs = now.join(still.drop("pairs"), "sig").where((F.col("component") != F.col("part")) & may_link("of", "hub_of")).select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b"))

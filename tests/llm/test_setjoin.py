@@ -43,7 +43,7 @@ def texts(seed, n=200):
 def test_same_groups_as_brute_force(spark, seed, width, num, pairs):
     rows = texts(seed) + [(900, None), (901, ""), (902, " \t\n"), (903, "ONE two"), (904, "one TWO"), (905, "É a b c"), (906, "é a b c")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("set", __import__("pyspark").sql.functions.lit(1)).repartition(5)
-    got = {tuple(r) for r in near_groups(df, width, num, 100, pairs_per_doc=pairs).collect()}
+    got = {tuple(r) for r in near_groups(df, width, num, 100, pairs_per_element=pairs).collect()}
     assert got == brute(rows, width, num, 100)
 
 
@@ -71,14 +71,14 @@ def test_plan_covers_all_sizes():
 def test_one_template_in_unlike_texts_makes_few_pairs(spark):
     from pyspark.sql import functions as F
 
-    from cartoforge.llm.setjoin import _rare_pairs
+    from cartoforge.llm.setjoin import _rarest
 
     r = random.Random(5)
     template = [f"t{i}" for i in range(60)]
     rows = [(i, " ".join(template + [f"u{r.randrange(10**9)}" for _ in range(60)])) for i in range(400)]
     rows += [(1000 + i, rows[i][1] + " more") for i in range(20)]
-    got = {r.doc_id: r.component_id for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100, pairs_per_doc=0.0).collect()}
+    got = {r.doc_id: r.component_id for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100, pairs_per_element=0.0).collect()}
     assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
-    sets = [(i, i, (118, 0, 0, 0, 0), [hash(x) for x in zip(t.split(), t.split()[1:], t.split()[2:])]) for i, t in rows]
-    rare = _rare_pairs(spark.createDataFrame(sets, "rid long, component long, of struct<n:long,a:long,b:long,c:long,d:long>, set array<long>"), 90, 100)
+    sets = [(i, [hash(x) for x in zip(t.split(), t.split()[1:], t.split()[2:])]) for i, t in rows]
+    rare = _rarest(spark.createDataFrame(sets, "rid long, set array<long>"), 90, 100)
     assert rare.groupBy("element").count().agg(F.max("count")).first()[0] == 2
