@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, slices, text_bytes, written
+from .common import WordHashes, drop, slices, text_bytes, written
 
+#: What ends a text: a byte that UTF-8 never uses. It is coded as the bytes are, so the scores of all texts add up to 1.
+END = b"\xff"
 #: Bytes of context, the last bytes of it by which the tree is parted, and the bytes of text whose distinct grams and tokens
 #: meet their scores as one group.
 DEPTH, TOP, CHUNK = 5, 2, 32 << 20
@@ -21,8 +23,9 @@ _ONE = np.uint64(1)
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(DEPTH + 1)-byte strings ending at each byte, as numbers, and the text each is of; a text starts after zero bytes."""
-    raw = [text_bytes(t) for t in texts]
+    """(DEPTH + 1)-byte strings ending at each byte, as numbers, and the text each is of; a text starts after zero bytes and
+    ends with END."""
+    raw = [text_bytes(t) + END for t in texts]
     pad = b"\0" * DEPTH
     a = np.frombuffer(pad.join([b"", *raw]), np.uint8) if raw else np.zeros(0, np.uint8)
     n = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -316,7 +319,7 @@ def _score(texts: pa.Table, values: pa.Table) -> pa.Table:
         whose = np.concatenate([np.repeat(np.arange(len(t)), [len(x) for x in tokens]), np.arange(len(t))])
         c = counts.of(np.concatenate([*tokens, np.zeros(len(t), np.uint64)]))
         sums = [np.bincount(whose, minlength=len(t)), np.bincount(whose, c > 0, len(t)).astype(np.int64), np.bincount(whose, np.log10(c + 0.5), len(t))]
-        sums += [np.bincount(owner, logs.of(g), len(t)) if len(g) else np.zeros(len(t)), np.bincount(owner, minlength=len(t)).astype(np.int64)]
+        sums += [np.bincount(owner, logs.of(g), len(t)), np.bincount(owner, minlength=len(t)).astype(np.int64) - 1]
         out.append(pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "top", "log2", "n_bytes"]))
     return pa.Table.from_batches(out)
 
@@ -325,7 +328,7 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     """Every row of docs (doc_id, held_out, text) with its base and its context-tree score, both learnt from rows that aren't
     held out: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), n_bytes, bits_per_byte.
 
-    A null text is empty: one token (the end), no bytes, score 0 and bits_per_byte null. Repeated rows are scored each; a
+    A null text is empty: one token (the end), no bytes, the score of ending at once, and bits_per_byte null. Repeated rows are scored each; a
     null held_out counts as false. Tokens count as equal if their 64-bit hashes are. Texts are dealt by the hash of doc_id and
     text to chunks of about chunk_bytes. A chunk's distinct grams and tokens, pre-aggregated, meet the scores of grams and the
     counts of tokens in a join, and come back to the chunk's texts: no table that grows with the corpus is held in one place.
@@ -341,7 +344,10 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     tokens = written(pieces.where("kind = 1").groupBy("key").agg(F.sum("n").alias("c")), "token-counts")
     whole = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count_if(F.col("c") > 0).alias("V")).first()
     values = logs.select(F.lit(0).alias("kind"), F.col("gram").alias("key"), F.col("log2").cast("float").cast("double").alias("value")).unionByName(tokens.select(F.lit(1).alias("kind"), "key", F.col("c").cast("double").alias("value")))
-    met = pieces.select("chunk", "kind", "key").join(written(values, "values"), ["kind", "key"]).select("chunk", "kind", "key", "value")
+    values = written(values, "values")
+    drop(counted, tokens)
+    met = written(pieces.select("chunk", "kind", "key").join(values, ["kind", "key"]).select("chunk", "kind", "key", "value"), "met")
+    drop(pieces, values)
     out = kept.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_score, _SCORED)
     base = F.col("top") - F.col("n_tokens") * F.log10(F.lit(float(whole["N"] + 0.5 * (whole["V"] + 1))))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(whole["N"])).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("log2") * F.lit(log(2, 10))).alias("score"), "n_bytes", F.when(F.col("n_bytes") > 0, -F.col("log2") / F.col("n_bytes")).alias("bits_per_byte"))
