@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,14 +53,16 @@ _FIELDS = [("pack", pa.int64()), ("conv_id", pa.int64()), ("depth", pa.int64()),
 SCHEMA = "pack long, conv_id long, depth long, start long, length long, position long, loss_from long, loss_to long, ids binary, sees array<struct<start:long,end:long>>, path array<long>"
 
 
-def _joined(spans: list[tuple[int, int]]) -> list[dict]:
-    out: list[list[int]] = []
-    for a, e in spans:
-        if out and out[-1][1] == a:
-            out[-1][1] = e
-        else:
-            out.append([a, e])
-    return [{"start": a, "end": e} for a, e in out]
+def _see(sees: list[list[int]], start: int, end: int) -> None:
+    """Adds an interval to merged ones, behind all of them: a chain of new turns stays one interval."""
+    if sees and sees[-1][1] == start:
+        sees[-1][1] = end
+    else:
+        sees.append([start, end])
+
+
+def _intervals(sees: list[list[int]]) -> list[dict]:
+    return [{"start": a, "end": e} for a, e in sees]
 
 
 def _emit(vocabulary: str, trained: str):
@@ -70,6 +71,7 @@ def _emit(vocabulary: str, trained: str):
 
         pieces, pack = _pieces(vocabulary), TaskContext.get().partitionId()
         stack: list[tuple[bytes, int, int]] = []  # turns of the last conversation: hash, start, length
+        sees: list[list[int]] = []  # what they cover, neighbours merged
         end, rows = 0, []
 
         def flush() -> pa.RecordBatch:
@@ -83,18 +85,22 @@ def _emit(vocabulary: str, trained: str):
                 shared = 0
                 while shared < min(len(keys), len(stack)) and stack[shared][0] == keys[shared]:
                     shared += 1
-                del stack[shared:]
+                if shared < len(stack):
+                    del stack[shared:]
+                    sees = []
+                    for _, s, k in stack:
+                        _see(sees, s, s + k)
                 for depth in range(shared, len(keys)):
                     role, text = turns[depth]["role"] or "", turns[depth]["text"] or ""
-                    head, said, stop = (pieces.ids(x) for x in (f"{OPEN}{escape(role)}{CLOSE}", escape(text), STOP))
+                    head, said, stop = pieces.ids([f"{OPEN}{escape(role)}{CLOSE}", escape(text), STOP])
                     a, n = len(head) // 2, len(said) // 2
                     size = a + n + len(stop) // 2
-                    place = sum(x[2] for x in stack) if depth == shared else rows[-1][5] + rows[-1][4]
                     loss = (a, a + n) if role == trained else (0, 0)
-                    rows.append((pack, None, depth, end, size, place, *loss, head + said + stop, _joined([(s, s + k) for _, s, k in stack]), None))
+                    rows.append((pack, None, depth, end, size, sum(e - s for s, e in sees), *loss, head + said + stop, _intervals(sees), None))
                     stack.append((keys[depth], end, size))
+                    _see(sees, end, end + size)
                     end += size
-                rows.append((pack, conv, len(keys), end, 0, 0, 0, 0, None, _joined([(s, s + k) for _, s, k in stack]), [s for _, s, _ in stack]))
+                rows.append((pack, conv, len(keys), end, 0, 0, 0, 0, None, _intervals(sees), [s for _, s, _ in stack]))
                 if len(rows) >= 2048:
                     yield flush()
         if rows:
@@ -127,15 +133,14 @@ def format_tree(conversations: DataFrame, vocabulary: str = VOCABULARY, trained:
 
 def _read(vocabulary: str, trained: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _pieces(vocabulary).coder
+        pieces = _pieces(vocabulary)
         for b in batches:
             out = []
             for conv, nodes in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 text, learnt = [], []
                 for n in nodes or []:
-                    ids = np.frombuffer(n["ids"], "<u2").tolist()
-                    text.append(coder.decode_bytes(ids).decode("utf-8", "surrogatepass"))
-                    learnt.append(coder.decode_bytes(ids[n["loss_from"] : n["loss_to"]]).decode("utf-8", "surrogatepass"))
+                    text.append(pieces.text(n["ids"]))
+                    learnt.append(pieces.text(n["ids"][2 * n["loss_from"] : 2 * n["loss_to"]]))
                 turns, loss = parse("".join(text)), unescape("".join(learnt))
                 digest = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
                 out.append((conv, len(turns), digest("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), digest(loss), sum(map(len, text))))
@@ -146,7 +151,9 @@ def _read(vocabulary: str, trained: str):
 
 
 def read_back(tree: DataFrame, vocabulary: str = VOCABULARY, trained: str = "assistant") -> DataFrame:
-    """Every conversation of format_tree()'s rows, decoded along its path: turns, text under the loss mask, sizes."""
+    """Every conversation of format_tree()'s rows, decoded along its path: turns, text under the loss mask, sizes. The tree is
+    written first, as its nodes and its paths are read apart."""
+    tree = written(tree, "chat-tree")
     nodes = tree.where("path is null").select("pack", "start", "depth", F.struct("depth", "ids", "loss_from", "loss_to").alias("node"))
     steps = tree.where("path is not null").select("pack", "conv_id", F.explode("path").alias("start"))
     whole = steps.join(nodes, ["pack", "start"]).groupBy("conv_id").agg(F.sort_array(F.collect_list("node")).alias("nodes"))

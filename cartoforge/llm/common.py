@@ -62,6 +62,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Those names, lengthened until df has no column (in any letter case) of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 
 from .common import slices, written
 
-#: Folder of vocabulary files, file name and the piece pattern of byte-level BPE.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: The same pattern for texts of ASCII and Latin-1 letters only, where re's classes mean the same.
+#: Vocabulary file of byte-level BPE for the tokenizers library: a path, or the name of a public one.
+VOCABULARY = "byte_bpe_50k.json"
+#: Pieces that the BPE never merges across, in texts of ASCII and Latin-1 letters only (others are encoded as wholes).
 EASY = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\t-\r\x20A-Za-zÀ-ÖØ-öø-ÿ0-9]+|[\t-\r\x20]+(?![^\t-\r\x20])|[\t-\r\x20]+"
 HARD = r"[^\t-\r\x20-\x7EÀ-ÖØ-öø-ÿ]"
 END, DIMS, BITS, BUCKETS = 1, 4, 10, 4096
+#: Leading bits of a key by which tokens are counted before they are dealt out: 65,536 counts at most.
+COARSE = 16
 
 
 class _Pieces(dict):
@@ -31,30 +32,47 @@ class _Pieces(dict):
     MOST = 1_000_000
 
     def __init__(self, vocabulary: str):
-        import base64
         import re
 
-        import tiktoken
+        from tokenizers import Tokenizer
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        if max(ranks.values()) >= 1 << 16:
+        if "/" not in vocabulary:
+            import public_tokenizers
+
+            vocabulary = str(public_tokenizers.path(vocabulary))
+        self.coder = Tokenizer.from_file(vocabulary)
+        self.coder.encode_special_tokens = True  # their strings in a text are ordinary text
+        if self.coder.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        self.coder = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.piece = self.coder._core_bpe.encode_single_piece
         self.pack = (lambda ids: array("H", ids).tobytes()) if sys.byteorder == "little" else (lambda ids: np.array(ids, "<u2").tobytes())
+        self.spaced = np.zeros(self.coder.get_vocab_size(), bool)
+        self.spaced[[i for t, i in self.coder.get_vocab().items() if t.startswith("Ġ")]] = True
         self.easy, self.hard = re.compile(EASY).findall, re.compile(HARD).search
 
-    def __missing__(self, piece: str) -> bytes:
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [self.pack(e.ids) for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; pieces not met before are encoded together."""
+        hard = [i for i, t in enumerate(texts) if self.hard(t)]
+        whole = dict(zip(hard, self.encoded([texts[i] for i in hard])))
+        cut = [[] if i in whole else self.easy(t) for i, t in enumerate(texts)]
         if len(self) >= self.MOST:
             self.clear()
-        self[piece] = ids = self.pack(self.piece(piece.encode()))
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        if self.hard(text):
-            return self.pack(self.coder.encode_ordinary(text))
-        return b"".join(map(self.__getitem__, self.easy(text)))
+        new = {p for c in cut for p in c}.difference(self)
+        led = [p for p in new if len(p) > 1 and p[0] == " " and not p[1].isspace()]
+        row = np.frombuffer(b"".join(self.encoded(["".join(led)] if led else [])), "<u2").astype(np.int64)
+        at = np.flatnonzero(self.spaced[row])  # each of these pieces starts with its only space, so a run of them can be cut again
+        if len(at) == len(led):
+            wide = row.astype("<u2").tobytes()
+            self.update(zip(led, (wide[2 * a : 2 * e] for a, e in zip(at.tolist(), [*at[1:].tolist(), len(row)]))) if led else ())
+            new.difference_update(led)
+        rest = list(new)
+        self.update(zip(rest, self.encoded(rest)))
+        return [whole[i] if i in whole else b"".join(map(self.__getitem__, c)) for i, c in enumerate(cut)]
+
+    def text(self, ids: bytes) -> str:
+        return self.coder.decode(np.frombuffer(ids, "<u2").tolist(), skip_special_tokens=False)
 
 
 @cache
@@ -76,11 +94,11 @@ def _tokenise(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, project, end = _pieces(vocabulary), _projection(), np.array([END], "<u2").tobytes()
         for b in slices(batches, 256):
-            ids = [pieces.ids(t or "") + end for t in b.column(1).to_pylist()]
+            ids = [x + end for x in pieces.ids([t or "" for t in b.column(1).to_pylist()])]
             n = np.array([len(x) // 2 for x in ids], np.int64)
             starts = np.concatenate(([0], np.cumsum(n)[:-1]))
             flat = np.frombuffer(b"".join(ids), "<u2")
-            v = np.stack([np.add.reduceat(project[flat, k], starts) for k in range(DIMS)]) / np.sqrt(n)
+            v = np.stack([np.add.reduceat(project[flat, k], starts) for k in range(DIMS)]) / n
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *(pa.array(x.astype(np.float32)) for x in v), pa.array(ids, pa.binary())], schema=schema)
 
     return run, "doc_id long, n long, " + ", ".join(f"v{k} float" for k in range(DIMS)) + ", ids binary"
@@ -169,10 +187,12 @@ def pack(docs: DataFrame, most: int = 2048, vocabulary: str = VOCABULARY, tokens
     piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian unsigned 16-bit).
 
     Token counts, hashed to BUCKETS, are projected to DIMS dimensions by a fixed Gaussian matrix; each dimension is centred and
-    scaled by the corpus' mean and deviation (one row reaches the driver) and brought to BITS bits by a logistic curve. The key
-    and doc_id, which splits a third of all rows that share one key, range-partition the tokens; each task sorts its range and
-    cuts the stream into full sequences, holding one sequence. What is left at a range's end goes into sequences whose sizes
-    are powers of two. Texts are tokenised once; the tokens are written to the shared folder.
+    scaled by the corpus' mean and deviation (one row reaches the driver) and brought to BITS bits by a logistic curve. Tokens
+    are counted by the leading COARSE bits of the key (at most 65,536 counts reach the driver), and the curve is cut into
+    ranges of about tokens_per_task tokens; a stretch with more, as where a third of all rows share one key, is dealt to
+    several tasks by a hash. Each task sorts its range and cuts the stream into full sequences, holding one sequence. What is
+    left at a range's end goes into sequences whose sizes are powers of two. Texts are tokenised once; the tokens are written
+    to the shared folder. Rows with equal key, doc_id and size are sorted by their ids, so a task that runs again cuts alike.
     Null texts are empty and give the single id END; repeated rows are packed each on their own; an empty table gives no rows.
     """
     run, schema = _tokenise(vocabulary)
@@ -186,7 +206,15 @@ def pack(docs: DataFrame, most: int = 2048, vocabulary: str = VOCABULARY, tokens
         return pd.Series(hilbert(np.stack([x.to_numpy() for x in v]), BITS))
 
     level = lambda k: F.least(F.lit((1 << BITS) - 1), F.floor((1 << BITS) / (1 + F.exp(-1.702 * (F.col(f"v{k}") - spread[f"m{k}"]) / (spread[f"s{k}"] or 1.0))))).cast("long")
-    keyed = tokens.select("doc_id", "ids", "n", key(*(level(k) for k in range(DIMS))).alias("key"))
-    parts = max(1, -(-spread["n"] // tokens_per_task))
-    sorted_ = keyed.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id", "n").select("doc_id", "ids")
-    return sorted_.mapInArrow(*_cut(most))
+    keyed = tokens.select("doc_id", "ids", "n", key(*(level(k) for k in range(DIMS))).alias("key")).withColumn("stretch", F.shiftright("key", DIMS * BITS - COARSE))
+    counts = keyed.groupBy("stretch").agg(F.sum("n").alias("n")).orderBy("stretch").collect()  # at most 2**COARSE rows
+    cuts, part, held = [], 0, 0
+    for c in counts:
+        if held and held + c["n"] > tokens_per_task:
+            part, held = part + 1, 0
+        tasks = -(-c["n"] // tokens_per_task)
+        cuts.append((c["stretch"], part, tasks))
+        part, held = part + tasks - 1, held + c["n"] if tasks == 1 else tokens_per_task
+    dealt = keyed.join(F.broadcast(docs.sparkSession.createDataFrame(cuts, "stretch long, part int, tasks int")), "stretch")
+    to = F.col("part") + F.pmod(F.xxhash64("doc_id", "ids"), F.col("tasks")).cast("int")
+    return dealt.repartitionById(part + 1, to).sortWithinPartitions("key", "doc_id", "n", "ids").select("doc_id", "ids").mapInArrow(*_cut(most))

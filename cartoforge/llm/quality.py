@@ -126,7 +126,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_unlabelled: int = 12000) -> Model | None:
     """Fits on a bounded sample: of labels (doc_id, quality) the most_positive rows of quality 1 with the lowest hashes, and
     the most_unlabelled rows of docs with the lowest hashes, whose labels aren't looked at. The class prior is estimated from
-    all rows of labels. None if there are no positives."""
+    all rows of labels; rows that share a doc_id count once. None if there are no positives, or no rows."""
     rated = labels.where("quality is not null and doc_id is not null").agg(F.avg("quality").alias("prior")).first()
     if not rated["prior"]:
         return None
@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_un
     other = order(docs.where("doc_id is not null")).limit(most_unlabelled).withColumn("trusted", F.lit(False))
     chosen = F.broadcast(positive.union(other))  # at most most_positive + most_unlabelled ids
     got = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.col("text").cast("string"), "trusted").mapInArrow(_rows, "doc_id long, trusted boolean, x array<double>")
-    rows = got.limit(2 * (most_positive + most_unlabelled)).collect()
+    rows = got.groupBy("doc_id", "trusted").agg(F.min("x").alias("x")).collect()  # one row an id: most_positive + most_unlabelled at most
     rows.sort(key=lambda r: (r["trusted"], r["doc_id"], r["x"]))
     p, u = (np.array([r["x"] for r in rows if r["trusted"] == t]).reshape(-1, N_FEATURES) for t in (True, False))
     if not len(p) or not len(u):
@@ -143,19 +143,22 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_un
     return fit(p, u, min(max(float(rated["prior"]), 0.01), 0.99))
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Every row of docs (all columns) with score and predicted (1 if score >= 0.7).
+def score(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Every row of docs (all columns) with two more, called by names: score and predicted (1 if score >= 0.7).
 
-    Only the text is looked at; a null one counts as empty. Without a model (no positives) every score is 0.5.
+    Only the text is looked at; a null one counts as empty, a very long one is taken whole. Repeated rows are scored alike; an
+    empty table gives no rows. Without a model (no positives) every score is 0.5. A column of docs that already has one of the
+    names raises an error: nothing is overwritten.
     """
+    if clash := {c.lower() for c in docs.columns} & {n.lower() for n in names}:
+        raise ValueError(f"columns {sorted(clash)} are there already; give other names")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             s = held.value.score(np.array([features(t) for t in texts])) if held.value else np.full(len(texts), 0.5)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.7).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.7).astype(np.int32))], [*b.schema.names, *names])
 
-    plain = docs.drop("score", "predicted")
-    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return plain.mapInArrow(run, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
+    return docs.mapInArrow(run, schema)

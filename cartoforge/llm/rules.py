@@ -77,14 +77,14 @@ class Rule:
         return reduce(lambda a, b: a & b, (F.col(n) >= F.lit(at) if up else F.col(n) <= F.lit(at) for n, up, at in self.tests))
 
 
-def learn(x: np.ndarray, bad: np.ndarray, most_rules: int = 12, most_tests: int = 3, precision: float = 0.8, seed: int = 3) -> list[Rule]:
+def learn(x: np.ndarray, bad: np.ndarray, most_tests: int = 3, precision: float = 0.8, seed: int = 3) -> list[Rule]:
     """Sequential covering: a rule is grown on two thirds of the rows by information gain, pruned from its end on the others,
     kept while it is precise on both, and what it covers is taken away."""
     r = np.random.default_rng(seed)
     grow_part = r.random(len(x)) < 2 / 3
     rules: list[Rule] = []
     left = np.ones(len(x), bool)
-    while len(rules) < most_rules and (left & bad & grow_part).sum() >= 3:
+    while (left & bad & grow_part).sum() >= 3:
         g, p = left & grow_part, left & ~grow_part
         rule, cover = Rule(), g.copy()
         while len(rule.tests) < most_tests:
@@ -124,7 +124,7 @@ def learn(x: np.ndarray, bad: np.ndarray, most_rules: int = 12, most_tests: int
 def train(stats: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> list[Rule]:
     """The decision list for rows of labels (doc_id, quality); of them, the most_rows with the lowest hashes are used."""
     order = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "quality").limit(most_rows)
-    rows = stats.join(F.broadcast(order), "doc_id").select("doc_id", "quality", *FEATURES).limit(2 * most_rows).collect()
+    rows = stats.join(F.broadcast(order), "doc_id").groupBy("doc_id", "quality").agg(*(F.min(f).alias(f) for f in FEATURES)).collect()  # most_rows at most
     rows.sort(key=tuple)
     if not rows:
         return []

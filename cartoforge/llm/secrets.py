@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spare, written
 from .spans import listed, readable, replaced, spans
 
 KINDS = ("assign", "access", "hex", "opaque")
@@ -69,15 +69,17 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, few_owners: int = 2) -> DataFrame:
     """docs with every live-looking secret replaced by [SECRET:kind]; all rows and columns stay, n_chars follows the text.
 
-    Rows are told apart by doc_id and the hash of the text, so repeated rows are redacted alike.
+    Rows are told apart by doc_id and the hash of the text, so repeated rows are redacted alike. Null and empty texts stay as
+    they are; columns of any other name are untouched; an empty table stays empty.
     """
-    marked = docs.withColumn("_mark", F.xxhash64(F.col("text").cast("string")))
-    keyed = docs.select(F.struct("doc_id", F.xxhash64(F.col("text").cast("string")).alias("mark")).alias("doc_id"), "text", *(["source"] if "source" in docs.columns else []))
-    live = scan(keyed, few_owners).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.mark").alias("_hit"), F.filter("spans", lambda s: s["live"]).alias("_live")).where("size(_live) > 0")
-    live = live.groupBy("_id", "_hit").agg(F.min("_live").alias("_live"))
-    out = marked.join(live, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_hit")), "left")
-    text = F.when(F.col("_live").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("_live"), lambda s: F.concat(F.lit("[SECRET:"), s["kind"], F.lit("]"))))
-    out = out.withColumn("text", text)
+    hit_id, hit_mark, hit, redacted = spare(docs, "hit_id", "hit_mark", "hit", "redacted")
+    mark = F.xxhash64(F.col("text").cast("string"))
+    keyed = docs.select(F.struct("doc_id", mark.alias("mark")).alias("doc_id"), "text", *(["source"] if "source" in docs.columns else []))
+    live = scan(keyed, few_owners).select(F.col("doc_id.doc_id").alias(hit_id), F.col("doc_id.mark").alias(hit_mark), F.filter("spans", lambda s: s["live"]).alias(hit)).where(F.size(hit) > 0)
+    live = live.groupBy(hit_id, hit_mark).agg(F.min(hit).alias(hit))
+    out = docs.join(live, F.col("doc_id").eqNullSafe(F.col(hit_id)) & (mark == F.col(hit_mark)), "left")
+    text = F.when(F.col(hit).isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col(hit), lambda s: F.concat(F.lit("[SECRET:"), s["kind"], F.lit("]"))))
+    out, new = out.withColumn(redacted, text), {"text": F.col(redacted)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col(hit).isNull(), F.col("n_chars")).otherwise(F.length(redacted)).cast(docs.schema["n_chars"].dataType)
+    return out.select(*((new[c].alias(c) if c in new else F.col(f"`{c}`")) for c in docs.columns))

@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import let
+
 #: Put around every match; where a text has it, it is read as another character of the same length that no pattern matches.
 MARK, STAND_IN = "\x01", "�"
+#: Parts of a text (an even number) that are gone through in one go.
+BLOCK = 256
 EMPTY = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -33,7 +37,12 @@ def spans(text: Column, kind: str, pattern: str, keep: Callable[[Column], Column
         one = F.array(F.struct(F.lit(kind).alias("kind"), acc["at"].alias("start"), (acc["at"] + size).alias("end"), value(part).alias("value")))
         return F.struct((acc["at"] + size).alias("at"), (acc["i"] + 1).alias("i"), F.when(use, F.concat(acc["got"], one)).otherwise(acc["got"]).alias("got"))
 
-    return F.aggregate(parts, begin, step, lambda acc: acc["got"])
+    def in_blocks(all_parts: Column) -> Column:
+        """The same over blocks of parts, each moved by what stands before it: a list never grows long by single steps."""
+        blocks = F.transform(F.sequence(F.lit(0), F.size(all_parts) - 1, F.lit(BLOCK)), lambda i: F.aggregate(F.slice(all_parts, i + 1, F.lit(BLOCK)), begin, step))
+        return let(blocks, lambda found: let(F.aggregate(F.transform(found, lambda x: x["at"]), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))), lambda before: F.flatten(F.transform(found, lambda x, i: F.transform(x["got"], lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + F.get(before, i)).alias("start"), (s["end"] + F.get(before, i)).alias("end"), s["value"].alias("value")))))))
+
+    return let(parts, lambda p: F.when(F.size(p) <= BLOCK, F.aggregate(p, begin, step, lambda acc: acc["got"])).otherwise(in_blocks(p)))
 
 
 def listed(found: Column, kinds: tuple[str, ...], start_first: bool) -> Column:
