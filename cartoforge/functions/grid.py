@@ -97,3 +97,39 @@ def shoelace(xs: Column, ys: Column) -> Column:
     n = F.size(xs)
     term = lambda i: F.element_at(xs, i) * F.element_at(ys, i % n + 1) - F.element_at(xs, i % n + 1) * F.element_at(ys, i)
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, i: a + term(i))
+
+
+def flat_bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Bearing on a flat earth in degrees, 0 where the points are the same."""
+    r = math.pi / 180
+    dy, dx = lat2 - lat1, (lon2 - lon1) * F.cos((lat1 + lat2) / 2 * r)
+    return F.when((dx == 0) & (dy == 0), 0.0).otherwise(F.when(dx < 0, 360.0).otherwise(0.0) + F.atan2(dx, dy) / r)
+
+
+def frame_local(g: Column, units: int) -> tuple[Column, Column]:
+    """Frame index and place inside the frame of a global lattice coordinate."""
+    f = F.floor(g / units).cast("long")
+    return f, g - f * units
+
+
+def frame_global(frame: Column, local: Column, units: int) -> Column:
+    return frame * units + local
+
+
+def segment_chebyshev(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Chebyshev distance of a point from its foot on a segment."""
+    dx, dy = x2 - x1, y2 - y1
+    len2 = dx * dx + dy * dy
+    t = F.when(len2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - x1) * dx + (py - y1) * dy) / len2))).otherwise(0.0)
+    return F.greatest(F.abs(px - (x1 + t * dx)), F.abs(py - (y1 + t * dy)))
+
+
+def box_metres(lat: Column) -> tuple[Column, Column]:
+    """Metres of a degree of latitude and of longitude, as for the extent of a box."""
+    return F.lit(110574.0), 111320.0 * F.cos(lat * (math.pi / 180))
+
+
+def ellipsoid_metres(lat: Column) -> tuple[Column, Column]:
+    """Metres of a degree of latitude and of longitude on the WGS84 ellipsoid (the usual series)."""
+    c = lambda k: F.cos(k * lat * (math.pi / 180))
+    return 111132.92 - 559.82 * c(2) + 1.175 * c(4) - 0.0023 * c(6), 111412.84 * c(1) - 93.5 * c(3) + 0.118 * c(5)

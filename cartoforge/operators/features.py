@@ -113,3 +113,20 @@ def rank_levels(ranks: DataFrame, rank: str, shares: Sequence[tuple[float, int]]
     for share, level in reversed(shares):
         out = F.when(F.col(rank) <= F.rint(F.col("total") * share), level).otherwise(out)
     return ranks.crossJoin(F.broadcast(total)).withColumn("level", out).drop("total")
+
+
+def name_halo(names: DataFrame, budget: int) -> DataFrame:
+    """cx, cy, node_id, name: for each cell with names, names of the eight cells around whose text it lacks, the nearest of each
+    text, by distance from the cell's centre and text, while their lengths together stay within budget.
+
+    names: node_id, name, x, y (in cells), cx, cy. An equi-join on cells; a cell's candidates are those of nine cells.
+    """
+    steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy))
+    cells = names.select("cx", "cy").distinct()
+    near = names.select("node_id", "name", "x", "y", F.explode(steps).alias("s"), "cx", "cy").select("node_id", "name", "x", "y", (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"))
+    near = near.join(cells, ["cx", "cy"]).withColumn("low", F.lower("name"))
+    near = near.join(names.select("cx", "cy", F.lower("name").alias("low")).distinct(), ["cx", "cy", "low"], "left_anti")
+    near = near.withColumn("dist", F.round(F.greatest(F.abs(F.col("x") - F.col("cx") - 0.5), F.abs(F.col("y") - F.col("cy") - 0.5)), 6))
+    one = near.groupBy("cx", "cy", "low").agg(F.min(F.struct("dist", "node_id", "name")).alias("m")).select("cx", "cy", "low", "m.*")
+    total = F.sum(F.length("name")).over(Window.partitionBy("cx", "cy").orderBy("dist", "low").rowsBetween(Window.unboundedPreceding, 0))
+    return one.withColumn("total", total).where(F.col("total") <= budget).select("cx", "cy", "node_id", "name")

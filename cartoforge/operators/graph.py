@@ -101,3 +101,12 @@ def representatives(clusters: DataFrame, link: DataFrame, most: int) -> DataFram
     degree = link.groupBy(F.col("u").alias("node_id")).agg(F.count("*").alias("degree"))
     w = Window.partitionBy("label").orderBy(F.coalesce("degree", F.lit(0)).desc(), "node_id")
     return clusters.join(degree, "node_id", "left").select("label", "node_id", F.row_number().over(w).alias("k")).where(F.col("k") <= most)
+
+
+def ring_status(parts: DataFrame) -> DataFrame:
+    """rel_id, status, members of relations whose member ways (rel_id, part, a, b: end nodes) should make closed rings: branch if
+    three or more ends meet, open if one stands alone, else closed. A member that is a ring of its own meets itself."""
+    ends = parts.select("rel_id", F.explode(F.array("a", "b")).alias("node")).groupBy("rel_id", "node").agg(F.count("*").alias("k"))
+    worst = ends.groupBy("rel_id").agg(F.max("k").alias("most"), F.min("k").alias("least"))
+    n = parts.groupBy("rel_id").agg(F.count("*").cast("int").alias("members"))
+    return worst.join(n, "rel_id").select("rel_id", F.when(F.col("most") > 2, "branch").when(F.col("least") < 2, "open").otherwise("closed").alias("status"), "members")

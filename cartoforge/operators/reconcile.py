@@ -197,3 +197,70 @@ def first_of(rows: DataFrame, keys: Sequence[str], verdicts: Sequence[tuple[str,
         found.append((name, F.col(f"v{i}")))
     source = F.coalesce(*(F.when(v.isNotNull(), name) for name, v in found), F.lit("none"))
     return out.select(*rows.columns, F.coalesce(*(v for _, v in found), F.lit(rest)).alias("verdict"), source.alias("source"))
+
+
+def dispositions(rows: DataFrame, keys: Sequence[str], reference: str, most: int) -> DataFrame:
+    """Groups of rows with n and evidence: their `most` least references, comma-joined."""
+    w = Window.partitionBy(*keys).orderBy(reference)
+    numbered = rows.select(*keys, reference, F.row_number().over(w).alias("k"))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("k") <= most, F.col(reference)))), lambda r: r.cast("string")), ",")
+    return numbered.groupBy(*keys).agg(F.count("*").alias("n"), listed.alias("evidence"))
+
+
+def scoped_flag(rows: DataFrame, side: DataFrame, keys: Sequence[str], flag: str, scope: Column) -> DataFrame:
+    """rows with the flag of their key where scope holds (0 if side lacks the key), -1 elsewhere."""
+    return flag_lookup(rows, side, keys, flag).withColumn(flag, F.when(scope, F.col(flag)).otherwise(F.lit(-1)))
+
+
+def outside_parent(children: DataFrame, parents: DataFrame, index: str) -> DataFrame:
+    """parent, n children, outside: those whose index isn't in their parent's [first, first + n). A parent that isn't there has
+    all of its children outside."""
+    p = parents.select("parent", "first", F.col("n").alias("size"))
+    t = children.join(p, "parent", "left")
+    inside = F.coalesce((F.col(index) >= F.col("first")) & (F.col(index) < F.col("first") + F.col("size")), F.lit(False))
+    return t.groupBy("parent").agg(F.count("*").alias("n"), F.count_if(~inside).alias("outside"))
+
+
+def mirror_census(east: DataFrame, west: DataFrame, last: int) -> DataFrame:
+    """level, n, outer_edge, mirrored, missing: end points on east edges (level, ix, iy, vert) with an equal one on the west edge
+    of the next cell. Those at the last column have no next cell and are counted apart."""
+    w = west.select("level", (F.col("ix") - 1).alias("ix"), "iy", "vert", F.lit(True).alias("there")).distinct()
+    t = east.distinct().join(w, ["level", "ix", "iy", "vert"], "left")
+    inner, there = F.col("ix") < last, F.coalesce("there", F.lit(False))
+    return t.groupBy("level").agg(F.count("*").alias("n"), F.count_if(~inner).alias("outer_edge"), F.count_if(inner & there).alias("mirrored"), F.count_if(inner & ~there).alias("missing"))
+
+
+def score_orders(rows: DataFrame, group: Sequence[str], truth: Sequence[str], orders: dict[str, Sequence[str]], split: Column) -> DataFrame:
+    """rule, split, n, hits: how many rows have the same place in their group by a rule's order as by the true one."""
+    place = lambda by: F.row_number().over(Window.partitionBy(*group).orderBy(*by))
+    t = rows.select(split.alias("split"), place(truth).alias("k"), *(place(by).alias(f"_{n}") for n, by in orders.items()))
+    each = F.inline(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(f"_{n}").alias("p")) for n in orders)))
+    return t.select("split", "k", each).groupBy("rule", "split").agg(F.count("*").alias("n"), F.count_if(F.col("k") == F.col("p")).alias("hits"))
+
+
+def score_rules(rows: DataFrame, rules: dict[str, Column], truth: Column, split: Column) -> DataFrame:
+    """rule, split, n, share of rows where a rule says what is true."""
+    each = F.inline(F.array(*(F.struct(F.lit(n).alias("rule"), F.when(r == truth, 1.0).otherwise(0.0).alias("right")) for n, r in rules.items())))
+    return rows.select(split.alias("split"), each).groupBy("rule", "split").agg(F.count("*").alias("n"), F.round(F.avg("right"), 6).alias("share"))
+
+
+def still_present(rows: DataFrame, other: DataFrame, keys: Sequence[str], vertex: str) -> DataFrame:
+    """level, n, same_shape, same_vertex: rows whose key, and whose key and vertex, other holds too."""
+    shape = other.select(*keys).distinct().withColumn("s", F.lit(True))
+    exact = other.select(*keys, vertex).distinct().withColumn("v", F.lit(True))
+    t = rows.join(shape, list(keys), "left").join(exact, [*keys, vertex], "left")
+    return t.groupBy("level").agg(F.count("*").alias("n"), F.count("s").alias("same_shape"), F.count("v").alias("same_vertex"))
+
+
+def products_of(rows: DataFrame, source: Column, derive) -> DataFrame:
+    """What derive(rows) holds that it wouldn't without the rows of a source."""
+    return derive(rows).exceptAll(derive(rows.where(~source)))
+
+
+def compare_paths(a: DataFrame, b: DataFrame, path: Sequence[str], size: str) -> DataFrame:
+    """path, delta of sizes, status (same, resized, changed, added, removed) of two products, by one pass over their union."""
+    side = lambda df, k: df.select(*path, F.col(size).alias("size"), F.lit(k).alias("k"))
+    own = lambda k, c: F.sum(F.when(F.col("k") == k, c).otherwise(0))
+    t = side(a, 1).unionByName(side(b, -1)).groupBy(*path).agg(own(1, F.lit(1)).alias("na"), own(-1, F.lit(1)).alias("nb"), own(1, F.col("size")).alias("sa"), own(-1, F.col("size")).alias("sb"))
+    status = F.when(F.col("na") == 0, "added").when(F.col("nb") == 0, "removed").when((F.col("na") == F.col("nb")) & (F.col("sa") == F.col("sb")), "same").when(F.col("na") == F.col("nb"), "resized").otherwise("changed")
+    return t.select(*path, (F.col("sb") - F.col("sa")).alias("delta"), status.alias("status"))

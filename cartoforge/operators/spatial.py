@@ -79,3 +79,31 @@ def cell_neighbours(cells: DataFrame) -> DataFrame:
     want = cells.select("level", "ix", "iy", F.explode(sides).alias("s")).select("level", "ix", "iy", "s.side", (F.col("ix") + F.col("s.dx")).alias("jx"), (F.col("iy") + F.col("s.dy")).alias("jy"))
     have = cells.select("level", F.col("ix").alias("jx"), F.col("iy").alias("jy"), F.lit(True).alias("there"))
     return want.join(have, ["level", "jx", "jy"], "left").select("level", "ix", "iy", "side", F.coalesce("there", F.lit(False)).alias("there"))
+
+
+def cells_of_boxes(boxes: DataFrame, cells: DataFrame, tile: int = 16) -> DataFrame:
+    """way_id, cx, cy, tall: the cells (cx, cy) that a shape's box x0..x1, y0..y1 (in cells) meets. boxes also has its home hx, hy.
+
+    Most boxes stay within one cell of their home: those look at nine cells. Tall ones meet cells by tiles of tile x tile.
+    """
+    tall = (F.col("x0") < F.col("hx") - 1) | (F.col("x1") > F.col("hx") + 1) | (F.col("y0") < F.col("hy") - 1) | (F.col("y1") > F.col("hy") + 1)
+    boxes = boxes.withColumn("tall", tall)
+    near = boxes.where("not tall").withColumn("cx", F.explode(F.sequence("x0", "x1"))).withColumn("cy", F.explode(F.sequence("y0", "y1"))).join(cells, ["cx", "cy"])
+    far = buckets(buckets(boxes.where("tall"), F.col("x0"), F.col("x1"), tile, "tx"), F.col("y0"), F.col("y1"), tile, "ty")
+    tiled = cells.withColumn("tx", F.floor(F.col("cx") / tile)).withColumn("ty", F.floor(F.col("cy") / tile))
+    far = far.join(tiled, ["tx", "ty"]).where("cx between x0 and x1 and cy between y0 and y1")
+    return near.select("way_id", "cx", "cy", "tall").unionByName(far.select("way_id", "cx", "cy", "tall"))
+
+
+def corner_cells(cells: DataFrame) -> DataFrame:
+    """level, ix, iy, jx, jy: cells with each cell that is there across a corner."""
+    steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 1) for dy in (-1, 1)))
+    want = cells.select("level", "ix", "iy", F.explode(steps).alias("s")).select("level", "ix", "iy", (F.col("ix") + F.col("s.dx")).alias("jx"), (F.col("iy") + F.col("s.dy")).alias("jy"))
+    return want.join(cells.select("level", F.col("ix").alias("jx"), F.col("iy").alias("jy")), ["level", "jx", "jy"]).select("level", "ix", "iy", "jx", "jy")
+
+
+def beside_marked(cells: DataFrame, mark: str) -> DataFrame:
+    """cells (level, ix, iy, ...) with beside: whether one of the eight cells around is marked."""
+    steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy))
+    around = cells.where(mark).select("level", "ix", "iy", F.explode(steps).alias("s")).select("level", (F.col("ix") + F.col("s.dx")).alias("ix"), (F.col("iy") + F.col("s.dy")).alias("iy")).distinct()
+    return cells.join(around.withColumn("_b", F.lit(True)), ["level", "ix", "iy"], "left").withColumn("beside", F.coalesce("_b", F.lit(False))).drop("_b")

@@ -125,3 +125,37 @@ def balanced_ranges(weights: DataFrame, keys: list[str], order: list[str], weigh
     """
     run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return weights.withColumn("part", F.ceil(F.sum(weight).over(run) * n / F.sum(weight).over(Window.partitionBy(*keys))).cast("long"))
+
+
+def cover_rings(interior: DataFrame, units: int, margin: int) -> DataFrame:
+    """Cells (way_id, ix, iy) inside a shape with the rectangle that covers them: the cell, grown by a margin on each side."""
+    at = lambda c, k: F.col(c) * units + k
+    return interior.select("way_id", "ix", "iy", at("ix", -margin).alias("x_lo"), at("ix", units + margin).alias("x_hi"), at("iy", -margin).alias("y_lo"), at("iy", units + margin).alias("y_hi"))
+
+
+def merge_borrowed(homes: DataFrame, touched: DataFrame) -> DataFrame:
+    """Shapes of every cell in canonical order: its own, then those borrowed from others by their home's row and column.
+
+    homes: way_id, hx, hy. touched: way_id, ix, iy. Returns ix, iy, way_id, borrowed, place (1-based).
+    """
+    own = homes.select(F.col("hx").alias("ix"), F.col("hy").alias("iy"), "way_id", F.lit(False).alias("borrowed"), "hx", "hy")
+    lent = touched.join(homes, "way_id").where("ix <> hx or iy <> hy").select("ix", "iy", "way_id", F.lit(True).alias("borrowed"), "hx", "hy")
+    w = Window.partitionBy("ix", "iy").orderBy("borrowed", "hy", "hx", "way_id")
+    return own.unionByName(lent).select("ix", "iy", "way_id", "borrowed", F.row_number().over(w).cast("long").alias("place"))
+
+
+def retiled(points: DataFrame, parts: int, g: Grid = GRID) -> DataFrame:
+    """points (lat, lon, n: cells a side) with their cell (cx, cy) and its sub-cell (sx, sy) of parts x parts."""
+    x, y = (F.col("lon") - g.lon0) / g.lon_span * F.col("n"), (F.col("lat") - g.lat0) / g.lat_span * F.col("n")
+    sub = lambda v: F.floor((v - F.floor(v)) * parts)
+    return points.withColumn("cx", F.floor(x)).withColumn("cy", F.floor(y)).withColumn("sx", sub(x)).withColumn("sy", sub(y))
+
+
+def divide(items: DataFrame, size: Column, budget: int) -> DataFrame:
+    """Cells (level, cx, cy) with their size and division: 1 within budget, 2 (2 x 2) if every quarter then is, else 4 (4 x 4).
+
+    items: level, cx, cy, sx, sy (of 4 x 4). Sizes add up; one partial sum a quarter is shuffled.
+    """
+    quarter = items.groupBy("level", "cx", "cy", F.floor(F.col("sx") / 2).alias("hx"), F.floor(F.col("sy") / 2).alias("hy")).agg(F.sum(size).alias("k"))
+    c = quarter.groupBy("level", "cx", "cy").agg(F.sum("k").alias("size"), F.max("k").alias("largest"))
+    return c.select("level", "cx", "cy", "size", F.when(F.col("size") <= budget, 1).when(F.col("largest") <= budget, 2).otherwise(4).alias("division"))

@@ -5,14 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written to the folder that all executors share (spark.checkpoint.dir) and read again."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir). Where it is unset, a temporary one serves a local session; on
+    a cluster that is an error, as executors would not see each other's files."""
     if (at := spark.conf.get("spark.checkpoint.dir", None)) is None:
+        if not (master := spark.conf.get("spark.master", "local")).startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    df.write.parquet(path := f"{at}/table-{uuid.uuid4().hex}")
-    return spark.read.schema(df.schema).parquet(path)
+    return at
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again."""
+    df.write.parquet(path := f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}")
+    return df.sparkSession.read.schema(df.schema).parquet(path)

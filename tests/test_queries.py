@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from cartoforge import audit_queries, feature_queries  # noqa: F401
+from cartoforge import audit_queries, check_queries, feature_queries, ring_queries, route_queries  # noqa: F401
 from cartoforge.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
