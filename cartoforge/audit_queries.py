@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .operators import graph, reconcile, tiles
 from .queries import _CAUSE, _G, _GRAPH, _KEYS, _R, RULES, _links, query
 from .sources.adapters import view
+from .sources.lineage import cut_lineage
 
 
 def _failures(spark, d):
@@ -201,7 +202,7 @@ reach AS (SELECT u AS node_id, u AS label FROM e UNION SELECT e.v, r.label FROM
 @query("r06_cluster_links", f"""WITH RECURSIVE {_COMPONENTS}, m AS (SELECT way_id, seg, forward, coalesce(a.label, u) AS cu, coalesce(b.label, v) AS cv FROM lk LEFT JOIN comp a ON a.node_id = u LEFT JOIN comp b ON b.node_id = v)
 SELECT cu = cv AS internal, count(*) AS n, count(DISTINCT (cu, cv)) AS n_pairs FROM m GROUP BY 1""")
 def r06(spark, d):
-    links = _links(spark, d)
+    links = cut_lineage(_links(spark, d))
     clusters = graph.components(links.where("length <= 15000 and road_class <= 1"))
     m = graph.collapse(links, clusters)
     return m.groupBy((F.col("cu") == F.col("cv")).alias("internal")).agg(F.count("*").alias("n"), F.countDistinct("cu", "cv").alias("n_pairs"))
@@ -210,6 +211,6 @@ def r06(spark, d):
 @query("l04_cluster_members", f"""WITH RECURSIVE {_COMPONENTS}, g AS (SELECT u AS node_id, count(*) AS degree FROM lk GROUP BY u)
 SELECT label, node_id, k FROM (SELECT label, node_id, row_number() OVER (PARTITION BY label ORDER BY coalesce(degree, 0) DESC, node_id) AS k FROM comp LEFT JOIN g USING (node_id)) t WHERE k <= 6""")
 def l04(spark, d):
-    links = _links(spark, d)
+    links = cut_lineage(_links(spark, d))
     clusters = graph.components(links.where("length <= 15000 and road_class <= 1"))
     return graph.representatives(clusters, links, 6)

@@ -132,10 +132,14 @@ def p17(spark, d):
     return view(spark, d, "address_points").where("lat between -32.25e0 and -32e0 and lon between 115.75e0 and 116.25e0").select("addr_id")
 
 
-@query("p18_cell_class", f"SELECT ix, iy, n, CASE WHEN n > 200 THEN 'divided' WHEN n > 60 THEN 'full' WHEN n > 10 THEN 'urban' ELSE 'sparse' END AS class FROM (SELECT {_AT64[0]} AS ix, {_AT64[1]} AS iy, count(*) AS n FROM geo_points GROUP BY 1, 2) t WHERE ix BETWEEN 0 AND 63 AND iy BETWEEN 0 AND 63")
+@query("p18_cell_class", f"""WITH u AS (SELECT CAST(floor((lon - 115.5e0) * 8) AS BIGINT) AS tx, CAST(floor((lat + 32.5e0) * 8) AS BIGINT) AS ty, CAST(count_if(place = 'city') AS BIGINT) AS cities FROM osm_nodes WHERE place IN ('city', 'town') GROUP BY 1, 2),
+c AS (SELECT DISTINCT {_AT64[0]} AS ix, {_AT64[1]} AS iy FROM geo_points) SELECT ix, iy, CASE WHEN cities >= 3 THEN 'divided' WHEN cities >= 1 THEN 'urban' WHEN cities = 0 THEN 'full' ELSE 'sparse' END AS class
+FROM c LEFT JOIN u ON tx = CAST(floor(ix / 8e0) AS BIGINT) AND ty = CAST(floor(iy / 8e0) AS BIGINT) WHERE ix BETWEEN 0 AND 63 AND iy BETWEEN 0 AND 63""")
 def p18(spark, d):
-    c = view(spark, d, "geo_points").select(G.cell(F.col("lat"), F.col("lon"), F.lit(64)).alias("c")).where("c is not null").groupBy(F.col("c.ix").alias("ix"), F.col("c.iy").alias("iy")).agg(F.count("*").alias("n"))
-    return c.withColumn("class", F.when(F.col("n") > 200, "divided").when(F.col("n") > 60, "full").when(F.col("n") > 10, "urban").otherwise("sparse"))
+    tile = lambda c, o: F.floor((F.col(c) - o) * 8).cast("long")
+    urban = view(spark, d, "osm_nodes").where("place in ('city', 'town')").groupBy(tile("lon", 115.5).alias("tx"), tile("lat", -32.5).alias("ty")).agg(F.count_if(F.col("place") == "city").alias("cities"))
+    cells = view(spark, d, "geo_points").select(G.cell(F.col("lat"), F.col("lon"), F.lit(64)).alias("c")).where("c is not null").select("c.ix", "c.iy").distinct()
+    return features.cell_class(cells, urban, 8)
 
 
 @query("x03_longitude_wrap", "SELECT addr_id, round(CASE WHEN e >= 0 AND e <= 1 THEN e ELSE e - 36e1 * floor(e / 36e1) END, 6) AS delta FROM (SELECT addr_id, lon + 36e1 * (addr_id % 3 - 1) - 115.5e0 AS e FROM address_points) t")

@@ -21,10 +21,11 @@ def key(text: Column) -> Column:
     return F.upper(F.trim(text))
 
 
-def dense_ids(names: DataFrame, name: str, alias: str) -> DataFrame:
+def dense_ids(names: DataFrame, name: str, alias: str, unique: bool = False) -> DataFrame:
     """1-based dense ids of distinct names in alphabetical order, without one task for all: ranges are sorted each on its own
-    and start after the counts of those before (one count a range reaches the driver's plan as a small table)."""
-    distinct = names.select(name).where(F.col(name).isNotNull()).distinct()
+    and start after the counts of those before (one count a range, a small table). unique: no name is repeated."""
+    distinct = names.select(name).where(F.col(name).isNotNull())
+    distinct = distinct if unique else distinct.distinct()
     parts = cut_lineage(distinct.repartitionByRange(name).select(name, F.spark_partition_id().alias("part")))
     sizes = parts.groupBy("part").agg(F.count("*").alias("k"))
     before = sizes.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("before"))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reconcile import numbered
+
 
 def bounds(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Box of the points of each key: keys, x_lo, x_hi (lon), y_lo, y_hi (lat)."""
@@ -102,8 +104,8 @@ def exclusive(rows: DataFrame, suppliers: DataFrame, owner: str, item: str) -> D
 
 
 def ranked(rows: DataFrame, keys: Sequence[str], order: list) -> DataFrame:
-    """rows with `k`, their place in the order within keys."""
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    """rows with `k`, their place in the order within keys; a key with very many rows is numbered by ranges."""
+    return numbered(rows, keys, order, "k")
 
 
 def rank_levels(ranks: DataFrame, rank: str, shares: Sequence[tuple[float, int]], rest: int) -> DataFrame:
@@ -130,3 +132,11 @@ def name_halo(names: DataFrame, budget: int) -> DataFrame:
     one = near.groupBy("cx", "cy", "low").agg(F.min(F.struct("dist", "node_id", "name")).alias("m")).select("cx", "cy", "low", "m.*")
     total = F.sum(F.length("name")).over(Window.partitionBy("cx", "cy").orderBy("dist", "low").rowsBetween(Window.unboundedPreceding, 0))
     return one.withColumn("total", total).where(F.col("total") <= budget).select("cx", "cy", "node_id", "name")
+
+
+def cell_class(cells: DataFrame, urban: DataFrame, per_tile: int) -> DataFrame:
+    """cells (ix, iy) with class by the tile of per_tile x per_tile cells that they lie in, whatever they hold: divided (three
+    cities or more), urban, full (towns only), sparse (not in the dimension). urban: tx, ty, cities."""
+    t = cells.withColumn("tx", F.floor(F.col("ix") / per_tile).cast("long")).withColumn("ty", F.floor(F.col("iy") / per_tile).cast("long")).join(urban, ["tx", "ty"], "left")
+    name = F.when(F.col("cities") >= 3, "divided").when(F.col("cities") >= 1, "urban").when(F.col("cities") == 0, "full").otherwise("sparse")
+    return t.select("ix", "iy", name.alias("class"))

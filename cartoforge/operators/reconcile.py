@@ -9,12 +9,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import first_match
+from ..sources.lineage import cut_lineage
 
 
 def null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in keys))
 
 
+def both_sides(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Full outer join on keys that compare null-safely: a key of nulls on both sides is one row."""
+    other = b.withColumnsRenamed({k: f"_of_b_{k}" for k in keys})
+    on = reduce(lambda x, y: x & y, (a[k].eqNullSafe(other[f"_of_b_{k}"]) for k in keys))
+    joined = a.withColumn("_in_a", F.lit(True)).join(other, on, "full_outer")
+    rest = [c for c in (*a.columns, *b.columns) if c not in keys]
+    return joined.select(*(F.when(F.col("_in_a"), F.col(k)).otherwise(F.col(f"_of_b_{k}")).alias(k) for k in keys), *rest)
+
+
 def flag_lookup(rows: DataFrame, side: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
     """rows with the flag of their key in side, 0 if it isn't there; keys compare null-safely, and a repeated key gives the least."""
     one = side.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min(flag).alias("_flag"))
@@ -26,7 +36,7 @@ def exactly_once(rows: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataF
     """Keys that side doesn't cover exactly once: keys, problem (missing, foreign, duplicate)."""
     a = rows.groupBy(*keys).agg(F.count("*").alias("_r"))
     b = side.groupBy(*keys).agg(F.count("*").alias("_s"))
-    both = a.join(b, list(keys), "full_outer")
+    both = both_sides(a, b, keys)
     problem = F.when(F.col("_r").isNull(), "foreign").when(F.col("_s").isNull(), "missing").when(F.col("_s") > 1, "duplicate")
     return both.select(*keys, problem.alias("problem")).where("problem is not null")
 
@@ -50,7 +60,7 @@ def partition_proof(classified: DataFrame, kinds: DataFrame) -> DataFrame:
 
 def compare_counts(r: DataFrame, g: DataFrame, key: str, n: str, low: float, high: float) -> DataFrame:
     """Status of g's counts against r's over the union of keys: in_range, out_of_range; where r has none, g must have none."""
-    both = r.select(key, F.col(n).alias("r")).join(g.select(key, F.col(n).alias("g")), key, "full_outer").select(key, F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("g", F.lit(0)).alias("g"))
+    both = both_sides(r.select(key, F.col(n).alias("r")), g.select(key, F.col(n).alias("g")), [key]).select(key, F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("g", F.lit(0)).alias("g"))
     good = F.when(F.col("r") == 0, F.col("g") == 0).otherwise((F.col("g") >= low * F.col("r")) & (F.col("g") <= high * F.col("r")))
     return both.select(key, "r", "g", F.when(good, "in_range").otherwise("out_of_range").alias("status"))
 
@@ -58,7 +68,7 @@ def compare_counts(r: DataFrame, g: DataFrame, key: str, n: str, low: float, hig
 def multiset_difference(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose number differs between a and b: keys, n_a, n_b."""
     x, y = (d.groupBy(*keys).agg(F.count("*").alias(n)) for d, n in ((a, "n_a"), (b, "n_b")))
-    both = x.join(y, list(keys), "full_outer").select(*keys, F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
+    both = both_sides(x, y, keys).select(*keys, F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
     return both.where("n_a <> n_b")
 
 
@@ -68,10 +78,23 @@ def islands(rows: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
     return rows.select(*keys, at).distinct().withColumn("_g", F.col(at) - F.row_number().over(w)).groupBy(*keys, "_g").agg(F.min(at).alias("run_lo"), F.max(at).alias("run_hi"), F.count("*").alias("n")).drop("_g")
 
 
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """rows with their 1-based place in the order within keys. Few keys with many rows each are no single task's work: ranges of
+    (keys, order) are numbered each on its own and start after the counts of the ranges before."""
+    parts = cut_lineage(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy(*keys, "_part").agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_size")).drop("_size")
+    here = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    placed = parts.withColumn("_here", here)
+    before = before.withColumnsRenamed({k: f"_of_{k}" for k in keys}).withColumnRenamed("_part", "_of_part")
+    on = reduce(lambda x, y: x & y, (placed[k].eqNullSafe(before[f"_of_{k}"]) for k in keys), placed["_part"] == before["_of_part"])
+    return placed.join(before, on).select(*rows.columns, (F.col("_before") + F.col("_here")).cast("long").alias(name))
+
+
 def pair_once(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: str, b_id: str) -> DataFrame:
     """Pairs of equal keys, each row of either side used once, in the order of ids: keys, a_id, b_id."""
-    x = a.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(a_id))).select(*keys, "_k", a_id)
-    y = b.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(b_id))).select(*keys, "_k", b_id)
+    x = numbered(a.select(*keys, a_id), keys, [a_id], "_k")
+    y = numbered(b.select(*keys, b_id), keys, [b_id], "_k")
     return x.join(y, [*keys, "_k"]).select(*keys, a_id, b_id)
 
 
@@ -96,7 +119,7 @@ def one_sided(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def reconcile_evidence(direct: DataFrame, counter: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Verdicts of two sources of evidence (keys, cause each): agreed, conflict, conflict-open (no counterfactual), counterfactual-only."""
-    both = direct.select(*keys, F.col("cause").alias("direct")).join(counter.select(*keys, F.col("cause").alias("counter")), list(keys), "full_outer")
+    both = both_sides(direct.select(*keys, F.col("cause").alias("direct")), counter.select(*keys, F.col("cause").alias("counter")), keys)
     verdict = F.when(F.col("counter").isNull(), "conflict-open").when(F.col("direct").isNull(), "counterfactual-only").when(F.col("direct") == F.col("counter"), "agreed").otherwise("conflict")
     return both.select(*keys, "direct", "counter", verdict.alias("verdict"))
 
@@ -145,7 +168,7 @@ def nearest_rank(rows: DataFrame, keys: Sequence[str], value: str, share: float)
 
 def key_order(a: DataFrame, b: DataFrame, scope: Sequence[str], key: str, at: str) -> DataFrame:
     """Keys of two tables within a scope: scope, key, side (a only, b only, both), same_place among the shared ones."""
-    both = a.select(*scope, key, F.col(at).alias("a_at")).join(b.select(*scope, key, F.col(at).alias("b_at")), [*scope, key], "full_outer")
+    both = both_sides(a.select(*scope, key, F.col(at).alias("a_at")), b.select(*scope, key, F.col(at).alias("b_at")), [*scope, key])
     side = F.when(F.col("b_at").isNull(), "a only").when(F.col("a_at").isNull(), "b only").otherwise("both")
     w = Window.partitionBy(*scope, "side")
     placed = both.withColumn("side", side).withColumn("pa", F.row_number().over(w.orderBy("a_at", key))).withColumn("pb", F.row_number().over(w.orderBy("b_at", key)))
@@ -154,7 +177,7 @@ def key_order(a: DataFrame, b: DataFrame, scope: Sequence[str], key: str, at: st
 
 def differing_ranges(a: DataFrame, b: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
     """Longest runs of consecutive places at which two sequences differ, or only one is there: keys, run_lo, run_hi, n."""
-    both = a.select(*keys, at, F.col(value).alias("va"), F.lit(True).alias("in_a")).join(b.select(*keys, at, F.col(value).alias("vb"), F.lit(True).alias("in_b")), [*keys, at], "full_outer")
+    both = both_sides(a.select(*keys, at, F.col(value).alias("va"), F.lit(True).alias("in_a")), b.select(*keys, at, F.col(value).alias("vb"), F.lit(True).alias("in_b")), [*keys, at])
     return islands(both.where(F.col("in_a").isNull() | F.col("in_b").isNull() | ~F.col("va").eqNullSafe(F.col("vb"))).select(*keys, at), keys, at)
 
 
@@ -164,7 +187,7 @@ def field_differences(a: DataFrame, b: DataFrame, keys: Sequence[str], fields: S
     A key that only one side has is a violation in every field.
     """
     long = lambda t, name: t.select(*keys, F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias(name)) for f in fields))))
-    both = long(a, "a_value").withColumn("in_a", F.lit(True)).join(long(b, "b_value").withColumn("in_b", F.lit(True)), [*keys, "field"], "full_outer")
+    both = both_sides(long(a, "a_value").withColumn("in_a", F.lit(True)), long(b, "b_value").withColumn("in_b", F.lit(True)), [*keys, "field"])
     differ = both.where(~F.col("a_value").eqNullSafe(F.col("b_value")) | F.col("in_a").isNull() | F.col("in_b").isNull())
     fine = F.col("in_a").isNotNull() & F.col("in_b").isNotNull() & F.col("field").isin(list(allowed))
     return differ.select(*keys, "field", "a_value", "b_value", F.when(fine, "allowed").otherwise("violation").alias("verdict"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import GRID, Grid, cell, with_levels
+from ..sources.lineage import cut_lineage
 
 
 def way_geometry(refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -60,11 +61,12 @@ def edge_cells(segs: DataFrame, n: int, grow: float = 1e-6, g: Grid = GRID) -> D
     return s.withColumn("iy", F.explode(F.sequence(lo, hi))).where(f"ix between 0 and {n - 1} and iy between 0 and {n - 1}").select("way_id", "ix", "iy").distinct()
 
 
-def interior_cells(rings: DataFrame, n: int, g: Grid = GRID) -> DataFrame:
+def interior_cells(rings: DataFrame, n: int, g: Grid = GRID, edges: DataFrame | None = None) -> DataFrame:
     """Cells whose row centre line lies inside closed rings, by even-odd scan lines: way_id, ix, iy; not those of the edges.
 
     rings: segments (way_id, lat, lon, lat2, lon2) of closed rings. Each edge meets the centre lines of the rows it spans;
-    the crossings of a row are paired in order and the cells between whose centres lie inside are listed.
+    the crossings of a row are paired in order and the cells between whose centres lie inside are listed. edges: the cells of
+    the rings' edges (edge_cells), if they are there already.
     """
     v1, v2 = ((F.col(c) - g.lat0) / g.lat_span * n for c in ("lat", "lat2"))
     u1, u2 = ((F.col(c) - g.lon0) / g.lon_span * n for c in ("lon", "lon2"))
@@ -76,7 +78,7 @@ def interior_cells(rings: DataFrame, n: int, g: Grid = GRID) -> DataFrame:
     pairs = e.select("way_id", "iy", x.alias("x")).select("way_id", "iy", "x", F.lead("x").over(w).alias("x2"), F.row_number().over(w).alias("k")).where("k % 2 = 1 and x2 is not null")
     a, b = F.ceil(F.col("x") - 0.5).cast("long"), F.ceil(F.col("x2") - 0.5).cast("long") - 1
     inside = pairs.where(b >= a).select("way_id", F.explode(F.sequence(a, b)).alias("ix"), "iy").where(f"ix between 0 and {n - 1} and iy between 0 and {n - 1}").distinct()
-    return inside.join(edge_cells(rings, n, g=g), ["way_id", "ix", "iy"], "left_anti")
+    return inside.join(edge_cells(rings, n, g=g) if edges is None else edges, ["way_id", "ix", "iy"], "left_anti")
 
 
 def closed(points: DataFrame, least: int = 3) -> DataFrame:
@@ -93,7 +95,8 @@ def share_shapes(rings: DataFrame, homes: DataFrame, existing: DataFrame, n: int
 
     homes: way_id, ix, iy. Only cells of `existing` (ix, iy) borrow.
     """
-    all_cells = edge_cells(rings, n, g=g).withColumn("interior", F.lit(False)).unionByName(interior_cells(rings, n, g).withColumn("interior", F.lit(True)))
+    edges = cut_lineage(edge_cells(rings, n, g=g))
+    all_cells = edges.withColumn("interior", F.lit(False)).unionByName(interior_cells(rings, n, g, edges).withColumn("interior", F.lit(True)))
     return all_cells.join(homes, ["way_id", "ix", "iy"], "left_anti").join(existing.select("ix", "iy").distinct(), ["ix", "iy"], "left_semi").select("way_id", "ix", "iy", "interior")
 
 
