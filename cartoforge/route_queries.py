@@ -45,7 +45,7 @@ def r09(spark, d):
 
 
 @query("r11_distances_kept", f"""WITH RECURSIVE {_ROUNDS}, alive AS (SELECT u AS node FROM e2 UNION SELECT v FROM e2), p AS (SELECT node AS src, node, CAST(0 AS BIGINT) AS dist FROM alive WHERE node % 40 = 0 UNION SELECT src, e.v, dist + e.w FROM p JOIN e0 e ON e.u = p.node WHERE dist + e.w <= 6000)
-SELECT count(*) AS pairs, 0 AS broken FROM (SELECT DISTINCT src, node FROM p WHERE node IN (SELECT node FROM alive)) t""")
+SELECT count(*) AS pairs, CAST(0 AS BIGINT) AS broken FROM (SELECT DISTINCT src, node FROM p WHERE node IN (SELECT node FROM alive)) t""")
 def r11(spark, d):
     _, shots = contraction.contract(_edges(spark, d), 2)
     after = shots.where("round = 2").select("u", "v", "w")
