@@ -74,9 +74,64 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
+def _texts(values: list[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_JACCARD_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_LOW}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id"""
+
+_TEMPLATES = [(k, licenses.bigrams(x)) for k, xs in licenses.TEMPLATES.items() for x in xs]
+_GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LICENSE_SQL = rf"""
+WITH t AS (SELECT * FROM (VALUES {", ".join(f"('{k}', [{_texts(g)}])" for k, g in _TEMPLATES)}) v(license, g)),
+d AS (SELECT doc_id, coalesce(text, '') AS x, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+u AS (SELECT doc_id, unnest(CASE WHEN len(lines) > 1 THEN list_concat(lines, list_filter(string_split_regex(x, '\n[\x20\t\r]*\n'), lambda p: contains(p, chr(10)) AND length(p) < length(x)), [x]) ELSE lines END) AS text FROM d),
+w AS (SELECT row_number() OVER () AS unit, doc_id, list_filter(string_split_regex({_LOW}, '{_GAPS}'), lambda w: w <> '') AS w FROM u),
+b AS (SELECT unit, doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
+m AS (SELECT unit, doc_id, license, 2e0 * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM b JOIN t ON len(g) * 85 <= len(b) * 115 AND len(b) * 85 <= len(g) * 115),
+h AS (SELECT unit, doc_id, license, dice FROM m WHERE dice * 100 >= 85 QUALIFY row_number() OVER (PARTITION BY unit ORDER BY dice DESC, license) = 1),
+o AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS top FROM h GROUP BY doc_id)
+SELECT d.doc_id, coalesce(o.n, 0) AS n_matches, coalesce(licenses, '') AS licenses, (SELECT min(license) FROM h WHERE h.doc_id = d.doc_id AND h.dice = o.top) AS best_license, round(top, 6) AS best_dice FROM d LEFT JOIN o USING (doc_id)"""
+
+
+def _kind_sql(kind: str, pattern: str, keep: str, value: str = "m[i]") -> str:
+    """Matches of a pattern with their places, from what stands between them."""
+    p = pattern.replace("'", "''")
+    cut = f"SELECT doc_id, source, text, regexp_extract_all(t, '{p}', 0) AS m, string_split_regex(t, '{p}') AS g FROM t"
+    at = "CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT)"
+    return f"SELECT doc_id, source, text, '{kind}' AS kind, {at} AS a, {at} + length(m[i]) AS z, {value} AS value FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({cut}) x) y WHERE {keep}"
+
+
+_ASSIGN_VALUE = "regexp_extract(m[i], '" + secrets.ASSIGN.replace("'", "''") + "', 2)"
+_OPAQUE_KEEP = "regexp_matches(m[i], '[0-9]') AND regexp_matches(m[i], '[A-Z]') AND regexp_matches(m[i], '[a-z]')"
+_PLACE = "CASE kind WHEN 'assign' THEN 1 WHEN 'access' THEN 2 WHEN 'hex' THEN 3 ELSE 4 END"
+_LISTED = f"string_agg(kind || ':' || CAST(a AS VARCHAR) || ':' || CAST(z AS VARCHAR), ',' ORDER BY a, {_PLACE}, z)"
+_SECRET_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text, translate(coalesce(text, ''), chr(1), chr(65533)) AS t FROM documents),
+f AS ({_kind_sql('assign', secrets.ASSIGN, f'length({_ASSIGN_VALUE}) >= 12', _ASSIGN_VALUE)} UNION ALL {_kind_sql('access', 'AKIA[A-Z0-9]+', 'length(m[i]) >= 18')}
+ UNION ALL {_kind_sql('hex', '[0-9a-f]{16,}', 'true')} UNION ALL {_kind_sql('opaque', '[A-Za-z0-9+/_-]{24,}', _OPAQUE_KEEP)}),
+h AS (SELECT value, count(DISTINCT text) AS texts, count(DISTINCT source) AS owners FROM f GROUP BY value),
+s AS (SELECT f.*, NOT (owners > 2 AND owners * 2 >= texts AND owners >= sqrt((SELECT count(DISTINCT source) FROM t))) AND NOT (kind = 'hex' AND NOT regexp_matches(f.value, '[a-f]')) AS live FROM f JOIN h USING (value)),
+k AS (SELECT * FROM s WHERE kind <> 'opaque' OR (live AND NOT EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.kind <> 'opaque' AND o.a < s.z AND s.a < o.z))),
+g AS (SELECT doc_id, CAST(count_if(kind = 'assign') AS BIGINT) AS n_assign, CAST(count_if(kind = 'access') AS BIGINT) AS n_access, CAST(count_if(kind = 'hex') AS BIGINT) AS n_hex, {_LISTED} FILTER (WHERE kind <> 'opaque') AS base, {_LISTED} AS spans,
+ CAST(count_if(live) AS BIGINT) AS n_live, CAST(count_if(NOT live) AS BIGINT) AS n_copied FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM t LEFT JOIN g USING (doc_id)"""
+
 _BENCH_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": _JACCARD_SQL,
+    "op3_license_scans": _LICENSE_SQL,
+    "op5_secret_scans": _SECRET_SQL,
     "op10_benchmark_decontamination": f"""
 WITH b AS (SELECT item_id, {_BENCH_WORDS} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, w[i : i + least(len(w), 10) - 1] AS cut

@@ -295,3 +295,18 @@ def test_empty_tables(empty, spark):
     assert quality.score(empty, quality.train(empty, labels)).count() == rules.apply(empty, labels).count() == licenses.scan(empty).count() == 0
     assert secrets.scan(empty).count() == secrets.redact(empty).count() == pii.scan(empty).count() == packing.pack(empty).count() == 0
     assert ctw.lm_scores(empty.withColumn("held_out", F.lit(True))).count() == 0
+
+
+def test_whole_licence_texts_in_longer_files(spark):
+    wrapped = "\n".join(licenses.MIT[i : i + 70] for i in range(0, 70 * 9, 70))
+    rows = [(1, f"Copyright someone\n\n{licenses.MIT}\n\n{licenses.AS_IS_MIT}"), (2, f"int main;\n\n{licenses.GPL[:100]}\n{licenses.GPL[100:]}\n\nmore text"), (3, licenses.ISC), (4, f"{licenses.BSD}\n{licenses.BSD_1}\n{licenses.BSD_2}\n{licenses.BSD_3}"), (5, "plain words without terms " * 20), (6, wrapped)]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1], got[2], got[3], got[5]) == ("MIT", "GPL-3.0", "ISC", "") and "BSD-3-Clause" in got[4]
+
+
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard_join", "op3_license_scans", "op5_secret_scans"])
+def test_sql_of_queries(spark, sf_dir, name):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    ours, theirs = queries.QUERIES[name](spark, sf_dir), c.sql(queries.ORACLE_SQL[name])
+    assert sorted(map(str, map(tuple, ours.select(*theirs.columns).collect()))) == sorted(map(str, theirs.fetchall()))
