@@ -59,7 +59,7 @@ class _Pieces(dict):
         cut = [[] if i in whole else self.easy(t) for i, t in enumerate(texts)]
         if len(self) >= self.MOST:
             self.clear()
-        new = {p for c in cut for p in c}.difference(self)
+        new = set().union(*cut).difference(self)
         led = [p for p in new if len(p) > 1 and p[0] == " " and not p[1].isspace()]
         row = np.frombuffer(b"".join(self.encoded(["".join(led)] if led else [])), "<u2").astype(np.int64)
         at = np.flatnonzero(self.spaced[row])  # each of these pieces starts with its only space, so a run of them can be cut again
@@ -93,7 +93,7 @@ def _tokenise(vocabulary: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, project, end = _pieces(vocabulary), _projection(), np.array([END], "<u2").tobytes()
-        for b in slices(batches, 256):
+        for b in slices(batches, 512):
             ids = [x + end for x in pieces.ids([t or "" for t in b.column(1).to_pylist()])]
             n = np.array([len(x) // 2 for x in ids], np.int64)
             starts = np.concatenate(([0], np.cumsum(n)[:-1]))
