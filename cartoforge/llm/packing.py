@@ -27,9 +27,10 @@ COARSE = 16
 
 
 class _Pieces(dict):
-    """Piece of text to its ids as little-endian unsigned 16-bit numbers; empties itself before it grows large."""
+    """Piece of text to its ids as little-endian unsigned 16-bit numbers. Holds MOST pieces and more, and keeps those that it had
+    before as `old`: what is met again moves on, the rest goes at the next turn."""
 
-    MOST = 1_000_000
+    MOST = 300_000
 
     def __init__(self, vocabulary: str):
         import re
@@ -40,6 +41,7 @@ class _Pieces(dict):
             import public_tokenizers
 
             vocabulary = str(public_tokenizers.path(vocabulary))
+        self.old: dict[str, bytes] = {}
         self.coder = Tokenizer.from_file(vocabulary)
         self.coder.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.coder.get_vocab_size() > 1 << 16:
@@ -58,8 +60,12 @@ class _Pieces(dict):
         whole = dict(zip(hard, self.encoded([texts[i] for i in hard])))
         cut = [[] if i in whole else self.easy(t) for i, t in enumerate(texts)]
         if len(self) >= self.MOST:
+            self.old = dict(self)
             self.clear()
         new = set().union(*cut).difference(self)
+        again = new.intersection(self.old)
+        self.update(zip(again, map(self.old.__getitem__, again)))
+        new -= again
         led = [p for p in new if len(p) > 1 and p[0] == " " and not p[1].isspace()]
         row = np.frombuffer(b"".join(self.encoded(["".join(led)] if led else [])), "<u2").astype(np.int64)
         at = np.flatnonzero(self.spaced[row])  # each of these pieces starts with its only space, so a run of them can be cut again
@@ -93,7 +99,7 @@ def _tokenise(vocabulary: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, project, end = _pieces(vocabulary), _projection(), np.array([END], "<u2").tobytes()
-        for b in slices(batches, 512):
+        for b in slices(batches, 256):
             ids = [x + end for x in pieces.ids([t or "" for t in b.column(1).to_pylist()])]
             n = np.array([len(x) // 2 for x in ids], np.int64)
             starts = np.concatenate(([0], np.cumsum(n)[:-1]))
