@@ -6,33 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartoforge.llm import decontam, packing, quality, secrets, setjoin
-from cartoforge.llm.common import table, written
+from cartoforge.llm.common import spare, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the positive-unlabelled classifier accepts."""
+    """Keeps documents that the positive-unlabelled classifier accepts.
+
+    Null and empty texts are judged as empty ones; repeated rows stay or go together; columns of any name are kept as they are.
+    Without positive labels nothing is accepted. An empty table stays empty.
+    """
+    names = spare(docs, "score", "predicted")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.score(docs, model, (names[0], names[1])).where(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies (five-word shingles, similarity 0.8)."""
+    """Keeps the document with the smallest doc_id of each group of near copies (five-word shingles, similarity 0.8).
+
+    Rows that repeat a doc_id are one document: they stay or go together, also where their texts differ and one is a copy.
+    Rows without doc_id, and texts without words, always stay.
+    """
     others = setjoin.near_groups(docs, width=5, num=80, den=100).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of the benchmark."""
+    """Drops documents that hold a window of the benchmark; null and empty texts stay, repeated rows go together."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces live-looking secrets; every document stays."""
+    """Replaces live-looking secrets; every document stays, null and empty texts as they are."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of 2048 tokens."""
+    """Packs the documents into sequences of 2048 tokens; a null or empty text is its end alone, repeated rows are packed each."""
     return packing.pack(docs).withColumn("ids", F.base64("ids"))
 
 
