@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import native_words, written
+from .common import WORD, drop, native_words, written
 from .spans import listed, readable, replaced, spans
 
 BASE = ("email", "ip", "card", "phone")
@@ -16,8 +16,6 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: Terms up to which a set of them is broadcast (about 50 bytes each); beyond, the join shuffles.
-BROADCAST_TERMS = 500_000
 
 
 def _digits(m: Column) -> Column:
@@ -48,47 +46,66 @@ def entities(text: Column) -> Column:
 def _near(text: Column, s: Column, reach: int) -> Column:
     """Words that stand whole within `reach` characters of a span."""
     left = F.greatest(s["start"] - reach, F.lit(0))
-    word = r"[^\x20\x09-\x0D]+"
     shift = lambda found, by: F.transform(found, lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + by).alias("start"), (w["end"] + by).alias("end")))
-    before = F.filter(shift(spans(F.substr(text, left + 1, s["start"] - left), "w", word), left), lambda w: ((w["start"] > left) | (left == 0)) & (w["end"] < s["start"]))
-    after = F.filter(shift(spans(F.substr(text, s["end"] + 1, F.lit(reach)), "w", word), s["end"]), lambda w: (w["start"] > s["end"]) & (w["end"] < F.least(s["end"] + reach, F.length(text))))
+    before = F.filter(shift(spans(F.substr(text, left + 1, s["start"] - left), "w", WORD), left), lambda w: ((w["start"] > left) | (left == 0)) & (w["end"] < s["start"]))
+    after = F.filter(shift(spans(F.substr(text, s["end"] + 1, F.lit(reach)), "w", WORD), s["end"]), lambda w: (w["start"] > s["end"]) & (w["end"] < F.least(s["end"] + reach, F.length(text))))
     return F.concat(before, after)
 
 
 def scan(docs: DataFrame, reach: int = 80, disclosure: float = 0.8, support: int = 3) -> DataFrame:
     """Every row of docs with its spans: doc_id, spans (kind, start, end).
 
-    docs: doc_id, text; other columns are ignored. Protected entities are the matches of the base kinds. A term is a word within
-    `reach` characters of an entity e. With D documents, e's information content is IC(e) = log2(D / df(e)), and
-    PMI(t, e) = log2(df(t, e) * D / (df(t) * df(e))) says how much of it term t reveals. A term that stands by e in `support`
-    or more different surroundings (copies of a passage count once) and reveals a share of `disclosure` or more of IC(e)
-    becomes a span of kind term wherever it stands by e. df(t) counts all documents of the corpus.
-    All counts are pre-aggregated; entities and terms meet in joins that Spark can split; only two counts reach the driver.
-    Null texts are empty; repeated rows are scanned each on its own.
+    docs: doc_id, text; other columns are ignored. Protected entities are the matches of the base kinds, terms all words of the
+    documents that hold one. With D documents, e's information content is IC(e) = log2(D / df(e)), and
+    PMI(t, e) = log2(df(t, e) * D / (df(t) * df(e))) says how much of it term t reveals, co-occurrence being counted by document.
+    A term that stands in documents where e has `support` or more different surroundings (the words within `reach` characters
+    of it: copies of a passage count once) and that reveals a share of `disclosure` or more of IC(e) becomes a span of kind term
+    wherever it stands in a document that holds e, save where it overlaps a base span. df(t) counts all documents of the corpus.
+
+    Entities with fewer surroundings go first; a pair with df(t) > D^(1 - disclosure) * df(e)^disclosure cannot tell, as
+    df(t, e) <= df(e), and goes before it is counted. The other pairs of a document's entities and terms meet by row, so work
+    grows with the documents, whatever entity is frequent. Only three counts reach the driver.
+    Null texts are empty; repeated rows are scanned each on its own; an empty table gives an empty result.
     """
     texts = docs.select("doc_id", readable(F.col("text")).alias("text"))
     base = texts.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).select("doc_id", "row", "text", entities(F.col("text")).alias("found"))
-    full = F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["kind"], s["value"]).alias("entity"), _near(F.col("text"), s, reach).alias("near")))
-    found = written(base.select("doc_id", "row", full.alias("found")), "pii")
-    one = found.select("doc_id", "row", F.explode("found").alias("s")).select("doc_id", "row", "s.*")
-    around = one.select("entity", F.array_distinct(F.transform("near", lambda w: w["term"])).alias("terms")).distinct()
-    joint = around.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("joint")).where(F.col("joint") >= support)
-    joint = written(joint, "pii-joint")
+    passage = lambda s: F.xxhash64(F.array_distinct(F.transform(_near(F.col("text"), s, reach), lambda w: w["term"])))
+    full = F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["kind"], s["value"]).alias("entity"), passage(s).alias("passage")))
+    words = F.transform(spans(F.col("text"), "w", WORD, value=F.lower), lambda w: F.struct(w["value"].alias("term"), w["start"].alias("start"), w["end"].alias("end")))
+    found = written(base.select("doc_id", "row", full.alias("found"), F.when(F.size("found") > 0, words).alias("words")), "pii")
     out = found.select("doc_id", "row", F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"))
-    terms = joint.select("term").distinct()
-    if not (n_terms := terms.count()):
-        return out.select("doc_id", F.col("base").alias("spans"))
+    # of a row's surroundings of one entity `support` are enough to know whether there are that many
+    some = F.slice(F.sort_array(F.collect_set("passage")), 1, support)
+    held = found.select("row", F.explode("found").alias("s")).select("row", "s.entity", "s.passage").groupBy("row", "entity").agg(some.alias("passages")).select("row", "entity", F.posexplode("passages").alias("place", "passage"))
+    first = F.count_if(F.col("place") == 0)
     total = found.count()
-    terms = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
-    df_t = texts.select(F.explode(F.array_distinct(F.transform(native_words(F.col("text")), F.lower))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")).join(terms, "term")
-    df_e = one.groupBy("entity", "row").agg(F.lit(1).alias("x")).groupBy("entity").agg(F.count("*").alias("df_e"))
-    both = one.select("row", "entity", F.explode("near").alias("w")).select("row", "entity", F.col("w.term").alias("term")).join(joint, ["entity", "term"]).groupBy("entity", "term", "row").agg(F.lit(1).alias("x")).groupBy("entity", "term").agg(F.count("*").alias("df_te"))
+    known = held.groupBy("entity").agg(first.alias("df_e"), F.count_distinct("passage").alias("passages"))
+    known = written(known.where((F.col("passages") >= support) & (F.col("df_e") < total)).select("entity", "df_e"), "pii-entities")
+    most = known.agg(F.max("df_e")).first()[0]
+    if most is None:
+        drop(known)
+        return out.select("doc_id", F.col("base").alias("spans"))
+    bound = lambda df_e: F.pow(F.lit(float(total)), F.lit(1 - disclosure)) * F.pow(df_e, F.lit(disclosure)) * 1.000001
+    held = written(held.join(known, "entity"), "pii-held")
+    open_ = found.join(held.select("row").distinct(), "row", "left_semi")
+    term = open_.select("row", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
+    df_t = texts.select(F.explode(F.array_distinct(F.transform(native_words(F.col("text")), F.lower))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")).where(F.col("df_t") <= bound(F.lit(float(most))))
+    pairs = term.join(df_t, "term").join(held, "row").where(F.col("df_t") <= bound(F.col("df_e"))).select("row", "entity", "place", "passage", "term", "df_t", "df_e")
+    pairs = written(pairs, "pii-pairs")
+    counts = pairs.groupBy("entity", "term").agg(first.alias("df_te"), F.count_distinct("passage").alias("passages"), F.max("df_t").alias("df_t"), F.max("df_e").alias("df_e"))
     pmi = F.log2(F.col("df_te") * F.lit(float(total)) / (F.col("df_t") * F.col("df_e")))
-    telling = both.join(df_t, "term").join(df_e, "entity").where((F.col("df_e") < total) & (pmi >= disclosure * F.log2(F.lit(float(total)) / F.col("df_e")))).select("entity", "term")
-    told = one.select("row", "entity", F.explode("near").alias("w")).select("row", "entity", F.col("w.term").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")).join(telling, ["entity", "term"])
-    told = told.groupBy("row").agg(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("told"))
+    telling = counts.where((F.col("passages") >= support) & (pmi >= disclosure * F.log2(F.lit(float(total)) / F.col("df_e")))).select("entity", "term")
+    told = written(pairs.where("place = 0").join(telling, ["entity", "term"], "left_semi").select("row", "term").distinct(), "pii-told")
+    drop(known, held, pairs)
+    places = _places(found, told).groupBy("row").agg(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("told"))
     free = F.filter(F.coalesce("told", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return out.join(told, "row", "left").select("doc_id", F.concat("base", F.sort_array(free)).alias("spans"))
+    return out.join(places, "row", "left").select("doc_id", F.concat("base", F.sort_array(free)).alias("spans"))
+
+
+def _places(found: DataFrame, told: DataFrame) -> DataFrame:
+    """(row, start, end) of every word of found's rows that told (row, term) names."""
+    some = found.join(told.select("row").distinct(), "row", "left_semi")
+    return some.select("row", F.explode("words").alias("w")).select("row", "w.*").join(told, ["row", "term"]).select("row", "start", "end")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -80,6 +80,17 @@ def test_telling_terms_are_found(spark):
     assert df.select(pii.sanitised(F.col("text"), F.col("spans"))).first()[0] == "alpha0 [...] [...] [EMAIL] beta0 the"
 
 
+def test_telling_terms_far_from_their_entity(spark):
+    far = " ".join(["the word"] * 30)
+    rows = [(i, f"Zaphod {far} alpha{i} by z@p.org beta{i} {far} zaphod") for i in range(6)]
+    copies = [(i, f"Trillian {far} same words by t@p.org here") for i in range(6, 12)]  # one surrounding only
+    rest = [(i, f"the word w{i} by q{i}@r.org alone") for i in range(12, 60)] + [(60, "Zaphod elsewhere")]
+    got = table(pii.scan(spark.createDataFrame(rows + copies + rest, "doc_id long, text string")))
+    for i, t in rows:
+        assert [t[s.start : s.end] for s in got[i].spans if s.kind == "term"] == ["Zaphod", "zaphod"]
+    assert all(s.kind == "email" for i in range(6, 61) for s in got[i].spans)
+
+
 @pytest.mark.parametrize("which", ["odd", "table"])
 def test_quality_rules(spark, sf_dir, odd, docs, which):
     labels = spark.createDataFrame([], "doc_id long, quality int")
