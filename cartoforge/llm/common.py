@@ -32,16 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Rows of an Arrow batch, so that batches of long texts stay small on both sides of a Python worker.
+BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage of df: writes it to the shared folder and reads it again. The shuffle files of the write go at its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    was = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    meant = {CLEANUP: "true", **BATCH_ROWS}
+    was = {k: spark.conf.get(k, None) for k in meant}
+    for k, v in meant.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -103,7 +110,29 @@ def words_of(text: str | None) -> list[bytes]:
     return text_bytes(text).lower().split()
 
 
-class WordHashes(dict):
+class Cache(dict):
+    """What a Python worker remembers from task to task. Workers are reused by tasks of other operators: alone() empties the
+    caches that those left."""
+
+    ALL: list["Cache"] = []
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.ALL.append(self)
+
+    def forget(self) -> None:
+        self.clear()
+
+    @classmethod
+    def alone(cls, *kept: "Cache") -> None:
+        """Empties every cache of this worker but those kept, and hands unused memory back."""
+        for c in cls.ALL:
+            if not any(c is k for k in kept):
+                c.forget()
+        pa.default_memory_pool().release_unused()
+
+
+class WordHashes(Cache):
     """Word to 64-bit hash; a cache that empties itself before it grows large."""
 
     MOST = 400_000

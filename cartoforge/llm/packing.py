@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import Cache, slices, written
 
 #: Vocabulary file of byte-level BPE for the tokenizers library: a path, or the name of a public one.
 VOCABULARY = "byte_bpe_50k.json"
@@ -26,13 +26,14 @@ END, DIMS, BITS, BUCKETS = 1, 4, 10, 4096
 COARSE = 16
 
 
-class _Pieces(dict):
+class _Pieces(Cache):
     """Piece of text to its ids as little-endian unsigned 16-bit numbers. Holds MOST pieces and more, and keeps those that it had
     before as `old`: what is met again moves on, the rest goes at the next turn."""
 
     MOST = 300_000
 
     def __init__(self, vocabulary: str):
+        super().__init__()
         import re
 
         from tokenizers import Tokenizer
@@ -51,6 +52,10 @@ class _Pieces(dict):
         self.spaced[[i for t, i in self.coder.get_vocab().items() if t.startswith("Ġ")]] = True
         self.easy, self.hard = re.compile(EASY).findall, re.compile(HARD).search
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
@@ -99,6 +104,7 @@ def _tokenise(vocabulary: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, project, end = _pieces(vocabulary), _projection(), np.array([END], "<u2").tobytes()
+        Cache.alone(pieces)
         for b in slices(batches, 256):
             ids = [x + end for x in pieces.ids([t or "" for t in b.column(1).to_pylist()])]
             n = np.array([len(x) // 2 for x in ids], np.int64)

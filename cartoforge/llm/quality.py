@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_bytes
+from .common import Cache, slices, text_bytes
 
 _PUNCT = np.array([c for c in range(33, 127) if not chr(c).isalnum()])
 N_FEATURES = len(_PUNCT) + 20
@@ -155,6 +155,7 @@ def score(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("score
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Cache.alone()
         for b in slices(batches):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             s = held.value.score(np.array([features(t) for t in texts])) if held.value else np.full(len(texts), 0.5)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, drop, mix, slices, words_of, written
+from .common import Cache, WordHashes, components, drop, mix, slices, words_of, written
 
 _HASHES = WordHashes()
 #: Segments beyond what the pigeonhole needs, so that the smallest ones can go without a signature.
@@ -154,6 +154,7 @@ def _parities(h: np.ndarray, d: np.ndarray, n: int, bits: int, salt: int) -> np.
 
 def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Cache.alone(_HASHES)
         for b in slices(batches):
             h, d, n = flat_sets(b.column(1).to_pylist(), width)
             sketch = _parities(h, d, len(n), 256, 0x9FB21C651E98DF25)
@@ -169,6 +170,7 @@ def _signature_rows(width: int, plan: list[Band], num: int, den: int):
     highs = np.array([b.high for b in plan], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Cache.alone(_HASHES)
         seen: set[tuple[int, int]] = set()
         for b in slices(batches):
             h, d, n = flat_sets(b.column(0).to_pylist(), width)
@@ -194,6 +196,7 @@ def _signature_rows(width: int, plan: list[Band], num: int, den: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Cache.alone(_HASHES)
         for b in slices(batches, 128):
             h, d, n = flat_sets(b.column(1).to_pylist(), width)
             ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
