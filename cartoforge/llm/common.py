@@ -9,7 +9,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,11 +104,6 @@ def text_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words of the text with A-Z lowered (bytes.lower and bytes.split know ASCII only)."""
-    return text_bytes(text).lower().split()
-
-
 class Cache(dict):
     """What a Python worker remembers from task to task. Workers are reused by tasks of other operators: alone() empties the
     caches that those left."""
@@ -132,21 +126,6 @@ class Cache(dict):
         pa.default_memory_pool().release_unused()
 
 
-class WordHashes(Cache):
-    """Word to 64-bit hash; a cache that empties itself before it grows large."""
-
-    MOST = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     with np.errstate(over="ignore"):
@@ -155,6 +134,38 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: By byte: what separates words, and A-Z lowered.
+_GAP = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOW = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint64)
+
+
+def word_hashes(texts: list[str | None], block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts with A-Z lowered, in order, and the text each is of.
+
+    A word's hash adds up a number of each byte at its place in the word. Bytes are worked on in blocks of whole words, so memory
+    stays a small multiple of the texts however long one is; no word is an object of its own.
+    """
+    raw = [text_bytes(t) for t in texts]
+    a = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+    gaps = np.flatnonzero(_GAP[a])
+    starts = np.concatenate(([0], gaps[:-1] + 1)) if len(gaps) else gaps
+    word = gaps > starts
+    starts, ends = starts[word], gaps[word]
+    hashes = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + block)))
+        at = starts[i:j] - starts[i]
+        part = a[starts[i] : ends[j - 1]]
+        place = np.arange(len(part)) - np.repeat(at, np.diff(at, append=len(part)))
+        one = mix((place.astype(np.uint64) << np.uint64(8)) + _LOW[part] + np.uint64(1))
+        one[_GAP[part]] = 0
+        hashes[i:j] = mix(np.add.reduceat(one, at) ^ (ends[i:j] - starts[i:j]).astype(np.uint64))
+        i = j
+    last = np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))
+    return hashes, np.searchsorted(last, starts, "right")
+
+
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 100) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component), component being the smallest id that can be reached.
 

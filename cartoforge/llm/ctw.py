@@ -11,14 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, drop, slices, text_bytes, written
+from .common import drop, slices, text_bytes, word_hashes, written
 
 #: What ends a text: a byte that UTF-8 never uses. It is coded as the bytes are, so the scores of all texts add up to 1.
 END = b"\xff"
 #: Bytes of context, the last bytes of it by which the tree is parted, and the bytes of text whose distinct grams and tokens
 #: meet their scores as one group.
 DEPTH, TOP, CHUNK = 5, 2, 32 << 20
-_HASHES = WordHashes()
 _ONE = np.uint64(1)
 
 
@@ -255,8 +254,10 @@ class Tree:
         return out
 
 
-def _tokens(text: str | None) -> np.ndarray:
-    return _HASHES.of(text_bytes(text).lower().split())
+def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all texts, and the text each is of; the ends, token 0, come last, one a text."""
+    words, owner = word_hashes(texts)
+    return np.concatenate([words, np.zeros(len(texts), np.uint64)]), np.concatenate([owner, np.arange(len(texts))])
 
 
 def _piece(table: pa.Table) -> pa.Table:
@@ -271,9 +272,8 @@ def _piece(table: pa.Table) -> pa.Table:
     for b in slices(iter(table.to_batches())):
         texts, open_ = b.column(b.schema.get_field_index("text")).to_pylist(), ~b.column(b.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool)
         g, owner = grams(texts)
-        tokens = [_tokens(t) for t in texts]
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        for kind, keys, n in ((0, g, open_[owner]), (1, np.concatenate([*tokens, np.zeros(len(texts), np.uint64)]), np.concatenate([np.repeat(open_, sizes), open_]))):  # the end is token 0
+        tokens, of = _tokens(texts)
+        for kind, keys, n in ((0, g, open_[owner]), (1, tokens, open_[of])):
             held[kind].append(merge([(keys, n.astype(np.int64))]))
             if sum(len(k) for k, _ in held[kind]) > 4_000_000:
                 held[kind] = [merge(held[kind])]
@@ -315,9 +315,8 @@ def _score(texts: pa.Table, values: pa.Table) -> pa.Table:
     for b in slices(iter(texts.select(["doc_id", "held_out", "text"]).to_batches())):
         t = b.column(2).to_pylist()
         g, owner = grams(t)
-        tokens = [_tokens(x) for x in t]
-        whose = np.concatenate([np.repeat(np.arange(len(t)), [len(x) for x in tokens]), np.arange(len(t))])
-        c = counts.of(np.concatenate([*tokens, np.zeros(len(t), np.uint64)]))
+        tokens, whose = _tokens(t)
+        c = counts.of(tokens)
         sums = [np.bincount(whose, minlength=len(t)), np.bincount(whose, c > 0, len(t)).astype(np.int64), np.bincount(whose, np.log10(c + 0.5), len(t))]
         sums += [np.bincount(owner, logs.of(g), len(t)), np.bincount(owner, minlength=len(t)).astype(np.int64) - 1]
         out.append(pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "top", "log2", "n_bytes"]))

@@ -12,9 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, WordHashes, components, drop, mix, slices, words_of, written
+from .common import Cache, components, drop, mix, slices, word_hashes, written
 
-_HASHES = WordHashes()
 #: Segments beyond what the pigeonhole needs, so that the smallest ones can go without a signature.
 SLACK = 1.3
 #: Cost of checking a candidate pair, in signature rows.
@@ -78,27 +77,25 @@ def bands(num: int, den: int, docs: float, largest: int) -> list[Band]:
 
 def flat_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts, flattened; the text each belongs to; sizes. Sorted by text, then hash."""
-    hashes, owner = [], []
-    for i, t in enumerate(texts):
-        words = words_of(t)
-        if not words:
-            continue
-        h = _HASHES.of(words)
-        with np.errstate(over="ignore"):
-            if len(h) < width:
-                g = np.uint64(len(h) + 1)
-                for x in h:
-                    g = mix(np.asarray(g * np.uint64(0x9E3779B97F4A7C15) + x))
-                s = np.array([g], np.uint64)
-            else:
-                s = h[: len(h) - width + 1]
-                for k in range(1, width):
-                    s = mix(s * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - width + 1 + k])
-        hashes.append(s)
-        owner.append(np.full(len(s), i, np.int64))
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-    h, d = np.concatenate(hashes), np.concatenate(owner)
+    w, of = word_hashes(texts)
+    golden = np.uint64(0x9E3779B97F4A7C15)
+    h, d = w[:0], of[:0]
+    if len(w) >= width:
+        h = w[: len(w) - width + 1]
+        for k in range(1, width):
+            h = mix(h * golden + w[k : len(w) - width + 1 + k])
+        whole = of[: len(h)] == of[width - 1 :]
+        h, d = h[whole], of[: len(h)][whole]
+    count = np.bincount(of, minlength=len(texts))
+    few = np.flatnonzero((count > 0) & (count < width))
+    first = np.cumsum(count) - count
+    g = count[few].astype(np.uint64) + np.uint64(1)
+    for k in range(width - 1):
+        more = count[few] > k
+        g[more] = mix(g[more] * golden + w[first[few[more]] + k])
+    h, d = np.concatenate([h, g]), np.concatenate([d, few])
+    if not len(h):
+        return h, d, np.zeros(len(texts), np.int64)
     order = np.lexsort((h, d))
     h, d = h[order], d[order]
     first = np.ones(len(h), bool)
@@ -154,7 +151,7 @@ def _parities(h: np.ndarray, d: np.ndarray, n: int, bits: int, salt: int) -> np.
 
 def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Cache.alone(_HASHES)
+        Cache.alone()
         for b in slices(batches):
             h, d, n = flat_sets(b.column(1).to_pylist(), width)
             sketch = _parities(h, d, len(n), 256, 0x9FB21C651E98DF25)
@@ -170,7 +167,7 @@ def _signature_rows(width: int, plan: list[Band], num: int, den: int):
     highs = np.array([b.high for b in plan], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Cache.alone(_HASHES)
+        Cache.alone()
         seen: set[tuple[int, int]] = set()
         for b in slices(batches):
             h, d, n = flat_sets(b.column(0).to_pylist(), width)
@@ -196,7 +193,7 @@ def _signature_rows(width: int, plan: list[Band], num: int, den: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Cache.alone(_HASHES)
+        Cache.alone()
         for b in slices(batches, 128):
             h, d, n = flat_sets(b.column(1).to_pylist(), width)
             ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)

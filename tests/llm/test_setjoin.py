@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from cartoforge.llm import common, setjoin
 from cartoforge.llm.setjoin import allocate, bands, near_groups
 
 
@@ -82,3 +83,22 @@ def test_one_template_in_unlike_texts_makes_few_pairs(spark):
     sets = [(i, [hash(x) for x in zip(t.split(), t.split()[1:], t.split()[2:])]) for i, t in rows]
     rare = _rarest(spark.createDataFrame(sets, "rid long, set array<long>"), 90, 100)
     assert rare.groupBy("element").count().agg(F.max("count")).first()[0] == 2
+
+
+def test_word_hashes_know_words():
+    texts = [None, "", " \n", "One two\tONE\x0btwo", "\x00 \x1f a\x00  b Ää", "ab ba aab " + "x" * 5_000 + " " + "x" * 4_999 + " end", " tail ", "the " * 3_000]
+    for block in (1, 7, 1 << 20):
+        hashes, owner = common.word_hashes(texts, block)
+        want = [(w, i) for i, t in enumerate(texts) for w in (t or "").encode().lower().split()]
+        assert owner.tolist() == [i for _, i in want]
+        known = dict(zip(hashes.tolist(), (w for w, _ in want)))
+        assert [known[h] for h in hashes.tolist()] == [w for w, _ in want] and len(known) == len({w for w, _ in want})
+    assert [len(x) for x in common.word_hashes([])] == [0, 0]
+
+
+def test_sets_of_short_and_long_texts():
+    texts = ["a b", "A  B", "b a", "a b c", "a b c d", None, "a", "a b c a b c", "c a b"]
+    h, d, n = setjoin.flat_sets(texts, 3)
+    assert n.tolist() == [1, 1, 1, 1, 2, 0, 1, 3, 1]
+    sets = [set(h[d == i].tolist()) for i in range(len(texts))]
+    assert sets[0] == sets[1] != sets[2] and sets[3] < sets[4] and sets[3] < sets[7] and sets[8] < sets[7]
