@@ -60,6 +60,11 @@ def drop(*tables: DataFrame) -> None:
                 path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df with columns of its own, for a cogroup with another part of the same table."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
