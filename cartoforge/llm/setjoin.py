@@ -249,14 +249,16 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     of = F.struct("n_shingles", *SKETCH)
     marks = scanned.where("n_shingles > 0").groupBy("mark1", "mark2").agg(F.min("doc_id").alias("rid"), *(F.min(c).alias(c) for c in ("n_shingles", *SKETCH)))
     marks = written(marks.where("rid is not null").select("mark1", "mark2", "rid", of.alias("of")), "sets")
-    sigs = texts.select("text").mapInArrow(_signature_rows(width, plan, num, den), "sig long, mark1 long, mark2 long").repartition("sig")
-    shared = sigs.groupBy("sig").agg(*(f(m).alias(f"{f.__name__}_{m}") for m in ("mark1", "mark2") for f in (F.min, F.max))).where("min_mark1 < max_mark1 or min_mark2 < max_mark2").select("sig")
-    pairs_of = written(sigs.join(shared, "sig").distinct(), "shared-signatures")
+    sigs = texts.select("text").mapInArrow(_signature_rows(width, plan, num, den), "sig long, mark1 long, mark2 long")
+    ends = (f(m).alias(f"{f.__name__}_{m}") for m in ("mark1", "mark2") for f in (F.min, F.max))
+    shared = sigs.groupBy("sig").agg(*ends).where("min_mark1 < max_mark1 or min_mark2 < max_mark2").select("sig")
+    shared = written(shared, "shared-signatures")  # signatures are given anew rather than kept: a hot one is summed up by task here, and split by the join there
+    pairs_of = written(sigs.join(shared, "sig"), "signatures")
     members = written(pairs_of.join(marks, ["mark1", "mark2"]).select("sig", "rid", "of").distinct(), "members")
     inside = members.select("rid").distinct()
     sets = texts.join(inside.withColumnRenamed("rid", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "rid long, n long, wide array<long>, set array<long>")
     sets = written(sets, "candidate-sets")
-    drop(pairs_of)
+    drop(pairs_of, shared)
 
     def may_link(x: str, y: str) -> Column:
         """False only for pairs that sizes or parities prove to be unlike."""
