@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -109,6 +110,10 @@ def text_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+#: Gives the C library's free memory back to the system, where it has that.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 class Cache(dict):
     """What a Python worker remembers from task to task. Workers are reused by tasks of other operators: alone() empties the
     caches that those left."""
@@ -129,6 +134,8 @@ class Cache(dict):
             if not any(c is k for k in kept):
                 c.forget()
         pa.default_memory_pool().release_unused()
+        if _TRIM:
+            _TRIM(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -149,6 +149,7 @@ def _cut(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        Cache.alone()
         number, filled, tail, out = TaskContext.get().partitionId() << 40, 0, [], []
 
         def piece(doc: int, ids: bytes, at: int, size: int, seq: int, offset: int) -> tuple:
@@ -215,6 +216,7 @@ def pack(docs: DataFrame, most: int = 2048, vocabulary: str = VOCABULARY, tokens
 
     @F.pandas_udf("long")
     def key(*v: pd.Series) -> pd.Series:
+        Cache.alone()
         return pd.Series(hilbert(np.stack([x.to_numpy() for x in v]), BITS))
 
     level = lambda k: F.least(F.lit((1 << BITS) - 1), F.floor((1 << BITS) / (1 + F.exp(-1.702 * (F.col(f"v{k}") - spread[f"m{k}"]) / (spread[f"s{k}"] or 1.0))))).cast("long")
