@@ -196,16 +196,18 @@ def x22(spark, d):
 
 @query("x25_state_suffix", "SELECT suffix, min(r_name) AS state, count(*) AS n FROM (SELECT CASE WHEN addr_id % 7 = 0 THEN 201 ELSE suffix END AS suffix FROM address_points) a JOIN region ON r_regionkey + 201 = suffix GROUP BY suffix")
 def x25(spark, d):
-    a = view(spark, d, "address_points").select(F.when(F.col("addr_id") % 7 != 0, F.col("suffix")).alias("suffix"))
+    a = view(spark, d, "address_points")
     states = spark.sql("SELECT r_regionkey + 201 AS suffix, r_name AS state FROM region")
-    return a.select(F.coalesce("suffix", F.lit(201)).alias("suffix")).groupBy("suffix").agg(F.count("*").alias("n")).join(states, "suffix").select("suffix", "state", "n")
+    code = F.when(F.col("addr_id") % 7 == 0, None).when(F.col("addr_id") % 2 == 0, F.col("suffix").cast("string")).otherwise(F.lower("state"))
+    a = a.join(states, "suffix").select(code.alias("code"))  # every second one has its state's name for a code
+    return address.state_suffix(a, "code", states, 201).groupBy("suffix", "state").agg(F.count("*").alias("n"))
 
 
-@query("j02_restriction_status", """WITH f AS (SELECT DISTINCT way_id, node_id FROM way_refs WHERE pos <= 2)
+@query("j02_restriction_status", """WITH f AS (SELECT DISTINCT way_id, node_id FROM way_refs)
 SELECT restriction, count(*) AS n, CAST(count_if(a.way_id IS NOT NULL AND b.way_id IS NOT NULL) AS BIGINT) AS resolved FROM relations LEFT JOIN f a ON a.way_id = from_way AND a.node_id = via LEFT JOIN f b ON b.way_id = to_way AND b.node_id = via GROUP BY restriction""")
 def j02(spark, d):
     r = view(spark, d, "relations")
-    done = graph.resolve_restrictions(r, view(spark, d, "way_refs").where("pos <= 2")).join(r.select("rel_id", "restriction"), "rel_id")
+    done = graph.resolve_restrictions(r, view(spark, d, "way_refs")).join(r.select("rel_id", "restriction"), "rel_id")
     return done.groupBy("restriction").agg(F.count("*").alias("n"), F.count_if(F.col("from_pos").isNotNull() & F.col("to_pos").isNotNull()).alias("resolved"))
 
 

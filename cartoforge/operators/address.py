@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.lineage import cut_lineage
+from ..sources.lineage import cut_lineage, drop_tables
 
 
 def house_numbers(text: Column) -> tuple[Column, Column]:
-    """Lower and upper house number: a range on - or /, else leading digits twice, else 0 and 0."""
+    """Lower and upper house number: a range if the whole text is two numbers with - or / between, else leading digits twice, else
+    0 and 0."""
     a = F.regexp_extract(text, r"^\s*([0-9]+)", 1)
-    b = F.regexp_extract(text, r"^\s*[0-9]+[^-–/]*[-–/]\s*([0-9]+)", 1)
+    b = F.regexp_extract(text, r"^\s*[0-9]+\s*[-–/]\s*([0-9]+)\s*$", 1)
     first = F.when(a == "", F.lit(0)).otherwise(a.cast("int"))
     second = F.when(b == "", first).otherwise(b.cast("int"))
     return F.least(first, second), F.greatest(first, second)
 
 
+def state_suffix(rows: DataFrame, code: str, states: DataFrame, default: int) -> DataFrame:
+    """rows with suffix and state. states: suffix, state. A code is a suffix or a state's name in any case, null the default; one
+    that no state has is an error. states is a small table of fixed codes."""
+    known = states.select(F.upper(F.col("suffix").cast("string")).alias("_code"), "suffix", "state").unionByName(states.select(F.upper("state").alias("_code"), "suffix", "state"))
+    met = rows.withColumn("_code", F.coalesce(F.upper(F.trim(F.col(code).cast("string"))), F.lit(str(default)))).join(known, "_code", "left")
+    return met.withColumn("suffix", F.when(F.col("suffix").isNull(), F.raise_error(F.concat(F.lit("unknown state code: "), "_code")).cast(dict(states.dtypes)["suffix"])).otherwise(F.col("suffix"))).drop("_code")
+
+
 def key(text: Column) -> Column:
     return F.upper(F.trim(text))
 
@@ -26,7 +35,9 @@ def dense_ids(names: DataFrame, name: str, alias: str, unique: bool = False) ->
     and start after the counts of those before (one count a range, a small table). unique: no name is repeated."""
     distinct = names.select(name).where(F.col(name).isNotNull())
     distinct = distinct if unique else distinct.distinct()
+    distinct = cut_lineage(distinct)  # range partitioning reads its input twice: once for a sample of it
     parts = cut_lineage(distinct.repartitionByRange(name).select(name, F.spark_partition_id().alias("part")))
+    drop_tables(distinct)
     sizes = parts.groupBy("part").agg(F.count("*").alias("k"))
     before = sizes.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("before"))
     placed = parts.withColumn("rn", F.row_number().over(Window.partitionBy("part").orderBy(name)))

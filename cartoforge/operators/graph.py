@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import bearing, haversine
-from ..sources.lineage import cut_lineage
+from ..sources.lineage import cut_lineage, drop_tables
 
 
 def node_degrees(points: DataFrame) -> DataFrame:
@@ -70,8 +70,10 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         near = both.join(label.select(F.col("node_id").alias("v"), "label"), "v").groupBy(F.col("u").alias("node_id")).agg(F.min("label").alias("near"))
         low = label.join(near, "node_id").select("node_id", F.col("label").alias("was"), F.least("label", "near").alias("low"))
         nxt = cut_lineage(low.join(label.select(F.col("node_id").alias("low"), F.col("label").alias("up")), "low", "left").select("node_id", "was", F.least("low", "up").alias("label")))
+        drop_tables(label)
         label = nxt.select("node_id", "label")
         if not nxt.where("label <> was").limit(1).count():
+            drop_tables(both)
             return label
     raise RuntimeError(f"labels still move after {most_rounds} rounds")
 
@@ -79,15 +81,18 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 def shortest_paths(edges: DataFrame, sources: DataFrame, most_hops: int | None = None, most_cost: float | None = None) -> DataFrame:
     """Distances (src, node, dist) from all sources at once: each round relaxes the edges of what improved, until nothing does
     (or most_hops). edges: u, v, w. sources: src."""
+    edges = cut_lineage(edges.select("u", "v", "w"))
     best = cut_lineage(sources.select("src", F.col("src").alias("node"), F.lit(0.0).alias("dist")).distinct())
     front, hops = best, 0
     while most_hops is None or hops < most_hops:
         step = front.join(edges, front["node"] == edges["u"]).select("src", F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("new")).groupBy("src", "node").agg(F.min("new").alias("new"))
         step = step if most_cost is None else step.where(F.col("new") <= most_cost)
         both = cut_lineage(best.join(step, ["src", "node"], "full_outer").select("src", "node", F.least("dist", "new").alias("dist"), (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("better")))
+        drop_tables(best)
         best, front, hops = both.select("src", "node", "dist"), both.where("better").select("src", "node", "dist"), hops + 1
         if not front.limit(1).count():
             break
+    drop_tables(edges)
     return best
 
 

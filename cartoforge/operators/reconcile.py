@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import first_match
-from ..sources.lineage import cut_lineage
+from ..sources.lineage import cut_lineage, drop_tables
+from .spatial import nearest_point
 
 
 def null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
@@ -81,7 +82,9 @@ def islands(rows: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
 def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """rows with their 1-based place in the order within keys. Few keys with many rows each are no single task's work: ranges of
     (keys, order) are numbered each on its own and start after the counts of the ranges before."""
-    parts = cut_lineage(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    once = cut_lineage(rows)  # range partitioning reads its input twice: once for a sample of it
+    parts = cut_lineage(once.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    drop_tables(once)
     sizes = parts.groupBy(*keys, "_part").agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_size")).drop("_size")
     here = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
@@ -287,3 +290,15 @@ def compare_paths(a: DataFrame, b: DataFrame, path: Sequence[str], size: str) ->
     t = side(a, 1).unionByName(side(b, -1)).groupBy(*path).agg(own(1, F.lit(1)).alias("na"), own(-1, F.lit(1)).alias("nb"), own(1, F.col("size")).alias("sa"), own(-1, F.col("size")).alias("sb"))
     status = F.when(F.col("na") == 0, "added").when(F.col("nb") == 0, "removed").when((F.col("na") == F.col("nb")) & (F.col("sa") == F.col("sb")), "same").when(F.col("na") == F.col("nb"), "resized").otherwise("changed")
     return t.select(*path, (F.col("sb") - F.col("sa")).alias("delta"), status.alias("status"))
+
+
+def round_trip(product: DataFrame, sources: DataFrame, keys: Sequence[str], within: float, explained: Column) -> DataFrame:
+    """Does every record of a product (keys, id, x, y) have a source record (keys, x, y) at most `within` away on either axis? By
+    keys: checked, failing, explained (without a source, but declared so by an expression on the product), and worst, the largest
+    distance of those that have one. Records and sources meet in buckets; one source may serve several records."""
+    key = F.concat_ws(":", *keys)
+    p = product.withColumn("_row", F.xxhash64(*keys, "id"))
+    met = nearest_point(p.select(F.col("_row").alias("id"), key.alias("kind"), "x", "y"), sources.select(key.alias("kind"), "x", "y"), within).withColumnRenamed("id", "_row")
+    told = p.withColumn("_told", F.coalesce(explained, F.lit(False))).join(met, "_row", "left")
+    none = F.col("distance").isNull()
+    return told.groupBy(*keys).agg(F.count("*").alias("checked"), F.count_if(none & ~F.col("_told")).alias("failing"), F.count_if(none & F.col("_told")).alias("explained"), F.round(F.max("distance"), 4).alias("worst"))

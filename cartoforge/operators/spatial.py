@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.grid import segment_distance
 
 
+def worked_out(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that later filters and projections take as it is, instead of working value out again in each of them."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def buckets(df: DataFrame, low: Column, high: Column, size: float, name: str) -> DataFrame:
     """A row for every bucket of `size` that [low, high] meets."""
     return df.withColumn(name, F.explode(F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))))

@@ -135,7 +135,7 @@ def x05(spark, d):
 
 @query("x10_house_numbers", r"""SELECT addr_id, least(a, b) AS house_lo, greatest(a, b) AS house_hi, street FROM (SELECT addr_id, upper(trim(street_name)) AS street,
  CASE WHEN x = '' THEN 0 ELSE CAST(x AS INT) END AS a, CASE WHEN y <> '' THEN CAST(y AS INT) WHEN x = '' THEN 0 ELSE CAST(x AS INT) END AS b
- FROM (SELECT *, regexp_extract(house_number, '^\s*([0-9]+)', 1) AS x, regexp_extract(house_number, '^\s*[0-9]+[^-–/]*[-–/]\s*([0-9]+)', 1) AS y FROM address_points) t) u""")
+ FROM (SELECT *, regexp_extract(house_number, '^\s*([0-9]+)', 1) AS x, CASE WHEN regexp_full_match(trim(house_number), '[0-9]+\s*[-–/]\s*[0-9]+') THEN regexp_extract(trim(house_number), '[0-9]+$') ELSE '' END AS y FROM address_points) t) u""")
 def x10(spark, d):
     lo, hi = address.house_numbers(F.col("house_number"))
     return view(spark, d, "address_points").select("addr_id", lo.alias("house_lo"), hi.alias("house_hi"), address.key(F.col("street_name")).alias("street"))

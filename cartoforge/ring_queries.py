@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import grid as G
 from .functions import rings as R
 from .operators import spatial, tiles
+from .operators.multipolygon import clipped_to_cells
 from .queries import _RINGS, _rings, query
 from .sources.adapters import view
 
@@ -28,17 +29,8 @@ def lattice_rings(spark, d) -> DataFrame:
     return p.groupBy("way_id", "kind").agg(v.alias("v")).where("size(v) >= 3").select("way_id", "kind", F.transform("v", lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))).alias("v"))
 
 
-def ring_cells(rings: DataFrame) -> DataFrame:
-    """rings with each cell (cx, cy) of the 8 x 8 grid that a ring's box meets."""
-    b = R.box(F.col("v"))
-    cell = lambda c: F.least(F.greatest(F.floor(c / 4096), F.lit(0)), F.lit(7)).cast("long")
-    out = rings.withColumn("cx", F.explode(F.sequence(cell(b["x_lo"]), cell(b["x_hi"]))))
-    return out.withColumn("cy", F.explode(F.sequence(cell(b["y_lo"]), cell(b["y_hi"]))))
-
-
 def _clipped(spark, d) -> DataFrame:
-    at = F.col("cx") * 4096.0, F.col("cx") * 4096.0 + 4096.0, F.col("cy") * 4096.0, F.col("cy") * 4096.0 + 4096.0
-    return ring_cells(lattice_rings(spark, d)).withColumn("v", R.clip(F.col("v"), *at)).where("size(v) > 0")
+    return clipped_to_cells(lattice_rings(spark, d), 4096, 0, 7)
 
 
 def _half_sql(source: str, name: str, axis: str, op: str, bound: str) -> str:
@@ -86,11 +78,11 @@ def g09(spark, d):
 _DEMAND = "(SELECT DISTINCT kind, cx, cy FROM clipped WHERE abs({a}) >= 1e5)"
 
 
-@query("q13_demanded_cells", f"""WITH {_CLIPPED}, have AS (SELECT DISTINCT coalesce(place, 'none') AS p, CAST(floor((lon - 115.5e0) * 8) AS BIGINT) AS cx, CAST(floor((lat + 32.5e0) * 8) AS BIGINT) AS cy FROM osm_nodes WHERE node_id % 4 = 0)
+@query("q13_demanded_cells", f"""WITH {_CLIPPED}, have AS (SELECT CAST(floor((lon - 115.5e0) * 8) AS BIGINT) AS cx, CAST(floor((lat + 32.5e0) * 8) AS BIGINT) AS cy FROM osm_nodes WHERE place IS NOT NULL GROUP BY cx, cy HAVING count(*) % 2 = 0)
 SELECT kind, cx, cy FROM {_DEMAND.format(a='(' + _AREA + ')')} w WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.cx = w.cx AND h.cy = w.cy)""")
 def q13(spark, d):
     want = _clipped(spark, d).where(F.abs(R.area(F.col("v"))) >= 1e5).select("kind", "cx", "cy").distinct()
-    have = view(spark, d, "osm_nodes").where("node_id % 4 = 0").select(F.floor((F.col("lon") - 115.5) * 8).alias("cx"), F.floor((F.col("lat") + 32.5) * 8).alias("cy")).distinct()
+    have = view(spark, d, "osm_nodes").where("place is not null").groupBy(F.floor((F.col("lon") - 115.5) * 8).alias("cx"), F.floor((F.col("lat") + 32.5) * 8).alias("cy")).count().where("count % 2 = 0").select("cx", "cy")
     return want.join(have, ["cx", "cy"], "left_anti").select("kind", "cx", "cy")
 
 

@@ -104,9 +104,12 @@ def j18(spark, d):
     return reconcile.mirror_census(f.where("onb = 1").select("level", "ix", "iy", "vert"), f.where("onb = 0").select("level", "ix", "iy", "vert"), 15)
 
 
-@query("j17_corner_cells", """WITH c AS (SELECT DISTINCT level, ix, iy FROM failures) SELECT a.level, a.ix, a.iy, count(*) AS corners FROM c a JOIN c b ON b.level = a.level AND abs(b.ix - a.ix) = 1 AND abs(b.iy - a.iy) = 1 GROUP BY a.level, a.ix, a.iy""")
+@query("j17_corner_cells", """WITH c AS (SELECT DISTINCT level, CAST(floor((lon - 115.5e0) * n) AS BIGINT) AS ix, CAST(floor((lat + 32.5e0) * n) AS BIGINT) AS iy FROM osm_nodes, grids)
+SELECT a.level, a.ix, a.iy, count(*) AS corners FROM c a JOIN c b ON b.level = a.level AND abs(b.ix - a.ix) = 1 AND abs(b.iy - a.iy) = 1 GROUP BY a.level, a.ix, a.iy""")
 def j17(spark, d):
-    return spatial.corner_cells(_failures(spark, d).select("level", "ix", "iy").distinct()).groupBy("level", "ix", "iy").agg(F.count("*").alias("corners"))
+    p = G.with_levels(view(spark, d, "osm_nodes"), view(spark, d, "grids"))
+    cells = p.select("level", F.floor((F.col("lon") - 115.5) * F.col("n")).alias("ix"), F.floor((F.col("lat") + 32.5) * F.col("n")).alias("iy")).distinct()
+    return spatial.corner_cells(cells).groupBy("level", "ix", "iy").agg(F.count("*").alias("corners"))
 
 
 @query("a32_crossing_census", """WITH c AS (SELECT DISTINCT level, ix, iy FROM failures), s AS (SELECT * FROM (VALUES ('E', 1, 0), ('N', 0, 1), ('S', 0, -1), ('W', -1, 0)) t(side, dx, dy))
@@ -169,13 +172,11 @@ def j34(spark, d):
     return a.groupBy("kind", "cx", "cy").agg(F.count("*").alias("shapes"), F.count_if(F.col("area") >= 1e5).alias("able"), F.min(F.struct((-F.col("area")).alias("a"), "way_id")).alias("low")).select("kind", "cx", "cy", "shapes", "able", F.col("low.way_id").alias("first_way"))
 
 
-@query("j35_cells_unmet", f"""WITH {_RINGS}, c AS (SELECT DISTINCT CAST(floor((lon - 115.5e0) * 64) AS BIGINT) AS ix, CAST(floor((lat + 32.5e0) * 64) AS BIGINT) AS iy FROM osm_nodes)
-SELECT ix, iy FROM c WHERE NOT EXISTS (SELECT 1 FROM edge e WHERE e.ix = c.ix AND e.iy = c.iy) AND NOT EXISTS (SELECT 1 FROM inner_cells e WHERE e.ix = c.ix AND e.iy = c.iy)""")
+@query("j35_cells_unmet", """WITH c AS (SELECT DISTINCT cell_x, cell_y, k AS kind FROM local_shapes, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) t) SELECT cell_x, cell_y, kind FROM c WHERE NOT EXISTS (SELECT 1 FROM local_shapes s WHERE s.cell_x = c.cell_x AND s.cell_y = c.cell_y AND s.kind = c.kind)""")
 def j35(spark, d):
-    r = _rings(spark, d)
-    c = view(spark, d, "osm_nodes").select(F.floor((F.col("lon") - 115.5) * 64).alias("ix"), F.floor((F.col("lat") + 32.5) * 64).alias("iy")).distinct()
-    met = tiles.edge_cells(r, 64).select("ix", "iy").union(tiles.interior_cells(r, 64).select("ix", "iy"))
-    return c.join(met, ["ix", "iy"], "left_anti")
+    s = view(spark, d, "local_shapes").select("cell_x", "cell_y", "kind").distinct()
+    demanded = s.select("cell_x", "cell_y").distinct().withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return demanded.join(s, ["cell_x", "cell_y", "kind"], "left_anti")
 
 
 @query("j26_producers", f"""WITH {_CLIPPED}, s AS (SELECT cx, cy, way_id, array_to_string(list_transform(v, lambda p: CAST(CAST(round_even(p.x / 1024, 0) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(round_even(p.y / 1024, 0) AS BIGINT) AS VARCHAR)), ',') AS shape FROM clipped),
@@ -187,14 +188,6 @@ def j26(spark, d):
     return n.groupBy("cx", "cy", F.when(F.col("k") == 1, "unique").otherwise("ambiguous").alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("g08_stitched_rings", f"""WITH {_LATTICE}, p AS (SELECT o.way_id, list_concat(o.v, [o.v[1]], i.v, [i.v[1], o.v[1]]) AS v FROM lat_rings o JOIN lat_rings i ON i.way_id = o.way_id + 1 WHERE o.kind = 'water' AND i.kind = 'forest') SELECT way_id, len(v) AS n, round({_AREA}, 3) AS area FROM p""")
-def g08(spark, d):
-    r = lattice_rings(spark, d)
-    outer, inner = r.where("kind = 'water'").select("way_id", F.col("v").alias("o")), r.where("kind = 'forest'").select((F.col("way_id") - 1).alias("way_id"), F.col("v").alias("i"))
-    v = F.concat("o", F.slice("o", 1, 1), "i", F.slice("i", 1, 1), F.slice("o", 1, 1))
-    return outer.join(inner, "way_id").select("way_id", v.alias("v")).select("way_id", F.size("v").cast("long").alias("n"), F.round(R.area(F.col("v")), 3).alias("area"))
-
-
 @query("g12_ring_faults", f"""WITH {_LATTICE}, e AS (SELECT way_id, i, len(v) AS n, {_BEFORE} AS p, v[i] AS q FROM (SELECT way_id, v, unnest(range(1, len(v) + 1)) AS i FROM lat_rings) t),
 c AS (SELECT a.way_id FROM e a JOIN e b ON a.way_id = b.way_id AND a.i + 1 < b.i AND NOT (a.i = 1 AND b.i = b.n) WHERE
  ((a.q.x - a.p.x) * (b.p.y - a.p.y) - (a.q.y - a.p.y) * (b.p.x - a.p.x)) * ((a.q.x - a.p.x) * (b.q.y - a.p.y) - (a.q.y - a.p.y) * (b.q.x - a.p.x)) < 0 AND
@@ -210,21 +203,6 @@ def g12(spark, d):
     return r.join(c, "way_id", "left").select("way_id", (F.size("v") - F.size(F.array_distinct("v"))).cast("long").alias("repeated"), F.coalesce("k", F.lit(0)).alias("crossings"))
 
 
-@query("g07_joined_rings", """WITH m AS (SELECT way_id, max(pos) AS z, max(pos) // 2 AS h FROM geo_points GROUP BY way_id HAVING max(pos) >= 2),
-n AS (SELECT m.way_id, z, (SELECT node_id FROM geo_points p WHERE p.way_id = m.way_id AND pos = 0) AS a, (SELECT node_id FROM geo_points p WHERE p.way_id = m.way_id AND pos = h) AS b FROM m)
-SELECT way_id AS rel_id, CASE WHEN way_id % 5 = 0 THEN CASE WHEN a = b THEN 'closed' ELSE 'open' END WHEN a = b THEN 'branch' ELSE 'closed' END AS status, CASE WHEN way_id % 5 = 0 OR a = b THEN 1 ELSE 2 END AS members FROM n WHERE NOT (a = b)""")
-def g07(spark, d):
-    p = view(spark, d, "geo_points")
-    m = p.groupBy("way_id").agg(F.max("pos").alias("z")).where("z >= 2")
-    at = p.select("way_id", "pos", "node_id")
-    ends = m.withColumn("h", F.floor(F.col("z") / 2).cast("int"))
-    a = at.where("pos = 0").select("way_id", F.col("node_id").alias("a"))
-    b = at.join(ends, "way_id").where("pos = h").select("way_id", F.col("node_id").alias("b"))
-    half = a.join(b, "way_id").where("a <> b")  # there and back again between two nodes; every fifth lacks its way back
-    parts = half.select(F.col("way_id").alias("rel_id"), (F.col("way_id") * 2).alias("part"), "a", "b").unionByName(half.where("way_id % 5 <> 0").select(F.col("way_id").alias("rel_id"), (F.col("way_id") * 2 + 1).alias("part"), F.col("b").alias("a"), F.col("a").alias("b")))
-    return graph.ring_status(parts)
-
-
 _NAMED = "nm AS (SELECT node_id, name, CAST(floor((lon - 115.5e0) * 16) AS BIGINT) AS cx, CAST(floor((lat + 32.5e0) * 16) AS BIGINT) AS cy, (lon - 115.5e0) * 16 AS x, (lat + 32.5e0) * 16 AS y FROM osm_nodes WHERE name IS NOT NULL)"
 
 
@@ -254,10 +232,23 @@ def q22(spark, d):
     return s.groupBy("level", cause.alias("cause")).agg(F.count("*").alias("n"))
 
 
-@query("q11_round_trip", """WITH q AS (SELECT level, abs((lon - 115.5e0) * n * 4096 - round_even((lon - 115.5e0) * n * 4096, 0)) AS dx, abs((lat + 32.5e0) * n * 4096 - round_even((lat + 32.5e0) * n * 4096, 0)) AS dy FROM osm_nodes, grids)
-SELECT level, count(*) AS checked, CAST(count_if(greatest(dx, dy) > 0.5e0) AS BIGINT) AS failing, round(max(greatest(dx, dy)), 4) AS worst FROM q GROUP BY level""")
+_LEVELS = "x AS (SELECT level, n FROM grids WHERE level IN (0, 4))"
+_SOURCES = f"""{_LEVELS}, src AS (SELECT 'node' AS kind, node_id AS id, lon, lat FROM osm_nodes UNION ALL SELECT 'road_point', way_id * 64 + pos, lon, lat FROM geo_points JOIN osm_ways USING (way_id) WHERE highway = 'motorway'
+ UNION ALL SELECT 'name_anchor', node_id, lon, lat FROM osm_nodes WHERE name IS NOT NULL),
+f AS (SELECT kind, id, level, (lon - 115.5e0) * n * 4096 AS x, (lat + 32.5e0) * n * 4096 AS y FROM src, x)"""
+
+
+@query("q11_round_trip", f"""WITH {_SOURCES}, p AS (SELECT kind, id, level, round_even(x, 0) + CASE WHEN id % 97 = 0 THEN 3e0 WHEN id % 89 = 0 THEN 2e0 ELSE 0e0 END AS x, round_even(y, 0) AS y FROM f),
+m AS (SELECT p.kind, p.level, p.id, min(greatest(abs(p.x - f.x), abs(p.y - f.y))) AS off FROM (SELECT *, unnest([floor(x) - 1, floor(x)]) AS bx FROM p) p LEFT JOIN f ON f.kind = p.kind AND f.level = p.level AND floor(f.x) = p.bx AND abs(p.x - f.x) <= 0.5e0 AND abs(p.y - f.y) <= 0.5e0 GROUP BY ALL)
+SELECT kind, level, count(*) AS checked, count(*) FILTER (WHERE off IS NULL AND id % 89 <> 0) AS failing, count(*) FILTER (WHERE off IS NULL AND id % 89 = 0) AS explained, round(max(off), 4) AS worst FROM m GROUP BY kind, level""")
 def q11(spark, d):
-    p = G.with_levels(view(spark, d, "osm_nodes"), view(spark, d, "grids"))
-    x, y = (F.col("lon") - 115.5) * F.col("n") * 4096, (F.col("lat") + 32.5) * F.col("n") * 4096
-    off = F.greatest(F.abs(x - F.rint(x)), F.abs(y - F.rint(y)))
-    return p.select("level", off.alias("off")).groupBy("level").agg(F.count("*").alias("checked"), F.count_if(F.col("off") > 0.5).alias("failing"), F.round(F.max("off"), 4).alias("worst"))
+    named = view(spark, d, "osm_nodes")
+    roads = view(spark, d, "geo_points").join(view(spark, d, "osm_ways").where("highway = 'motorway'").select("way_id"), "way_id")
+    of = lambda kind, df, key: df.select(F.lit(kind).alias("source"), key.alias("id"), "lon", "lat")
+    node = F.col("node_id")
+    sources = of("node", named, node).unionByName(of("road_point", roads, F.col("way_id") * 64 + F.col("pos"))).unionByName(of("name_anchor", named.where("name is not null"), node))
+    at = G.with_levels(sources, view(spark, d, "grids").where("level in (0, 4)"))
+    at = at.select("source", "id", "level", ((F.col("lon") - 115.5) * F.col("n") * 4096).alias("x"), ((F.col("lat") + 32.5) * F.col("n") * 4096).alias("y"))
+    moved = F.when(F.col("id") % 97 == 0, 3.0).when(F.col("id") % 89 == 0, 2.0).otherwise(0.0)  # planted faults; the second kind is a declared one
+    product = at.select("source", "id", "level", (F.rint("x") + moved).alias("x"), F.rint("y").alias("y"))
+    return reconcile.round_trip(product, at, ["source", "level"], 0.5, F.col("id") % 89 == 0).withColumnRenamed("source", "kind")

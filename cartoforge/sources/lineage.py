@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,3 +24,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again."""
     df.write.parquet(path := f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}")
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Deletes tables of cut_lineage() whose last reader has ended."""
+    for t in tables:
+        for at in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            if re.search("/table-[0-9a-f]{32}$", at):
+                path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+                path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

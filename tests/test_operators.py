@@ -19,7 +19,7 @@ def test_quantise_rounds_halves_to_even(spark):
     assert tuple(df.select(x, y).first()) == (2, 0)
 
 
-@pytest.mark.parametrize("text,want", [("12-16", (12, 16)), ("16-12", (12, 16)), ("7A", (7, 7)), ("3 / 9", (3, 9)), ("LOT", (0, 0)), ("", (0, 0)), (None, (0, 0))])
+@pytest.mark.parametrize("text,want", [("12-16", (12, 16)), ("16-12", (12, 16)), ("7A", (7, 7)), ("3 / 9", (3, 9)), ("12-16B", (12, 12)), ("12A-16", (12, 12)), ("5–8", (5, 8)), ("2-4-6", (2, 2)), ("LOT", (0, 0)), ("", (0, 0)), (None, (0, 0))])
 def test_house_numbers(spark, text, want):
     lo, hi = address.house_numbers(F.coalesce(F.col("t"), F.lit("")))
     assert tuple(spark.createDataFrame([(text,)], "t string").select(lo, hi).first()) == want
