@@ -328,15 +328,17 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     held out: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), n_bytes, bits_per_byte.
 
     A null text is empty: one token (the end), no bytes, the score of ending at once, and bits_per_byte null. Repeated rows are scored each; a
-    null held_out counts as false. Tokens count as equal if their 64-bit hashes are. Texts are dealt by the hash of doc_id and
-    text to chunks of about chunk_bytes. A chunk's distinct grams and tokens, pre-aggregated, meet the scores of grams and the
+    null held_out counts as false. Tokens count as equal if their 64-bit hashes are. Texts are dealt by the hash of doc_id,
+    text and the row's place to chunks of about chunk_bytes, so that repeated rows spread; that table is written, as a place
+    may change when rows are read again. A chunk's distinct grams and tokens, pre-aggregated, meet the scores of grams and the
     counts of tokens in a join, and come back to the chunk's texts: no table that grows with the corpus is held in one place.
     Only sums over the corpus reach the driver.
     """
     text = F.col("text").cast("string")
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("held_out", F.lit(False)).alias("held_out"), text.alias("text"))
     size = kept.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    kept = kept.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // chunk_bytes + 1)))
+    dealt = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(size // chunk_bytes + 1))
+    kept = written(kept.withColumn("chunk", dealt), "dealt")
     pieces = written(kept.select("chunk", "held_out", "text").groupBy("chunk").applyInArrow(_piece, "chunk long, kind int, key long, n long"), "pieces")
     counted = written(pieces.where("kind = 0").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n")), "grams")
     logs = gram_scores(counted)

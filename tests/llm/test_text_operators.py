@@ -231,6 +231,24 @@ def test_rare_contexts_are_kept_in_large_texts(spark):
         assert got[i].score == pytest.approx(t.logs_of(ctw.grams([text])[0]).sum() * np.log10(2), rel=1e-4)
 
 
+def test_lm_scores_repeated_rows_spread_over_chunks(spark, monkeypatch):
+    """A third of all rows are one row: they are scored alike, as rows of their own ids would be, and no chunk holds them all."""
+    kept = {}
+    plain = ctw.written
+    monkeypatch.setattr(ctw, "written", lambda df, name: kept.setdefault(name, plain(df, name)))
+    same, rest = "the same words again and again", [(i, False, f"word {i} of the text {i * i}") for i in range(400)]
+    shape = "doc_id long, held_out boolean, text string"
+    got = ctw.lm_scores(spark.createDataFrame([(7777, False, same)] * 200 + rest, shape), chunk_bytes=2000).collect()
+    deals = {r["chunk"]: r["n"] for r in kept["dealt"].where("doc_id = 7777").groupBy("chunk").agg(F.count("*").alias("n")).collect()}
+    assert sum(deals.values()) == 200 and len(deals) >= 5 and max(deals.values()) <= 100
+    mine = [r for r in got if r.doc_id == 7777]
+    assert len(got) == 600 and len(mine) == 200 and len({(r.n_known, r.base_score) for r in mine}) == 1
+    kept.clear()
+    others = table(ctw.lm_scores(spark.createDataFrame([(10_000 + i, False, same) for i in range(200)] + rest, shape), chunk_bytes=2000))
+    for r in [*mine[:5], *(x for x in got if x.doc_id < 400)]:
+        assert r.score == pytest.approx(others[10_000 if r.doc_id == 7777 else r.doc_id].score, rel=1e-9)
+
+
 def test_chat_round_trip(spark, sf_dir):
     c = duckdb.sql(f"SELECT conv_id, turn, role, text FROM '{sf_dir}/conversations.parquet' ORDER BY 1, 2").fetchall()
     said = "</s>[INST] ok [/INST]"
