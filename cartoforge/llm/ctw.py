@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from math import lgamma, log
 from typing import NamedTuple
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, slices, text_bytes, word_hashes, written
+from .common import Cache, drop, slices, text_bytes, word_hashes, written
 
 #: What ends a text: a byte that UTF-8 never uses. It is coded as the bytes are, so the scores of all texts add up to 1.
 END = b"\xff"
@@ -21,20 +22,39 @@ DEPTH, TOP, CHUNK = 5, 2, 32 << 20
 _ONE = np.uint64(1)
 
 
+def _grams_of(parts: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Grams ending at each byte of the parts (number of the text, the DEPTH bytes before, bytes), and the text each is of."""
+    a = np.frombuffer(b"".join(before + part for _, before, part in parts), np.uint8)
+    n = np.fromiter((len(part) for _, _, part in parts), np.int64, len(parts))
+    g = np.zeros(max(0, len(a) - DEPTH), np.uint64)
+    for k in range(DEPTH + 1):
+        np.left_shift(g, np.uint64(8), out=g)
+        np.bitwise_or(g, a[k : len(a) - DEPTH + k], out=g)
+    inside = np.ones(len(g), bool)
+    inside[(np.cumsum(n + DEPTH)[:-1, None] - DEPTH + np.arange(DEPTH)).ravel()] = False
+    return g[inside], np.repeat(np.fromiter((i for i, _, _ in parts), np.int64, len(parts)), n)
+
+
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(DEPTH + 1)-byte strings ending at each byte, as numbers, and the text each is of; a text starts after zero bytes and
     ends with END."""
-    raw = [text_bytes(t) + END for t in texts]
-    pad = b"\0" * DEPTH
-    a = np.frombuffer(pad.join([b"", *raw]), np.uint8) if raw else np.zeros(0, np.uint8)
-    n = np.fromiter(map(len, raw), np.int64, len(raw))
-    g = np.zeros(max(0, len(a) - DEPTH), np.uint64)
-    for k in range(DEPTH + 1):
-        g = (g << np.uint64(8)) | a[k : len(a) - DEPTH + k].astype(np.uint64)
-    owner = np.repeat(np.arange(len(raw)), n)
-    starts = np.concatenate(([0], np.cumsum(n + DEPTH)[:-1])) if len(raw) else n
-    place = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])) if len(raw) else n, n) + np.repeat(starts, n)
-    return g[place], owner
+    return _grams_of([(i, b"\0" * DEPTH, text_bytes(t) + END) for i, t in enumerate(texts)])
+
+
+def gram_blocks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """grams() in blocks of at most `most` bytes: a longer text is cut, and each cut goes on after the bytes before it."""
+    parts, size = [], 0
+    for i, t in enumerate(texts):
+        raw = text_bytes(t) + END
+        for at in range(0, len(raw), most):
+            part = raw[at : at + most]
+            if parts and size + len(part) > most:
+                yield _grams_of(parts)
+                parts, size = [], 0
+            parts.append((i, raw[max(0, at - DEPTH) : at].rjust(DEPTH, b"\0"), part))
+            size += len(part)
+    if parts:
+        yield _grams_of(parts)
 
 
 def node_keys(g: np.ndarray, depth: int, bit: int) -> np.ndarray:
@@ -262,6 +282,7 @@ def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def _piece(table: pa.Table) -> pa.Table:
     """What a chunk holds: its distinct grams (kind 0) and tokens (kind 1), with their counts in texts that aren't held out."""
+    Cache.alone()
     chunk, parts = table.column("chunk")[0].as_py(), []
 
     def merge(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -271,11 +292,10 @@ def _piece(table: pa.Table) -> pa.Table:
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
     for b in slices(iter(table.to_batches())):
         texts, open_ = b.column(b.schema.get_field_index("text")).to_pylist(), ~b.column(b.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool)
-        g, owner = grams(texts)
         tokens, of = _tokens(texts)
-        for kind, keys, n in ((0, g, open_[owner]), (1, tokens, open_[of])):
+        for kind, keys, n in chain(((0, g, open_[owner]) for g, owner in gram_blocks(texts)), [(1, tokens, open_[of])]):
             held[kind].append(merge([(keys, n.astype(np.int64))]))
-            if sum(len(k) for k, _ in held[kind]) > 4_000_000:
+            if sum(len(k) for k, _ in held[kind]) > 2_000_000 + 2 * len(held[kind][0][0]):
                 held[kind] = [merge(held[kind])]
     for kind, pairs in held.items():
         keys, n = merge(pairs)
@@ -289,9 +309,9 @@ class Known:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
-        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
-        self.quick = np.zeros(1 << (64 - int(self.shift)), np.int64)
-        self.quick[self._slot(self.keys)] = np.arange(len(keys))
+        self.shift = np.uint64(64 - max(4, (2 * len(keys)).bit_length()))
+        self.quick = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.quick[self._slot(self.keys)] = np.arange(len(keys), dtype=np.int32)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -309,16 +329,20 @@ _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, top doubl
 
 def _score(texts: pa.Table, values: pa.Table) -> pa.Table:
     """Sums over each text of a chunk; values holds every gram (kind 0, log2) and token (kind 1, training count) of it."""
+    Cache.alone()
     kind, key, value = (values.column(c).to_numpy() for c in ("kind", "key", "value"))
     logs, counts = (Known(key[kind == k].view(np.uint64), value[kind == k]) for k in (0, 1))
+    del values, kind, key, value
     out = []
     for b in slices(iter(texts.select(["doc_id", "held_out", "text"]).to_batches())):
         t = b.column(2).to_pylist()
-        g, owner = grams(t)
         tokens, whose = _tokens(t)
         c = counts.of(tokens)
         sums = [np.bincount(whose, minlength=len(t)), np.bincount(whose, c > 0, len(t)).astype(np.int64), np.bincount(whose, np.log10(c + 0.5), len(t))]
-        sums += [np.bincount(owner, logs.of(g), len(t)), np.bincount(owner, minlength=len(t)).astype(np.int64) - 1]
+        sums += [np.zeros(len(t)), np.full(len(t), -1)]
+        for g, owner in gram_blocks(t):
+            sums[-2] += np.bincount(owner, logs.of(g), len(t))
+            sums[-1] += np.bincount(owner, minlength=len(t))
         out.append(pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "top", "log2", "n_bytes"]))
     return pa.Table.from_batches(out)
 

@@ -249,6 +249,18 @@ def test_lm_scores_repeated_rows_spread_over_chunks(spark, monkeypatch):
         assert r.score == pytest.approx(others[10_000 if r.doc_id == 7777 else r.doc_id].score, rel=1e-9)
 
 
+@pytest.mark.parametrize("most", [1, 3, 5, 8, 1000])
+def test_gram_blocks_are_the_whole_texts_grams(most):
+    texts = ["", None, "abcdefghijklm", "é" * 9, "x", "a longer text than any block of these " * 3]
+    g, owner = (np.concatenate(x) for x in zip(*ctw.gram_blocks(texts, most)))
+    whole = []
+    for i, t in enumerate(texts):
+        raw = b"\0" * ctw.DEPTH + (t or "").encode() + ctw.END
+        whole += [(int.from_bytes(raw[k : k + ctw.DEPTH + 1], "big"), i) for k in range(len(raw) - ctw.DEPTH)]
+    assert list(zip(g.tolist(), owner.tolist())) == whole
+    assert [x.tolist() for x in ctw.grams(texts)] == [[k for k, _ in whole], [i for _, i in whole]]
+
+
 def test_chat_round_trip(spark, sf_dir):
     c = duckdb.sql(f"SELECT conv_id, turn, role, text FROM '{sf_dir}/conversations.parquet' ORDER BY 1, 2").fetchall()
     said = "</s>[INST] ok [/INST]"
