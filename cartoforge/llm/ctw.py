@@ -286,20 +286,25 @@ def _piece(table: pa.Table) -> pa.Table:
     chunk, parts = table.column("chunk")[0].as_py(), []
 
     def merge(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate([k for k, _ in pairs]), return_inverse=True)
-        return keys, np.bincount(at, np.concatenate([n for _, n in pairs]), len(keys)).astype(np.int64)
+        keys, n = (np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*pairs))
+        pairs.clear()
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        del order
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        return keys[first], np.add.reduceat(n, first) if len(first) else n
 
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
     for b in slices(iter(table.to_batches())):
         texts, open_ = b.column(b.schema.get_field_index("text")).to_pylist(), ~b.column(b.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool)
         tokens, of = _tokens(texts)
         for kind, keys, n in chain(((0, g, open_[owner]) for g, owner in gram_blocks(texts)), [(1, tokens, open_[of])]):
-            held[kind].append(merge([(keys, n.astype(np.int64))]))
-            if sum(len(k) for k, _ in held[kind]) > 2_000_000 + 2 * len(held[kind][0][0]):
+            held[kind].append(merge([(keys, n.astype(np.int32))]))
+            if sum(len(k) for k, _ in held[kind]) > max(1_500_000, 2 * len(held[kind][0][0])):
                 held[kind] = [merge(held[kind])]
     for kind, pairs in held.items():
         keys, n = merge(pairs)
-        parts.append(pa.table({"chunk": pa.array(np.full(len(keys), chunk, np.int64)), "kind": pa.array(np.full(len(keys), kind, np.int32)), "key": pa.array(keys.view(np.int64)), "n": pa.array(n)}))
+        parts.append(pa.table({"chunk": pa.array(np.full(len(keys), chunk, np.int64)), "kind": pa.array(np.full(len(keys), kind, np.int32)), "key": pa.array(keys.view(np.int64)), "n": pa.array(n.astype(np.int64))}))
     return pa.concat_tables(parts)
 
 
