@@ -65,12 +65,18 @@ VIEWS = {
  SELECT c_custkey AS shape_id, CAST(c_custkey % 4 AS INT) AS variant, CAST(g % 16 AS INT) AS cell_x, CAST((floor(g / 16e0) * 7 + g) % 64 AS INT) AS cell_y, CAST(g % 3 AS INT) AS kind, 20e0 + (g % 13) * 4e0 AS s, 3e2 + CAST((g * 31) % 3400 AS DOUBLE) AS cx,
  3e2 + CAST((g * 57) % 3400 AS DOUBLE) AS cy, CASE WHEN g % 5 = 0 THEN 2e2 ELSE 12e0 + g % 9 END AS m FROM (SELECT c_custkey, CAST(floor(c_custkey / 4e0) AS BIGINT) AS g FROM customer) b) c
  JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) t ON true""",
+    "town_ways": """SELECT c_custkey AS way_id, CASE WHEN c_custkey % 3 = 0 THEN 'secondary' ELSE 'residential' END AS highway, CASE WHEN c_custkey % 4 = 1 THEN 'yes' END AS oneway, CASE WHEN c_custkey % 10 = 0 THEN 'roundabout' END AS junction FROM customer""",
+    "town_points": """SELECT way_id, pos, town * 1000 + i * 18 + j AS node_id, -32e0 + floor(i / 3e0) * 2e-3 + (i % 3) * 135e-6 AS lat, 115.5e0 + (town % 100) * 5e-2 + floor(j / 3e0) * 2e-3 + (j % 3) * 16e-5 AS lon, (i = 0 OR j = 0) AS edge FROM (
+ SELECT c_custkey AS way_id, CAST(k AS INT) AS pos, CAST(floor(c_custkey / 100e0) AS BIGINT) AS town, (c_custkey * 5) % 14 + CASE WHEN c_custkey % 10 = 0 THEN CASE WHEN k = 2 OR k = 3 THEN 1 ELSE 0 END WHEN c_custkey % 2 = 0 THEN k ELSE 0 END AS i,
+ CAST(floor(c_custkey * 7 / 10e0) AS BIGINT) % 13 + CASE WHEN c_custkey % 10 = 0 THEN CASE WHEN k = 1 OR k = 2 THEN 1 ELSE 0 END WHEN c_custkey % 2 = 0 THEN 0 ELSE k END AS j
+ FROM customer JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) s ON k < 4 OR c_custkey % 10 = 0) t""",
+    "town_turns": """SELECT a.way_id * 8 + a.pos AS rel_id, a.node_id AS via, a.way_id AS from_way, min(b.way_id) AS to_way FROM town_points a JOIN town_points b ON b.node_id = a.node_id AND b.way_id <> a.way_id GROUP BY a.way_id, a.pos, a.node_id""",
     "grids": """SELECT CAST(l * 2 AS INT) AS level, CAST(k AS BIGINT) AS n FROM (SELECT 0 AS l, 64 AS k UNION ALL SELECT 1, 32 UNION ALL SELECT 2, 16
  UNION ALL SELECT 3, 8 UNION ALL SELECT 4, 4 UNION ALL SELECT 5, 2 UNION ALL SELECT 6, 1) t""",
 }
 
 #: In the order in which each may use those before it.
-ORDER = ("osm_nodes", "way_refs", "geo_steps", "geo_points", "osm_ways", "relations", "area_parts", "area_corners", "area_points", "area_members", "local_ways", "probe_lines", "local_shapes", "address_points", "failures", "grids")
+ORDER = ("osm_nodes", "way_refs", "geo_steps", "geo_points", "osm_ways", "relations", "area_parts", "area_corners", "area_points", "area_members", "local_ways", "probe_lines", "local_shapes", "town_ways", "town_points", "town_turns", "address_points", "failures", "grids")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
