@@ -117,6 +117,27 @@ def j15(spark, d):
     return got.select("line_id", "way_id", "votes", F.round("distance", 6).alias("distance"))
 
 
+_UNMATCHED = f"""lp AS ({_dense('probe_lines', 'line_id', '0.1e0')}), wp AS ({_dense('local_ways', 'way_id', '0.1e0')}),
+sm AS (SELECT * FROM wp WHERE n <= 24 OR i IN (SELECT CAST(floor(j * (wp.n - 1) / 23) AS BIGINT) FROM range(0, 24) r(j))),
+nr AS (SELECT way_id, i, (SELECT min(sqrt((lp.x - sm.x) * (lp.x - sm.x) + (lp.y - sm.y) * (lp.y - sm.y))) FROM lp) AS d FROM sm),
+um AS (SELECT way_id, count(*) AS samples, quantile_cont(d, 0.5) > 0.5 AS unmatched FROM nr GROUP BY way_id)"""
+
+
+def _unmatched(spark, d) -> DataFrame:
+    links = view(spark, d, "probe_lines").withColumnRenamed("line_id", "way_id")
+    return matching.unmatched_ways(view(spark, d, "local_ways"), links, 0.5, 0.1)
+
+
+@query("q18_unmatched_ways", f"WITH {_UNMATCHED} SELECT way_id, samples, unmatched FROM um")
+def q18_ways(spark, d):
+    return _unmatched(spark, d)
+
+
+@query("q18_source_disagreement", f"WITH {_UNMATCHED} SELECT count(*) AS ways, count_if(unmatched) AS unmatched, round(count_if(unmatched) / count(*), 4) AS share FROM um")
+def q18(spark, d):
+    return matching.disagreement(_unmatched(spark, d))
+
+
 _HOLDS = "list_sum(list_transform(range(1, len({v}) + 1), lambda i: CASE WHEN ({b}.y > {y}) <> ({v}[i].y > {y}) AND {x} < {b}.x + ({y} - {b}.y) * ({v}[i].x - {b}.x) / ({v}[i].y - {b}.y) THEN 1 ELSE 0 END)) % 2 = 1"
 
 

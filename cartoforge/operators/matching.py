@@ -82,6 +82,29 @@ def matched_ways(lines: DataFrame, ways: DataFrame, key: str, spacing: float, mo
     return won.select(key, "b.way_id", "b.votes", "b.distance")
 
 
+def unmatched_ways(ways: DataFrame, links: DataFrame, limit: float, spacing: float, most: int = 24) -> DataFrame:
+    """way_id, samples, unmatched of each way (way_id, pos, x, y): unmatched if the median distance of its `most` samples at most
+    from the nearest of the other product's points (links: way_id, pos, x, y, `spacing` apart) is over `limit`.
+
+    A sample looks no farther than twice the limit: the median of an even number is the mean of the two in the middle, so one
+    that lies beyond makes it too large whatever it is. Every way is unmatched where there are no links.
+    """
+    reach, far = 2 * limit, 1e300
+    s = cut_lineage(spread_samples(densified(ways, "way_id", spacing), most).select("way_id", "i", "x", "y"))
+    near = buckets(buckets(s, F.col("x") - reach, F.col("x") + reach, reach, "bx"), F.col("y") - reach, F.col("y") + reach, reach, "by")
+    cloud = densified(links, "way_id", spacing).select(F.floor(F.col("x") / reach).cast("long").alias("bx"), F.floor(F.col("y") / reach).cast("long").alias("by"), F.col("x").alias("wx"), F.col("y").alias("wy"))
+    d = (F.col("x") - F.col("wx")) * (F.col("x") - F.col("wx")) + (F.col("y") - F.col("wy")) * (F.col("y") - F.col("wy"))
+    met = near.join(cloud, ["bx", "by"]).select("way_id", "i", d.alias("d")).where(F.col("d") <= reach * reach).groupBy("way_id", "i").agg(F.sqrt(F.min("d")).alias("d"))
+    median = F.percentile(F.coalesce("d", F.lit(far)), 0.5)
+    return s.join(met, ["way_id", "i"], "left").groupBy("way_id").agg(F.count("*").alias("samples"), (median > limit).alias("unmatched"))
+
+
+def disagreement(unmatched: DataFrame) -> DataFrame:
+    """ways, unmatched, share of unmatched_ways(); share is null where there are none."""
+    n = F.count_if("unmatched")
+    return unmatched.agg(F.count("*").alias("ways"), n.alias("unmatched"), F.when(F.count("*") > 0, F.round(n / F.count("*"), 4)).alias("share"))
+
+
 def gap(v: Column, x: Column, y: Column) -> Column:
     """Distance of a point from a ring's boundary."""
     after = lambda i: F.element_at(v, F.when(i == F.size(v), F.lit(1)).otherwise(i + 1))

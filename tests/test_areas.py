@@ -151,3 +151,19 @@ def test_state_codes(spark):
     assert sorted((r.k, r.suffix, r.state) for r in address.state_suffix(rows, "code", states, 202).collect()) == [(1, 201, "Asia"), (2, 202, "Europe"), (3, 202, "Europe")]
     with pytest.raises(Exception, match="unknown state code: MARS"):
         address.state_suffix(spark.createDataFrame([(1, "mars")], "k int, code string"), "code", states, 201).collect()
+
+
+def test_ways_without_a_link_of_the_other_product(spark):
+    line = lambda w, *at: [(w, i, float(x), float(y)) for i, (x, y) in enumerate(at)]
+    shape = "way_id long, pos int, x double, y double"
+    ways = line(1, (0, 0), (4, 0)) + line(2, (0, 3), (4, 3)) + line(3, (0, 1), (8, 1)) + line(4, (50, 50), (51, 50)) + line(5, (0, 0.9), (0, 2.5))
+    links = spark.createDataFrame(line(9, (0, 0), (4, 0)), shape)
+    got = {r.way_id: r for r in matching.unmatched_ways(spark.createDataFrame(ways, shape), links, 1.0, 0.5).collect()}
+    # way 5: samples at 0.9, 1.3, 1.7, 2.1, 2.5 from the link; way 3 leaves it halfway, its middle sample is 1 away
+    assert {w: r.unmatched for w, r in got.items()} == {1: False, 2: True, 3: False, 4: True, 5: True}
+    assert got[3].samples == 17 and got[4].samples == 3
+    even = spark.createDataFrame(line(6, (2, 0.2), (2, 1.9)) + line(7, (2, 0.2), (2, 1.7)), shape)
+    assert {r.way_id: r.unmatched for r in matching.unmatched_ways(even, links, 1.0, 2.0).collect()} == {6: True, 7: False}
+    none = matching.unmatched_ways(even, links.limit(0), 1.0, 2.0)
+    assert [tuple(r) for r in matching.disagreement(none).collect()] == [(2, 2, 1.0)]
+    assert [tuple(r) for r in matching.disagreement(none.limit(0)).collect()] == [(0, 0, None)]
