@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import clusters, graph
+from .operators import clusters, contraction, graph
 from .queries import _GRAPH, CLASSES, query
 from .sources.adapters import view
 from .sources.lineage import cut_lineage
@@ -61,3 +61,14 @@ SELECT rel_id, CASE WHEN a.x IS NULL THEN 'no_entry' WHEN NOT a.x THEN 'entry_me
 FROM town_turns t LEFT JOIN o a ON a.u = via AND a.way_id = from_way LEFT JOIN o b ON b.u = via AND b.way_id = to_way""")
 def r06_regulations(spark, d):
     return clusters.regulations_left(view(spark, d, "town_turns"), _merged(spark, d))
+
+
+@query("r11_hierarchy_distances", f"""WITH RECURSIVE {_GRAPH.replace("geo_points", "town_points").replace("osm_ways", "town_ways")}, e0 AS (SELECT u, v, min(CAST(round_even(length, 0) AS BIGINT)) AS w FROM lk WHERE u <> v GROUP BY u, v),
+p AS (SELECT DISTINCT u AS src, u AS node, CAST(0 AS BIGINT) AS dist FROM e0 WHERE u % 40 = 0 UNION SELECT src, e.v, dist + e.w FROM p JOIN e0 e ON e.u = p.node WHERE dist + e.w <= 600)
+SELECT src, node, min(dist) AS dist FROM p GROUP BY src, node""")
+def r11_hierarchy(spark, d):
+    link = graph.links(graph.split_at_nodes(view(spark, d, "town_points")), view(spark, d, "town_ways"), CLASSES)
+    edges = cut_lineage(link.where("u <> v").groupBy("u", "v").agg(F.min(F.rint("length").cast("long")).alias("w")))
+    _, search = contraction.hierarchy(edges)
+    found = contraction.hierarchy_distances(search, edges.where("u % 40 = 0").select(F.col("u").alias("src")).distinct(), 600.0)
+    return found.withColumn("dist", F.col("dist").cast("long"))

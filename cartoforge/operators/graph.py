@@ -80,9 +80,10 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, most_hops: int | None = None, most_cost: float | None = None) -> DataFrame:
     """Distances (src, node, dist) from all sources at once: each round relaxes the edges of what improved, until nothing does
-    (or most_hops). edges: u, v, w. sources: src."""
+    (or most_hops). edges: u, v, w. sources: src, or src, node, dist to go on from."""
     edges = cut_lineage(edges.select("u", "v", "w"))
-    best = cut_lineage(sources.select("src", F.col("src").alias("node"), F.lit(0.0).alias("dist")).distinct())
+    start = sources.select("src", "node", "dist") if "dist" in sources.columns else sources.select("src", F.col("src").alias("node"), F.lit(0.0).alias("dist"))
+    best = cut_lineage(start.groupBy("src", "node").agg(F.min("dist").alias("dist")))
     front, hops = best, 0
     while most_hops is None or hops < most_hops:
         step = front.join(edges, front["node"] == edges["u"]).select("src", F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("new")).groupBy("src", "node").agg(F.min("new").alias("new"))
