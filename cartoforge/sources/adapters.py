@@ -59,6 +59,12 @@ VIEWS = {
  SELECT c_custkey AS way_id, CAST((c_custkey * 7919) % 10007 AS DOUBLE) / 10007e0 * 64e0 AS x, CAST((c_custkey * 104729) % 10009 AS DOUBLE) / 10009e0 * 64e0 AS y FROM customer) c
  JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) s ON true""",
     "probe_lines": """SELECT s_suppkey AS line_id, w.pos, w.x + 3e-2 + (s_suppkey % 4) * 1e-1 AS x, w.y - 2e-2 AS y FROM supplier JOIN local_ways w ON w.way_id = s_suppkey * 7 + 3 WHERE w.pos <= 1 + s_suppkey % 3""",
+    "overlay_links": """SELECT way_id * 64 + c AS link_id, CAST(c AS INT) AS cx, CAST(floor(first_value(y) OVER (PARTITION BY way_id, c ORDER BY pos) / 4e0) AS INT) AS cy, CAST(pos AS INT) AS pos, x, y FROM (
+ SELECT way_id, CAST(floor(x / 4e0) AS BIGINT) AS c, pos * 2 AS pos, x, y FROM overlay_steps UNION ALL
+ SELECT way_id, CAST(floor(x / 4e0) AS BIGINT) AS c, pos * 2 + 1 AS pos, floor(x2 / 4e0) * 4e0 - gap AS x, y + (y2 - y) * (floor(x2 / 4e0) * 4e0 - x) / (x2 - x) AS y FROM overlay_steps WHERE floor(x2 / 4e0) > floor(x / 4e0) UNION ALL
+ SELECT way_id, CAST(floor(x2 / 4e0) AS BIGINT) AS c, pos * 2 + 1 AS pos, floor(x2 / 4e0) * 4e0 + gap AS x, y + (y2 - y) * (floor(x2 / 4e0) * 4e0 - x) / (x2 - x) AS y FROM overlay_steps WHERE floor(x2 / 4e0) > floor(x / 4e0)) t""",
+    "overlay_steps": """SELECT way_id, pos, x, y, CASE WHEN way_id % 5 = 0 THEN 1e-2 ELSE 0e0 END AS gap, lead(x) OVER (PARTITION BY way_id ORDER BY pos) AS x2, lead(y) OVER (PARTITION BY way_id ORDER BY pos) AS y2 FROM (
+ SELECT way_id, pos, x + 3e-2 + (way_id % 4) * 1e-1 AS x, y - 2e-2 - CASE WHEN way_id % 12 = 1 THEN 8e-1 ELSE 0e0 END AS y FROM local_ways WHERE way_id % 6 = 1) l""",
     "local_shapes": """SELECT shape_id, cell_x, cell_y, kind, k AS pos, CASE variant WHEN 2 THEN cx + (CASE k WHEN 0 THEN -s WHEN 1 THEN s WHEN 2 THEN s ELSE -s / 2 END) / 2 WHEN 3 THEN cx + m + (CASE k WHEN 0 THEN -s WHEN 1 THEN s WHEN 2 THEN s ELSE -s / 2 END)
  WHEN 1 THEN cx + (CASE k WHEN 2 THEN -s WHEN 1 THEN s WHEN 0 THEN s ELSE -s / 2 END) ELSE cx + (CASE k WHEN 0 THEN -s WHEN 1 THEN s WHEN 2 THEN s ELSE -s / 2 END) END AS x,
  CASE variant WHEN 2 THEN cy + (CASE k WHEN 0 THEN -s WHEN 1 THEN -s / 2 WHEN 2 THEN s ELSE s END) / 2 WHEN 1 THEN cy + (CASE k WHEN 2 THEN -s WHEN 1 THEN -s / 2 WHEN 0 THEN s ELSE s END) ELSE cy + (CASE k WHEN 0 THEN -s WHEN 1 THEN -s / 2 WHEN 2 THEN s ELSE s END) END AS y FROM (
@@ -76,7 +82,7 @@ VIEWS = {
 }
 
 #: In the order in which each may use those before it.
-ORDER = ("osm_nodes", "way_refs", "geo_steps", "geo_points", "osm_ways", "relations", "area_parts", "area_corners", "area_points", "area_members", "local_ways", "probe_lines", "local_shapes", "town_ways", "town_points", "town_turns", "address_points", "failures", "grids")
+ORDER = ("osm_nodes", "way_refs", "geo_steps", "geo_points", "osm_ways", "relations", "area_parts", "area_corners", "area_points", "area_members", "local_ways", "probe_lines", "overlay_steps", "overlay_links", "local_shapes", "town_ways", "town_points", "town_turns", "address_points", "failures", "grids")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

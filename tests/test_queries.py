@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from cartoforge import area_queries, audit_queries, check_queries, cluster_queries, feature_queries, frame_queries, outline_queries, ring_queries, route_queries  # noqa: F401
+from cartoforge import area_queries, audit_queries, check_queries, cluster_queries, feature_queries, frame_queries, outline_queries, overlay_queries, ring_queries, route_queries  # noqa: F401
 from cartoforge.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
