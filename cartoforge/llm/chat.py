@@ -122,10 +122,12 @@ def format_tree(conversations: DataFrame, vocabulary: str = VOCABULARY, trained:
     side and makes the order depth-first; a task keeps only the last conversation's turns. A beginning that a third of all
     conversations share is so dealt over tasks: each pack is a forest of its own, and only the turns along the cut between
     two packs are emitted twice. Nulls in role or text are empty; turns are ordered by turn, then role and text, and repeated
-    rows stay; rows without conv_id are one conversation; an empty table gives no rows.
+    rows stay; a row without conv_id is a conversation of its own, as nothing says which others it belongs to; an empty table
+    gives no rows.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    whole = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    whole = whole.unionByName(rows.where("conv_id is null").select("conv_id", F.array("t").alias("turns")))
     keyed = written(whole.mapInArrow(_paths, "conv_id long, turns array<struct<turn:long,role:string,text:string>>, path binary"), "conversations")
     parts = packs or int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartitionByRange(parts, "path", "conv_id").sortWithinPartitions("path", "conv_id").select("conv_id", "turns", "path").mapInArrow(_emit(vocabulary, trained), SCHEMA)
@@ -152,9 +154,13 @@ def _read(vocabulary: str, trained: str):
 
 def read_back(tree: DataFrame, vocabulary: str = VOCABULARY, trained: str = "assistant") -> DataFrame:
     """Every conversation of format_tree()'s rows, decoded along its path: turns, text under the loss mask, sizes. The tree is
-    written first, as its nodes and its paths are read apart."""
+    written first, as its nodes and its paths are read apart. Rows without conv_id come out one by one, each with a single turn."""
     tree = written(tree, "chat-tree")
     nodes = tree.where("path is null").select("pack", "start", "depth", F.struct("depth", "ids", "loss_from", "loss_to").alias("node"))
-    steps = tree.where("path is not null").select("pack", "conv_id", F.explode("path").alias("start"))
+    paths = tree.where("path is not null")
+    steps = paths.where("conv_id is not null").select("pack", "conv_id", F.explode("path").alias("start"))
     whole = steps.join(nodes, ["pack", "start"]).groupBy("conv_id").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    alone = paths.where("conv_id is null").groupBy("pack", "conv_id", F.col("path")[0].alias("start")).agg(F.count("*").alias("k")).join(nodes, ["pack", "start"])
+    alone = alone.select("conv_id", F.array("node").alias("nodes"), F.explode(F.sequence(F.lit(1).cast("long"), "k"))).select("conv_id", "nodes")
+    whole = whole.unionByName(alone)
     return whole.mapInArrow(_read(vocabulary, trained), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

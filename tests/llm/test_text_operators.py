@@ -285,6 +285,9 @@ def test_chat_tree_shares_beginnings(spark):
     for leaf in tree.where("path is not null").collect():
         assert [by_start[s].depth for s in leaf.path] == list(range(len(leaf.path)))
     assert chat.read_back(chat.format_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+    alone = [(None, 0, "user", "one")] * 30 + [(None, 1, "user", "two"), (None, None, None, None), (1, 0, "user", "one"), (1, 1, "assistant", "two")]
+    back = chat.read_back(chat.format_tree(spark.createDataFrame(alone, "conv_id long, turn long, role string, text string"))).collect()
+    assert sorted((r.conv_id or 0, r.n_turns, r.turns_sha256) for r in back) == sorted([(0, 1, brute.sha("user\none\n"))] * 30 + [(0, 1, brute.sha("user\ntwo\n")), (0, 1, brute.sha("\n\n")), (1, 2, brute.sha("user\none\nassistant\ntwo\n"))])
     for t in ("\\", "\\l", "\\\\l", "<|user|>", "[", "\\b[", "</s>"):
         assert chat.unescape(chat.escape(t)) == t and chat.STOP not in chat.escape(t)
 
