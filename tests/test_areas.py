@@ -167,3 +167,12 @@ def test_ways_without_a_link_of_the_other_product(spark):
     none = matching.unmatched_ways(even, links.limit(0), 1.0, 2.0)
     assert [tuple(r) for r in matching.disagreement(none).collect()] == [(2, 2, 1.0)]
     assert [tuple(r) for r in matching.disagreement(none.limit(0)).collect()] == [(0, 0, None)]
+
+
+def test_a_strip_on_an_edge_is_a_flat_clip_of_the_cell_below(spark):
+    """The column 8..16 holds only what lies above y = 8, and three vertices on it."""
+    ring = [(0.0, 0.0), (8.0, 8.0), (10.0, 8.0), (16.0, 8.0), (16.0, 12.0), (0.0, 12.0)]
+    shapes = spark.createDataFrame([(1, [{"x": x, "y": y} for x, y in ring])], "rel_id long, v array<struct<x double, y double>>")
+    got = {(r.cx, r.cy): r.v for r in multipolygon.clipped_to_cells(shapes, 8, 0, 2).collect()}
+    assert set(got) == {(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (2, 1)}
+    assert {p["y"] for p in got[(1, 0)]} == {8.0} and {p["x"] for p in got[(1, 0)]} == {8.0, 10.0, 16.0}
