@@ -72,7 +72,7 @@ def a38(spark, d):
 
 @query("g09_emitted_kinds", f"WITH {_CLIPPED} SELECT kind, cx, cy, count(*) AS shapes, round(sum(abs({_AREA})), 2) AS area FROM clipped GROUP BY kind, cx, cy")
 def g09(spark, d):
-    return _clipped(spark, d).groupBy("kind", "cx", "cy").agg(F.count("*").alias("shapes"), F.round(F.sum(F.abs(R.area(F.col("v")))), 2).alias("area"))
+    return _clipped(spark, d).groupBy("kind", "cx", "cy").agg(F.count("*").alias("shapes"), F.round(F.sum(F.abs(R.area(F.col("v"))).cast("decimal(38,12)")).cast("double"), 2).alias("area"))
 
 
 _DEMAND = "(SELECT DISTINCT kind, cx, cy FROM clipped WHERE abs({a}) >= 1e5)"
