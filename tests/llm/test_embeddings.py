@@ -146,3 +146,17 @@ def test_threshold_stops_early():
     finally:
         negatives.whole_scores = scored
     assert at.tolist() == [1234] and score.tolist() == [7000] and sum(met) < 100
+
+
+def test_query_takes_every_row_as_its_own(spark, tmp_path):
+    """The contract counts rows: a repeated negative is there twice, a repeated anchor is its copy's positive."""
+    from cartoforge.llm import queries
+
+    rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.5, 0.0], 2), (2, [0.5, 0.0], 2), (3, [0.25, 0.0], 3), (5, [0.5, 0.0], 1)]
+    get = lambda at: sorted(map(tuple, queries.op13_hard_negative_mining(spark, str(at)).collect()))
+    for name, more in (("a", []), ("b", [(0, [1.0, 0.0], 1)])):
+        (tmp_path / name).mkdir()
+        spark.createDataFrame(rows + more, SCHEMA).coalesce(1).write.parquet(str(tmp_path / name / "embeddings.parquet"))
+    # vec_id 0 is divisible by 7: its label becomes 2
+    assert get(tmp_path / "a") == [(0, 2, 1, 3, 32768, 16384)] * 2
+    assert get(tmp_path / "b") == sorted([(0, 0, 1, 5, 65536, 32768)] * 2 + [(0, 2, 1, 3, 32768, 16384)] * 4)
