@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import GRID, Grid, cell, with_levels
-from ..sources.lineage import cut_lineage
+from ..sources.lineage import cut_lineage, drop_tables
+
+#: Parts of segments that a task works out at a time, about.
+_PARTS = 262_144
 
 
 def way_geometry(refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -21,31 +28,78 @@ def segments(points: DataFrame) -> DataFrame:
     return points.select("way_id", "pos", "lat", "lon", F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2")).where("lat2 is not null")
 
 
-def _cuts(a: Column, b: Column) -> Column:
-    """Parameters at which a line from a to b crosses whole numbers."""
-    lo, hi = F.floor(F.least(a, b)).cast("long") + 1, F.ceil(F.greatest(a, b)).cast("long") - 1
-    return F.when(hi >= lo, F.transform(F.sequence(lo, hi), lambda k: (k - a) / (b - a))).otherwise(F.array().cast("array<double>"))
+def _cuts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where lines from a to b cross whole numbers: (line, parameter), a row a crossing."""
+    lo, hi = np.floor(np.minimum(a, b)) + 1, np.ceil(np.maximum(a, b)) - 1
+    n = np.maximum(hi - lo + 1, 0).astype(np.int64)
+    line = np.repeat(np.arange(len(a)), n)
+    k = lo[line] + (np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n))
+    return line, (k - a[line]) / (b[line] - a[line])
+
+
+def _chains(owner: np.ndarray, u1: np.ndarray, v1: np.ndarray, u2: np.ndarray, v2: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """Chains inside a grid of n x n of ordered segments (owner, ends in cells): owner, ordinal, ix, iy, n_parts, first (segment)."""
+    (lu, tu), (lv, tv), each = _cuts(u1, u2), _cuts(v1, v2), np.arange(len(u1))
+    seg, t = np.concatenate([each, each, lu, lv]), np.concatenate([np.zeros(len(u1)), np.ones(len(u1)), tu, tv])
+    order = np.lexsort((t, seg))
+    seg, t = seg[order], t[order]
+    whole = np.flatnonzero((seg[1:] == seg[:-1]) & (t[1:] != t[:-1]))
+    seg, mid = seg[whole], (t[whole] + t[whole + 1]) / 2
+    ix, iy = (np.floor(a[seg] + (b[seg] - a[seg]) * mid).astype(np.int64) for a, b in ((u1, u2), (v1, v2)))
+    way = owner[seg]
+    new = np.ones(len(seg), bool)
+    new[1:] = (way[1:] != way[:-1]) | (ix[1:] != ix[:-1]) | (iy[1:] != iy[:-1])
+    at = np.flatnonzero(new)
+    parts = np.diff(np.append(at, len(seg)))
+    kept = (ix[at] >= 0) & (ix[at] < n) & (iy[at] >= 0) & (iy[at] < n)
+    at, parts = at[kept], parts[kept]
+    way = way[at]
+    return {"owner": way, "ordinal": np.arange(len(at)) - np.searchsorted(way, way), "ix": ix[at], "iy": iy[at], "n_parts": parts, "first": seg[at]}
 
 
 def split_by_cell(segs: DataFrame, grids: DataFrame, g: Grid = GRID) -> DataFrame:
     """Chains of ways inside cells: level, way_id, ordinal, ix, iy, n_parts, first_pos.
 
     Segments are cut at the grid's lines; parts of a way that follow one another in the same cell are a chain (gaps and
-    islands). Chains outside the grid are dropped and take no ordinal. All windows run within (level, way).
+    islands). Chains outside the grid are dropped and take no ordinal. A way's segments come to one task in order, so its parts,
+    which are many times as many, are neither shuffled nor sorted again; they are worked out for some segments' ways at a time.
+    grids (level, n) is a small table.
     """
-    s = with_levels(segs, grids)
-    u1, u2 = ((F.col(c) - g.lon0) / g.lon_span * F.col("n") for c in ("lon", "lon2"))
-    v1, v2 = ((F.col(c) - g.lat0) / g.lat_span * F.col("n") for c in ("lat", "lat2"))
-    s = s.select("level", "n", "way_id", "pos", u1.alias("u1"), u2.alias("u2"), v1.alias("v1"), v2.alias("v2"))
-    ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), _cuts(F.col("u1"), F.col("u2")), _cuts(F.col("v1"), F.col("v2")))))
-    parts = s.withColumn("ts", ts).select("*", F.posexplode(F.arrays_zip(F.slice("ts", F.lit(1), F.size("ts") - 1).alias("a"), F.slice("ts", F.lit(2), F.size("ts") - 1).alias("b"))).alias("sub", "t"))
-    mid = (F.col("t.a") + F.col("t.b")) / 2
-    parts = parts.select("level", "n", "way_id", "pos", "sub", F.floor(F.col("u1") + (F.col("u2") - F.col("u1")) * mid).cast("long").alias("ix"), F.floor(F.col("v1") + (F.col("v2") - F.col("v1")) * mid).cast("long").alias("iy"))
-    w = Window.partitionBy("level", "way_id").orderBy("pos", "sub")
-    new = F.when((F.lag("ix").over(w) == F.col("ix")) & (F.lag("iy").over(w) == F.col("iy")), 0).otherwise(1)
-    chains = parts.withColumn("new", new).withColumn("run", F.sum("new").over(w)).groupBy("level", "n", "way_id", "run", "ix", "iy").agg(F.count("*").alias("n_parts"), F.min("pos").alias("first_pos"))
-    kept = chains.where("ix >= 0 and ix < n and iy >= 0 and iy < n")
-    return kept.select("level", "way_id", (F.row_number().over(Window.partitionBy("level", "way_id").orderBy("run")) - 1).cast("long").alias("ordinal"), "ix", "iy", "n_parts", "first_pos")
+    ways = segs.where("lat is not null and lon is not null and lat2 is not null and lon2 is not null").groupBy("way_id").agg(F.sort_array(F.collect_list(F.struct("pos", "lat", "lon", "lat2", "lon2"))).alias("segs"))
+    ways = ways.crossJoin(F.broadcast(grids.agg(F.collect_list(F.struct(F.col("level").cast("int").alias("level"), F.col("n").cast("long").alias("n"))).alias("grids"))))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            way, lists, grids = batch.column("way_id").to_numpy(), batch.column("segs"), batch.column("grids")[0].as_py()
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            pos, *places = (c.to_numpy() for c in lists.flatten().flatten())
+            owner = np.repeat(np.arange(len(way)), np.diff(ends))
+            for grid in grids:
+                n = grid["n"]
+                v1, u1, v2, u2 = ((c - o) / span * n for c, o, span in zip(places, (g.lat0, g.lon0) * 2, (g.lat_span, g.lon_span) * 2))
+                room = np.concatenate([[0], np.cumsum(np.abs(u2 - u1) + np.abs(v2 - v1) + 3)])[ends] // _PARTS
+                for a, z in itertools.pairwise([0, *(np.flatnonzero(np.diff(room[1:])) + 1), len(way)]):
+                    s = slice(ends[a], ends[z])
+                    got = _chains(owner[s], u1[s], v1[s], u2[s], v2[s], n)
+                    out = {"level": np.full(len(got["ix"]), grid["level"], np.int32), "way_id": way[got["owner"]], **{c: got[c] for c in ("ordinal", "ix", "iy", "n_parts")}, "first_pos": pos[s][got["first"]]}
+                    yield pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in out.items()})
+
+    return ways.mapInArrow(run, "level int, way_id long, ordinal long, ix long, iy long, n_parts long, first_pos int")
+
+
+def link_ids(chains: DataFrame) -> DataFrame:
+    """level, way_id, ordinal, link_id of chains (level, way_id, ordinal): 1-based ids in that order. Ordinals are dense, so only
+    the counts of ways are sorted, in ranges that start after the sums of those before (one a range, a small table)."""
+    counts = cut_lineage(chains.groupBy("level", "way_id").agg(F.count("*").alias("n")))  # range partitioning reads its input twice
+    parts = cut_lineage(counts.repartitionByRange("level", "way_id").withColumn("part", F.spark_partition_id()))
+    drop_tables(counts)
+    sizes = parts.groupBy("part").agg(F.sum("n").alias("k"))
+    before = sizes.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("before"))
+    to = F.sum("n").over(Window.partitionBy("part").orderBy("level", "way_id"))
+    starts = parts.withColumn("start", to - F.col("n")).join(F.broadcast(before), "part")
+    return starts.select("level", "way_id", (F.col("before") + F.col("start")).alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("ordinal")).select("level", "way_id", "ordinal", (F.col("start") + F.col("ordinal") + 1).cast("long").alias("link_id"))
 
 
 def edge_cells(segs: DataFrame, n: int, grow: float = 1e-6, g: Grid = GRID) -> DataFrame:

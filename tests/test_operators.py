@@ -72,3 +72,18 @@ def test_no_spatial_join_compares_all_pairs(spark):
     p = spark.createDataFrame([(1, "a", 1.0, 2.0)], "id int, kind string, x double, y double")
     plan = spatial.nearest_point(p, p, 1.0)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_parts_of_ways_are_not_sorted_again(spark, monkeypatch):
+    """Whatever is worked out at a time, chains are the same; only segments pass a window, and ids sort ways and not chains."""
+    from cartoforge.operators import tiles
+
+    monkeypatch.setattr(tiles, "_PARTS", 3)
+    points = spark.createDataFrame([(w, i, -32.45 + 0.07 * ((w * 7 + i * 5) % 11), 115.4 + 0.13 * ((w * 3 + i * 4) % 9)) for w in range(9) for i in range(5)], "way_id long, pos int, lat double, lon double")
+    grids = spark.createDataFrame([(0, 8), (2, 4)], "level int, n long")
+    small = tiles.split_by_cell(tiles.segments(points), grids)
+    assert small._jdf.queryExecution().optimizedPlan().toString().count("Window") == 1
+    rows = sorted(map(tuple, small.collect()))
+    monkeypatch.setattr(tiles, "_PARTS", 1 << 18)
+    assert rows == sorted(map(tuple, tiles.split_by_cell(tiles.segments(points), grids).collect())) and len({r[1] for r in rows}) == 9
+    assert sorted(map(tuple, tiles.link_ids(small).collect())) == [(*r[:3], i + 1) for i, r in enumerate(rows)]
