@@ -30,3 +30,9 @@ def test_query_matches_sql(spark, duck, sf_dir, name):
     got = rows(ours.columns, map(tuple, ours.collect()))
     assert got == rows(theirs.columns, theirs.fetchall())
     assert got
+
+
+def test_unmet_cells_meet_the_rings_of_ways(spark, sf_dir):
+    """The plan reads the rings' edge and interior cells; no cell of a node that a ring of the kind meets is named."""
+    got = QUERIES["j35_cells_unmet"](spark, sf_dir)
+    assert got.columns == ["source", "cell_x", "cell_y", "kind"] and {r.source for r in got.select("source").distinct().collect()} == {"ways", "shapes"}
