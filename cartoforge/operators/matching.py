@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,6 +113,42 @@ def gap(v: Column, x: Column, y: Column) -> Column:
     return F.array_min(F.transform(R.places(v), lambda i: segment_distance(x, y, F.element_at(v, i)["x"], F.element_at(v, i)["y"], after(i)["x"], after(i)["y"])))
 
 
+def _holds(rings: pa.Array, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+    """Which points of a row lie inside the row's ring, as R.holds says."""
+    sizes = rings.value_lengths().to_numpy()
+    x, y = (c.to_numpy(zero_copy_only=False) for c in rings.flatten().flatten())
+    start, out = np.cumsum(sizes) - sizes, np.zeros(px.shape, bool)
+    with np.errstate(all="ignore"):
+        for i in range(int(sizes.max(initial=0))):  # rows of fewer vertices stay on their last one, an edge that crosses nothing
+            q, p = start + np.minimum(i, sizes - 1), start + np.where(i == 0, sizes, np.minimum(i, sizes)) - 1
+            p = np.where(i < sizes, p, q)
+            (px_, py_), (qx, qy) = ((x[k][:, None], y[k][:, None]) for k in (p, q))
+            out ^= ((py_ > py) != (qy > py)) & (px < px_ + (py - py_) * (qx - px_) / (qy - py_))
+    return out & (sizes >= 3)[:, None]
+
+
+def _sampled(kept: list[str], grid: int):
+    """Adds area to pairs without a relation: the points of a lattice over the smaller ring's box that lie in both rings."""
+
+    def run(batches):
+        k = np.arange(grid * grid)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                open_ = batch.column("relation").is_null()
+                some = batch.filter(open_)
+                area = np.zeros(batch.num_rows)
+                if some.num_rows:
+                    sx, sy, dx, dy = (some.column(c).to_numpy()[:, None] for c in ("s_x", "s_y", "s_dx", "s_dy"))
+                    px, py = sx + (k % grid + 0.5) * dx, sy + (k // grid + 0.5) * dy
+                    hits = (_holds(some.column("a_v"), px, py) & _holds(some.column("b_v"), px, py)).sum(1)
+                    area[open_.to_numpy(zero_copy_only=False)] = hits * dx[:, 0] * dy[:, 0]
+                area = pa.array(area, mask=~open_.to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), area], [*kept, "area"])
+
+    return run
+
+
 def polygon_pairs(shapes: DataFrame, keys: list[str], bucket: float, tolerance: float = 1.0, grid: int = 24, share: float = 0.01) -> DataFrame:
     """keys, a, b, relation, area of pairs of shapes (keys, id, v: ring without its first vertex repeated) that share their keys.
 
@@ -145,13 +183,11 @@ def polygon_pairs(shapes: DataFrame, keys: list[str], bucket: float, tolerance:
     pairs = worked_out(pairs, "sides", sides).select(*keys, "a_id", "b_id", "a_v", "b_v", "a_area", "b_area", "sides.*")
     small = F.when(F.col("a_area") <= F.col("b_area"), F.col("a_v")).otherwise(F.col("b_v"))
     sb = R.box(F.col("small"))
-    px = lambda k: F.col("s_x") + (k % grid + 0.5) * F.col("s_dx")
-    py = lambda k: F.col("s_y") + (F.floor(k / grid) + 0.5) * F.col("s_dy")
-    hits = F.size(F.filter(F.sequence(F.lit(0), F.lit(grid * grid - 1)), lambda k: R.holds(F.col("a_v"), px(k), py(k)) & R.holds(F.col("b_v"), px(k), py(k))))
     known = F.when(F.col("same"), "equal").when(F.col("b_in") & ~F.col("a_deep"), "contains").when(F.col("a_in") & ~F.col("b_deep"), "inside")
     pairs = pairs.withColumn("relation", known).where("relation is not null or a_deep or b_deep").withColumn("small", small)
     pairs = cut_lineage(pairs).withColumn("s_x", sb["x_lo"]).withColumn("s_y", sb["y_lo"]).withColumn("s_dx", (sb["x_hi"] - sb["x_lo"]) / grid).withColumn("s_dy", (sb["y_hi"] - sb["y_lo"]) / grid)
-    pairs = worked_out(pairs, "area", F.when(F.col("relation").isNull(), hits * F.col("s_dx") * F.col("s_dy")))
+    kept = pairs.select(*keys, "a_id", "b_id", "a_area", "b_area", "relation").schema.add("area", "double")
+    pairs = pairs.select(*kept.names[:-1], "a_v", "b_v", "s_x", "s_y", "s_dx", "s_dy").mapInArrow(_sampled(kept.names[:-1], grid), kept)
     enough = F.col("area") >= F.greatest(F.lit(tolerance * tolerance), share * F.least("a_area", "b_area"))
     out = pairs.withColumn("relation", F.coalesce("relation", F.when(enough, "overlaps"))).where("relation is not null")
     return out.select(*keys, F.col("a_id").alias("a"), F.col("b_id").alias("b"), "relation", F.when(F.col("relation") == "overlaps", F.col("area")).alias("area"))

@@ -176,3 +176,20 @@ def test_a_strip_on_an_edge_is_a_flat_clip_of_the_cell_below(spark):
     got = {(r.cx, r.cy): r.v for r in multipolygon.clipped_to_cells(shapes, 8, 0, 2).collect()}
     assert set(got) == {(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (2, 1)}
     assert {p["y"] for p in got[(1, 0)]} == {8.0} and {p["x"] for p in got[(1, 0)]} == {8.0, 10.0, 16.0}
+
+
+def test_points_of_a_lattice_lie_inside_as_in_spark(spark):
+    """Rings of three to six vertices and of two, in one batch, against the column expression."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from cartoforge.functions import rings as R
+
+    rng = np.random.default_rng(8)
+    rings = [[{"x": float(x), "y": float(y)} for x, y in rng.integers(0, 9, (k, 2))] for k in (3, 6, 2, 4, 5, 3)]
+    points = [(x + 0.5, y + 0.25) for x in range(9) for y in range(9)] + [(3.0, 3.0), (4.0, 4.0)]
+    px, py = (np.tile([p[i] for p in points], (len(rings), 1)) for i in (0, 1))
+    got = matching._holds(pa.array(rings), px, py)
+    df = spark.createDataFrame(list(enumerate(rings)), "k int, v array<struct<x double, y double>>").crossJoin(spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "i int, x double, y double"))
+    want = {(r.k, r.i): r.h for r in df.select("k", "i", R.holds(F.col("v"), F.col("x"), F.col("y")).alias("h")).collect()}
+    assert all(bool(got[k, i]) == h for (k, i), h in want.items()) and len(want) == got.size and got.any() and not got[2].any()
