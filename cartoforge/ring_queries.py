@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import grid as G
 from .functions import rings as R
-from .operators import spatial, tiles
+from .operators import containment, spatial, tiles
 from .operators.multipolygon import clipped_to_cells
 from .queries import _RINGS, _rings, query
 from .sources.adapters import view
@@ -148,13 +148,10 @@ def x29(spark, d):
 n AS (SELECT node_id, CASE WHEN node_id % 2 = 0 THEN 'water' ELSE 'forest' END AS kind, (lon - 115.5e0) * 32768e0 AS x, (lat + 32.5e0) * 32768e0 AS y FROM osm_nodes)
 SELECT node_id, count(*) AS rings, min(way_id) AS first_way FROM (SELECT node_id, way_id FROM n JOIN e ON n.kind = e.kind AND (p.y > y) <> (q.y > y) AND x < p.x + (y - p.y) * (q.x - p.x) / (q.y - p.y) GROUP BY node_id, way_id HAVING count(*) % 2 = 1) t GROUP BY node_id""")
 def j13(spark, d):
-    r = lattice_rings(spark, d)
-    e = r.select("way_id", "kind", F.explode(F.arrays_zip(F.concat(F.slice("v", -1, 1), "v").alias("p"), F.col("v").alias("q"))).alias("e")).where("e.q is not null")
-    e = e.select(F.struct("way_id", "kind").alias("ring"), F.col("e.p.x").alias("x1"), F.col("e.p.y").alias("y1"), F.col("e.q.x").alias("x2"), F.col("e.q.y").alias("y2"))
     kind = F.when(F.col("node_id") % 2 == 0, "water").otherwise("forest")
-    p = view(spark, d, "osm_nodes").select(F.struct("node_id", kind.alias("kind")).alias("id"), ((F.col("lon") - 115.5) * 32768).alias("x"), ((F.col("lat") + 32.5) * 32768).alias("y"))
-    inside = spatial.points_in_rings(p, e, 1024.0).where("id.kind = ring.kind")
-    return inside.groupBy("id.node_id").agg(F.count("*").alias("rings"), F.min("ring.way_id").alias("first_way"))
+    p = view(spark, d, "osm_nodes").select(F.col("node_id").alias("id"), kind.alias("kind"), ((F.col("lon") - 115.5) * 32768).alias("x"), ((F.col("lat") + 32.5) * 32768).alias("y"))
+    inside = containment.rings_at_points(p, lattice_rings(spark, d).withColumnRenamed("way_id", "ring"), 4096.0)
+    return inside.select(F.col("id").alias("node_id"), "rings", F.col("first").alias("first_way"))
 
 
 @query("j14_box_cells", f"""WITH {_LATTICE}, b AS (SELECT way_id, CAST(floor(list_min(list_transform(v, lambda p: p.x)) / 4096e0) AS BIGINT) AS x0, CAST(floor(list_max(list_transform(v, lambda p: p.x)) / 4096e0) AS BIGINT) AS x1,
