@@ -34,33 +34,53 @@ def spread_samples(points: DataFrame, most: int) -> DataFrame:
     return points.where(F.col("n") <= most).unionByName(long.join(wanted, [key, "i"]).select(*points.columns))
 
 
-def nearest_way(samples: DataFrame, key: str, ways: DataFrame, start: float, grow: float = 4.0) -> DataFrame:
-    """key, i, way_id: the way with the nearest point of each sample (key, i, x, y), the smaller id at a tie. ways: way_id, x, y.
-
-    Samples look in the buckets around them, `start` wide; those that find nothing within that reach look again in wider ones,
-    so every sample finds its way, whatever the distance, and few samples ever meet a wide bucket.
+def _reach(cloud: DataFrame, start: float, crowd: float = 8.0) -> float:
+    """`start`, or less where points lie closer: so much that a point shares its bucket, twice as wide, with `crowd` others about."""
+    reach = start
+    for _ in range(8):
+        at = lambda c: F.floor(F.col(c) / (2 * reach))  # noqa: B023, E731
+        n = cloud.groupBy(at("wx").alias("bx"), at("wy").alias("by")).agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
+        if n is None or n <= 2 * crowd:
+            break
+        reach *= (crowd / n) ** 0.5
+    return reach
+
+
+def nearest(samples: DataFrame, key: str, cloud: DataFrame, start: float, grow: float = 4.0, limit: float | None = None) -> DataFrame:
+    """key, i, d (squared distance), near: the way with the nearest point of each sample (key, i, x, y; a table that is there, as
+    each round reads it), the smaller id at a tie. cloud: way_id, x, y. Samples with none within `limit` are left out.
+
+    Samples look in the buckets around them, `start` wide or less, by how close the points lie; those that find nothing within
+    that reach look again in wider ones. So every sample finds its way, whatever the distance, few samples ever meet a wide bucket,
+    and the pairs looked at grow with the samples, not with samples times points.
     """
-    left, reach, found = cut_lineage(samples.select(key, "i", "x", "y")), start, []
-    w = ways.select("way_id", F.col("x").alias("wx"), F.col("y").alias("wy"))
+    left, none = samples, f"{key} {dict(samples.dtypes)[key]}, i int, d double, near {dict(cloud.dtypes)['way_id']}"
+    w = cut_lineage(cloud.groupBy(F.col("x").alias("wx"), F.col("y").alias("wy")).agg(F.min("way_id").alias("near")))
     if not w.limit(1).count():
-        return samples.sparkSession.createDataFrame([], found_schema(samples, key))
+        return samples.sparkSession.createDataFrame([], none)
+    reach, found = _reach(w, start if limit is None else min(start, limit)), []
     while left.limit(1).count():
-        p = buckets(buckets(left, F.col("x") - reach, F.col("x") + reach, reach, "bx"), F.col("y") - reach, F.col("y") + reach, reach, "by")
-        t = w.withColumn("bx", F.floor(F.col("wx") / reach).cast("long")).withColumn("by", F.floor(F.col("wy") / reach).cast("long"))
+        p = buckets(buckets(left, F.col("x") - reach, F.col("x") + reach, 2 * reach, "bx"), F.col("y") - reach, F.col("y") + reach, 2 * reach, "by")
+        t = w.withColumn("bx", F.floor(F.col("wx") / (2 * reach)).cast("long")).withColumn("by", F.floor(F.col("wy") / (2 * reach)).cast("long"))
         d = (F.col("x") - F.col("wx")) * (F.col("x") - F.col("wx")) + (F.col("y") - F.col("wy")) * (F.col("y") - F.col("wy"))
-        got = cut_lineage(p.join(t, ["bx", "by"]).withColumn("d", d).where(F.col("d") <= reach * reach).groupBy(key, "i").agg(F.min(F.struct("d", "way_id")).alias("b")).select(key, "i", "b.way_id"))
+        got = cut_lineage(p.join(t, ["bx", "by"]).withColumn("d", d).where(F.col("d") <= reach * reach).groupBy(key, "i").agg(F.min(F.struct("d", "near")).alias("b")).select(key, "i", "b.d", "b.near"))
         found.append(got)
+        if reach == limit:
+            break
         rest = cut_lineage(left.join(got, [key, "i"], "left_anti"))
-        drop_tables(left)
-        left, reach = rest, reach * grow
-    out = found[0]
+        if left is not samples:
+            drop_tables(left)
+        left, reach = rest, reach * grow if limit is None else min(reach * grow, limit)
+    drop_tables(w, *([left] if left is not samples else []))
+    out = found[0] if found else samples.sparkSession.createDataFrame([], none)
     for f in found[1:]:
         out = out.unionByName(f)
     return out
 
 
-def found_schema(samples: DataFrame, key: str) -> str:
-    return f"{key} {dict(samples.dtypes)[key]}, i int, way_id long"
+def nearest_way(samples: DataFrame, key: str, ways: DataFrame, start: float, grow: float = 4.0) -> DataFrame:
+    """key, i, way_id: the way with the nearest point of each sample, as of nearest()."""
+    return nearest(samples, key, ways, start, grow).select(key, "i", F.col("near").alias("way_id"))
 
 
 def matched_ways(lines: DataFrame, ways: DataFrame, key: str, spacing: float, most: int = 40, top: int = 3) -> DataFrame:
@@ -71,14 +91,15 @@ def matched_ways(lines: DataFrame, ways: DataFrame, key: str, spacing: float, mo
     """
     points = cut_lineage(densified(lines, key, spacing))
     cloud = cut_lineage(densified(ways, "way_id", spacing))
-    votes = nearest_way(spread_samples(points, most), key, cloud, 2 * spacing).groupBy(key, "way_id").agg(F.count("*").alias("votes"))
+    votes = nearest_way(cut_lineage(spread_samples(points, most)), key, cloud, 2 * spacing).groupBy(key, "way_id").agg(F.count("*").alias("votes"))
     best = Window.partitionBy(key).orderBy(F.desc("votes"), "way_id")
     few = cut_lineage(votes.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= top).drop("_k"))
     w = Window.partitionBy("way_id").orderBy("pos")
     segs = ways.select("way_id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"), F.count("*").over(Window.partitionBy("way_id")).alias("m"))
     segs = segs.where("x2 is not null or m = 1").withColumn("x2", F.coalesce("x2", "x1")).withColumn("y2", F.coalesce("y2", "y1"))
-    d = segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    per = few.join(points.select(key, "i", "x", "y"), key).join(segs, "way_id").groupBy(key, "way_id", "votes", "i").agg(F.min(d).alias("d"))
+    whole = segs.groupBy("way_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("segs"))
+    d = F.array_min(F.transform("segs", lambda s: segment_distance(F.col("x"), F.col("y"), s["x1"], s["y1"], s["x2"], s["y2"])))
+    per = few.join(whole, "way_id").join(points.select(key, "i", "x", "y"), key).select(key, "way_id", "votes", d.alias("d"))
     median = per.groupBy(key, "way_id", "votes").agg(F.percentile("d", F.lit(0.5)).alias("distance"))
     won = median.groupBy(key).agg(F.min(F.struct("distance", "way_id", "votes")).alias("b"))
     return won.select(key, "b.way_id", "b.votes", "b.distance")
@@ -93,10 +114,7 @@ def unmatched_ways(ways: DataFrame, links: DataFrame, limit: float, spacing: flo
     """
     reach, far = 2 * limit, 1e300
     s = cut_lineage(spread_samples(densified(ways, "way_id", spacing), most).select("way_id", "i", "x", "y"))
-    near = buckets(buckets(s, F.col("x") - reach, F.col("x") + reach, reach, "bx"), F.col("y") - reach, F.col("y") + reach, reach, "by")
-    cloud = densified(links, "way_id", spacing).select(F.floor(F.col("x") / reach).cast("long").alias("bx"), F.floor(F.col("y") / reach).cast("long").alias("by"), F.col("x").alias("wx"), F.col("y").alias("wy"))
-    d = (F.col("x") - F.col("wx")) * (F.col("x") - F.col("wx")) + (F.col("y") - F.col("wy")) * (F.col("y") - F.col("wy"))
-    met = near.join(cloud, ["bx", "by"]).select("way_id", "i", d.alias("d")).where(F.col("d") <= reach * reach).groupBy("way_id", "i").agg(F.sqrt(F.min("d")).alias("d"))
+    met = nearest(s, "way_id", densified(links, "way_id", spacing).withColumn("way_id", F.lit(0)), spacing, limit=reach).select("way_id", "i", F.sqrt("d").alias("d"))
     median = F.percentile(F.coalesce("d", F.lit(far)), 0.5)
     return s.join(met, ["way_id", "i"], "left").groupBy("way_id").agg(F.count("*").alias("samples"), (median > limit).alias("unmatched"))
 
