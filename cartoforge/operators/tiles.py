@@ -115,24 +115,73 @@ def edge_cells(segs: DataFrame, n: int, grow: float = 1e-6, g: Grid = GRID) -> D
     return s.withColumn("iy", F.explode(F.sequence(lo, hi))).where(f"ix between 0 and {n - 1} and iy between 0 and {n - 1}").select("way_id", "ix", "iy").distinct()
 
 
-def interior_cells(rings: DataFrame, n: int, g: Grid = GRID, edges: DataFrame | None = None) -> DataFrame:
-    """Cells whose row centre line lies inside closed rings, by even-odd scan lines: way_id, ix, iy; not those of the edges.
-
-    rings: segments (way_id, lat, lon, lat2, lon2) of closed rings. Each edge meets the centre lines of the rows it spans;
-    the crossings of a row are paired in order and the cells between whose centres lie inside are listed. edges: the cells of
-    the rings' edges (edge_cells), if they are there already.
+def _spread(low: np.ndarray, high: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, k): every whole number k from low to high of each line that lies in 0..n - 1."""
+    low, high = np.maximum(low, 0).astype(np.int64), np.minimum(high, n - 1).astype(np.int64)
+    k = np.maximum(high - low + 1, 0)
+    line = np.repeat(np.arange(len(low)), k)
+    return line, low[line] + (np.arange(len(line)) - np.repeat(np.cumsum(k) - k, k))
+
+
+def _covered(owner: np.ndarray, u1: np.ndarray, v1: np.ndarray, u2: np.ndarray, v2: np.ndarray, n: int, grow: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (owner * n + iy) * n + ix of the cells that edges of rings touch, and of the others whose centre line lies inside."""
+    s, ix = _spread(np.floor(np.minimum(u1, u2) - grow), np.floor(np.maximum(u1, u2) + grow), n)
+    a, b, c, e = u1[s], v1[s], u2[s], v2[s]
+    with np.errstate(all="ignore"):
+        y = lambda x: b + (e - b) * np.clip((x - a) / (c - a), 0.0, 1.0)
+        ya, yb = np.where(a != c, y(ix - grow), b), np.where(a != c, y(ix + 1 + grow), e)
+    t, iy = _spread(np.floor(np.minimum(ya, yb) - grow), np.floor(np.maximum(ya, yb) + grow), n)
+    edges = np.unique((owner[s][t] * n + iy) * n + ix[t])
+    s, iy = _spread(np.ceil(np.minimum(v1, v2) - 0.5), np.ceil(np.maximum(v1, v2) - 0.5) - 1, n)
+    x = u1[s] + (u2[s] - u1[s]) * ((iy + 0.5 - v1[s]) / (v2[s] - v1[s]))
+    row = owner[s] * n + iy
+    order = np.lexsort((x, row))
+    x, row = x[order], row[order]
+    odd = (np.arange(len(row)) - np.searchsorted(row, row)) % 2 == 0
+    at = np.flatnonzero(odd[:-1] & (row[1:] == row[:-1]))
+    t, ix = _spread(np.ceil(x[at] - 0.5), np.ceil(x[at + 1] - 0.5) - 1, n)
+    inside = np.unique(row[at][t] * n + ix)
+    return edges, inside[~np.isin(inside, edges, assume_unique=True)]
+
+
+def ring_cells(rings: DataFrame, n: int, g: Grid = GRID, homes: DataFrame | None = None, grow: float = 1e-6, edges: bool = True) -> DataFrame:
+    """way_id, ix, iy, interior: cells that closed rings (segments way_id, lat, lon, lat2, lon2) touch (if `edges`; as of
+    edge_cells), and the others whose centre line lies inside, by even-odd scan lines; not those of homes (way_id, ix, iy).
+
+    Each edge meets the centre lines of the rows it spans; the crossings of a row are paired in order and the cells between whose
+    centres lie inside are listed. A ring's segments come to one task, so its cells, which are many times as many, are neither
+    shuffled nor sorted again; they are worked out for some rings at a time.
     """
-    v1, v2 = ((F.col(c) - g.lat0) / g.lat_span * n for c in ("lat", "lat2"))
-    u1, u2 = ((F.col(c) - g.lon0) / g.lon_span * n for c in ("lon", "lon2"))
-    e = rings.select("way_id", u1.alias("u1"), u2.alias("u2"), v1.alias("v1"), v2.alias("v2"))
-    lo, hi = F.ceil(F.least("v1", "v2") - 0.5).cast("long"), F.ceil(F.greatest("v1", "v2") - 0.5).cast("long") - 1
-    e = e.where(hi >= lo).withColumn("iy", F.explode(F.sequence(lo, hi)))
-    x = F.col("u1") + (F.col("u2") - F.col("u1")) * ((F.col("iy") + 0.5 - F.col("v1")) / (F.col("v2") - F.col("v1")))
-    w = Window.partitionBy("way_id", "iy").orderBy("x")
-    pairs = e.select("way_id", "iy", x.alias("x")).select("way_id", "iy", "x", F.lead("x").over(w).alias("x2"), F.row_number().over(w).alias("k")).where("k % 2 = 1 and x2 is not null")
-    a, b = F.ceil(F.col("x") - 0.5).cast("long"), F.ceil(F.col("x2") - 0.5).cast("long") - 1
-    inside = pairs.where(b >= a).select("way_id", F.explode(F.sequence(a, b)).alias("ix"), "iy").where(f"ix between 0 and {n - 1} and iy between 0 and {n - 1}").distinct()
-    return inside.join(edge_cells(rings, n, g=g) if edges is None else edges, ["way_id", "ix", "iy"], "left_anti")
+    ways = rings.where("lat is not null and lon is not null and lat2 is not null and lon2 is not null").groupBy("way_id").agg(F.collect_list(F.struct("lat", "lon", "lat2", "lon2")).alias("segs"))
+    if homes is None:
+        ways = ways.withColumn("home", F.lit(-1).cast("long"))
+    else:
+        ways = ways.join(homes.where(f"ix between 0 and {n - 1} and iy between 0 and {n - 1}").groupBy("way_id").agg(F.max(F.col("iy") * n + F.col("ix")).cast("long").alias("home")), "way_id", "left")
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            way, lists = batch.column("way_id").to_numpy(), batch.column("segs")
+            home = batch.column("home").fill_null(-1).to_numpy()
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            v1, u1, v2, u2 = ((c.to_numpy() - o) / span * n for c, o, span in zip(lists.flatten().flatten(), (g.lat0, g.lon0) * 2, (g.lat_span, g.lon_span) * 2))
+            owner = np.repeat(np.arange(len(way)), np.diff(ends))
+            room = np.concatenate([[0], np.cumsum(np.abs(u2 - u1) + np.abs(v2 - v1) + 3)])[ends] // _PARTS
+            for a, z in itertools.pairwise([0, *(np.flatnonzero(np.diff(room[1:])) + 1), len(way)]):
+                s = slice(ends[a], ends[z])
+                for interior, key in enumerate(_covered(owner[s], u1[s], v1[s], u2[s], v2[s], n, grow)):
+                    if interior or edges:
+                        key = key[key % (n * n) != home[key // (n * n)]]
+                        out = {"way_id": way[key // (n * n)], "ix": key % n, "iy": key // n % n, "interior": np.full(len(key), bool(interior))}
+                        yield pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in out.items()})
+
+    return ways.mapInArrow(run, "way_id long, ix long, iy long, interior boolean")
+
+
+def interior_cells(rings: DataFrame, n: int, g: Grid = GRID) -> DataFrame:
+    """Cells whose row centre line lies inside closed rings: way_id, ix, iy; not those of the edges."""
+    return ring_cells(rings, n, g, edges=False).select("way_id", "ix", "iy")
 
 
 def closed(points: DataFrame, least: int = 3) -> DataFrame:
@@ -149,9 +198,8 @@ def share_shapes(rings: DataFrame, homes: DataFrame, existing: DataFrame, n: int
 
     homes: way_id, ix, iy. Only cells of `existing` (ix, iy) borrow.
     """
-    edges = cut_lineage(edge_cells(rings, n, g=g))
-    all_cells = edges.withColumn("interior", F.lit(False)).unionByName(interior_cells(rings, n, g, edges).withColumn("interior", F.lit(True)))
-    return all_cells.join(homes, ["way_id", "ix", "iy"], "left_anti").join(existing.select("ix", "iy").distinct(), ["ix", "iy"], "left_semi").select("way_id", "ix", "iy", "interior")
+    there = existing.where(f"ix between 0 and {n - 1} and iy between 0 and {n - 1}").select("ix", "iy").distinct()
+    return ring_cells(rings, n, g, homes).join(F.broadcast(there), ["ix", "iy"], "left_semi").select("way_id", "ix", "iy", "interior")
 
 
 def capped(rows: DataFrame, keys: list[str], order: list, cap: Column) -> DataFrame:
