@@ -19,7 +19,7 @@ from .common import Cache, slices, written
 #: Vocabulary file of byte-level BPE for the tokenizers library: a path, or the name of a public one.
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that the BPE never merges across, in texts of ASCII and Latin-1 letters only (others are encoded as wholes).
-EASY = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\t-\r\x20A-Za-zÀ-ÖØ-öø-ÿ0-9]+|[\t-\r\x20]+(?![^\t-\r\x20])|[\t-\r\x20]+"
+EASY = r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\t-\r\x20A-Za-zÀ-ÖØ-öø-ÿ0-9]+|[\t-\r\x20]+(?![^\t-\r\x20])|[\t-\r\x20]+"
 HARD = r"[^\t-\r\x20-\x7EÀ-ÖØ-öø-ÿ]"
 END, DIMS, BITS, BUCKETS = 1, 4, 10, 4096
 #: Leading bits of a key by which tokens are counted before they are dealt out: 65,536 counts at most.
@@ -67,20 +67,24 @@ class _Pieces(Cache):
         if len(self) >= self.MOST:
             self.old = dict(self)
             self.clear()
-        new = set().union(*cut).difference(self)
-        again = new.intersection(self.old)
-        self.update(zip(again, map(self.old.__getitem__, again)))
-        new -= again
+        got = [list(map(self.get, c)) for c in cut]  # each piece is looked up once: set operations would walk all that is remembered
+        open_ = [i for i, g in enumerate(got) if None in g]
+        new = {p for i in open_ for p, x in zip(cut[i], got[i]) if x is None}
+        fresh = {p: x for p in new if (x := self.old.get(p)) is not None}
+        new.difference_update(fresh)
         led = [p for p in new if len(p) > 1 and p[0] == " " and not p[1].isspace()]
         row = np.frombuffer(b"".join(self.encoded(["".join(led)] if led else [])), "<u2").astype(np.int64)
         at = np.flatnonzero(self.spaced[row])  # each of these pieces starts with its only space, so a run of them can be cut again
         if len(at) == len(led):
             wide = row.astype("<u2").tobytes()
-            self.update(zip(led, (wide[2 * a : 2 * e] for a, e in zip(at.tolist(), [*at[1:].tolist(), len(row)]))) if led else ())
+            fresh.update(zip(led, (wide[2 * a : 2 * e] for a, e in zip(at.tolist(), [*at[1:].tolist(), len(row)]))) if led else ())
             new.difference_update(led)
         rest = list(new)
-        self.update(zip(rest, self.encoded(rest)))
-        return [whole[i] if i in whole else b"".join(map(self.__getitem__, c)) for i, c in enumerate(cut)]
+        fresh.update(zip(rest, self.encoded(rest)))
+        self.update(fresh)
+        for i in open_:
+            got[i] = [fresh[p] if x is None else x for p, x in zip(cut[i], got[i])]
+        return [whole[i] if i in whole else b"".join(g) for i, g in enumerate(got)]
 
     def text(self, ids: bytes) -> str:
         return self.coder.decode(np.frombuffer(ids, "<u2").tolist(), skip_special_tokens=False)
@@ -93,10 +97,10 @@ def _pieces(vocabulary: str) -> _Pieces:
 
 @cache
 def _projection() -> np.ndarray:
-    """Token id -> its hash bucket's row of a fixed Gaussian matrix."""
+    """By dimension, token id -> its hash bucket's number in a fixed Gaussian matrix; each dimension's numbers lie together."""
     rows = np.random.default_rng(20240501).standard_normal((BUCKETS, DIMS)).astype(np.float32)
     at = (np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)
-    return rows[at.astype(np.int64)]
+    return np.ascontiguousarray(rows[at.astype(np.int64)].T)
 
 
 def _tokenise(vocabulary: str):
@@ -110,7 +114,7 @@ def _tokenise(vocabulary: str):
             n = np.array([len(x) // 2 for x in ids], np.int64)
             starts = np.concatenate(([0], np.cumsum(n)[:-1]))
             flat = np.frombuffer(b"".join(ids), "<u2")
-            v = np.stack([np.add.reduceat(project[flat, k], starts) for k in range(DIMS)]) / n
+            v = np.stack([np.add.reduceat(project[k].take(flat), starts) for k in range(DIMS)]) / n
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *(pa.array(x.astype(np.float32)) for x in v), pa.array(ids, pa.binary())], schema=schema)
 
     return run, "doc_id long, n long, " + ", ".join(f"v{k} float" for k in range(DIMS)) + ", ids binary"

@@ -161,6 +161,17 @@ def test_packing(spark, sf_dir, odd, docs, which):
         assert total <= 2048 and total & (total - 1) == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, [*parts[1:], (total, 0)]))
 
 
+def test_pieces_are_looked_up_and_not_walked():
+    class Walked(packing._Pieces):
+        def __iter__(self):
+            raise AssertionError("all remembered pieces are walked for a few texts")
+
+    texts = ["we'll pack  two words, 12 of them\n", "two words naïve façade's \U0001f600", "", "new wordings of two"]
+    pieces = Walked(packing.VOCABULARY)
+    for some in (texts[:2], texts, texts[::-1]):
+        assert pieces.ids(some) == pieces.encoded(some)
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack(empty).count() == 0
 
