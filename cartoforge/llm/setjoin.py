@@ -20,6 +20,8 @@ SLACK = 1.3
 PAIR_COST = 4.0
 #: Members that each turn checks the others of a signature's group against, and turns until what is left is checked by pairs.
 HUBS, HUB_TURNS = 4, 2
+#: Pairs a candidate set up to which the last turn takes them from the signatures without a look at the rarest shingles.
+PAIRS = 4
 #: Sets whose signatures a task remembers having given.
 SEEN = 1_000_000
 #: 256 parities of a set's hashes: two sets' parities differ in at most as many places as the sets differ in elements. Pairs that
@@ -218,6 +220,13 @@ def _rarest(sets: DataFrame, num: int, den: int) -> DataFrame:
     return by_set.where(left > 0).select("rid", F.explode(F.slice("common", F.lit(1), left.cast("int"))).alias("e")).select("e.element", "rid")
 
 
+def _meetings(one: DataFrame) -> DataFrame:
+    """Values of sig in one (sig, component) that several components hold, and the pairs of different components of each."""
+    parts = one.groupBy("sig", "component").agg(F.count("*").alias("k"))
+    by_sig = parts.groupBy("sig").agg(F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
+    return by_sig.where("parts > 1").select("sig", ((F.col("k") * F.col("k") - F.col("k2")) / 2).alias("pairs"))
+
+
 def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, pairs_per_element: float = 4.0) -> DataFrame:
     """Groups documents whose sets of `width`-word shingles have Jaccard similarity of num/den or more, transitively.
 
@@ -232,9 +241,10 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     3. Sharing a signature makes candidates. First all members of a signature's group are checked against one of them, links
        make components, and only groups that still hold several components go on: further hubs (HUBS of them a turn, by hash,
        so that a group of near copies falls together even where many of its pairs miss the threshold), and at last pairs of
-       different components. Are those more than pairs_per_element for each shingle of all candidate sets, as where a template
-       gives many unlike sets a segment, the members left open meet by their rarest shingles instead (prefix filter), so work
-       stays in proportion to the sets. Candidates that sizes or
+       different components. Are those more than PAIRS a candidate set, as where a template gives many unlike sets a segment,
+       which makes pairs with the square of its sets, the members left open meet by their rarest shingles instead (prefix
+       filter); only where those would meet more often, signatures give the pairs, up to pairs_per_element for each shingle of
+       all candidate sets. Candidates that sizes or
        parities (SKETCH) prove unlike go; every other one is checked exactly on the whole sets, so no link between components is
        lost, and a large group of near copies needs about one check for each member.
 
@@ -290,14 +300,17 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
         cost = still.agg(F.sum("pairs").alias("pairs"), F.count("*").alias("n")).first()
         if not cost["n"]:
             break
-        few = cost["pairs"] <= pairs_per_element * within["shingles"]
-        last = turn == HUB_TURNS or (turn > 0 and cost["pairs"] <= 4 * within["sets"])
+        most = pairs_per_element * within["shingles"]
+        last = turn == HUB_TURNS or (turn > 0 and cost["pairs"] <= PAIRS * within["sets"])
         if last:
             one = now.join(still.select("sig"), "sig")
-            if not few:  # the same pairs in question, met by their rarest elements
+            if cost["pairs"] > min(most, PAIRS * within["sets"]):  # the same pairs in question, met by their rarest elements
                 left = written(one.select("rid", "component", "of").distinct(), "left-open")
-                spent.append(left)
-                one = _rarest(sets.join(left.select("rid").distinct(), "rid", "left_semi"), num, den).withColumnRenamed("element", "sig").join(left, "rid")
+                rare = written(_rarest(sets.join(left.select("rid").distinct(), "rid", "left_semi"), num, den).withColumnRenamed("element", "sig").join(left, "rid"), "rarest")
+                met = written(_meetings(rare), "meetings")
+                spent += [left, rare, met]
+                if cost["pairs"] > most or met.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0] < cost["pairs"]:
+                    one = rare.join(met.select("sig"), "sig")
             pairs = one.alias("x").join(one.alias("y"), F.expr("x.sig = y.sig and x.component < y.component") & may_link("x.of", "y.of")).select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"))
         else:
             pairs = now.join(still.drop("pairs"), "sig").where((F.col("component") != F.col("part")) & may_link("of", "hub_of")).select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b"))

@@ -85,6 +85,20 @@ def test_one_template_in_unlike_texts_makes_few_pairs(spark):
     assert rare.groupBy("element").count().agg(F.max("count")).first()[0] == 2
 
 
+def test_template_pairs_are_given_up_before_they_are_many(spark, monkeypatch):
+    made = {}
+    keep = setjoin.written
+    monkeypatch.setattr(setjoin, "written", lambda df, name: made.setdefault(name, keep(df, name)) if name in ("rarest", "meetings") else keep(df, name))
+    monkeypatch.setattr(setjoin, "drop", lambda *tables: None)
+    r = random.Random(6)
+    template = [f"t{i}" for i in range(100)]
+    rows = [(i, " ".join(template + [f"u{r.randrange(10**9)}" for _ in range(30)])) for i in range(40)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(5)]
+    got = {d.doc_id: d.component_id for d in setjoin.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+    assert made["rarest"].count() > 0 and made["meetings"].count() == 0  # unlike texts meet by a template's signatures only
+
+
 def test_word_hashes_know_words():
     texts = [None, "", " \n", "One two\tONE\x0btwo", "\x00 \x1f a\x00  b Ää", "ab ba aab " + "x" * 5_000 + " " + "x" * 4_999 + " end", " tail ", "the " * 3_000]
     for block in (1, 7, 1 << 20):
