@@ -9,7 +9,7 @@ from .functions import grid as G
 from .functions import rules as P
 from .operators import address, checks, reconcile, store, tiles
 from .queries import _CAUSE, KINDS, PLACES, ROADS, RULES, _in, query
-from .sources.adapters import view
+from .sources.adapters import tasks, view
 
 LEVELS = (0, 2, 4, 6, 8, 10, 12)
 # A vocabulary with two ranges of levels, and the coordinate range of each level and class.
@@ -155,12 +155,8 @@ def j01(spark, d):
 @query("w04_islands", """WITH c AS (SELECT DISTINCT way_id, pos, floor((lon - 115.5e0) * 4) * 4 + floor((lat + 32.5e0) * 4) AS cell FROM geo_points), b AS (SELECT *, CASE WHEN cell = lag(cell) OVER (PARTITION BY way_id ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM c),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY way_id ORDER BY pos) AS run FROM b) SELECT way_id, CAST(run AS BIGINT) AS run, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n FROM i GROUP BY way_id, run""")
 def w04(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("way_id").orderBy("pos")
     c = view(spark, d, "geo_points").select("way_id", "pos", (F.floor((F.col("lon") - 115.5) * 4) * 4 + F.floor((F.col("lat") + 32.5) * 4)).alias("cell"))
-    c = c.withColumn("fresh", F.when(F.col("cell") == F.lag("cell").over(w), 0).otherwise(1)).withColumn("run", F.sum("fresh").over(w))
-    return c.groupBy("way_id", "run").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("n"))
+    return tiles.islands(c, tasks(spark, d))
 
 
 @query("f05_rules_as_data", f"SELECT coalesce({_CAUSE}, 65535) AS cause, count(*) AS n FROM failures GROUP BY 1")

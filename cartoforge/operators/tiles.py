@@ -89,6 +89,32 @@ def split_by_cell(segs: DataFrame, grids: DataFrame, g: Grid = GRID) -> DataFram
     return ways.mapInArrow(run, "level int, way_id long, ordinal long, ix long, iy long, n_parts long, first_pos int")
 
 
+def islands(points: DataFrame, parts: int) -> DataFrame:
+    """way_id, run, first_pos, last_pos, n: the runs of a way's points (way_id, pos, cell) that follow one another in a cell.
+
+    Repeated rows count once; a point without a cell is a run of its own. A way's points come to one of `parts` tasks once and
+    are cut there in arrays: they pass no window, and runs, nearly as many as points, no aggregate.
+    """
+    ways = points.repartition(parts, "way_id").groupBy("way_id").agg(F.sort_array(F.collect_set(F.struct("pos", "cell"))).alias("points"))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            way, lists = batch.column("way_id").to_numpy(), batch.column("points")
+            owner = np.repeat(np.arange(len(way)), lists.value_lengths().to_numpy())
+            pos, cell = lists.flatten().flatten()
+            pos, known, cell = pos.to_numpy(), cell.is_valid().to_numpy(zero_copy_only=False), cell.fill_null(0).to_numpy()
+            fresh = np.ones(len(owner), bool)
+            fresh[1:] = (owner[1:] != owner[:-1]) | (cell[1:] != cell[:-1]) | ~known[1:] | ~known[:-1]
+            at = np.flatnonzero(fresh)
+            ends, of = np.append(at[1:], len(owner)), owner[at]
+            out = {"way_id": way[of], "run": np.arange(len(at)) - np.searchsorted(of, of) + 1, "first_pos": pos[at], "last_pos": pos[ends - 1], "n": ends - at}
+            yield pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in out.items()})
+
+    return ways.mapInArrow(run, "way_id long, run long, first_pos int, last_pos int, n long")
+
+
 def link_ids(chains: DataFrame) -> DataFrame:
     """level, way_id, ordinal, link_id of chains (level, way_id, ordinal): 1-based ids in that order. Ordinals are dense, so only
     the counts of ways are sorted, in ranges that start after the sums of those before (one a range, a small table)."""

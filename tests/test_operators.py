@@ -87,3 +87,19 @@ def test_parts_of_ways_are_not_sorted_again(spark, monkeypatch):
     monkeypatch.setattr(tiles, "_PARTS", 1 << 18)
     assert rows == sorted(map(tuple, tiles.split_by_cell(tiles.segments(points), grids).collect())) and len({r[1] for r in rows}) == 9
     assert sorted(map(tuple, tiles.link_ids(small).collect())) == [(*r[:3], i + 1) for i, r in enumerate(rows)]
+
+
+def test_islands_are_cut_in_their_task(spark):
+    from cartoforge.operators import tiles
+
+    rows = [(1, 0, 5), (1, 1, 5), (1, 1, 5), (1, 2, 6), (1, 3, 5), (2, 4, 5), (2, 9, None), (2, 11, None), (2, 12, 7)]
+    got = tiles.islands(spark.createDataFrame(rows, "way_id long, pos int, cell long"), 3)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 0, 1, 2), (1, 2, 2, 2, 1), (1, 3, 3, 3, 1), (2, 1, 4, 4, 1), (2, 2, 9, 9, 1), (2, 3, 11, 11, 1), (2, 4, 12, 12, 1)]
+    assert tiles.islands(spark.createDataFrame([], "way_id long, pos int, cell long"), 3).count() == 0
+
+
+def test_w04_holds_no_window_of_all_points(spark, sf_dir):
+    from __spark_entry__ import queries
+
+    plan = queries()["w04_islands"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(fresh" not in plan and "RepartitionByExpression [way_id" in plan
