@@ -103,3 +103,10 @@ def test_w04_holds_no_window_of_all_points(spark, sf_dir):
 
     plan = queries()["w04_islands"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "sum(fresh" not in plan and "RepartitionByExpression [way_id" in plan
+
+
+def test_j26_deals_each_clip_once(spark, sf_dir):
+    from __spark_entry__ import queries
+
+    plan = queries()["j26_producers"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan.lower() and "RepartitionByExpression [cx" in plan
