@@ -110,3 +110,13 @@ def test_j26_deals_each_clip_once(spark, sf_dir):
 
     plan = queries()["j26_producers"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "distinct" not in plan.lower() and "RepartitionByExpression [cx" in plan
+
+
+def test_paths_leave_long_edges_out(spark, monkeypatch):
+    from cartoforge.operators import graph
+
+    kept, keep = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: kept.append(df.count()) or keep(df))
+    edges = spark.createDataFrame([(1, 2, 5.0), (2, 3, 4.0), (1, 3, 20.0), (3, 4, 10.0)], "u long, v long, w double")
+    got = graph.shortest_paths(edges, spark.createDataFrame([(1,)], "src long"), most_cost=10.0)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 0.0), (1, 2, 5.0), (1, 3, 9.0)] and kept[0] == 3
