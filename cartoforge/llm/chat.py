@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 from .packing import VOCABULARY, _pieces
 
 #: A turn is OPEN role CLOSE text STOP. ESCAPE, "<" and "[" don't stand in escaped texts, so no control string does.
@@ -79,20 +79,27 @@ def _emit(vocabulary: str, trained: str):
             rows.clear()
             return b
 
-        for b in batches:
+        for b in slices(batches, 256):
+            convs, texts, last = [], [], [key for key, _, _ in stack]
             for conv, turns, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 keys = [path[i : i + 12] for i in range(0, len(path), 12)]
                 shared = 0
-                while shared < min(len(keys), len(stack)) and stack[shared][0] == keys[shared]:
+                while shared < min(len(keys), len(last)) and last[shared] == keys[shared]:
                     shared += 1
+                for t in turns[shared : len(keys)]:
+                    texts += f"{OPEN}{escape(t['role'] or '')}{CLOSE}", escape(t["text"] or ""), STOP
+                convs.append((conv, turns, keys, shared))
+                last = keys
+            coded = iter(pieces.ids(texts))  # those of many turns at once
+            for conv, turns, keys, shared in convs:
                 if shared < len(stack):
                     del stack[shared:]
                     sees = []
                     for _, s, k in stack:
                         _see(sees, s, s + k)
                 for depth in range(shared, len(keys)):
-                    role, text = turns[depth]["role"] or "", turns[depth]["text"] or ""
-                    head, said, stop = pieces.ids([f"{OPEN}{escape(role)}{CLOSE}", escape(text), STOP])
+                    role = turns[depth]["role"] or ""
+                    head, said, stop = next(coded), next(coded), next(coded)
                     a, n = len(head) // 2, len(said) // 2
                     size = a + n + len(stop) // 2
                     loss = (a, a + n) if role == trained else (0, 0)

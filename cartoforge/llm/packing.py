@@ -11,26 +11,50 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, slices, written
+from .common import Cache, written
 
 #: Vocabulary file of byte-level BPE for the tokenizers library: a path, or the name of a public one.
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces that the BPE never merges across, in texts of ASCII and Latin-1 letters only (others are encoded as wholes).
-EASY = r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\t-\r\x20A-Za-zÀ-ÖØ-öø-ÿ0-9]+|[\t-\r\x20]+(?![^\t-\r\x20])|[\t-\r\x20]+"
-HARD = r"[^\t-\r\x20-\x7EÀ-ÖØ-öø-ÿ]"
+#: Kinds of bytes where a text may be cut: 1 space, 2 other white ones, 3 letters, 4 digits, 5 apostrophe, 6 other signs; 0 is left alone.
+KIND = np.zeros(256, np.uint8)
+KIND[0x21:0x7F], KIND[0x20], KIND[0x09:0x0E], KIND[0x30:0x3A], KIND[0x27] = 6, 1, 2, 4, 5
+KIND[0x41:0x5B] = KIND[0x61:0x7B] = 3
 END, DIMS, BITS, BUCKETS = 1, 4, 10, 4096
 #: Leading bits of a key by which tokens are counted before they are dealt out: 65,536 counts at most.
 COARSE = 16
 
 
+def pieces(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the pieces begin of texts that lie in raw (UTF-8 bytes) one after the other, up to ends. The BPE merges nothing across.
+
+    Its pattern looks only ahead, and there only from white characters to the next one. So a text is cut between ASCII letters,
+    digits and signs (never behind an apostrophe, which may lead a contraction), between what isn't white and what is, before a
+    space that leads something, and behind a lone line break. À-ÿ are letters; other characters are not cut from their neighbours.
+    """
+    kind = KIND[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]  # × and ÷
+    kind[lead] = kind[lead + 1] = 3
+    solid, white = kind > 2, (kind == 1) | (kind == 2)
+    first = np.zeros(len(raw) + 1, bool)
+    first[1:-1] = solid[:-1] & ((solid[1:] & (kind[:-1] != kind[1:]) & (kind[:-1] != 5) & ~((kind[:-1] == 6) & (kind[1:] == 5))) | white[1:])
+    leads = (kind[:-1] == 1) & solid[1:]
+    leads[ends[1:][(ends[1:] > 0) & (ends[1:] < len(raw))] - 1] = False  # the next character is another text's
+    first[:-2] |= leads
+    first[2:-1] |= solid[:-2] & (kind[1:-1] == 2) & solid[2:]
+    first[ends] = True
+    return np.flatnonzero(first[:-1])
+
+
 class _Pieces(Cache):
-    """Piece of text to its ids as little-endian unsigned 16-bit numbers. Holds MOST pieces and more, and keeps those that it had
-    before as `old`: what is met again moves on, the rest goes at the next turn."""
+    """Piece of text (UTF-8) to its ids as little-endian unsigned 16-bit numbers. Holds MOST pieces and more, and keeps those that
+    it had before as `old`: what is met again moves on, the rest goes at the next turn. Pieces over LONG bytes are not kept."""
 
-    MOST = 300_000
+    MOST, LONG = 300_000, 48
 
     def __init__(self, vocabulary: str):
         super().__init__()
@@ -42,7 +66,7 @@ class _Pieces(Cache):
             import public_tokenizers
 
             vocabulary = str(public_tokenizers.path(vocabulary))
-        self.old: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.coder = Tokenizer.from_file(vocabulary)
         self.coder.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.coder.get_vocab_size() > 1 << 16:
@@ -50,7 +74,7 @@ class _Pieces(Cache):
         self.pack = (lambda ids: array("H", ids).tobytes()) if sys.byteorder == "little" else (lambda ids: np.array(ids, "<u2").tobytes())
         self.spaced = np.zeros(self.coder.get_vocab_size(), bool)
         self.spaced[[i for t, i in self.coder.get_vocab().items() if t.startswith("Ġ")]] = True
-        self.easy, self.hard = re.compile(EASY).findall, re.compile(HARD).search
+        self.led = re.compile(rb" [!-~\xc3][^ ]*").fullmatch
 
     def forget(self) -> None:
         self.clear()
@@ -60,31 +84,59 @@ class _Pieces(Cache):
         return [self.pack(e.ids) for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; pieces not met before are encoded together."""
-        hard = [i for i, t in enumerate(texts) if self.hard(t)]
-        whole = dict(zip(hard, self.encoded([texts[i] for i in hard])))
-        cut = [[] if i in whole else self.easy(t) for i, t in enumerate(texts)]
+        """Ids of each text."""
+        flat, n = self.tokens(pa.array(texts, pa.large_string()))
+        ends = np.cumsum(n)
+        return [flat[e - k : e].tobytes() for e, k in zip(ends.tolist(), n.tolist())]
+
+    def tokens(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty), each followed by the ids `end`, in one array, and how many are of each text."""
+        if not len(texts):
+            return np.zeros(0, "<u2"), np.zeros(0, np.int64)
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw, ends = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+        starts, codes, known = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        if len(raw):
+            starts = pieces(raw, ends)
+            bounds = pa.py_buffer(np.append(starts, len(raw)))
+            coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(raw)]).dictionary_encode()
+            codes, known = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        got = [*self.looked_up(known), end]
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 2
+        place = np.cumsum(size) - size
+        last = np.searchsorted(starts, ends[1:]) + np.arange(len(texts))  # where `end` stands among all pieces
+        row = np.full(len(codes) + len(texts), len(known))
+        own = np.ones(len(row), bool)
+        own[last] = False
+        row[own] = codes
+        n = size[row]
+        upto = np.cumsum(n)
+        flat = np.frombuffer(b"".join(got), "<u2")[np.arange(upto[-1]) + np.repeat(place[row] - (upto - n), n)]
+        return flat, np.diff(upto[last], prepend=0)
+
+    def looked_up(self, known: list[bytes]) -> list[bytes]:
+        """Ids of different pieces; those not met before are encoded together."""
         if len(self) >= self.MOST:
             self.old = dict(self)
             self.clear()
-        got = [list(map(self.get, c)) for c in cut]  # each piece is looked up once: set operations would walk all that is remembered
-        open_ = [i for i, g in enumerate(got) if None in g]
-        new = {p for i in open_ for p, x in zip(cut[i], got[i]) if x is None}
-        fresh = {p: x for p in new if (x := self.old.get(p)) is not None}
-        new.difference_update(fresh)
-        led = [p for p in new if len(p) > 1 and p[0] == " " and not p[1].isspace()]
-        row = np.frombuffer(b"".join(self.encoded(["".join(led)] if led else [])), "<u2").astype(np.int64)
+        got = list(map(self.get, known))  # each piece is looked up once: set operations would walk all that is remembered
+        open_ = [i for i, x in enumerate(got) if x is None]
+        for i in open_:
+            got[i] = self.old.get(known[i])
+        new = [i for i in open_ if got[i] is None]
+        led = [i for i in new if self.led(known[i])]
+        row = np.frombuffer(b"".join(self.encoded([b"".join(known[i] for i in led).decode()] if led else [])), "<u2")
         at = np.flatnonzero(self.spaced[row])  # each of these pieces starts with its only space, so a run of them can be cut again
         if len(at) == len(led):
-            wide = row.astype("<u2").tobytes()
-            fresh.update(zip(led, (wide[2 * a : 2 * e] for a, e in zip(at.tolist(), [*at[1:].tolist(), len(row)]))) if led else ())
-            new.difference_update(led)
-        rest = list(new)
-        fresh.update(zip(rest, self.encoded(rest)))
-        self.update(fresh)
-        for i in open_:
-            got[i] = [fresh[p] if x is None else x for p, x in zip(cut[i], got[i])]
-        return [whole[i] if i in whole else b"".join(g) for i, g in enumerate(got)]
+            wide = row.tobytes()
+            for i, a, e in zip(led, at.tolist(), [*at[1:].tolist(), len(row)]):
+                got[i] = wide[2 * a : 2 * e]
+        rest = [i for i in new if got[i] is None]
+        for i, x in zip(rest, self.encoded([known[i].decode() for i in rest])):
+            got[i] = x
+        self.update((known[i], got[i]) for i in open_ if len(known[i]) <= self.LONG)
+        return got
 
     def text(self, ids: bytes) -> str:
         return self.coder.decode(np.frombuffer(ids, "<u2").tolist(), skip_special_tokens=False)
@@ -103,19 +155,27 @@ def _projection() -> np.ndarray:
     return np.ascontiguousarray(rows[at.astype(np.int64)].T)
 
 
+def _parts(b: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Pieces of an Arrow batch with about `most` bytes of text (column 1), a row at least."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)) // most
+    at = np.flatnonzero(np.diff(upto, prepend=-1))
+    for start, end in zip(at.tolist(), [*at[1:].tolist(), b.num_rows]):
+        yield b.slice(start, end - start)
+
+
 def _tokenise(vocabulary: str):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), *((f"v{k}", pa.float32()) for k in range(DIMS)), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, project, end = _pieces(vocabulary), _projection(), np.array([END], "<u2").tobytes()
-        Cache.alone(pieces)
-        for b in slices(batches, 256):
-            ids = [x + end for x in pieces.ids([t or "" for t in b.column(1).to_pylist()])]
-            n = np.array([len(x) // 2 for x in ids], np.int64)
-            starts = np.concatenate(([0], np.cumsum(n)[:-1]))
-            flat = np.frombuffer(b"".join(ids), "<u2")
-            v = np.stack([np.add.reduceat(project[k].take(flat), starts) for k in range(DIMS)]) / n
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *(pa.array(x.astype(np.float32)) for x in v), pa.array(ids, pa.binary())], schema=schema)
+        known, project, end = _pieces(vocabulary), _projection(), np.array([END], "<u2").tobytes()
+        Cache.alone(known)
+        for whole in batches:
+            for b in _parts(whole):
+                flat, n = known.tokens(b.column(1), end)
+                upto = np.cumsum(n)
+                v = np.stack([np.add.reduceat(project[k].take(flat), upto - n) for k in range(DIMS)]) / n
+                ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate(([0], 2 * upto)).astype(np.int32)), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *(pa.array(x.astype(np.float32)) for x in v), ids], schema=schema)
 
     return run, "doc_id long, n long, " + ", ".join(f"v{k} float" for k in range(DIMS)) + ", ids binary"
 

@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,29 @@ def test_pieces_are_looked_up_and_not_walked():
         assert pieces.ids(some) == pieces.encoded(some)
 
 
+def test_pieces_are_cut_where_the_bpe_never_merges():
+    """Texts of all kinds of characters have the ids of the library, and no piece of text is looked at one by one for it."""
+    kinds = ["a", "foo", "'", "'s", "'re", " ", "  ", "\n", "\t", "\r\n", "1", "23", ".", "...", "é", "×", "÷", "\xa0", "\u2003", "\u3000", "\x85", "\x1c", "\0", "…", "日本", "😀", "é", "²", "<|endoftext|>", "Ω", "¿", "\x7f"]
+    r = np.random.default_rng(3)
+    texts = ["".join(kinds[k] for k in r.integers(0, len(kinds), r.integers(0, 14))) for _ in range(20_000)]
+    known = packing._Pieces(packing.VOCABULARY)
+    assert known.ids(texts) == known.encoded(texts)
+    flat, n = known.tokens(pa.array(["x ", None, "", "\ny"]).slice(0, 4), b"\1\0")
+    assert flat[np.cumsum(n) - 1].tolist() == [1] * 4 and n.tolist() == [len(x) // 2 + 1 for x in known.encoded(["x ", "", "", "\ny"])]
+    words = np.array([f" w{k}" for k in range(2000)])
+    texts = ["".join(words[r.integers(0, 2000, 200)]) for _ in range(500)]  # 100,000 words, 2,000 different ones
+    asked = 0
+
+    class Counted(packing._Pieces):
+        def get(self, piece):
+            nonlocal asked
+            asked += 1
+            return super().get(piece)
+
+    counted = Counted(packing.VOCABULARY)
+    assert counted.ids(texts) == known.encoded(texts) and asked < 5000
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack(empty).count() == 0
 
