@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
@@ -58,27 +59,38 @@ class _Pieces(Cache):
 
     def __init__(self, vocabulary: str):
         super().__init__()
-        import re
+        self.vocabulary = vocabulary
+        self.old: dict[bytes, bytes] = {}
+        self.pack = (lambda ids: array("H", ids).tobytes()) if sys.byteorder == "little" else (lambda ids: np.array(ids, "<u2").tobytes())
+        self.led = re.compile(rb" [!-~\xc3][^ ]*").fullmatch
 
+    @cached_property
+    def coder(self):
         from tokenizers import Tokenizer
 
-        if "/" not in vocabulary:
+        path = self.vocabulary
+        if "/" not in path:
             import public_tokenizers
 
-            vocabulary = str(public_tokenizers.path(vocabulary))
-        self.old: dict[bytes, bytes] = {}
-        self.coder = Tokenizer.from_file(vocabulary)
-        self.coder.encode_special_tokens = True  # their strings in a text are ordinary text
-        if self.coder.get_vocab_size() > 1 << 16:
+            path = str(public_tokenizers.path(path))
+        coder = Tokenizer.from_file(path)
+        coder.encode_special_tokens = True  # their strings in a text are ordinary text
+        if coder.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        self.pack = (lambda ids: array("H", ids).tobytes()) if sys.byteorder == "little" else (lambda ids: np.array(ids, "<u2").tobytes())
-        self.spaced = np.zeros(self.coder.get_vocab_size(), bool)
-        self.spaced[[i for t, i in self.coder.get_vocab().items() if t.startswith("Ġ")]] = True
-        self.led = re.compile(rb" [!-~\xc3][^ ]*").fullmatch
+        return coder
+
+    @cached_property
+    def spaced(self) -> np.ndarray:
+        """By id, whether its token starts with a space."""
+        out = np.zeros(self.coder.get_vocab_size(), bool)
+        out[[i for t, i in self.coder.get_vocab().items() if t.startswith("Ġ")]] = True
+        return out
 
     def forget(self) -> None:
+        """Empties the tables and lets go of the library's, which are read again when needed."""
         self.clear()
         self.old = {}
+        self.__dict__.pop("coder", None)
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)] if texts else []

@@ -118,6 +118,7 @@ def _cut(unlabelled: np.ndarray, positive: np.ndarray, prior: float) -> float:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Cache.alone()
     for b in slices(batches):
         x = [features(t).tolist() for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "trusted", "x"])

@@ -206,14 +206,19 @@ def _sets(width: int):
     return run
 
 
-def _rarest(sets: DataFrame, num: int, den: int) -> DataFrame:
+def _held_by(sets: DataFrame) -> DataFrame:
+    """element, df: elements of sets (rid, set) that several sets hold, and how many."""
+    return sets.select(F.explode("set").alias("element")).groupBy("element").agg(F.count("*").alias("df")).where("df > 1")
+
+
+def _rarest(sets: DataFrame, num: int, den: int, held_by: DataFrame | None = None) -> DataFrame:
     """Of each set (rid, set) its rarest elements, as far as one of them must be shared with every linked set: element, rid.
+    held_by: _held_by(sets), best written, so that the shuffle which counts is gone before elements are dealt out with their sets.
 
     With elements ordered by the number of sets that hold them, two linked sets share one among the first
     n - ceil(num/den * n) + 1 of each: what many unlike sets share, as of a template, comes last and makes no pairs.
     """
-    element = sets.select("rid", F.explode("set").alias("element"))
-    held = element.join(element.groupBy("element").agg(F.count("*").alias("df")).where("df > 1"), "element")
+    held = sets.select("rid", F.explode("set").alias("element")).join(held_by or _held_by(sets), "element")
     # elements of one set only come first in the order, and match nothing: only their number counts
     by_set = held.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("common")).join(sets.select("rid", F.size("set").alias("n")), "rid")
     left = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.size("common"))
@@ -306,7 +311,10 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
             one = now.join(still.select("sig"), "sig")
             if cost["pairs"] > min(most, PAIRS * within["sets"]):  # the same pairs in question, met by their rarest elements
                 left = written(one.select("rid", "component", "of").distinct(), "left-open")
-                rare = written(_rarest(sets.join(left.select("rid").distinct(), "rid", "left_semi"), num, den).withColumnRenamed("element", "sig").join(left, "rid"), "rarest")
+                # all sets take part until their elements are chosen: picking those left open first would shuffle whole sets
+                held_by = written(_held_by(sets), "element-counts")
+                rare = written(_rarest(sets, num, den, held_by).withColumnRenamed("element", "sig").join(left, "rid"), "rarest")
+                drop(held_by)
                 met = written(_meetings(rare), "meetings")
                 spent += [left, rare, met]
                 if cost["pairs"] > most or met.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0] < cost["pairs"]:

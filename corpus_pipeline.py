@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartoforge.llm import decontam, packing, quality, secrets, setjoin
-from cartoforge.llm.common import spare, table, written
+from cartoforge.llm.common import BATCH_ROWS, spare, table, written
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts and tokens reach Python in the small batches that written() has, also where a stage's caller writes its rows."""
+    for name, most in BATCH_ROWS.items():
+        if not 0 < int(spark.conf.get(name)) <= int(most):
+            spark.conf.set(name, most)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     names = spare(docs, "score", "predicted")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
+    small_batches(spark)
     return quality.score(docs, model, (names[0], names[1])).where(F.col(names[1]) == 1).select(*docs.columns)
 
 
@@ -42,6 +50,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences of 2048 tokens; a null or empty text is its end alone, repeated rows are packed each."""
+    small_batches(spark)
     return packing.pack(docs).withColumn("ids", F.base64("ids"))
 
 

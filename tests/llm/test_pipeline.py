@@ -6,7 +6,7 @@ import sys
 import duckdb
 
 import corpus_pipeline
-from cartoforge.llm import quality
+from cartoforge.llm import common, packing, quality
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
@@ -57,3 +57,27 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_features_of_awkward_texts():
     for t in (None, "", " \n", "\x00", "é", "a" * 100_000):
         assert quality.features(t).shape == (quality.N_FEATURES,)
+
+
+def test_python_stages_read_small_batches(spark, sf_dir):
+    """A stage's caller writes with the session's batches, 10,000 rows by default; whole texts and tokens must not meet Python in those."""
+    docs, name = spark.read.parquet(f"{sf_dir}/documents.parquet"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        for stage in (corpus_pipeline.quality_classifier, corpus_pipeline.pack):
+            spark.conf.unset(name)
+            stage(spark, docs, sf_dir)
+            assert int(spark.conf.get(name)) <= 1024
+        spark.conf.set(name, "100")
+        corpus_pipeline.small_batches(spark)
+        assert spark.conf.get(name) == "100"
+    finally:
+        spark.conf.unset(name)
+
+
+def test_training_empties_what_other_operators_remember():
+    left = common.Cache()
+    left["piece"] = b"ids"
+    known = packing._Pieces(packing.VOCABULARY)
+    ids = known.ids(["a text"])
+    assert not list(quality._rows(iter([]))) and not left and not known and "coder" not in vars(known)
+    assert known.ids(["a text"]) == ids

@@ -116,3 +116,14 @@ def test_sets_of_short_and_long_texts():
     assert n.tolist() == [1, 1, 1, 1, 2, 0, 1, 3, 1]
     sets = [set(h[d == i].tolist()) for i in range(len(texts))]
     assert sets[0] == sets[1] != sets[2] and sets[3] < sets[4] and sets[3] < sets[7] and sets[8] < sets[7]
+
+
+def test_rarest_elements_shuffle_no_whole_sets(spark, monkeypatch):
+    """Elements are dealt out from where their sets lie, after they were counted: no whole set is shuffled to pick those left open."""
+    plans, keep = {}, setjoin.written
+    monkeypatch.setattr(setjoin, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and keep(df, name))
+    r = random.Random(6)
+    template = [f"t{i}" for i in range(100)]
+    rows = [(i, " ".join(template + [f"u{r.randrange(10**9)}" for _ in range(30)])) for i in range(40)]
+    assert setjoin.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id <> component_id").count() == 0
+    assert "element-counts" in plans and "LeftSemi" not in plans["rarest"]
