@@ -1,10 +1,11 @@
 """Nothing is capped or sampled, and what is shuffled goes once and is deleted."""
 
+import random
 import time
 
 import duckdb
 
-from cartoforge.operators import tiles
+from cartoforge.operators import contraction, graph, tiles
 from cartoforge.sources import adapters, lineage
 
 
@@ -38,3 +39,27 @@ def test_points_of_odd_rows_are_those_of_the_sql(spark, tmp_path):
     for name, columns in (("way_refs", "way_id, pos, node_id"), ("geo_points", "way_id, pos, node_id, lat, lon")):
         want = sorted(map(tuple, c.sql(adapters.with_views(f"SELECT {columns} FROM {name} WHERE pos % 2 = 0")).fetchall()))
         assert sorted(map(tuple, adapters.view(spark, str(tmp_path), name).where("pos % 2 = 0").select(*columns.split(", ")).collect())) == want and want
+
+
+def test_hubs_need_no_join(spark):
+    """Ends, nodes of two ways and those met twice by one way are hubs; a way of one point makes no segment."""
+    ways = {1: [1, 2, 3, 4], 2: [9, 3, 8], 3: [5, 6, 7, 6, 5], 4: [2]}
+    rows = [(w, i, n, -32.0 + n * 1e-3, 115.5 + n * n * 1e-4) for w, nodes in ways.items() for i, n in enumerate(nodes)]
+    segs = graph.split_at_nodes(spark.createDataFrame(rows, "way_id long, pos int, node_id long, lat double, lon double"))
+    plan = segs._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.way_id, r.seg, r.u, r.v, r.n_points) for r in segs.collect())
+    assert got == [(1, 1, 1, 2, 2), (1, 2, 2, 3, 2), (1, 3, 3, 4, 2), (2, 1, 9, 3, 2), (2, 2, 3, 8, 2), (3, 1, 5, 6, 2), (3, 2, 6, 6, 3), (3, 3, 6, 5, 2)]
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(node_id") == 1
+
+
+def test_pairs_without_a_path_come_from_few_groups(spark):
+    rng = random.Random(5)
+    stay = [(u, v, rng.randint(1, 9)) for u in range(30) for v in range(30) if u != v and rng.random() < 0.2]
+    cut = [(u, v, rng.randint(4, 14), 100 + rng.randint(0, 90)) for u in range(30) for v in range(30) if u != v and rng.random() < 0.6]
+    seen = {(u, v) for u, v, w, _ in cut if any(a == u and c == b and d == v and x + y <= w for a, b, x in stay for c, d, y in stay)}
+    frames = spark.createDataFrame(cut, "u long, v long, w long, mid long"), spark.createDataFrame(stay, "u long, v long, w long")
+    rest = contraction.two_hops(*frames, False)
+    edge = {(u, v): w for u, v, w in stay}
+    want = {(u, v, w, (u, v) in edge) for u, v, w, _ in cut if (u, v) not in seen and edge.get((u, v), 99) > w}
+    assert {tuple(r) for r in rest.collect()} == want and 0 < len(seen) < len(cut) and {r[3] for r in want} == {True, False}
+    assert {tuple(r) for r in contraction.two_hops(*frames).collect()} == seen
