@@ -4,11 +4,24 @@ import random
 import time
 
 import duckdb
+from pyspark.sql import functions as F
 
+from cartoforge import route_queries
 from cartoforge.operators import contraction, graph, tiles
 from cartoforge.sources import adapters, lineage
 
 
+def test_every_node_is_a_source(spark, sf_dir):
+    """Each node reaches itself, so pairs are as many as nodes at least; a fault far from the nodes divisible by 40 is found."""
+    after = contraction.contract(route_queries._edges(spark, sf_dir), 2)[1].where("round = 2")
+    nodes = after.select("u").union(after.select("v")).distinct().count()
+    (row,) = route_queries.r11(spark, sf_dir).collect()
+    assert row.pairs >= nodes > 0 and row.broken == 0
+    edges = spark.createDataFrame([(1, 2, 3), (2, 1, 3)], "u long, v long, w long")
+    longer = edges.withColumn("w", F.when(F.col("u") == 1, 30).otherwise(F.col("w")).cast("long"))
+    assert [tuple(r) for r in contraction.preserved(edges, longer, None, 100.0).collect()] == [(4, 1)]
+
+
 def test_shuffle_files_go_with_the_write(spark):
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     data = lambda: {n for n in (disk.getAllFiles().apply(i).getName() for i in range(disk.getAllFiles().size())) if n.startswith("shuffle_")}
