@@ -4,12 +4,15 @@ import random
 import time
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from cartoforge import route_queries
-from cartoforge.operators import contraction, graph, tiles
+from cartoforge.operators import contraction, graph, multipolygon, tiles
 from cartoforge.sources import adapters, lineage
 
+RING = "rel_id long, role string, ring long, nodes array<long>, v array<struct<x:double,y:double>>"
+
 
 def test_every_node_is_a_source(spark, sf_dir):
     """Each node reaches itself, so pairs are as many as nodes at least; a fault far from the nodes divisible by 40 is found."""
@@ -76,3 +79,31 @@ def test_pairs_without_a_path_come_from_few_groups(spark):
     want = {(u, v, w, (u, v) in edge) for u, v, w, _ in cut if (u, v) not in seen and edge.get((u, v), 99) > w}
     assert {tuple(r) for r in rest.collect()} == want and 0 < len(seen) < len(cut) and {r[3] for r in want} == {True, False}
     assert {tuple(r) for r in contraction.two_hops(*frames).collect()} == seen
+
+
+@pytest.mark.parametrize("bucket", [0.05, 4.0])
+def test_edges_of_a_small_relation_share_a_bucket(spark, monkeypatch, bucket):
+    rng, dealt, plain = random.Random(6), [], multipolygon.buckets
+    made = []
+    for rel, k in ((1, 5), (2, 150)):
+        for ring in range(2):
+            v = [(rng.uniform(0, 60), rng.uniform(0, 60)) for _ in range(k)]
+            made.append((rel, "outer" if ring else "inner", ring, [*range(k), 0], [*v, v[0]]))
+    made.append((3, "outer", 0, [1, 2, 3, 1], [(7.0, 7.0)] * 4))
+    df = spark.createDataFrame(made, RING)
+
+    def side(a, b, p):
+        return (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+
+    edges = {rel: [(ring, i, len(v) - 1, v[i], v[i + 1]) for r, _, ring, _, v in made if r == rel for i in range(len(v) - 1)] for rel in (1, 2)}
+    want = {}
+    for rel, es in edges.items():
+        for x, (r, i, n, a, b) in enumerate(es):
+            for s, j, _, c, d in es[x + 1 :]:
+                near = r == s and (j == i + 1 or (i == 0 and j == n - 1))
+                want[rel] = want.get(rel, 0) + (not near and side(a, b, c) * side(a, b, d) <= 0 and side(c, d, a) * side(c, d, b) <= 0)
+    monkeypatch.setattr(multipolygon, "buckets", lambda *a: dealt.append(plain(*a)) or dealt[-1])
+    got = {r.rel_id: r.crossings for r in multipolygon.crossings(df, bucket).collect()}
+    assert {rel: got[rel] for rel in want} == want
+    if bucket == 0.05:
+        assert dealt[-1].where("rel_id = 1").count() == 10
