@@ -14,6 +14,15 @@ from cartoforge.sources import adapters, lineage
 RING = "rel_id long, role string, ring long, nodes array<long>, v array<struct<x:double,y:double>>"
 
 
+def test_a_ring_of_more_than_a_million_vertices_is_made(spark):
+    n = 1_000_001
+    points = spark.range(n + 1).select(F.lit(5).cast("long").alias("way_id"), F.col("id").cast("int").alias("pos"), (F.col("id") % n).alias("node_id"), F.cos(F.col("id") % n).alias("x"), F.sin(F.col("id") % n).alias("y"))
+    members = spark.createDataFrame([(1, 0, "outer", "w", 5)], "rel_id long, seq long, role string, type string, way_id long")
+    status, rings = multipolygon.rings(members, points)
+    assert [tuple(r) for r in status.collect()] == [(1, None, 1)]
+    assert [tuple(r) for r in rings.select("rel_id", F.size("v")).collect()] == [(1, n + 1)]
+
+
 def test_every_node_is_a_source(spark, sf_dir):
     """Each node reaches itself, so pairs are as many as nodes at least; a fault far from the nodes divisible by 40 is found."""
     after = contraction.contract(route_queries._edges(spark, sf_dir), 2)[1].where("round = 2")
